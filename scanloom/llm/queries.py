@@ -6,18 +6,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, decontaminate, kd_shards, multi_index, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    """The published byte-level vocabulary that op10 and the pipeline use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    back = warc.round_trip(pages.select("page_id", "url", "html"))
+    return back.select(F.nullif("record_id", F.lit("")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def op4_multi_index_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    words, spans, items = decontaminate.columns_of(docs)
+    found = decontaminate.overlaps(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", F.col(words).alias("n_words"), decontaminate.n_hit(spans).alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), decontaminate.contaminated(words, spans).alias("contaminated"),
+    )
+
+
+def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = kd_shards.shard(_table(spark, sf_dir, "documents"), 8)
+    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, path).select("doc_id", bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    back = bpe.decode(ids, path)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
