@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from .shared import cut, discard
 
-FOUND = "q bigint, query_id bigint, vec_id bigint, score double"
+#: Stands for a null id, which so comes last among ties; turned back into null at the end.
+NO_ID = (1 << 63) - 1
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(row, vec_id, v) of the vectors that take part, as a table."""
-    fit = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    fit = vectors.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fit = fit.where(F.col("v").isNotNull() & (F.size("v") > 1) & finite_of("v") & F.exists("v", lambda x: x != 0))
     rows = cut(fit.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(2).collect()
@@ -163,10 +164,10 @@ def calibrate(index: MultiIndex, placed: DataFrame, queries: DataFrame, k: int,
             for i, q in enumerate(qs):
                 at, score = top(q, x, ids, rows, own[i], k)
                 out.append(pd.DataFrame({"q": i, "vec_id": ids[at], "score": score, "cell": cells[at]}))
-            yield pa.RecordBatch.from_pandas(pd.concat(out).astype({"q": "int64", "cell": "int64", "vec_id": "float64"}), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.concat(out).astype({"q": "int64", "cell": "int64", "vec_id": "int64"}), preserve_index=False)
 
-    best = placed.mapInArrow(run, "q bigint, vec_id double, score double, cell bigint")
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", F.asc_nulls_last("vec_id")))).where(F.col("rank") <= k).collect()
+    best = placed.mapInArrow(run, "q bigint, vec_id bigint, score double, cell bigint")
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("rank") <= k).collect()
     met: list[dict[int, int]] = []
     for p in probes:
         held, after = 0, {}
@@ -187,7 +188,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
     rows = usable(vectors, id_col, vector_col)
     spark = rows.sparkSession
     index, placed = build(rows)
-    queries = placed.where(F.col("vec_id") % every == 0)
+    queries = placed.where((F.col("vec_id") % every == 0) & (F.col("vec_id") != NO_ID))
     calibrate(index, placed, queries, k, recall)
     d, n_queries = index.left.shape[1] + index.right.shape[1], queries.count()
 
@@ -226,9 +227,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
 
     def rank(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
-            return pd.DataFrame({"q": [], "query_id": [], "vec_id": [], "score": []}).astype({"q": "int64", "query_id": "int64", "vec_id": "float64", "score": "float64"})
+            return pd.DataFrame({"q": [], "query_id": [], "vec_id": [], "score": []}).astype({"q": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
         order = np.argsort(rows["cell"].to_numpy(), kind="stable")
-        x, ids, own, cell = np.stack(rows["v"].to_numpy())[order], rows["vec_id"].to_numpy(dtype=float)[order], rows["row"].to_numpy()[order], rows["cell"].to_numpy()[order]
+        x, ids, own, cell = np.stack(rows["v"].to_numpy())[order], rows["vec_id"].to_numpy()[order], rows["row"].to_numpy()[order], rows["cell"].to_numpy()[order]
         out = []
         for q, id_, vec, cells in zip(asked["q"], asked["query_id"], asked["v"], asked["cells"], strict=True):
             lo, hi = np.searchsorted(cell, cells, "left"), np.searchsorted(cell, cells, "right")
@@ -237,6 +238,6 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
             out.append((np.full(len(at), q), np.full(len(at), id_), ids[some[at]], score))
         return pd.DataFrame(dict(zip(("q", "query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    near = held.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(rank, "q bigint, query_id bigint, vec_id double, score double")
-    place = F.row_number().over(Window.partitionBy("q").orderBy("score", F.asc_nulls_last("vec_id")))
-    return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").cast("bigint").alias("vec_id"), "score")
+    near = held.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(rank, "q bigint, query_id bigint, vec_id bigint, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
+    return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
