@@ -59,43 +59,48 @@ def merge(tokens: list[int], merges: dict[int, int]) -> list[int]:
     n = len(tokens)
     if n < 2:
         return tokens
+    rank = merges.get
     size = 1 << (n - 1).bit_length()
     tree = [NONE] * (2 * size)
-    for i in range(n - 1):
-        tree[size + i] = merges.get(tokens[i] << 32 | tokens[i + 1], NONE)
+    tree[size : size + n - 1] = [rank(a << 32 | b, NONE) for a, b in zip(tokens, tokens[1:])]  # noqa: B905
     for x in range(size - 1, 0, -1):
-        tree[x] = min(tree[2 * x], tree[2 * x + 1])
+        a, b = tree[2 * x], tree[2 * x + 1]
+        tree[x] = a if a <= b else b
     after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-
-    def put(i: int, value: int) -> None:
-        x = size + i
-        tree[x] = value
-        while x > 1:
-            x >>= 1
-            a, b = tree[2 * x], tree[2 * x + 1]
-            low = a if a <= b else b
-            if tree[x] == low:
-                break
-            tree[x] = low
-
     while (best := tree[1]) != NONE:
         x = 1
         while x < size:
-            x *= 2
+            x += x
             if tree[x] != best:
                 x += 1
         i = x - size
         j = after[i]
-        tokens[i] = best & 0xFFFFFFFF
+        one = tokens[i] = best & 0xFFFFFFFF
         k = after[i] = after[j]
-        put(j, NONE)
+        tree[size + j] = NONE
         if k >= 0:
             before[k] = i
-            put(i, merges.get(tokens[i] << 32 | tokens[k], NONE))
+            tree[x] = rank(one << 32 | tokens[k], NONE)
         else:
-            put(i, NONE)
+            tree[x] = NONE
         if (p := before[i]) >= 0:
-            put(p, merges.get(tokens[p] << 32 | tokens[i], NONE))
+            tree[size + p] = rank(tokens[p] << 32 | one, NONE)
+            p += size
+        else:
+            p = x
+        j += size
+        while x > 1:  # the three leaves' paths to the root, each node once
+            p >>= 1
+            x >>= 1
+            j >>= 1
+            a, b = tree[x + x], tree[x + x + 1]
+            tree[x] = a if a <= b else b
+            if p != x:
+                a, b = tree[p + p], tree[p + p + 1]
+                tree[p] = a if a <= b else b
+            if j != x:
+                a, b = tree[j + j], tree[j + j + 1]
+                tree[j] = a if a <= b else b
     out, i = [], 0
     while i >= 0:
         out.append(tokens[i])
@@ -106,7 +111,7 @@ def merge(tokens: list[int], merges: dict[int, int]) -> list[int]:
 class Pieces(dict):
     """Piece to packed ids; emptied when it holds `most` pieces, so a task's memory is bounded."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 150_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000) -> None:
         super().__init__()
         self.vocabulary, self.most = vocabulary, most
 
