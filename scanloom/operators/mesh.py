@@ -52,7 +52,7 @@ def edge_weights(faces: DataFrame, vertices: DataFrame, normals: DataFrame) -> D
     d = [F.col(f"{c}_b") - F.col(f"{c}_a") for c in "xyz"]
     length = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
     dot = sum((F.col(f"n{c}_a") * F.col(f"n{c}_b") for c in "yz"), F.col("nx_a") * F.col("nx_b"))
-    up = (F.col("nx_b") * d[0] + F.col("ny_b") * d[1] + F.col("nz_b") * d[2]) / length
+    up = F.try_divide(F.col("nx_b") * d[0] + F.col("ny_b") * d[1] + F.col("nz_b") * d[2], length)
     return e.select("scan_id", "face_id", "a", "b", F.when(F.coalesce(up > 0, F.lit(False)), (1 - dot) * (1 - dot)).otherwise(1 - dot).alias("w"))
 
 

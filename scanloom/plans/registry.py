@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-MODULES = ("evaluation", "labelling", "scan_index", "sensors", "geometry")
+MODULES = ("evaluation", "labelling", "scan_index", "sensors", "geometry", "meshes", "files", "streams")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
