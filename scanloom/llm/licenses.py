@@ -16,6 +16,8 @@ broadcast is as large as the templates.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,31 +48,37 @@ def template_words(spark: SparkSession, templates: dict[str, list[str]]) -> Data
     return made.select("license", "sentence", F.explode(words(F.col("text"))).alias("word")).groupBy("license", "sentence", "word").agg(F.count("*").alias("tf"))
 
 
-def statements(docs: DataFrame, id_col: str, text_col: str, path: Column, vocabulary: list[str]) -> DataFrame:
-    """(row, id, path, seen, n_statements, found), found: the statements that may be about a license as
-    (n, words), n counting all words and words being those of templates, repeats included. As a table."""
-    known = F.array(*map(F.lit, vocabulary))
+def frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+    """The number of documents, and that of those which have each template word."""
+    seen = F.array_distinct(F.filter(words(F.col(text_col).cast("string")), lambda w: w.isin(vocabulary)))
+    df = docs.select(F.explode(seen).alias("word")).groupBy("word").agg(F.count("*").alias("df")).collect()  # at most the vocabulary
+    return docs.count(), {r.word: r.df for r in df}
+
+
+def statements(docs: DataFrame, id_col: str, text_col: str, path: Column, idf: dict[str, float], nowhere: float, threshold: float) -> DataFrame:
+    """(row, id, path, n_statements, found), found: the statements that can reach the threshold as (n,
+    words), n counting all words and words being those of templates, repeats included. As a table.
+
+    A cosine is at most the length of a statement's template words against its whole length, and that is
+    at most the sum of their weights: what stays below by this bound is left out here."""
+    weight = F.create_map(*(F.lit(x) for pair in sorted(idf.items()) for x in pair))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.split(text, PARTS).alias("parts"), F.array_intersect(words(text), known).alias("seen"))
-    said = F.filter(F.transform("parts", words), lambda w: F.size(w) > 0)
-    rows = rows.select("id", "path", "seen", F.when(F.size("seen") > 1, said).alias("said"), F.monotonically_increasing_id().alias("row"))
-    some = F.filter("said", lambda w: F.size(F.array_intersect(w, known)) > 1)
-    found = F.transform(some, lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: F.array_contains(known, x)).alias("words")))
-    return cut(rows.select("row", "id", "path", "seen", F.size("said").alias("n_statements"), found.alias("found")), "statements")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.monotonically_increasing_id().alias("row"), F.filter(F.transform(F.split(text, PARTS), words), lambda w: F.size(w) > 0).alias("said"))
+    known = F.transform("said", lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(sorted(idf))).alias("words")))
+    total = lambda s: F.aggregate(s.words, F.lit(0.0), lambda a, x: a + F.element_at(weight, x))
+    least = (1 - 1e-9) * threshold * threshold / (1 - threshold * threshold) * nowhere * nowhere
+    found = F.filter(F.filter(known, lambda s: F.size(F.array_distinct(s.words)) > 1), lambda s: total(s) * total(s) >= (s.n - F.size(s.words)) * least)
+    return cut(rows.select("row", "id", "path", F.size("said").alias("n_statements"), found.alias("found")), "statements")
 
 
-def own_licenses(lines: DataFrame, model: DataFrame, threshold: float) -> DataFrame:
+def own_licenses(lines: DataFrame, model: DataFrame, idf: dict[str, float], nowhere: float, threshold: float) -> DataFrame:
     """(row, own, cosine, is_file) of the documents with a license of their own."""
-    n_docs = lines.count()
-    df = lines.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n_docs) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
-    weights = cut(model.select("word").distinct().join(df, "word", "left").select("word", idf.alias("idf")), "idf")
+    weights = cut(lines.sparkSession.createDataFrame(sorted(idf.items()), "word string, idf double"), "idf")
     unit = model.join(F.broadcast(weights), "word").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("license", "sentence")))
     unit = unit.select("license", "sentence", "word", (F.col("w") / length).alias("unit"))
     said = lines.select("row", "n_statements", F.posexplode("found").alias("at", "s")).select("row", "n_statements", "at", "s.n", F.explode("s.words").alias("word"))
     said = said.groupBy("row", "n_statements", "at", "n", "word").agg(F.count("*").alias("tf")).join(F.broadcast(weights), "word").withColumn("w", F.col("tf") * F.col("idf"))
-    nowhere = F.log(F.lit(n_docs) + 1.0) + 1.0
     whole = said.groupBy("row", "n_statements", "at", "n").agg(F.collect_list(F.struct("word", "tf", "w")).alias("v"))  # a statement's words
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.w * x.w) + (F.col("n") - F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x.tf)) * nowhere * nowhere
     whole = whole.select("row", "n_statements", "at", F.sqrt(square).alias("length"), F.explode("v").alias("x")).select("row", "n_statements", "at", "length", "x.word", "x.w")
@@ -84,8 +92,13 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     """One row (id_col, path, license, cosine, origin, inherited_from) per row of docs; origin is own,
     file, inherited or none."""
     model = cut(template_words(docs.sparkSession, templates or TEMPLATES), "templates")
-    lines = statements(docs, id_col, text_col, path, [r.word for r in model.select("word").distinct().orderBy("word").collect()])
-    scanned = cut(lines.select("row", "id", "path").join(own_licenses(lines, model, threshold), "row", "left").withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "licenses")
+    vocabulary = [r.word for r in model.select("word").distinct().orderBy("word").collect()]
+    n_docs, df = frequencies(docs, text_col, vocabulary)
+    nowhere = math.log(n_docs + 1.0) + 1.0
+    idf = {w: math.log((n_docs + 1.0) / (df.get(w, 0) + 1.0)) + 1.0 for w in vocabulary}
+    lines = statements(docs, id_col, text_col, path, idf, nowhere, threshold)
+    own = own_licenses(lines, model, idf, nowhere, threshold)
+    scanned = cut(lines.select("row", "id", "path").join(own, "row", "left").withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "licenses")
     files = scanned.where("is_file").groupBy("dir", "own").agg(F.count("*").alias("n"))
     licensed = files.groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "own")).alias("m")).select("dir", F.col("m.own").alias("license"))
     above = scanned.where("own IS NULL").select("dir").distinct().withColumn("parts", F.expr("CASE WHEN dir = '' THEN array() ELSE split(dir, '/') END"))
