@@ -4,7 +4,7 @@ Rows are points whose dimensions follow from the text: bytes, characters, CRC-32
 on one point and stay together. A node is split at the weighted median of its widest dimension (its
 extent against that of all rows): the tree's nodes of one level are split together, and the cut of
 each is found by 256-fold bisection, every round being one aggregation of at most 256 sums for each
-node and dimension. The next widest dimension is taken where a cut leaves more than a hundredth of
+node and dimension. The next widest dimension is taken where a cut leaves more than two thousandths of
 the node out of balance, and the best of all where none does better. A point that outweighs what a
 side may hold cannot be cut by the dimensions: then its rows are cut by a hash of the id.
 
@@ -82,7 +82,7 @@ def _best_cuts(rows: DataFrame, want: dict[tuple[int, str], tuple[int, int, floa
     return out
 
 
-def assign(rows: DataFrame, shards: int, tolerance: float = 0.01) -> DataFrame:
+def assign(rows: DataFrame, shards: int, tolerance: float = 0.002) -> DataFrame:
     """rows of points() with a column shard. The tree's cuts, at most shards - 1, are all that the
     driver holds."""
     cuts: dict[int, tuple[str, int]] = {}
@@ -99,7 +99,7 @@ def assign(rows: DataFrame, shards: int, tolerance: float = 0.01) -> DataFrame:
             if n in found:
                 wide = sorted(DIMS[:-1], key=lambda d: -extent(found[n], d) / extent(whole, d))
                 dim = next((d for d in wide if best[n, d][1] <= tolerance), None) or min(wide, key=lambda d: best[n, d][1])
-                if best[n, dim][1] > 0.1 and best[n, "spread"][1] < best[n, dim][1]:
+                if best[n, dim][1] > 0.03 and best[n, "spread"][1] < best[n, dim][1]:
                     dim = "spread"  # a point that no cut of the dimensions can share out
                 cuts[n] = (dim, best[n, dim][0])
             else:
