@@ -44,7 +44,7 @@ preds AS (SELECT DISTINCT scan_id, k AS pred_id, {_CLASS_SQL % 'k'} AS label_id,
 def segmentation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(segments, groups): orders as vertices in fifty segments a scan; parts as groups of segments."""
     segments = table(spark, d, "orders").selectExpr("o_custkey % 8 AS scan_id", "o_orderkey AS vertex_id", "o_orderkey % 50 AS seg_id")
-    groups = table(spark, d, "part").where("p_partkey <= 160").selectExpr(
+    groups = table(spark, d, "part").selectExpr(
         "p_partkey % 8 AS scan_id", "p_partkey div 8 AS group_pos", "p_partkey div 8 AS id", "p_partkey div 8 AS object_id",
         "CASE WHEN p_partkey % 11 = 0 THEN 'unknown' WHEN p_partkey % 13 = 0 THEN '' ELSE p_type END AS label", "array(p_partkey % 47, (p_partkey * 7) % 47, (p_partkey * 3) % 53) AS segments",
     )
@@ -52,7 +52,7 @@ def segmentation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 SEGMENTATION_SQL = """segments AS (SELECT o_custkey % 8 AS scan_id, o_orderkey AS vertex_id, o_orderkey % 50 AS seg_id FROM orders),
-grp AS (SELECT p_partkey % 8 AS scan_id, p_partkey // 8 AS group_pos, CASE WHEN p_partkey % 11 = 0 THEN 'unknown' WHEN p_partkey % 13 = 0 THEN '' ELSE p_type END AS label, [p_partkey % 47, (p_partkey * 7) % 47, (p_partkey * 3) % 53] AS segments FROM part WHERE p_partkey <= 160)"""
+grp AS (SELECT p_partkey % 8 AS scan_id, p_partkey // 8 AS group_pos, CASE WHEN p_partkey % 11 = 0 THEN 'unknown' WHEN p_partkey % 13 = 0 THEN '' ELSE p_type END AS label, [p_partkey % 47, (p_partkey * 7) % 47, (p_partkey * 3) % 53] AS segments FROM part)"""
 
 
 def label_map(spark: SparkSession, d: str) -> DataFrame:

@@ -192,9 +192,9 @@ def geo14_ground_planes(spark: SparkSession, d: str) -> DataFrame:
     return ge.ground_planes(p).select("scan_id", F.round("offset").cast("int").alias("offset"), "n")
 
 
-@query("WITH v AS (SELECT DISTINCT l_partkey % 40 AS ix, l_suppkey % 40 AS iy, l_linenumber AS iz FROM lineitem WHERE l_orderkey % 50 = 0), c AS (SELECT DISTINCT ix AS cx, iy AS cy FROM v WHERE ix BETWEEN 15 AND 24 AND iy BETWEEN 15 AND 24) SELECT cx, cy, count(*) AS n, sum(iz * (ix - cx)) AS checksum FROM c JOIN v ON abs(ix - cx) <= 15 AND abs(iy - cy) <= 15 GROUP BY ALL")
+@query("WITH v AS (SELECT DISTINCT l_partkey % 40 AS ix, l_suppkey % 40 AS iy, l_linenumber AS iz FROM lineitem), c AS (SELECT DISTINCT ix AS cx, iy AS cy FROM v WHERE ix BETWEEN 15 AND 24 AND iy BETWEEN 15 AND 24) SELECT cx, cy, count(*) AS n, sum(iz * (ix - cx)) AS checksum FROM c JOIN v ON abs(ix - cx) <= 15 AND abs(iy - cy) <= 15 GROUP BY ALL")
 def geo16_column_samples(spark: SparkSession, d: str) -> DataFrame:
-    v = b.table(spark, d, "lineitem").where("l_orderkey % 50 = 0").selectExpr("0 AS scan_id", "l_partkey % 40 AS ix", "l_suppkey % 40 AS iy", "l_linenumber AS iz").distinct().withColumn("value", F.lit(1))
+    v = b.table(spark, d, "lineitem").selectExpr("0 AS scan_id", "l_partkey % 40 AS ix", "l_suppkey % 40 AS iy", "l_linenumber AS iz").distinct().withColumn("value", F.lit(1))
     return ge.column_samples(v, extent=(40, 40)).groupBy("cx", "cy").agg(F.count("*").alias("n"), F.sum(F.col("iz") * F.col("dx")).alias("checksum"))
 
 

@@ -38,10 +38,11 @@ def agg32_segment_areas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    return b.table(spark, d, "events").where("event_id % 12 = 0").selectExpr("0 AS scan_id", "event_id % 4000 AS a", "(event_id * 31) % 3989 AS b")
+    """Events in tens around their first; the firsts in chains of four."""
+    return b.table(spark, d, "events").selectExpr("0 AS scan_id", "event_id AS a", "CASE WHEN event_id % 10 = 0 AND event_id % 40 <> 30 THEN event_id + 10 ELSE event_id - event_id % 10 END AS b")
 
 
-_LINKS = "l AS (SELECT event_id % 4000 AS a, (event_id * 31) % 3989 AS b FROM events WHERE event_id % 12 = 0)"
+_LINKS = "l AS (SELECT event_id AS a, CASE WHEN event_id % 10 = 0 AND event_id % 40 <> 30 THEN event_id + 10 ELSE event_id - event_id % 10 END AS b FROM events)"
 
 
 @query(f"WITH RECURSIVE {_LINKS}, s AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach(node, r) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, reach.r FROM reach JOIN s ON s.a = reach.node) SELECT 0 AS scan_id, node, min(r) AS root FROM reach GROUP BY node")
@@ -62,9 +63,9 @@ def set7_distinct_faces(spark: SparkSession, d: str) -> DataFrame:
     return ms.distinct_faces(b.faces(spark, d)).select("face_id")
 
 
-@query(f"WITH {_ONE}, {b.FACES_SQL} SELECT vertex_id FROM pts WHERE vertex_id IN (SELECT v0 FROM faces WHERE face_id % 40 = 0 UNION SELECT v1 FROM faces WHERE face_id % 40 = 0 UNION SELECT v2 FROM faces WHERE face_id % 40 = 0)")
+@query(f"WITH {_ONE}, {b.FACES_SQL} SELECT vertex_id * 2 AS vertex_id FROM pts WHERE vertex_id * 2 IN (SELECT v0 FROM faces UNION SELECT v1 FROM faces UNION SELECT v2 FROM faces)")
 def set7_referenced_vertices(spark: SparkSession, d: str) -> DataFrame:
-    return ms.referenced(b.one_cloud(spark, d), b.faces(spark, d).where("face_id % 40 = 0")).select("vertex_id")
+    return ms.referenced(b.one_cloud(spark, d).withColumn("vertex_id", F.col("vertex_id") * 2), b.faces(spark, d)).select("vertex_id")
 
 
 @query()
