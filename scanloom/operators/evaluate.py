@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import label_of_instance
+from .tables import settled
 
 #: Class ids that the 20-class semantic task scores.
 VALID_CLASSES = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 24, 28, 33, 34, 36, 39]
@@ -116,6 +117,13 @@ def intersections(preds: DataFrame, masks: DataFrame, gt: DataFrame, instances:
     return both.withColumn("iou", F.col("n") / (F.col("gt_size") + F.col("pred_size") - F.col("n")))
 
 
+def instance_tables(gt: DataFrame, preds: DataFrame, masks: DataFrame, valid: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(instances, preds, intersections) as tables: matching reads them several times, and they are as
+    small as the lists of instances, whatever the number of vertices."""
+    inst, pred = settled(gt_instances(gt, valid)), settled(pred_instances(preds, masks, gt, valid))
+    return inst, pred, settled(intersections(pred, masks, gt, inst))
+
+
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
     """Matches of one scan, class and overlap in which a prediction may meet two ground truths: in order
     of gt_id, then pred_id, a prediction that was some ground truth's first match is skipped."""

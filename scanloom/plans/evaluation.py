@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
+from ..operators.tables import settled
 from . import bindings as b
 from .registry import query
 
@@ -144,9 +145,8 @@ ap AS (SELECT c.label_id, overlap, CASE WHEN c.label_id IN (SELECT label_id FROM
 
 def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     gt, preds, masks = b.instances(spark, d)
-    inst = ev.gt_instances(gt, ev.INSTANCE_CLASSES)
-    pred = ev.pred_instances(preds, masks, gt, ev.INSTANCE_CLASSES)
-    return ev.matches(pred, inst, ev.intersections(pred, masks, gt, inst), ev.OVERLAPS_3D), pred, inst
+    inst, pred, shared = ev.instance_tables(gt, preds, masks, ev.INSTANCE_CLASSES)
+    return settled(ev.matches(pred, inst, shared, ev.OVERLAPS_3D)), pred, inst
 
 
 def _ap(spark: SparkSession, d: str) -> DataFrame:
