@@ -18,6 +18,7 @@ without any). Repeated rows stay; other columns pass through and are never input
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -308,11 +309,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return make
 
-    rows = with_columns(texts, "text", [("windows", "array<binary>")], start).select("id", "label", "windows").collect()
-    rows.sort(key=lambda r: (r.id, r.windows))
-    if len({r.label for r in rows}) < 2:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["id"], r["windows"]))
+        if len({r["label"] for r in rows}) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(r["label"], r["windows"]) for r in rows]))])], ["model"])
+
+    rows = with_columns(texts, "text", [("windows", "array<binary>")], start).select("id", "label", "windows")
+    fitted = rows.repartition(1).mapInArrow(learn, "model binary").collect()  # the sample is bounded; the driver gets the model
+    if not fitted:
         return Model(constant=total.get(1, 0) / sum(total.values()))
-    model = fit([(r.label, [bytes(w) for w in r.windows]) for r in rows])
+    model = pickle.loads(fitted[0].model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge():
