@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+MOST_BYTES = 4 << 20
 Maker = Callable[[pa.Array], list[pa.Array]]
 
 
@@ -18,7 +19,10 @@ def with_columns(df: DataFrame, column: str, made: list[tuple[str, str]], start:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column(at))], [*batch.schema.names, *names])
+        for whole in batches:
+            step = max(1, whole.num_rows * MOST_BYTES // max(whole.nbytes, 1))
+            for first in range(0, whole.num_rows, step):  # a few MB at a time, however large the texts
+                batch = whole.slice(first, step)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column(at))], [*batch.schema.names, *names])
 
     return df.mapInArrow(run, ", ".join(fields))

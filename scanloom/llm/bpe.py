@@ -111,7 +111,7 @@ def merge(tokens: list[int], merges: dict[int, int]) -> list[int]:
 class Pieces(dict):
     """Piece to packed ids; emptied when it holds `most` pieces, so a task's memory is bounded."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, most: int = 250_000) -> None:
         super().__init__()
         self.vocabulary, self.most = vocabulary, most
 

@@ -42,7 +42,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(words: pa.Array, most: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _features(), some words at a time."""
+    parts = [_features(words.slice(k, most)) for k in range(0, len(words), most)]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.zeros(1, np.int64)
+    counts = np.concatenate([np.diff(p[2]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(([0], np.cumsum(counts)))
+
+
+def _features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of distinct words (binary): the row of each in the word table, all their character grams' rows,
     and where each word's grams begin (a last entry: their number)."""
     n = len(words)
@@ -64,7 +73,7 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ok = at[:live] + k < end[:live]
             found.append(((gram[:live][ok] ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49))
             owner.append(word_at[:live][ok])
-    rows, owners = np.concatenate(found).astype(np.int64), np.concatenate(owner)
+    rows, owners = np.concatenate(found).astype(np.int32), np.concatenate(owner)
     order = np.argsort(owners, kind="stable")
     counts = np.bincount(owners, minlength=n)
     poly = np.cumprod(np.full(int(size.max(initial=0)) + 3, 0x100000001B3, np.uint64))
@@ -99,7 +108,9 @@ class Model:
         x = np.zeros((len(words) + 1, WORD_DIM + CHAR_DIM), np.float32)
         if len(words):
             x[:-1, :WORD_DIM] = self.p["word"][word]
-            x[:-1, WORD_DIM:] = np.add.reduceat(self.p["char"][grams], at[:-1]) / np.diff(at)[:, None]
+            for k in range(0, len(words), 16_384):
+                edge = at[k : k + 16_385]
+                x[k : k + len(edge) - 1, WORD_DIM:] = np.add.reduceat(self.p["char"][grams[edge[0] : edge[-1]]], edge[:-1] - edge[0]) / np.diff(edge)[:, None]
         return x, (word, grams, at)
 
     def run(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
