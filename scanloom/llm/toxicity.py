@@ -11,7 +11,7 @@ all these windows under their document's label and goes on with the worst window
 document need not be toxic throughout. All documents are then scored where they lie, without a
 shuffle; only the model is broadcast (a few MB, whatever the corpus).
 
-Null and empty texts are one window without words and get a score too. Labels other than 0 and 1, and
+Null and empty texts have no words; they score as the median clean document of the sample does. Labels other than 0 and 1, and
 of null ids, are left out; without labels of both classes every score is the share of label 1 (0.5
 without any). Repeated rows stay; other columns pass through and are never inputs.
 """
@@ -89,11 +89,13 @@ def windows(n: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Parameters p; a and b calibrate a document's logit; constant: the score of all, if not fitted."""
+    """Parameters p; a and b calibrate a document's logit; constant: the score of all, if not fitted;
+    wordless: the logit of texts without words, that of the median clean document."""
 
     p: dict[str, np.ndarray] = field(default_factory=dict)
     calibration: tuple[float, float, float] = (1.0, 0.0, 0.0)
     constant: float | None = None
+    wordless: float = 0.0
 
     @staticmethod
     def fresh(seed: int = 11) -> Model:
@@ -178,7 +180,8 @@ class Model:
             mask = np.arange(LENGTH)[:, None] < n[None]
             ids = np.where(mask, codes[np.minimum(np.arange(LENGTH)[:, None] + b[None], len(codes) - 1)], len(coded.dictionary))
             logits[k : k + 2048] = self.run(gates, ids, mask.astype(np.float32))[0]
-        return np.maximum.reduceat(logits, np.cumsum(count) - count), count
+        logits = np.maximum.reduceat(logits, np.cumsum(count) - count)
+        return np.where(sizes > 0, logits, np.float32(self.wordless)), count
 
     def scores(self, docs: list[list[bytes]]) -> np.ndarray:
         if self.constant is not None:
@@ -212,6 +215,30 @@ def sums(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
+    """How much likelier a row is in toxic documents, drawn to zero where the counts may be chance."""
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    sure = np.abs(odds) / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return odds * np.clip((sure - 1.5) / 3, 0, 1)
+
+
+def begin_with_odds(model: Model, pairs: np.ndarray, width: int, label: np.ndarray, word: np.ndarray, grams: np.ndarray, at: np.ndarray, most: int = 40_000) -> None:
+    """Sets the first dimension of both tables to the log odds of their rows over the sample's documents;
+    pairs: document * width + word, each once. Training goes on from there."""
+    counts = {"word": np.zeros((2, ROWS)), "char": np.zeros((2, ROWS))}
+    for k in range(0, len(pairs), most):
+        d, w = pairs[k : k + most] // width, pairs[k : k + most] % width
+        n = at[w + 1] - at[w]
+        own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[w], n)
+        for name, doc, rows in (("word", d, word[w]), ("char", np.repeat(d, n), grams[own])):
+            key = np.unique(doc * ROWS + rows)
+            y = label[key // ROWS] > 0
+            for side in (0, 1):
+                counts[name][side] += np.bincount(key[y == side] % ROWS, minlength=ROWS)
+    for name, (clean, toxic) in counts.items():
+        model.p[name][:, 0] = 0.3 * log_odds(toxic, clean, label.sum(), len(label) - label.sum())
+
+
 def fit(samples: list[tuple[int, list[bytes]]], epochs: int = 2, worst_epochs: int = 6, batch: int = 256, seed: int = 5) -> Model:
     """samples: (label, windows as space-joined words), a document each."""
     model, rng = Model.fresh(), np.random.default_rng(seed)
@@ -228,6 +255,8 @@ def fit(samples: list[tuple[int, list[bytes]]], epochs: int = 2, worst_epochs: i
     ids = np.ascontiguousarray(ids.T)
     weight = np.where(label > 0, 0.5 / max(label.mean(), 1e-6), 0.5 / max(1 - label.mean(), 1e-6)).astype(np.float32)
     _, (word, grams, at) = model.inputs(coded.dictionary)
+    real, at_doc = ids[mask > 0], np.broadcast_to(doc, ids.shape)[mask > 0]
+    begin_with_odds(model, np.unique(at_doc * (pad + 1) + real), pad + 1, label, word, grams, at)
     adam = Adam(model.p, 0.01)
 
     def learn(chosen: np.ndarray) -> None:
@@ -293,7 +322,7 @@ def calibrate(logit: np.ndarray, count: np.ndarray, label: np.ndarray, weight: n
 
 
 def held_out(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, sample_windows: int = 12) -> Model:
@@ -342,6 +371,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = with_columns(texts, "text", [("logit", "double"), ("n", "bigint")], judge).select("label", "logit", "n").collect()
     y = np.array([r.label for r in seen])
     drawn = np.bincount(y, minlength=2)
+    model.wordless = float(np.median([r.logit for r in seen if not r.label]))
     weight = np.where(y == 1, total[1] / max(drawn[1], 1), total[0] / max(drawn[0], 1))
     model.calibration = calibrate(np.array([r.logit for r in seen]), np.array([r.n for r in seen]), y, weight)
     return model
