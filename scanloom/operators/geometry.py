@@ -219,3 +219,42 @@ def column_samples(voxels: DataFrame, reach: int = 15, levels: int = 62, extent:
     sent = v.select("*", F.explode(around).alias("a")).withColumns({"bx": F.floor(F.col("ix") / size) + F.col("a.i"), "by": F.floor(F.col("iy") / size) + F.col("a.j")})
     j = c.join(sent, ["scan_id", "bx", "by"]).where(f"abs(ix - cx) <= {reach} AND abs(iy - cy) <= {reach}")
     return j.select("scan_id", "cx", "cy", (F.col("ix") - F.col("cx")).alias("dx"), (F.col("iy") - F.col("cy")).alias("dy"), "iz", "value")
+
+
+def not_finite(points: DataFrame, columns: list[str]) -> DataFrame:
+    """(scan_id, bad): rows of each scan with a null, NaN or infinite value in the columns."""
+    bad = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")) for c in columns]
+    any_ = bad[0]
+    for b in bad[1:]:
+        any_ = any_ | b
+    return points.groupBy("scan_id").agg(F.count_if(any_).alias("bad"))
+
+
+def calibrated_depth(depth: DataFrame, colour: DataFrame, lut: DataFrame, cells: tuple[int, int, int], z_max: float, k: tuple, lens: tuple, k2: tuple, lens2: tuple, t: list[float], size: tuple[int, int]) -> DataFrame:
+    """The chain of one capture: depth (metres, value) undistorted by its lens, corrected by the table,
+    seen from the colour camera, and dropped where the undistorted colour (value) is black."""
+    flat = undistort(depth, k, lens, size).withColumnRenamed("value", "d").where("d > 0")
+    right = lut_apply(flat, lut, cells, z_max)
+    seen = reproject(right, k, t, k2, size)
+    black = undistort(colour, k2, lens2, size).where("value = 0").select("scan_id", "frame_id", "y", "x")
+    return seen.join(black, ["scan_id", "frame_id", "y", "x"], "left_anti")
+
+
+def aligned(points: DataFrame, up: DataFrame, scans: DataFrame) -> DataFrame:
+    """points of scans that are processed, valid and not aligned yet (scan_id and these flags), turned so
+    that the scan's up-vector (scan_id, ux, uy, uz) is z, then by the angle of the least ground area, then
+    moved into the positive quadrant."""
+    todo = scans.where("processed AND valid AND NOT aligned").select("scan_id")
+    j = points.join(todo, "scan_id", "left_semi").join(up, "scan_id")
+    # rotation that takes u to z: about u x z, as 1 + [v] + [v]^2 / (1 + cos)
+    vx, vy, c = F.col("uy"), -F.col("ux"), F.col("uz")
+    f = F.when(c > -1 + 1e-9, 1 / (1 + c)).otherwise(0.0)
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    rx = (1 - f * vy * vy) * x + f * vx * vy * y + vy * z
+    ry = f * vx * vy * x + (1 - f * vx * vx) * y - vx * z
+    rz = -vy * x + vx * y + (1 - f * (vx * vx + vy * vy)) * z
+    turned = j.withColumns({"_x": rx, "_y": ry, "_z": rz}).withColumns({"x": F.col("_x"), "y": F.col("_y"), "z": F.col("_z")}).select(*points.columns)
+    a = turned.join(oriented_box(turned).select("scan_id", "angle"), "scan_id")
+    ca, sa = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
+    flat = a.withColumns({"_x": F.col("x") * ca - F.col("y") * sa, "_y": F.col("x") * sa + F.col("y") * ca}).withColumns({"x": F.col("_x"), "y": F.col("_y")})
+    return positive_quadrant(flat.select(*points.columns))

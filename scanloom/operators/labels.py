@@ -107,3 +107,20 @@ def restrict(rows: DataFrame, classes: DataFrame, key: str = "class_id", void: b
 def vocabulary_splits(class_dim: DataFrame) -> DataFrame:
     """Classes by part (head, common, tail) with counts of those in training and validation only."""
     return class_dim.groupBy("part").agg(F.count("*").alias("classes"), F.sum((F.col("in_train") & ~F.col("in_val")).cast("int")).alias("train_only"), F.sum((F.col("in_val") & ~F.col("in_train")).cast("int")).alias("val_only"))
+
+
+def projection_labels(segments: DataFrame, groups: DataFrame, label_map: DataFrame) -> DataFrame:
+    """(scan_id, vertex_id, label_id, object_id) for drawing: objects are group positions from 1 (each its
+    own, also of one label), labels through label_map (key, target), 0 for none."""
+    named = groups.join(label_map.select(F.col("key").alias("label"), F.col("target").alias("label_id")), "label", "left")
+    both = paint(segments, named, F.named_struct(F.lit("label_id"), F.coalesce("label_id", F.lit(0)), F.lit("object_id"), F.col("group_pos") + 1), None)
+    return both.select("scan_id", "vertex_id", F.coalesce("value.label_id", F.lit(0)).alias("label_id"), F.coalesce("value.object_id", F.lit(0)).alias("object_id"))
+
+
+def coloured(rows: DataFrame, palette: DataFrame, value: str = "value", modulo: bool = False) -> DataFrame:
+    """rows with r, g, b from palette (position, r, g, b): labels by position (null beyond the palette),
+    instances modulo its size. The palette is a few dozen rows."""
+    n = palette.count()
+    p = palette.select(F.col("position").alias("_p"), "r", "g", "b")
+    key = F.pmod(F.col(value), F.lit(n)) if modulo else F.col(value)
+    return rows.withColumn("_p", key).join(F.broadcast(p), "_p", "left").drop("_p")

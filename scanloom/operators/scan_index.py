@@ -275,3 +275,29 @@ def stage_timings(times: DataFrame, stages: DataFrame) -> DataFrame:
 
 def total_times(times: DataFrame) -> DataFrame:
     return times.groupBy("scan_id").agg(F.sum("seconds").alias("seconds"))
+
+
+def assembled(props: DataFrame, processed: DataFrame, fixed: DataFrame, files: DataFrame, times: DataFrame, everything: bool = False) -> DataFrame:
+    """Index records by id: fields of props, of processed over these, of fixed over both (where present);
+    updatedAt, file flags and sizes, and total seconds. Scans without a processed row only on demand."""
+    base = combine(props, processed, fixed)
+    has = lambda suffix: F.bool_or(F.endswith("name", F.lit(suffix)) & (F.col("size") > 0))
+    f = files.groupBy(F.col("scan_id").alias("id")).agg(F.max("mtime").alias("updatedAt"), has(".ply").alias("hasPly"), has("_thumb.png").alias("hasThumbnail"), F.sum("size").alias("totalSize"))
+    t = total_times(times).select(F.col("scan_id").alias("id"), F.col("seconds").alias("totalSecs"))
+    kept = base if everything else base.join(processed.select("id"), "id", "left_semi")
+    return kept.join(f, "id", "left").join(t, "id", "left")
+
+
+def calibration_of(scans: DataFrame, devices: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(scan_id, name, ...): a scan's calibration: that of its deviceId's first row by position in devices
+    (deviceId, name, position), '' without one, with the parameters (name, ...) of that name."""
+    first = devices.groupBy("deviceId").agg(F.min_by("name", "position").alias("name"))
+    named = scans.select("scan_id", "deviceId").join(first, "deviceId", "left").select("scan_id", F.coalesce("name", F.lit("")).alias("name"))
+    return named.join(parameters, "name", "left").select("scan_id", *parameters.columns)
+
+
+def pending(frames: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """(scan_id): scans of frames (scan_id, frame_id) for which one of two outputs lacks frames."""
+    n = lambda df, name: df.groupBy("scan_id").agg(F.count("*").alias(name))
+    done = n(frames, "n").join(n(first, "a"), "scan_id").join(n(second, "b"), "scan_id").where("a >= n AND b >= n")
+    return frames.select("scan_id").distinct().join(done, "scan_id", "left_anti")

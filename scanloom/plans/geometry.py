@@ -222,3 +222,31 @@ def scl14_quaternion_matrix(spark: SparkSession, d: str) -> DataFrame:
     n = F.sqrt(sum((F.col(f"q{i}") * F.col(f"q{i}") for i in range(1, 4)), F.col("q0") * F.col("q0")))
     m = sc.quaternion_matrix(*(F.col(f"q{i}") / n for i in range(4)))
     return e.select("vec_id", m.alias("m")).select("vec_id", F.round(F.col("m")[0], 6).alias("m0"), (F.round(F.col("m")[1], 6) + 0.0).alias("m1"), F.round(F.col("m")[8], 6).alias("m8"))
+
+
+@query("SELECT l_linenumber AS scan_id, count(*) FILTER (l_partkey % 7 IN (0, 1, 2)) AS bad FROM lineitem GROUP BY 1")
+def flt6_finite_check(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_partkey") % 7
+    p = b.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("scan_id"), F.when(k == 0, float("nan")).when(k == 1, float("-inf")).otherwise(1.0).alias("x"), F.when(k == 2, F.lit(None)).otherwise(2.0).alias("y"))
+    return ge.not_finite(p, ["x", "y"])
+
+
+@query(f"WITH {b.POINTS_SQL}, q AS (SELECT scan_id, vertex_id, x, -z AS y, y AS z FROM pts WHERE scan_id <> 3), a AS (SELECT unnest(range(90))::double AS angle), e AS (SELECT scan_id, angle, (max(x * cos(radians(angle)) - y * sin(radians(angle))) - min(x * cos(radians(angle)) - y * sin(radians(angle)))) * (max(x * sin(radians(angle)) + y * cos(radians(angle))) - min(x * sin(radians(angle)) + y * cos(radians(angle)))) AS area FROM q, a GROUP BY ALL), b AS (SELECT scan_id, arg_min(angle, (round(area, 9), angle)) AS g FROM e GROUP BY 1), r AS (SELECT scan_id, vertex_id, x * cos(radians(g)) - y * sin(radians(g)) AS x, x * sin(radians(g)) + y * cos(radians(g)) AS y, z FROM q JOIN b USING (scan_id)) SELECT scan_id, vertex_id, round(x - min(x) OVER w, 5) AS x, round(y - min(y) OVER w, 5) AS y, round(z - min(z) OVER w, 5) AS z FROM r WINDOW w AS (PARTITION BY scan_id)")
+def geo15_aligned_scans(spark: SparkSession, d: str) -> DataFrame:
+    """All scans have y up; one of them is aligned already."""
+    p = b.points(spark, d)
+    scans = p.select("scan_id").distinct().selectExpr("scan_id", "true AS processed", "true AS valid", "scan_id = 3 AS aligned")
+    up = scans.selectExpr("scan_id", "0D AS ux", "1D AS uy", "0D AS uz")
+    return ge.aligned(p, up, scans).select("scan_id", "vertex_id", *(F.round(c, 5).alias(c) for c in "xyz"))
+
+
+@query(f"WITH {_DEPTH}, p AS (SELECT frame_id, x, y, d / 1000.0 / 1.25 AS z FROM dp WHERE d > 0), q AS (SELECT frame_id, x, y, min(z) AS z FROM p GROUP BY ALL) SELECT frame_id, y, x, round(z, 6) AS z FROM q WHERE x % 5 <> 0")
+def geo7_calibrated_depth(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain with plain lenses, a table of 1.25 throughout, and every fifth column black."""
+    dp = _depth(spark, d)
+    depth = dp.select("scan_id", "frame_id", "y", "x", sc.depth_metres(F.col("d")).alias("value")).na.fill(0.0)
+    colour = dp.select("scan_id", "frame_id", "y", "x", F.when(F.col("x") % 5 == 0, 0).otherwise(9).alias("value"))
+    lut = spark.range(16 * 16 * 4).selectExpr("cast(id % 16 AS int) AS ix", "cast(id div 16 % 16 AS int) AS iy", "cast(id div 256 AS int) AS iz", "1.25D AS mult")
+    k, plain, eye = (20.0, 20.0, 16.0, 16.0), (0.0,) * 5, [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]
+    out = ge.calibrated_depth(depth, colour, lut, (16, 16, 4), 8.0, k, plain, k, plain, eye, (32, 32))
+    return out.select("frame_id", "y", "x", F.round("z", 6).alias("z"))

@@ -140,3 +140,17 @@ def flt2_void_rows(spark: SparkSession, d: str) -> DataFrame:
 def img5_instance_to_label(spark: SparkSession, d: str) -> DataFrame:
     of = b.table(spark, d, "part").where("p_size % 5 < 3").groupBy(F.expr("cast(p_size % 5 AS bigint)").alias("instance")).agg(F.max(F.expr("p_partkey % 41")).alias("label_id"))
     return px.instance_to_label(b.pixels(spark, d).drop("label"), of)
+
+
+@query(f"WITH {b.SEGMENTATION_SQL}, lm AS ({_LAST}), e AS (SELECT scan_id, group_pos, coalesce(id, 0) AS lid, unnest(segments) AS seg_id FROM grp LEFT JOIN lm ON label = raw_category), o AS (SELECT scan_id, seg_id, arg_max(lid, group_pos) AS lid, max(group_pos) + 1 AS obj FROM e GROUP BY ALL) SELECT scan_id, vertex_id, coalesce(lid, 0) AS label_id, coalesce(obj, 0) AS object_id FROM segments LEFT JOIN o USING (scan_id, seg_id)")
+def geo11_projection_labels(spark: SparkSession, d: str) -> DataFrame:
+    segments, groups = b.segmentation(spark, d)
+    last = b.label_map(spark, d).groupBy(F.col("raw_category").alias("key")).agg(F.max_by("id", "position").alias("target"))
+    return lb.projection_labels(segments, groups, last)
+
+
+@query(f"WITH {b.PIXELS_SQL} SELECT frame_key, y, x, n_nationkey * 9 AS r, n_regionkey * 50 AS g, 7 AS b FROM px JOIN nation ON n_nationkey = (y * 64 + x) % 25")
+def scl11_instance_colours(spark: SparkSession, d: str) -> DataFrame:
+    palette = b.table(spark, d, "nation").selectExpr("n_nationkey AS position", "n_nationkey * 9 AS r", "n_regionkey * 50 AS g", "7 AS b")
+    p = b.pixels(spark, d).select("frame_key", "y", "x", (F.col("y") * 64 + F.col("x")).alias("value"))
+    return lb.coloured(p, palette, modulo=True).drop("value")

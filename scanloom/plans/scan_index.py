@@ -311,3 +311,25 @@ def scl5_checksums(spark: SparkSession, d: str) -> DataFrame:
 def scl7_int_literals(spark: SparkSession, d: str) -> DataFrame:
     c = b.table(spark, d, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN concat(' ', c_custkey) ELSE c_name END AS s")
     return c.select("c_custkey", sc.is_int(F.col("s")).alias("is_int"))
+
+
+@query(f"WITH {_FILES}, {_TIMES}, s AS (SELECT scan_id AS id, sum(seconds) AS secs FROM t GROUP BY 1), f AS (SELECT scan_id AS id, max(mtime) AS updatedAt, sum(size) AS total FROM files GROUP BY 1) SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'set' WHEN c_custkey % 2 = 0 THEN 'done' ELSE c_mktsegment END AS sceneName, updatedAt, round(total, 2) AS totalSize, secs AS totalSecs FROM customer LEFT JOIN f ON f.id = c_custkey LEFT JOIN s ON s.id = c_custkey WHERE c_custkey % 4 <> 1")
+def idx2_assembled_records(spark: SparkSession, d: str) -> DataFrame:
+    c = b.table(spark, d, "customer")
+    props, processed = c.selectExpr("c_custkey AS id", "c_mktsegment AS sceneName"), c.where("c_custkey % 4 <> 1").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 2 = 0 THEN 'done' END AS sceneName")
+    fixed = c.where("c_custkey % 3 = 0").selectExpr("c_custkey AS id", "'set' AS sceneName")
+    out = ix.assembled(props, processed, fixed, _files(spark, d)[1], ix.log_times(_log(spark, d)))
+    return out.select("id", "sceneName", "updatedAt", F.round("totalSize", 2).alias("totalSize"), "totalSecs")
+
+
+@query("SELECT c_custkey AS scan_id, s_name AS name, s_nationkey AS fx FROM customer JOIN (SELECT s_suppkey % 17 AS k, arg_min(s_name, s_suppkey) AS s_name, arg_min(s_nationkey, s_suppkey) AS s_nationkey FROM supplier GROUP BY 1) ON k = c_custkey % 40 UNION ALL SELECT c_custkey, '', NULL FROM customer WHERE c_custkey % 40 NOT IN (SELECT s_suppkey % 17 FROM supplier)")
+def jn12_device_calibration(spark: SparkSession, d: str) -> DataFrame:
+    s = b.table(spark, d, "supplier")
+    scans = b.table(spark, d, "customer").selectExpr("c_custkey AS scan_id", "c_custkey % 40 AS deviceId")
+    return ix.calibration_of(scans, s.selectExpr("s_suppkey % 17 AS deviceId", "s_name AS name", "s_suppkey AS position"), s.selectExpr("s_name AS name", "s_nationkey AS fx"))
+
+
+@query("SELECT DISTINCT user_id AS scan_id FROM events WHERE user_id % 3 <> 0 OR user_id IN (SELECT user_id FROM events WHERE event_type = 'click' AND event_id % 50 = 0)")
+def flt10_pending_scans(spark: SparkSession, d: str) -> DataFrame:
+    e = b.table(spark, d, "events").selectExpr("user_id AS scan_id", "event_id AS frame_id", "event_type")
+    return ix.pending(e, e.where("scan_id % 3 = 0"), e.where("NOT (event_type = 'click' AND frame_id % 50 = 0)"))

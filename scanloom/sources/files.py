@@ -167,3 +167,13 @@ def panoptic_document(segments: DataFrame, categories: DataFrame) -> DataFrame:
     cats = categories.agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("categories"))
     images = F.transform("annotations", lambda a: F.struct(a["image_id"].alias("id")))
     return notes.join(cats, F.lit(True)).select(F.to_json(F.struct(images.alias("images"), "annotations", "categories")).alias("value"))
+
+
+def write_mesh(vertices: DataFrame, path: str) -> None:
+    """Typed vertex columns by split and scan (train, val, test)."""
+    vertices.write.partitionBy("split", "scan_id").parquet(path)
+
+
+def write_scores(ap: DataFrame, path: str) -> None:
+    """Scores as CSV with a header, undefined ones as nan."""
+    ap.write.csv(path, header=True, nullValue="nan")
