@@ -159,6 +159,23 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "dec
     return with_columns(df, ids_col, [(out, "string")], start)
 
 
+def round_trip(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with the packed ids of text_col and the text that they decode to, in one pass: one worker a
+    task, and ids go to Spark once."""
+
+    def start():
+        v = Vocabulary(vocabulary)
+        pieces = Pieces(v)
+
+        def make(texts: pa.Array) -> list[pa.Array]:
+            packed = [encode_text(t.as_py(), v, pieces) for t in texts]
+            return [pa.array(packed, pa.binary()), pa.array([decode_ids(p, v) for p in packed], pa.string())]
+
+        return make
+
+    return with_columns(docs, text_col, [(out, "binary"), (decoded, "string")], start)
+
+
 def n_tokens(packed: str) -> Column:
     return F.expr(f"octet_length(`{packed}`) div 4")
 

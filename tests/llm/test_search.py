@@ -134,6 +134,8 @@ def test_tokens(spark):
     for r in back:
         want = t.encode(r.text or "", add_special_tokens=False).ids
         assert list(r.list) == want and r.n == len(want) and r.again == t.decode(want, skip_special_tokens=False) == (r.text or "")
+    one = bpe.round_trip(documents(spark, rows, True), path, out="packed", decoded="again").collect()
+    assert sorted((repr(r.text), bytes(r.packed), r.again) for r in one) == sorted((repr(r.text), bytes(r.packed), r.again) for r in back)
     assert bpe.encode(documents(spark, []), path).collect() == []
 
 
