@@ -20,9 +20,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow_map import with_columns
 from .shared import components, cut, free_name, hex64
 
 _ONES = np.uint64(0x0101010101010101)
@@ -42,19 +43,26 @@ def bits_over_half(hashes: np.ndarray) -> int:
     return out
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """SimHash of the width-word shingles of a text in UTF-8, A-Z lowered (bytes.split() splits at
-    exactly the six ASCII white-space characters)."""
+def shingles(text: bytes | None, width: int = 3) -> np.ndarray:
+    """Digests of the width-word shingles of a text in UTF-8, A-Z lowered, repeats included
+    (bytes.split() splits at exactly the six ASCII white-space characters); a text of fewer words, but
+    not none, is one shingle."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return bits_over_half(np.array([digest(line, 42)], np.uint64))
+        return np.array([digest(line, 42)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return bits_over_half(np.fromiter((digest(line[s:e], 42) for s, e in spans), np.uint64, len(words) - width + 1))
+    return np.fromiter((digest(line[s:e], 42) for s, e in spans), np.uint64, len(words) - width + 1)
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """SimHash of the shingles; zero without words."""
+    hashes = shingles(text, width)
+    return bits_over_half(hashes) if len(hashes) else 0
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", width: int = 3) -> DataFrame:
@@ -199,3 +207,73 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     named = of.join(roots, of.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return made.join(kept, row, "left_semi").drop(fp, row)
+
+
+#: Bands and minima a band: a pair at a similarity of 0.8 shares no band with probability
+#: (1 - 0.8**5)**32 = 3e-6.
+BANDS, ROWS = 32, 5
+_ODD, _FLIP = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.array([[[1]], [[0]]], np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key for each band of MinHash minima of a set of shingles (none for the empty set)."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for first in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[None, first : first + 1024] ^ _FLIP) * _ODD).min(axis=1), out=least)
+    raw, step = least.tobytes(), 8 * ROWS
+    return [xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k) for k in range(BANDS)]
+
+
+def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
+    """Similarity of the sets of width-word shingles themselves."""
+
+    def whole(text: bytes | None) -> set[bytes]:
+        w = (text or b"").lower().split()
+        return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    x, y = whole(a), whole(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, firsts: int = 16) -> DataFrame:
+    """The rows of docs, all columns, of which each class of texts linked by a Jaccard similarity of
+    `similarity` or more keeps one: that with the smallest id (nulls last; among equal ids the first as
+    read). Texts with equal sets of shingles are one; texts without words too.
+
+    Pairs at 0.8 differ in up to 11 bits of a SimHash, where the trie prunes nothing; candidates are
+    therefore those that share a MinHash band, and each is confirmed by its exact similarity. A text is
+    compared with the `firsts` smallest of each of its bands' buckets, that is with all of a bucket of up
+    to firsts + 1 texts, so a large group costs rows in proportion to its size."""
+    row, same, keys = (free_name(docs, x) for x in ("row", "same", "keys"))
+
+    def start():
+        def make(column: pa.Array) -> list[pa.Array]:
+            sets = [np.unique(shingles(t.as_py(), width)) for t in column.cast(pa.binary())]
+            kept = pa.array([np.array(band_keys(s), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            return [pa.array([xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], pa.string()), kept]
+
+        return make
+
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    made = cut(with_columns(numbered, text_col, [(same, "string"), (keys, "array<bigint>")], start), "shingles")
+    rows = made.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(same).alias("same"))
+    of = cut(rows.groupBy("same").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")), "texts")
+    one = of.select(F.col("first.row").alias(row))
+    texts = made.join(one, row, "left_semi").select(F.col(row).alias("node"), F.col(text_col).cast("binary").alias("text"), F.col(keys).alias("keys"))
+    bands = cut(texts.select("node", F.explode("keys").alias("key")), "bands")
+    order = Window.partitionBy("key").orderBy("node")
+    least = bands.withColumn("k", F.row_number().over(order)).where(F.col("k") <= firsts).select("key", F.col("node").alias("u"))
+    pairs = cut(bands.join(least, "key").where("u < node").select("u", F.col("node").alias("v")).distinct(), "pairs")
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    roots = components(both.select("u", "v", "a", "b").mapInArrow(confirm, "u bigint, v bigint"))
+    named = of.join(roots, F.col("first.row") == roots.node, "left").select("first", F.coalesce("root", "first.row").alias("root"))
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return made.join(kept, row, "left_semi").select(*docs.columns)

@@ -75,6 +75,32 @@ def test_keep_one(spark):
     assert 2000 not in ids and 2001 not in ids and ids.count(None) == 1
 
 
+def test_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    def changed(k, n, steps):
+        """Text k of n own words with so many of them changed, far apart."""
+        w = [f"w{k}x{i}" for i in range(n)]
+        for i in range(steps):
+            w[10 + 12 * i] = "other"
+        return " ".join(w)
+
+    rows, kept = [], []
+    for k, (n, steps) in enumerate([(300, 1), (330, 2), (200, 2), (200, 3), (194, 4), (184, 4), (180, 4), (150, 4), (400, 20)]):
+        a, b = changed(k, n, 0), changed(k, n, steps)
+        rows += [(2 * k, a, "en", "s", 1), (2 * k + 1, b, "en", "s", 1)]
+        near = (n - 4 - 5 * steps) / (n - 4 + 5 * steps)
+        assert simhash.jaccard(a.encode(), b.encode(), 5) == near
+        kept += [2 * k] + [2 * k + 1] * (near < 0.8)
+    assert {17, 15} <= set(kept) and not {1, 3, 5, 7, 9, 11} & set(kept)
+    rows += [(500 + i, changed(99, 300, 0) + f" end{i}", "en", "s", 1) for i in range(60)]  # a large group
+    rows += [(600, None, "en", "s", 1), (601, " ", "en", "s", 1), (602, "a b", "en", "s", 1), (603, "A  b", "en", "s", 1)]
+    got = corpus_pipeline.near_dedup(spark, documents(spark, rows, True), None)
+    assert got.columns == documents(spark, [], True).columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted([*kept, 500, 600, 602])
+    assert corpus_pipeline.near_dedup(spark, documents(spark, []), None).collect() == []
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
     assert simhash.keep_one(documents(spark, [])).collect() == []
