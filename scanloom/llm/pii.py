@@ -2,12 +2,14 @@
 bootstrapped contextual extraction. DataFrame functions only.
 
 Base matches seed the bootstrap. Every occurrence of a seed or of another identifier-like string (a
-run of ASCII letters, digits and ._@%+- of at least six characters with a digit) has lexical patterns:
-the word before, the two words before, and the words on both sides. Patterns and strings are a
+run of ASCII letters, digits and ._@%+- of at least six characters with a digit; a chain of digit groups
+with single blanks, dots, hyphens or brackets between; a string with '@') has lexical patterns: the word
+before, the two words before, and the words on both sides. Patterns and strings are a
 bipartite graph, scored in turns: a pattern scores, for a kind, the share of its distinct strings
 that are of this kind (seeds count 1, others their confidence) if they weigh at least `support`; a
-string's confidence is 1 minus the product over its patterns of 1 minus their scores. Strings that
-reach `confidence` are found in all texts. Graph, patterns and confidences stay in tables.
+string's confidence is 1 minus the product over its patterns of 1 minus their scores; this goes on
+until nothing is new. Strings that begin at one place are one string of a pattern, the longest, but all
+get a confidence. Strings that reach `confidence` are found in all texts, within another only that. Graph, patterns and confidences stay in tables.
 
 The regular expressions begin where no earlier start could have matched and use possessive
 repetition where nothing can be given back, so a search is linear in the text and needs no stack; the
@@ -36,6 +38,10 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Other identifier-like strings.
 OTHER = r"(?<![A-Za-z0-9._@%+-])(?=[A-Za-z._@%+-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9._@%+-]{4,}[A-Za-z0-9]"
+#: Groups of digits with one of `blank . - ( )` between, or a bracket with one of the others, from + or ( on.
+CHAIN = r"(?<![A-Za-z0-9._@%+-])\+?+\(?+[0-9]++(?:(?:\)[\x20.-]?+|[\x20.-]\(?+|\()[0-9]++(?![A-Za-z_@%+]))++"
+#: A name at a host, with dots or without, or only @name.
+AT = r"(?<![A-Za-z0-9._@%+-])[A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -84,26 +90,48 @@ def _occurrence(text: Column, s: Column) -> Column:
     return F.struct(s.kind.alias("kind"), s.value.alias("value"), s.start.alias("start"), s.end.alias("end"), patterns.alias("patterns"))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """text with line ends in place of the spans, as long as it was."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.concat(F.substring(text, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0))), F.repeat(F.lit("\n"), F.greatest(s.end - F.greatest(acc.at, s.start), F.lit(0))))
+        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.concat(acc.out, F.array(piece)).alias("out"))
+
+    made = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(text, acc.at + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, made).otherwise(text)
+
+
 def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, base, seen): base spans and the occurrences of seeds (kind 0 to 3) and others (-1)."""
+    """(id, key, base, seen): base spans and the occurrences of seeds (kind 0 to 3) and others (-1; -2 if
+    a longer one begins at the same place)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     free = lambda s: ~F.exists("base", lambda b: (s.start < b.end) & (b.start < s.end))
-    rows = rows.withColumn("others", F.filter(matches(F.col("text"), OTHER, -1, F.rlike("text", F.lit("[0-9]"))), free))
+    rows = rows.withColumn("rest", _blanked(F.col("text"), F.col("base")))
+    runs = matches(F.col("text"), OTHER, -1, F.rlike("text", F.lit("[0-9]")))
+    chains = F.filter(matches(F.col("rest"), CHAIN, -1, F.rlike("rest", F.lit(CHAIN))), lambda s: F.char_length(s.value) >= 6)
+    names = matches(F.col("rest"), AT, -1, F.contains("rest", F.lit("@")))
+    rows = rows.withColumn("others", F.array_sort(F.filter(F.concat(runs, chains, names), free)))
+    after = lambda i: F.get("others", i + 1)
+    rows = rows.withColumn("others", F.filter("others", lambda s, i: ~F.coalesce((s.start == after(i).start) & (s.end == after(i).end), F.lit(False))))
+    kind = lambda s, i: F.when(F.coalesce(s.start == after(i).start, F.lit(False)), -2).otherwise(-1)
+    rows = rows.withColumn("others", F.transform("others", lambda s, i: F.struct(s.start.alias("start"), kind(s, i).alias("kind"), s.end.alias("end"), s.value.alias("value"))))
     seen = F.transform(F.concat("base", "others"), lambda s: _occurrence(F.col("text"), s))
     return rows.select("id", F.md5("text").alias("key"), "base", seen.alias("seen"))
 
 
-def discover(found: DataFrame, rounds: int = 3, support: float = 8, precision: float = 0.8, confidence: float = 0.8) -> DataFrame | None:
+def discover(found: DataFrame, support: float = 8, precision: float = 0.8, confidence: float = 0.8) -> DataFrame | None:
     """found: a table of with_base(). (value, kind, confidence) of strings that are no seeds; None if
     no pattern is good enough."""
     seen = found.where(F.size("seen") > 0).select(F.explode("seen").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"))
     edges = cut(seen.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-edges")
     weights = [F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in range(len(KINDS))]
-    rated = edges.select("pattern", *(w.alias(f"w{k}") for k, w in enumerate(weights)))
-    known = None
-    for _ in range(rounds):
-        total = rated.groupBy("pattern").agg(F.count("*").alias("n"), *(F.sum(f"w{k}").alias(f"w{k}") for k in range(len(KINDS))))
+    one = F.when(F.col("kind") > -2, 1).otherwise(0).alias("one")
+    rated = edges.select("pattern", one, *(w.alias(f"w{k}") for k, w in enumerate(weights)))
+    states = set()
+    while True:
+        total = rated.groupBy("pattern").agg(F.sum("one").alias("n"), *(F.sum(f"w{k}").alias(f"w{k}") for k in range(len(KINDS))))
         kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"w{k}").alias("w")) for k in range(len(KINDS))))
         good = total.select("pattern", "n", F.explode(kinds).alias("k")).where(f"k.w >= {support} AND k.w / n >= {precision}").select("pattern", F.col("k.kind").alias("as"), (F.col("k.w") / F.col("n")).alias("score"))
         good = cut(good, "pii-patterns")
@@ -113,10 +141,15 @@ def discover(found: DataFrame, rounds: int = 3, support: float = 8, precision: f
         best = told.groupBy("value").agg(F.max(F.struct("confidence", -F.col("as"))).alias("b")).select("value", (-F.col("b.col2")).alias("as"), "b.confidence")
         known = cut(best, "pii-strings")
         discard(good)
-        if known.isEmpty():
+        reached = F.count_if(F.col("confidence") >= confidence)
+        state = tuple(known.agg(F.count("*"), reached, F.round(F.avg("confidence"), 4)).first())
+        if not state[0]:
             return None
+        if state in states:  # no string is new
+            break
+        states.add(state)
         more = edges.join(known, "value", "left")
-        rated = more.select("pattern", *((w + F.when((F.col("kind") < 0) & (F.col("as") == k), F.col("confidence")).otherwise(0.0)).alias(f"w{k}") for k, w in enumerate(weights)))
+        rated = more.select("pattern", one, *((w + F.when((F.col("kind") == -1) & (F.col("as") == k), F.col("confidence")).otherwise(0.0)).alias(f"w{k}") for k, w in enumerate(weights)))
     return known.where(F.col("confidence") >= confidence).select("value", F.col("as").alias("kind"), "confidence")
 
 
@@ -124,7 +157,14 @@ def added_spans(found: DataFrame, strings: DataFrame) -> DataFrame:
     """(key, added): the spans of discovered strings by the digest of the text."""
     others = found.select("key", F.explode(F.filter("seen", lambda s: s.kind < 0)).alias("s")).select("key", "s.value", "s.start", "s.end").distinct()
     hits = others.join(strings.select("value", "kind"), "value")
-    return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value"))).alias("added"))
+    spans = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "kind", "end", "value")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+
+    def widest(acc: Column, s: Column) -> Column:
+        span = F.array(F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end"), s.value.alias("value")))
+        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(s.end > acc.at, F.concat(acc.spans, span)).otherwise(acc.spans).alias("spans"))
+
+    return hits.groupBy("key").agg(spans.alias("all")).select("key", F.aggregate("all", none, widest, lambda acc: acc.spans).alias("added"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bootstrap: float) -> DataFrame:

@@ -68,3 +68,27 @@ def test_native_and_empty(spark):
     assert "Python" not in plan and "Arrow" not in plan
     assert pii.find(documents(spark, [])).collect() == []
     assert len(pii.find(documents(spark)).collect()) == documents(spark).count()
+
+
+def test_context_discovers_identifiers_of_every_shape(spark):
+    unseen = ["020 7946 0958", "(555) 010-2233", "4111 1111 1111 1112", "555.010.2234", "XK-77-0099"]
+    rows = _told(60) + [(200 + i, f"say contact number: {x} ok then", "en", "s", 1) for i, x in enumerate(unseen)]
+    rows += [(300 + i, f"write mail to user{i}@host.org, thanks", "en", "s", 1) for i in range(20)] + [(400, "write mail to anna.kurz@corp, thanks", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.find(docs).collect()}
+    assert [got[200 + i] for i in range(len(unseen))] == [[(3, x)] for x in unseen]
+    assert got[400] == [(0, "anna.kurz@corp")]
+    masked = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert masked[201] == "say contact number: [PHONE] ok then" and masked[400] == "write mail to [EMAIL], thanks"
+
+
+def test_discovery_goes_on_until_nothing_is_new(spark):
+    """Five sets of strings, each told by the context of the one before only."""
+    rows = [(i, f"ctx0 +1 (988) 555-{i:04d} end0{i}", "en", "s", 1) for i in range(40)]
+    for k in range(5):
+        rows += [(1000 * (k + 1) + i, f"ctx{k} ID{k}-{i:04d} u{k}x{i}", "en", "s", 1) for i in range(10 if k == 0 else 0)]
+        rows += [(1000 * (k + 1) + 100 + i, f"ctx{k} ID{k}-{i:04d} v{k}x{i}", "en", "s", 1) for i in range(10 if k else 0)]
+        rows += [(1000 * (k + 1) + 200 + i, f"ctx{k + 1} ID{k}-{i:04d} w{k}x{i}", "en", "s", 1) for i in range(10)]
+    found = pii.with_base(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").cache()
+    known = {r.value: r.kind for r in pii.discover(found, support=2, precision=0.1, confidence=0.1).collect()}
+    assert all(known.get(f"ID{k}-{i:04d}") == 3 for k in range(5) for i in range(10))
