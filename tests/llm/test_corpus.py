@@ -186,3 +186,12 @@ def test_pipeline(spark):
             assert docs.columns == columns and docs.count() <= n
         n = docs.count()
     assert n > 50 and docs.where("n_tokens = 0").count() <= 1
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 1), (2, 1), (3, 1)], [(1, 0)]])
+def test_drop_toxic_keeps_all_without_both_classes(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents(spark)
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
