@@ -139,18 +139,48 @@ def test_tokens(spark):
     assert bpe.encode(documents(spark, []), path).collect() == []
 
 
+def plain_merges(tokens, v):
+    slow = list(tokens)
+    while True:
+        ranked = [(v.merges[a << 32 | b], i) for i, (a, b) in enumerate(zip(slow, slow[1:], strict=False)) if a << 32 | b in v.merges]
+        if not ranked:
+            return slow
+        rank, i = min(ranked)
+        slow[i : i + 2] = [int(v.made[rank])]
+
+
 def test_merges_against_plain_loop():
     import random
 
+    import numpy as np
+    import pyarrow as pa
+
     v = bpe.Vocabulary(vocabulary_path())
     rng = random.Random(4)
-    for _ in range(400):
-        tokens = [v.of_byte[b] for b in "".join(rng.choice("aeinth rsé") for _ in range(rng.randint(1, 40))).encode()]
-        slow = list(tokens)
-        while True:
-            ranked = [(v.merges[a << 32 | b] >> 32, i) for i, (a, b) in enumerate(zip(slow, slow[1:])) if a << 32 | b in v.merges]
-            if not ranked:
-                break
-            _, i = min(ranked)
-            slow[i : i + 2] = [v.merges[slow[i] << 32 | slow[i + 1]] & 0xFFFFFFFF]
-        assert bpe.merge(tokens, v.merges) == slow
+    pieces = ["".join(rng.choice("aeinth rsé") for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    pieces += ["<|endoftext|>", "aaaaaaaaaaaaaaaaa", "abababababababababab" * 30]
+    want = [plain_merges(v.of_byte[np.frombuffer(p.encode(), np.uint8)].tolist(), v) for p in pieces]
+    want[400] = [v.special["<|endoftext|>"]]
+    for k, p in enumerate(pieces):
+        assert k == 400 or bpe.merge(v.of_byte[np.frombuffer(p.encode(), np.uint8)].tolist(), v) == want[k]
+    for few in (0, 10_000):  # all trees together; each alone
+        flat, numbers = bpe.merge_pieces(pa.array(pieces), v, few)
+        ends = np.cumsum(numbers).tolist()
+        assert [flat[a:z].tolist() for a, z in zip([0, *ends[:-1]], ends, strict=True)] == want
+
+
+def test_long_texts_and_stray_ids(monkeypatch):
+    import numpy as np
+
+    v = bpe.Vocabulary(vocabulary_path())
+    texts = ["the stones of naïve rivers " * 400, None, "", "x<|endoftext|>y" * 50, "日本 " * 300]
+    whole = bpe.encode_texts(texts, v)
+    monkeypatch.setattr(bpe, "LONG_TEXT", 100)
+    monkeypatch.setattr(bpe, "PIECES", 37)
+    bits = bpe.encode_texts(texts, v)
+    assert all((a == b).all() for a, b in zip(whole, bits, strict=True))
+    assert bpe.decode_ids(*bits, v).to_pylist() == [t or "" for t in texts]
+    half = v.of_byte[np.frombuffer("é".encode(), np.uint8)][:1]
+    assert bpe.decode_ids(half, np.array([1, 0]), v).to_pylist() == ["\ufffd", ""]
+    with pytest.raises(ValueError):
+        bpe.decode_ids(np.array([1 << 20], np.int32), np.array([1]), v)
