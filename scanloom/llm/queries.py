@@ -54,9 +54,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    """After the contract's columns: the bytes left, and the words in repeated passages of over 50 words
+    (which may be shorter than the bytes that are removed)."""
+    made = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), passage_words=51)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s.end - s.start)
-    return made.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+    return made.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256", (F.col("n_bytes") - removed).alias("n_kept"), F.col("passage_words").alias("n_passage_words"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

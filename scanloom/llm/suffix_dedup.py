@@ -1,31 +1,40 @@
 """Removal of repeated strings by blockwise suffix sorting with a difference cover.
 
-A byte goes if a string of `length` bytes that covers it starts anywhere else too. Suffixes that can
-share their first `length` bytes are brought together in buckets and only these are sorted:
+A byte goes if a string of `length` bytes that covers it starts anywhere else too. The same sort finds
+repeated passages of words: there a symbol is a word (a 32-bit code), for strings it is a byte.
+Suffixes that can share their first `length` symbols are brought together in buckets and only these
+are sorted:
 
 1. A window's anchor is the leftmost smallest hash of the grams inside; equal windows have equal
    anchors, so a bucket is the suffixes with one anchor hash. Of every text (once, however many copies)
-   a run of windows with one anchor is one row, a digest of its bytes and its number of copies.
+   a run of windows with one anchor is one row, a digest of its symbols and its number of copies.
 2. Anchors met once are dropped. A bucket of which all runs have one digest repeats as a whole. Only
-   buckets of several digests need bytes: one copy of each digest is fetched.
-3. These are split by their windows' distance to the anchor, GRAIN at a time, and by a hash of the
-   bytes that all windows of the part share; a part holds the suffixes that agree in length - GRAIN + 1
-   bytes at least. Tasks sort one block of parts at a time: the suffixes of the cover sample (positions
-   whose distance to the anchor is in a difference cover modulo COVER) are ranked first, and a suffix
-   is sorted by its first bytes up to the next sample, that sample's rank, and the few bytes behind.
-   So long ties cost one comparison of ranks, and memory is that of a block.
-4. Parts of over `part_rows` runs, however they come about, are not gathered: their windows' digests
-   are counted by Spark with map-side sums.
+   buckets of several digests need symbols: one copy of each digest is fetched.
+3. These are split by their windows' distance to the anchor, `grain` at a time, and by a hash of the
+   symbols that all windows of the part share; a part holds the suffixes that agree in length - grain + 1
+   symbols at least. A part of one digest is settled by its number of copies. Tasks sort the others, one
+   block of parts at a time: the suffixes of the cover sample (positions whose distance to the anchor is
+   in a difference cover modulo `cover`) are ranked first, and a suffix is sorted by its first symbols up
+   to the next sample, that sample's rank, and the few symbols behind. So long ties cost one comparison
+   of ranks, and memory is that of a block.
+4. A part of over `part_rows` rows is split again by longer shared strings: a quarter of the grain, and
+   so on. At a grain of one a part is one window, where nothing is left to sort; Spark counts these
+   with map-side sums. So no task gathers a large part.
 
 Texts are tables bucketed by digest in the shared folder; what is joined to them is moved, they are
-not. Null texts count as empty. Null and repeated ids are rows like others; equal texts repeat each
-other. Texts below `length` bytes stay whole. Other columns are ignored.
+not. Counts by anchor are tables of their own, so that a skewed join with them is split by Spark; these
+tables grow with the data and are never broadcast.
+Null texts count as empty. Null and repeated ids are rows like others; equal texts repeat each other.
+Texts below `length` bytes stay whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +44,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, discard, fresh_path, remove
 
-GRAM, GRAIN, COVER = 32, 64, 32
+#: Bytes of a gram.
+GRAM = 32
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -51,156 +61,239 @@ def difference_cover(v: int) -> list[int]:
     return sorted(have)
 
 
-RESIDUES = difference_cover(COVER)
-#: From a residue to the next sample position.
-AHEAD = np.array([min((r - x) % COVER for r in RESIDUES) for x in range(COVER)])
+#: Which bytes part words: ASCII white space.
+SPACE = np.array([chr(b).isspace() and b not in range(0x1C, 0x20) and b < 128 for b in range(256)])
+BASE = 0x100000001B3
 
 
-def gram_hashes(data: bytes) -> np.ndarray:
-    n = len(data)
-    x = np.ndarray((n - 7,), "<u8", data, strides=(1,))
-    m = n - GRAM + 1
+@lru_cache(maxsize=1)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2**64."""
+    of = lambda x: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64))))
+    return of(BASE), of(pow(BASE, -1, 1 << 64))
+
+
+def word_codes(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """32-bit codes of the words of texts, one after another, and where each text ends among them."""
+    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)  # a blank before, between and after
+    up, down = powers(max(1 << 18, 1 << len(data).bit_length()))
+    space = SPACE[data]
+    begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    total = np.cumsum(data * up[: len(data)])
+    code = (total[end - 1] - total[begin - 1]) * down[begin]
+    code ^= code >> np.uint64(29)
+    code *= ODD[0]
+    borders = np.cumsum([len(t) + 1 for t in texts])
+    return (code >> np.uint64(32)).astype("<u4").tobytes(), np.searchsorted(begin, borders)
+
+
+@dataclass(frozen=True)
+class Scale:
+    """What is sorted. length, grain and cover count symbols, unit is the bytes of one."""
+
+    length: int
+    unit: int = 1
+    grain: int = 64
+    cover: int = 32
+
+    def symbols(self, texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+        """The symbols of texts one after another, and where each text ends among them."""
+        return word_codes(texts) if self.unit == 4 else (b"".join(texts), np.cumsum([len(t) for t in texts]))
+
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype(f"<u{self.unit}")
+
+    @property
+    def ahead(self) -> np.ndarray:
+        """From a residue to the next sample position."""
+        residues = difference_cover(self.cover)
+        return np.array([min((r - x) % self.cover for r in residues) for x in range(self.cover)])
+
+
+def strings(length: int) -> Scale:
+    return Scale(length)
+
+
+def passages(words: int) -> Scale:
+    """Words are what is between ASCII white space."""
+    return Scale(words, 4, 16, 8)
+
+
+def gram_hashes(data: bytes, unit: int = 1) -> np.ndarray:
+    n, step = len(data), 8 // unit
+    x = np.ndarray(((n - 8) // unit + 1,), "<u8", data, strides=(unit,))
+    m = (n - GRAM) // unit + 1
     h = x[:m] * ODD[0]
-    for k, odd in ((8, ODD[1]), (16, ODD[2]), (24, ODD[3])):
+    for k, odd in ((step, ODD[1]), (2 * step, ODD[2]), (3 * step, ODD[3])):
         h += x[k : k + m] * odd
     h ^= h >> np.uint64(32)
     h *= ODD[4]
     return h
 
 
-def anchor_runs(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """data: texts one after another, ends their ends. Runs of windows with one anchor, within a text:
-    text, first window, last window, anchor (offsets in data), the anchor's hash."""
-    empty = (np.empty(0, np.int64),) * 5
-    if len(data) < length:
+def anchor_runs(data: bytes, ends: np.ndarray, scale: Scale) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """data: the symbols of texts one after another, ends their ends. Runs of windows with one anchor,
+    within a text: text, first window, last window, anchor (offsets in data), the anchor's hash."""
+    empty, length = (np.empty(0, np.int64),) * 5, scale.length
+    if len(data) < length * scale.unit:
         return empty
-    h, width = gram_hashes(data), length - GRAM + 1
-    bits = np.uint64(int(width - 1).bit_length())
-    whole = -(-len(h) // width) * width
-    comp = np.full(whole, np.iinfo(np.uint64).max, np.uint64)
-    comp[: len(h)] = h >> bits << bits
-    comp = comp.reshape(-1, width)
-    comp |= np.arange(width, dtype=np.uint64)
-    left = np.minimum.accumulate(comp, axis=1).ravel()
-    right = np.ascontiguousarray(np.minimum.accumulate(comp[:, ::-1], axis=1)[:, ::-1]).ravel()
+    h, width = gram_hashes(data, scale.unit), length - GRAM // scale.unit + 1
+    n = len(h) - width + 1
+    low = np.uint64(0xFFFFFFFF)
+    place = np.full(-(-len(h) // width) * width, np.iinfo(np.uint64).max, np.uint64)  # hash above, position below
+    np.bitwise_or(h & ~low, np.arange(len(h), dtype=np.uint64), out=place[: len(h)])
+    place = place.reshape(-1, width)
+    left = np.minimum.accumulate(place, axis=1).ravel()
+    right = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = np.minimum(right[:n], left[width - 1 : width - 1 + n]) & low
     begins = np.concatenate(([0], ends[:-1]))
-    count = np.maximum(ends - begins - length + 1, 0)
-    text = np.repeat(np.arange(len(ends)), count)
-    p = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begins[text]
-    if not len(p):
-        return empty
-    s, t = right[p], left[p + width - 1]
-    first = (s >> bits) <= (t >> bits)
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    at = np.where(first, p // width * width + (s & low).astype(np.int64), (p + width - 1) // width * width + (t & low).astype(np.int64))
-    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
-    last = np.concatenate((new[1:], [len(p)])) - 1
-    return text[new], p[new], p[last], at[new], (h[at[new]] >> bits).astype(np.int64)
-
-
-def _runs(length: int):
-    """mapInArrow: (key, text, n) -> (key, lo, span, off, h, digest, n)."""
-    names = ["key", "lo", "span", "off", "h", "digest", "n"]
-
-    def batch_of(keys: list[bytes], texts: list[bytes], counts: list[int]) -> pa.RecordBatch:
-        data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
-        text, lo, hi, at, h = anchor_runs(data, ends, length)
+    stops = np.maximum(ends - length + 1, begins)  # behind a text's last window
+    new = np.union1d(np.flatnonzero(at[1:] != at[:-1]) + 1, np.concatenate((begins, stops)))
+    new = new[new < n]
+    text = np.searchsorted(begins, new, "right") - 1
+    last = np.concatenate((new[1:], [n])) - 1
+    own = new < stops[text]
+    new, at = new[own], at[new[own]].astype(np.int64)
+    return text[own], new, last[own], at, (h[at] >> np.uint64(1)).astype(np.int64)
+
+
+RUNS = "key binary, lo bigint, span int, off int, h bigint, digest binary, n bigint"
+
+
+def _runs(scale: Scale, block_bytes: int = 1 << 17):
+    """mapInArrow: (key, text, n) -> RUNS. Blocks of texts are small, so that their arrays stay in the
+    processor's caches."""
+    names, length, unit = [f.split()[0] for f in RUNS.split(", ")], scale.length, scale.unit
+
+    def columns_of(texts: list[bytes]) -> tuple:
+        data, ends = scale.symbols(texts)
+        text, lo, hi, at, h = anchor_runs(data, ends, scale)
         begins = np.concatenate(([0], ends[:-1]))
         span, off, view, digest = hi - lo, at - lo, memoryview(data), xxhash.xxh3_128_digest
-        digests = [digest(view[a : b + length], o << 16 | b - a) for a, b, o in zip(lo.tolist(), hi.tolist(), off.tolist(), strict=True)]
-        taken = pa.array(text)
-        columns = [pa.array(keys, pa.binary()).take(taken), pa.array((lo - begins[text]).astype(np.int64)), pa.array(span.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(h), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()).take(taken)]
-        return pa.RecordBatch.from_arrays(columns, names)
+        digests = [digest(view[a * unit : (b + length) * unit], o << 16 | b - a) for a, b, o in zip(lo.tolist(), hi.tolist(), off.tolist(), strict=True)]
+        return text, lo - begins[text], span, off, h, digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, counts, held = [], [], [], 0
         for b in batches:
-            for k, t, n in zip(b.column("key"), b.column("text"), b.column("n"), strict=True):
-                keys.append(k.as_py())
+            made, texts, first, held = [], [], 0, 0
+            for k, t in enumerate(b.column("text")):
                 texts.append(t.as_py())
-                counts.append(n.as_py())
                 held += len(texts[-1])
-                if held >= 2 << 20:
-                    yield batch_of(keys, texts, counts)
-                    keys, texts, counts, held = [], [], [], 0
-        if keys:
-            yield batch_of(keys, texts, counts)
+                if held >= block_bytes or k == b.num_rows - 1:
+                    text, *rest = columns_of(texts)
+                    made.append((text + first, *rest))
+                    texts, first, held = [], k + 1, 0
+            if not made:
+                continue
+            text, lo, span, off, h = (np.concatenate(x) for x in list(zip(*made, strict=True))[:5])
+            digests, own = [d for m in made for d in m[5]], pa.array(text)
+            columns = [b.column("key").take(own), pa.array(lo.astype(np.int64)), pa.array(span.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(h), pa.array(digests, pa.binary()), b.column("n").take(own)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _parts(length: int):
-    """mapInArrow: contexts (h, digest, n, off, span, bytes) -> parts of them by distance to the anchor."""
+PARTS = "part bigint, h bigint, digest binary, n bigint, dist int, j int, bytes binary"
+PART_KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+FOUND = "h bigint, digest binary, first int, last int"
+
+
+def split(h: int, digest: bytes, n: int, dist: int, first: int, data: bytes, scale: Scale, grain: int) -> Iterator[tuple]:
+    """The PARTS rows of the windows over data: the first, numbered `first`, has this distance to the
+    anchor, the next ones one less each. Windows of one row have distances in one grain."""
+    unit, length = scale.unit, scale.length
+    span, j = len(data) // unit - length, 0
+    while j <= span:
+        cell = (dist - j) // grain
+        core = dist - cell * grain
+        end = min(span, core)
+        shared = data[core * unit : (core + length - grain + 1) * unit]
+        key = xxhash.xxh3_64_intdigest(shared, (h ^ cell) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+        yield key, h, digest, n, dist - j, first + j, data[j * unit : (end + length) * unit]
+        j = end + 1
+
+
+def _parts(scale: Scale):
+    """mapInArrow: (text, asked) -> PARTS of the runs asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = scale.unit
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for h, digest, n, off, span, text in zip(*(b.column(c).to_pylist() for c in ("h", "digest", "n", "off", "span", "bytes")), strict=True):
-                j = 0
-                while j <= span:  # windows j to end have distances off - j in one grain
-                    grain = (off - j) // GRAIN
-                    end = min(span, off - grain * GRAIN)
-                    core = off - grain * GRAIN
-                    shared = text[core : core + length - GRAIN + 1]
-                    key = xxhash.xxh3_64_intdigest(shared, (h ^ grain) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-                    for column, x in zip(out, (key, h, digest, n, off - j, j, text[j : end + length]), strict=True):
-                        column.append(x)
-                    j = end + 1
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["part", "h", "digest", "n", "dist", "j", "bytes"])
+            rows: list[tuple] = []
+            edge, flat = b.column("asked").offsets.to_pylist(), b.column("asked").flatten()
+            asked = [flat.field(k).to_pylist() for k in ("h", "digest", "n", "off", "lo", "span")]
+            for text, x, y in zip(b.column("text"), edge, edge[1:], strict=False):
+                data, _ = scale.symbols([text.as_py()])
+                for h, digest, n, off, lo, span in zip(*(a[x - edge[0] : y - edge[0]] for a in asked), strict=True):
+                    rows += split(h, digest, n, off, 0, data[lo * unit : (lo + span + scale.length) * unit], scale, scale.grain)
+                if len(rows) >= 20_000:
+                    yield _part_rows(rows)
+                    rows = []
+            if rows:
+                yield _part_rows(rows)
 
     return run
 
 
-PARTS = "part bigint, h bigint, digest binary, n bigint, dist int, j int, bytes binary"
-FOUND = "h bigint, digest binary, first int, last int"
+def _finer(scale: Scale, grain: int):
+    """mapInArrow: PARTS -> PARTS by a finer grain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [x for h, digest, n, dist, j, data in zip(*(b.column(c).to_pylist() for c in ("h", "digest", "n", "dist", "j", "bytes")), strict=True) for x in split(h, digest, n, dist, j, data, scale, grain)]
+            for k in range(0, len(rows), 20_000):
+                yield _part_rows(rows[k : k + 20_000])
+
+    return run
+
+
+def _part_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), PART_KINDS, strict=True)], [f.split()[0] for f in PARTS.split(", ")])
 
 
 def ranks(rows: np.ndarray) -> np.ndarray:
-    """Rank of each row of bytes among the distinct ones."""
-    flat = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel()
+    """Rank of each row among the distinct ones."""
+    rows = np.ascontiguousarray(rows)
+    flat = rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel()
     return np.unique(flat, return_inverse=True)[1].ravel()
 
 
-def repeated_windows(parts: np.ndarray, dist: np.ndarray, n: np.ndarray, slices: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(parts: np.ndarray, dist: np.ndarray, n: np.ndarray, slices: list[bytes], scale: Scale) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a block of whole parts, sorted by cover-sample ranks: for each its slice, its place
     in the slice, and whether it occurs twice or more within its part."""
-    size = np.array([len(s) for s in slices])
+    length, cover, table = scale.length, scale.cover, scale.ahead
+    size = np.array([len(s) // scale.unit for s in slices])
     begin = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(slices) + b"\0" * COVER, np.uint8)
+    data = np.frombuffer(b"".join(slices) + b"\0" * (cover * scale.unit), scale.kind)
     count = size - length + 1
     own = np.repeat(np.arange(len(slices)), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     away = dist[own] - place  # distance to the anchor; aligned windows have the same
-    ahead = AHEAD[-away % COVER]
+    ahead = table[-away % cover]
     sample, inverse = np.unique(begin[own] + place + ahead, return_inverse=True)
-    tie = length - COVER + 1
+    tie = length - cover + 1
     view = np.lib.stride_tricks.sliding_window_view(data, tie)
-    rank = np.concatenate([view[sample[k : k + (1 << 16)]] for k in range(0, len(sample), 1 << 16)])
-    rank = ranks(rank)[inverse.ravel()]
+    rank = ranks(view[sample])[inverse.ravel()]
     window = begin[own] + place
-    ends = np.lib.stride_tricks.sliding_window_view(data, COVER)
-    step = np.arange(COVER)
-    head = np.where(step < ahead[:, None], ends[window], 0).astype(np.uint8)
-    tail = np.where(step < (COVER - 1 - ahead)[:, None], ends[window + ahead + tie], 0).astype(np.uint8)
-    order = np.stack((parts[own], away, rank), 1).astype(np.int64).view(np.uint8).reshape(len(own), -1)
-    same = ranks(np.concatenate((order, head, tail), 1))
+    ends = np.lib.stride_tricks.sliding_window_view(data, cover)
+    step = np.arange(cover)
+    head = np.where(step < ahead[:, None], ends[window], 0).astype(scale.kind)
+    tail = np.where(step < (cover - 1 - ahead)[:, None], ends[window + ahead + tie], 0).astype(scale.kind)
+    order = np.stack((parts[own], away, rank), 1).astype(np.int64)
+    same = ranks(np.concatenate([x.view(np.uint8).reshape(len(own), -1) for x in (order, head, tail)], 1))
     return own, place, np.bincount(same, weights=n[own])[same] >= 2
 
 
-def _sorted(length: int, block_bytes: int = 16 << 20):
+def _sorted(scale: Scale, block_bytes: int = 8 << 20, sort_bytes: int = 1 << 20):
     """mapInArrow over parts in order of their key: repeated runs of windows (FOUND)."""
 
     def block(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
-        key, n = t["part"].to_numpy(), t["n"].to_numpy()
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        alone = np.diff(np.concatenate((edge, [len(key)]))) == 1
-        keep = np.flatnonzero(~(np.repeat(alone, np.diff(np.concatenate((edge, [len(key)])))) & (n < 2)))
-        t = t.take(pa.array(keep))
-        slices = t["bytes"].to_pylist()
-        for k in _blocks(t["part"].to_numpy(), slices):
-            own, place, twice = repeated_windows(t["part"].to_numpy()[k], t["dist"].to_numpy()[k], t["n"].to_numpy()[k], slices[k], length)
+        key, slices = t["part"].to_numpy(), t["bytes"].to_pylist()
+        for k in _blocks(key, slices):
+            own, place, twice = repeated_windows(key[k], t["dist"].to_numpy()[k], t["n"].to_numpy()[k], slices[k], scale)
             own, place = own[twice], place[twice]
             if not len(own):
                 continue
@@ -210,10 +303,10 @@ def _sorted(length: int, block_bytes: int = 16 << 20):
             j = t["j"].to_numpy()[at]
             yield pa.RecordBatch.from_arrays([t["h"].combine_chunks().take(pa.array(at)), t["digest"].combine_chunks().take(pa.array(at)), pa.array((j + place[new]).astype(np.int32)), pa.array((j + place[last]).astype(np.int32))], ["h", "digest", "first", "last"])
 
-    def _blocks(key: np.ndarray, slices: list[bytes], most: int = 2 << 20) -> Iterator[slice]:
+    def _blocks(key: np.ndarray, slices: list[bytes]) -> Iterator[slice]:
         start, held = 0, 0
         for i, s in enumerate(slices):
-            if held >= most and key[i] != key[i - 1]:
+            if held >= sort_bytes and key[i] != key[i - 1]:
                 yield slice(start, i)
                 start, held = i, 0
             held += len(s)
@@ -241,81 +334,132 @@ def _sorted(length: int, block_bytes: int = 16 << 20):
     return run
 
 
-def _windows(length: int):
+def _windows(scale: Scale):
     """mapInArrow: parts -> a row for each window, with its digest."""
+    length, unit = scale.length, scale.unit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for h, digest, n, j, text in zip(*(b.column(c).to_pylist() for c in ("h", "digest", "n", "j", "bytes")), strict=True):
-                m = len(text) - length + 1
+                m = len(text) // unit - length + 1
                 view = memoryview(text)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * m), pa.array([digest] * m, pa.binary()), pa.array([n] * m), pa.array(range(j, j + m), pa.int32()), pa.array([xxhash.xxh3_128_digest(view[x : x + length]) for x in range(m)], pa.binary())], ["h", "digest", "n", "j", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array([h] * m), pa.array([digest] * m, pa.binary()), pa.array([n] * m), pa.array(range(j, j + m), pa.int32()), pa.array([xxhash.xxh3_128_digest(view[x * unit : (x + length) * unit]) for x in range(m)], pa.binary())], ["h", "digest", "n", "j", "window"])
 
     return run
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, runs) -> (key, spans, kept)."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for b in batches:
-        keys, spans, kept = [], [], []
-        for key, text, runs in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
-            merged: list[list[int]] = []
-            for r in sorted(runs, key=lambda r: (r["start"], r["end"])):
-                if merged and r["start"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], r["end"])
-                else:
-                    merged.append([r["start"], r["end"]])
-            edges = [0, *(x for m in merged for x in m), len(text)]
-            keys.append(key)
-            spans.append([{"start": a, "end": z} for a, z in merged])
-            kept.append(b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["key", "spans", "kept"])
-
-
-def repeated(texts: DataFrame, length: int, part_rows: int) -> DataFrame:
+def settled(parts: DataFrame, scale: Scale, part_rows: int, grain: int) -> DataFrame:
+    """FOUND of parts, a table. Parts above part_rows are split by finer grains."""
+    sizes = cut(parts.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).where("all >= 2"), "sizes").hint("merge")
+    windows = F.expr(f"octet_length(bytes) div {scale.unit} - {scale.length}")
+    alone = parts.where("n >= 2").select("part", "h", "digest", F.col("j").alias("first"), (F.col("j") + windows).cast("int").alias("last"))
+    alone = alone.join(sizes.where("rows = 1").select("part"), "part", "left_semi").select("h", "digest", "first", "last")
+    some = parts.join(sizes.where(f"rows > 1 AND rows <= {part_rows}").select("part"), "part", "left_semi").select(*parts.columns)
+    found = alone.union(some.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted(scale), FOUND))
+    large = sizes.where(f"rows > {part_rows}").select("part")
+    if large.isEmpty():
+        return found
+    rest = parts.join(large, "part", "left_semi").select(*parts.columns)
+    if grain > 1:
+        return found.union(settled(cut(rest.mapInArrow(_finer(scale, grain // 4), PARTS), "parts"), scale, part_rows, grain // 4))
+    single = rest.mapInArrow(_windows(scale), "h bigint, digest binary, n bigint, j int, window binary")
+    twice = single.groupBy("window").agg(F.sum("n").alias("all")).where("all >= 2").select("window")
+    return found.union(single.join(twice, "window", "left_semi").selectExpr("h", "digest", "j AS first", "j AS last"))
+
+
+def repeated(texts: DataFrame, scale: Scale, part_rows: int) -> DataFrame:
     """texts: a table (key, text, n) of distinct texts and their numbers of copies. (key, runs): the
-    byte ranges [start, end) of each text that repeated strings cover."""
-    runs = cut(texts.mapInArrow(_runs(length), "key binary, lo bigint, span int, off int, h bigint, digest binary, n bigint"), "runs")
-    often = runs.groupBy("h").agg(F.sum("n").alias("all")).where("all >= 2").select("h")
+    ranges [start, end) of each text's symbols that repeated strings cover."""
+    runs = cut(texts.mapInArrow(_runs(scale), RUNS), "runs")
+    often = cut(runs.groupBy("h").agg(F.sum("n").alias("all")).where("all >= 2").select("h"), "often").hint("merge")
     met = cut(runs.join(often, "h", "left_semi"), "met")
     discard(runs)
-    kinds = cut(met.groupBy("h", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("key", "lo", "span", "off")).alias("one")), "digests")
-    several = kinds.groupBy("h").agg(F.count("*").alias("digests"))
-    kinds = cut(kinds.join(several, "h"), "digests")
-    whole = kinds.where("digests = 1 AND n >= 2").selectExpr("h", "digest", "0 AS first", "one.span AS last")
-    asked = kinds.where("digests > 1").selectExpr("one.key AS key", "struct(h, digest, n, one.lo AS lo, one.span AS span, one.off AS off) AS r")
+    kinds = cut(met.groupBy("h", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("key", "lo", "span", "off")).alias("one")), "kinds")
+    several = cut(kinds.groupBy("h").agg(F.count("*").alias("digests")).where("digests > 1").select("h"), "several").hint("merge")
+    whole = kinds.where("n >= 2").join(several, "h", "left_anti").selectExpr("h", "digest", "0 AS first", "one.span AS last")
+    asked = kinds.join(several, "h", "left_semi").selectExpr("one.key AS key", "struct(h, digest, n, one.lo AS lo, one.span AS span, one.off AS off) AS r")
     asked = asked.groupBy("key").agg(F.collect_list("r").alias("asked"))  # as many as a text has anchors
-    fetched = texts.join(asked.hint("shuffle_hash"), "key").select(F.explode(F.transform("asked", lambda r: F.struct(r.h.alias("h"), r.digest.alias("digest"), r.n.alias("n"), r.off.alias("off"), r.span.alias("span"), F.substring(F.col("text"), (r.lo + 1).cast("int"), r.span + length).alias("bytes")))).alias("c")).select("c.*")
-    parts = cut(fetched.mapInArrow(_parts(length), PARTS), "parts")
-    sizes = parts.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).where("all >= 2")
-    some = parts.join(sizes.where(f"rows <= {part_rows}").select("part"), "part", "left_semi").select(*parts.columns)
-    found = some.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted(length), FOUND)
-    large = sizes.where(f"rows > {part_rows}").select("part")
-    single = parts.join(large, "part", "left_semi").select(*parts.columns).mapInArrow(_windows(length), "h bigint, digest binary, n bigint, j int, window binary")
-    twice = single.groupBy("window").agg(F.sum("n").alias("all")).where("all >= 2").select("window")
-    rest = single.join(twice, "window", "left_semi").selectExpr("h", "digest", "j AS first", "j AS last")
-    spread = cut(whole.union(found).union(rest).groupBy("h", "digest").agg(F.collect_list(F.struct("first", "last")).alias("w")), "windows")
+    parts = cut(texts.join(asked.hint("shuffle_hash"), "key").select("text", "asked").mapInArrow(_parts(scale), PARTS), "parts")
+    found = settled(parts, scale, part_rows, scale.grain)
+    spread = cut(whole.union(found).groupBy("h", "digest").agg(F.collect_list(F.struct("first", "last")).alias("w")), "windows").hint("merge")
     discard(parts)
     covered = met.join(spread, ["h", "digest"]).select("key", F.explode("w").alias("w"), "lo")
-    return cut(covered.selectExpr("key", f"struct(lo + w.first AS start, lo + w.last + {length} AS end) AS run").groupBy("key").agg(F.collect_list("run").alias("runs")), "covered")
+    covered = cut(covered.selectExpr("key", f"struct(lo + w.first AS start, lo + w.last + {scale.length} AS end) AS run").groupBy("key").agg(F.collect_list("run").alias("runs")), "covered")
+    discard(met)
+    return covered
+
+
+def merged(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal ranges that a list column's runs cover."""
+    row = np.repeat(np.arange(len(runs)), np.diff(np.asarray(runs.offsets)))
+    flat = runs.flatten()
+    start, end = np.asarray(flat.field("start")), np.asarray(flat.field("end"))
+    if not len(row):
+        return row, start, end
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    apart = np.int64(1) << 40  # texts lie so far from one another that ranges of two never meet
+    reach = np.maximum.accumulate(end + row * apart)
+    new = np.flatnonzero(np.concatenate(([True], (start + row * apart)[1:] > reach[:-1])))
+    return row[new], start[new], reach[np.concatenate((new[1:], [len(row)])) - 1] - row[new] * apart
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, runs) -> (key, spans, kept_sha256, kept)."""
+    for b in batches:
+        row, start, end = merged(b.column("runs"))
+        edge = np.searchsorted(row, np.arange(b.num_rows + 1))
+        kept = []
+        for k, text in enumerate(b.column("text")):
+            text, spans = text.as_py(), slice(int(edge[k]), int(edge[k + 1]))
+            kept.append(b"".join(text[a:z] for a, z in zip([0, *end[spans].tolist()], [*start[spans].tolist(), len(text)], strict=True)))
+        spans = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
+        yield pa.RecordBatch.from_arrays([b.column("key"), spans, pa.array([sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())], ["key", "spans", "kept_sha256", "kept"])
+
+
+def _without_text(clean):
+    return lambda batches: (b.drop_columns(["kept"]) for b in clean(batches))
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, runs) -> (key, total): how many symbols the runs cover."""
+    for b in batches:
+        row, start, end = merged(b.column("runs"))
+        total = np.bincount(row, weights=end - start, minlength=b.num_rows).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(total)], ["key", "total"])
+
+
+SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, part_rows: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, part_rows: int = 20_000, passage_words: int | None = None, keep_text: bool = False) -> DataFrame:
     """One row (id_col, n_bytes, spans, sha256, kept_sha256) per row of docs: removed byte ranges of the
-    input, SHA-256 of the whole text and of what is left."""
+    input, SHA-256 of the whole text and of what is left. passage_words: also passage_words, how many of
+    the text's words lie in passages of so many words that occur again, long enough in bytes or not (they
+    are reported, not removed). keep_text: also kept, the bytes that are left."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("sha", F.sha2("text", 256))
     key = F.substring(F.unhex("sha"), 1, 16)
     name, path = f"texts_{uuid.uuid4().hex}", fresh_path(spark, "texts")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = rows.where(F.octet_length("text") >= length).select(key.alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    distinct.write.bucketBy(buckets, "key").option("path", path).format("parquet").saveAsTable(name)
-    texts = spark.table(name)
-    cleaned = texts.join(repeated(texts, length, part_rows).hint("shuffle_hash"), "key").select("key", "text", "runs").mapInArrow(_cleaned, "key binary, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    done = cut(cleaned.select("key", "spans", F.sha2("kept", 256).alias("kept_sha256")), "cleaned")
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, path)
-    light = rows.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), "sha", key.alias("key"))
-    return light.join(done, "key", "left").select(F.col("id").alias(id_col), "n_bytes", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"), F.col("sha").alias("sha256"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    least = min(length, 2 * passage_words - 1) if passage_words else length
+    distinct = rows.where(F.octet_length("text") >= least).select(key.alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    try:
+        distinct.write.bucketBy(buckets, "key").option("path", path).format("parquet").saveAsTable(name)
+        texts = spark.table(name)
+        found = texts.join(repeated(texts, strings(length), part_rows).hint("shuffle_hash"), "key").select("key", "text", "runs")
+        kept = ", kept binary" if keep_text else ""
+        done = cut(found.mapInArrow(_cleaned if keep_text else _without_text(_cleaned), f"key binary, spans {SPANS}, kept_sha256 string{kept}"), "cleaned")
+        if passage_words:
+            words = repeated(texts, passages(passage_words), part_rows).mapInArrow(_totals, "key binary, total bigint")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+    light = rows.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), "sha", key.alias("key"), *(["text"] if keep_text else []))
+    made = light.join(done, "key", "left")
+    columns = [F.col("id").alias(id_col), "n_bytes", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.col("sha").alias("sha256"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
+    if passage_words:
+        made = made.join(words, "key", "left")
+        columns.append(F.coalesce("total", F.lit(0)).cast("bigint").alias("passage_words"))
+    return made.select(*columns, *([F.coalesce("kept", "text").alias("kept")] if keep_text else []))

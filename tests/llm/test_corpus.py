@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,41 @@ def test_repeats_of_other_lengths_and_empty(spark):
     assert len(suffix_dedup.remove_repeats(documents(spark)).collect()) == len(awkward())
 
 
+def slow_passages(texts, n):
+    data = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in data for i in range(len(w) - n + 1))
+    out = []
+    for w in data:
+        cover = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                cover[i : i + n] = [True] * n
+        out.append(sum(cover))
+    return out
+
+
+@pytest.mark.parametrize("part_rows", [20_000, 1])
+def test_repeated_passages(spark, part_rows):
+    rng = random.Random(9)
+    rnd = lambda n: [rng.choice("ab cd efg a é of the river 12".split()) + str(rng.randint(0, 9)) for _ in range(n)]
+    base = [rnd(200) for _ in range(4)]
+    texts = []
+    for _ in range(60):
+        w = []
+        for _ in range(rng.randint(0, 3)):
+            a, b = rng.randint(0, 120), rng.choice(base)
+            w += rnd(rng.randint(0, 20)) + b[a : a + rng.randint(40, 80)]
+        texts.append(" ".join(w))
+    texts += ["x " * 130, "x y\t" * 100, " ".join(base[0][:51]), "\n".join(base[0][3:54]), " ".join(base[1][:50]), None, "", " \n", texts[0], texts[0]]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = suffix_dedup.remove_repeats(documents(spark, rows, True), part_rows=part_rows, passage_words=51, keep_text=True).collect()
+    assert [r.passage_words for r in sorted(got, key=lambda r: r.doc_id)] == slow_passages(texts, 51)
+    for r in got:
+        data = (texts[r.doc_id] or "").encode()
+        edges = [0, *(x for s in r.spans for x in (s.start, s.end)), len(data)]
+        assert bytes(r.kept) == b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2])) and hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
+
+
 def test_difference_cover():
     for v in (8, 32, 64):
         d = suffix_dedup.difference_cover(v)
@@ -172,6 +208,35 @@ def test_gradients():
     assert abs(slope - d_gates[ids == 3][:, 7].sum()) < 2e-2 * max(1, abs(slope))
 
 
+def test_scores_against_plain_loops():
+    m, h = toxicity.Model.fresh(), toxicity.HIDDEN
+    m.calibration = (1.3, -0.2, 0.4)
+    rng = random.Random(6)
+    docs = [[rng.choice([b"a", b"river", b"stone", "\u00e9t\u00e9".encode(), b"x1"]) for _ in range(n)] for n in (1, 5, 32, 33, 47, 48, 49, 200)]
+    s = lambda x: 1 / (1 + np.exp(-x))
+
+    def one(words):
+        x, _ = m.inputs(pa.array(words, pa.binary()))
+        gates, states = x[: len(words)].astype(float) @ m.p["in"] + m.p["bias"], []
+        for d in (0, 1):
+            state, out = np.zeros(h), []
+            for g in gates[:, 3 * h * d : 3 * h * (d + 1)][:: -1 if d else 1]:
+                zr = s(g[: 2 * h] + state @ m.p[f"zr{d}"])
+                c = np.tanh(g[2 * h :] + zr[h:] * (state @ m.p[f"n{d}"]))
+                state = (1 - zr[:h]) * c + zr[:h] * state
+                out.append(state)
+            states.append(out[:: -1 if d else 1])
+        both = np.concatenate(states, 1)
+        e = np.exp(both @ m.p["v"])
+        return (e / e.sum()) @ both @ m.p["w"] + m.p["b"][0]
+
+    for words, got in zip(docs, m.scores(docs), strict=True):
+        at = toxicity.windows(len(words))
+        assert set(range(len(words))) == {k for a in at for k in range(a, min(a + toxicity.LENGTH, len(words)))}
+        worst = max(one(words[a : a + toxicity.LENGTH]) for a in at)
+        assert abs(got - s(1.3 * worst - 0.2 * np.log(len(at)) + 0.4)) < 1e-4
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
