@@ -28,10 +28,14 @@ def occupancy(value: Column) -> Column:
     return F.when(value == 2, 1).otherwise(value)
 
 
+#: The forms of a scene label with a take's digit and of a log line "Time=H:MM:SS for name, ...".
+SCENE_TAKE = r"^(.*?)[-_]?[0-9]\s*$"
+TIMING = r"Time=([:.0-9]+)\s+for\s+(.+)"
+
+
 def scene_name(label: Column) -> Column:
     """Label without one trailing digit and the _ or - before it."""
-    found = F.regexp_extract(label, r"^(.*?)[_-]?\d\s*$", 1)
-    return F.when(label.rlike(r"^(.*?)[_-]?\d\s*$"), found).otherwise(label)
+    return F.when(label.rlike(SCENE_TAKE), F.regexp_extract(label, SCENE_TAKE, 1)).otherwise(label)
 
 
 def created_at(scan_id: Column) -> Column:

@@ -258,11 +258,11 @@ def next_step(status: DataFrame, from_pos: int = 0) -> DataFrame:
 def log_times(lines: DataFrame) -> DataFrame:
     """(scan_id, name, seconds): of lines (scan_id, line_no, value) "Time=H:MM:SS for name, ..."; the
     last line of each name counts, lines without a name or malformed ones do not."""
-    from ..functions.scalars import duration_seconds
+    from ..functions.scalars import TIMING, duration_seconds
 
-    what = F.regexp_extract("value", r"Time=([0-9.:]+)\s+for\s+(.*)", 2)
+    what = F.regexp_extract("value", TIMING, 2)
     name = F.split(what, ", ")[0]
-    t = lines.select("scan_id", "line_no", name.alias("name"), duration_seconds(F.regexp_extract("value", r"Time=([0-9.:]+)\s+for\s+(.*)", 1)).alias("seconds"))
+    t = lines.select("scan_id", "line_no", name.alias("name"), duration_seconds(F.regexp_extract("value", TIMING, 1)).alias("seconds"))
     t = t.where("seconds IS NOT NULL AND name <> '' AND NOT startswith(name, 'cmd')")
     return t.groupBy("scan_id", "name").agg(F.max_by("seconds", "line_no").alias("seconds"))
 

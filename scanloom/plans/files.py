@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import labels as lb
+from ..operators import tables as tb
 from ..sources import files as fl
 from . import bindings as b
 from .registry import query
@@ -57,19 +58,9 @@ def src11_scene_predictions(spark: SparkSession, d: str) -> DataFrame:
     return fl.scene_predictions(t)[0].withColumn("type", F.col("type").cast("int"))
 
 
-def _fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    import uuid
-
-    from ..operators import tables as tb
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tb._own.setdefault(spark.sparkContext.applicationId, "file:///tmp/spark-" + uuid.uuid4().hex)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _round_trip(spark: SparkSession, text: DataFrame, name: str) -> str:
     """Writes a text file a scan (scan_id, value) into the shared folder."""
-    path = _fresh(spark, name)
+    path = tb.fresh_path(spark, name)
     text.write.partitionBy("scan_id").option("lineSep", "\n").text(path)
     return path
 
@@ -77,7 +68,7 @@ def _round_trip(spark: SparkSession, text: DataFrame, name: str) -> str:
 @query("SELECT o_custkey % 8 AS scan_id, row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) - 1 AS vertex_id, o_orderkey % 41 AS id FROM orders")
 def src1_src2_id_files(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every scan written as one text file each, read back by line number."""
-    ids, path = b.label_pairs(spark, d)[1].withColumnRenamed("value", "id"), _fresh(spark, "ids")
+    ids, path = b.label_pairs(spark, d)[1].withColumnRenamed("value", "id"), tb.fresh_path(spark, "ids")
     fl.write_ids(ids, path)
     back = fl.lines(spark, path)
     scan = F.regexp_extract("path", r"scan_id=(\d+)", 1).cast("bigint")
@@ -131,7 +122,7 @@ def prj4_class_map(spark: SparkSession, d: str) -> DataFrame:
 def src19_partitioned_meshes(spark: SparkSession, d: str) -> DataFrame:
     """Written by split and scan, read back."""
     v = b.table(spark, d, "customer").selectExpr("c_custkey AS vertex_id", "CASE c_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split", "c_nationkey AS scan_id", "round(c_acctbal, 2) AS x")
-    path = _fresh(spark, "meshes")
+    path = tb.fresh_path(spark, "meshes")
     fl.write_mesh(v, path)
     return spark.read.parquet(path).select("vertex_id", "split", F.col("scan_id").cast("int").alias("scan_id"), "x")
 
@@ -139,6 +130,6 @@ def src19_partitioned_meshes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey AS label_id, CASE WHEN p_partkey % 4 > 0 THEN p_partkey / 8.0 END AS ap FROM part")
 def src20_src13_score_files(spark: SparkSession, d: str) -> DataFrame:
     """Scores as CSV, undefined ones as nan, read back."""
-    path = _fresh(spark, "scores")
+    path = tb.fresh_path(spark, "scores")
     fl.write_scores(b.table(spark, d, "part").selectExpr("p_partkey AS label_id", "CASE WHEN p_partkey % 4 > 0 THEN p_partkey / 8.0D END AS ap"), path)
     return spark.read.csv(path, header=True, nullValue="nan", schema="label_id bigint, ap double")

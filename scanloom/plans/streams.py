@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +12,7 @@ from .registry import query
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tb._own.setdefault(spark.sparkContext.applicationId, "file:///tmp/spark-" + uuid.uuid4().hex)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return tb.fresh_path(spark, "stream")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -30,31 +27,24 @@ def str1_upload_complete(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).select("ts", F.concat(F.lit("s"), "user_id").alias("scan_id"), F.concat(F.lit("scan."), F.element_at(names, (F.col("event_id") % 7 + 1).cast("int"))).alias("file"))
     out = st.completed_uploads(e, lateness="4000 days")
     at = _folder(spark)
-    return st.run_updates(out, f"{at}/out", f"{at}/checkpoint", ["scan_id"])
+    return st.run_updates(out, f"{at}/out", f"{at}/checkpoint", ["scan_id"]).select("scan_id", "files", "done")
 
 
 @query("SELECT user_id AS scan_id, event_type AS name, sum((event_id % 3) * 3600 + (event_id % 60) * 60 + event_id % 59)::double AS seconds FROM events WHERE event_id % 13 <> 0 GROUP BY ALL")
 def str4_live_timings(spark: SparkSession, d: str) -> DataFrame:
     value = F.expr("CASE WHEN event_id % 13 = 0 THEN 'noise' ELSE concat('Time=', event_id % 3, ':', lpad(cast(event_id % 60 AS string), 2, '0'), ':', lpad(cast(event_id % 59 AS string), 2, '0'), ' for ', event_type, ', cmd=\"run\"') END")
     at = _folder(spark)
-    out = st.live_timings(_events(spark, d).select(F.col("user_id").alias("scan_id"), value.alias("value")))
-    return st.run_updates(out, f"{at}/out", f"{at}/checkpoint", ["scan_id", "name"])
+    out = st.live_timings(_events(spark, d).select("ts", F.col("user_id").alias("scan_id"), value.alias("value")))
+    return st.total_timings(st.run_updates(out, f"{at}/out", f"{at}/checkpoint", ["scan_id", "name", "day"]))
 
 
 @query("WITH u AS (SELECT user_id AS id, arg_max(event_type, event_id) AS name FROM events GROUP BY 1) SELECT * FROM u UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT id FROM u)")
 def str2_incremental_reindex(spark: SparkSession, d: str) -> DataFrame:
     at = _folder(spark)
     index = b.table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name")
-    state = {"now": index}
-
-    def save(rows: DataFrame) -> None:
-        path = f"{at}/index-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        state["now"] = spark.read.parquet(path)
-
     updates = _events(spark, d).select(F.col("user_id").alias("id"), F.col("event_id").alias("ts"), F.col("event_type").alias("name"))
-    st.reindex(updates, lambda: state["now"], save, f"{at}/checkpoint").awaitTermination()
-    return state["now"]
+    st.reindex(updates, f"{at}/changes", f"{at}/checkpoint").awaitTermination()
+    return st.reindexed(index, spark.read.parquet(f"{at}/changes"))
 
 
 @query("""WITH f AS (SELECT user_id AS scan_id, event_id AS frame_id, epoch_us(ts) AS ts FROM events WHERE event_type = 'view'), s AS (SELECT user_id AS scan_id, epoch_us(ts) AS ts FROM events WHERE event_type = 'click'),

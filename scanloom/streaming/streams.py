@@ -1,17 +1,20 @@
 """Structured Streaming forms: upload completion, live timings, incremental reindex, sensor alignment.
 
-Every stream has a watermark where it keeps state, so state is bounded by the allowed lateness.
+Every stream that keeps state has event times and a lateness after which a key's state leaves, so state
+is that of the keys seen lately, however long the stream runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.scalars import duration_seconds
+from ..functions.scalars import TIMING, duration_seconds
 from ..operators import scan_index as ix
 
 #: What an upload consists of.
@@ -26,31 +29,63 @@ def allowed(events: DataFrame) -> DataFrame:
 
 
 def completed_uploads(events: DataFrame, lateness: str = "1 hour", files: int = len(EXTENSIONS)) -> DataFrame:
-    """(scan_id, files, done): per scan the distinct files so far and whether they are enough; repeats of
-    a file within the lateness do not count. For update or complete mode, or a batch."""
-    ok = allowed(events)
-    if ok.isStreaming:
-        ok = ok.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["scan_id", "file"])
-    else:
-        ok = ok.dropDuplicates(["scan_id", "file"])
-    return ok.groupBy("scan_id").agg(F.count("*").alias("files")).withColumn("done", F.col("files") >= files)
-
-
-def live_timings(lines: DataFrame) -> DataFrame:
-    """(scan_id, name, seconds): total of each stage's log lines (scan_id, value) as they come."""
-    found = lambda i: F.regexp_extract("value", r"Time=([0-9.:]+)\s+for\s+(.*)", i)
-    t = lines.select("scan_id", F.split(found(2), ", ")[0].alias("name"), duration_seconds(found(1)).alias("seconds"))
-    return t.where("seconds IS NOT NULL AND name <> '' AND NOT startswith(name, 'cmd')").groupBy("scan_id", "name").agg(F.sum("seconds").alias("seconds"))
+    """(scan_id, files, done): per scan the distinct files so far and whether they are enough. As a stream,
+    update mode: a scan's state is the set of its files (at most one per allowed extension and name), and
+    goes when no file has come for `lateness`; files that come later still begin anew."""
+    ok = allowed(events).where("scan_id IS NOT NULL AND file IS NOT NULL")
+    if not ok.isStreaming:
+        return ok.groupBy("scan_id").agg(F.countDistinct("file").alias("files")).withColumn("done", F.col("files") >= files)
+    keep = int(ok.sparkSession.range(1).select(F.unix_micros(F.lit(0).cast("timestamp") + F.expr(f"INTERVAL {lateness}")) / 1000).first()[0])
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, last = state.get if state.exists else ([], 0)
+        found = set(seen)
+        for b in batches:
+            found |= set(b["file"])
+            last = max(last, int(b["ts"].max().timestamp() * 1000))
+        state.update((sorted(found), last))
+        state.setTimeoutTimestamp(max(last + keep, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"scan_id": [key[0]], "files": [len(found)], "done": [len(found) >= files]})
+
+    kind = ok.schema["scan_id"].dataType.simpleString()
+    keyed = ok.withWatermark("ts", lateness).select("scan_id", "file", "ts").groupBy("scan_id")
+    return keyed.applyInPandasWithState(fold, f"scan_id {kind}, files bigint, done boolean", "files array<string>, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def live_timings(lines: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """(scan_id, name, day, seconds): total of each stage's log lines (ts, scan_id, value) as they come, a
+    row a day, so that days behind the watermark leave the state. total_timings() adds the days up."""
+    found = lambda i: F.regexp_extract("value", TIMING, i)
+    timed = lines.withWatermark("ts", lateness) if lines.isStreaming else lines
+    t = timed.select("scan_id", F.window("ts", "1 day").alias("w"), F.split(found(2), ", ")[0].alias("name"), duration_seconds(found(1)).alias("seconds"))
+    t = t.where("seconds IS NOT NULL AND name <> '' AND NOT startswith(name, 'cmd')").groupBy("scan_id", "name", "w").agg(F.sum("seconds").alias("seconds"))
+    return t.select("scan_id", "name", F.col("w.start").alias("day"), "seconds")
+
+
+def total_timings(days: DataFrame) -> DataFrame:
+    """(scan_id, name, seconds) of what live_timings() has put out."""
+    return days.groupBy("scan_id", "name").agg(F.sum("seconds").alias("seconds"))
+
+
+def reindex(updates: DataFrame, changes: str, checkpoint: str, order: str = "ts") -> StreamingQuery:
+    """Runs over the updates that are there (id, order, ...): of each batch the last row of an id is
+    written below the folder `changes`, in a part of its own that a repeated batch replaces. A batch costs
+    what it changes; the index itself is not rewritten. reindexed() is the index with the changes."""
 
+    def put(batch: DataFrame, n: int) -> None:
+        ix.last_by_id(batch, order).write.mode("overwrite").parquet(f"{changes}/batch={n}")
 
-def reindex(updates: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str, order: str = "ts") -> StreamingQuery:
-    """Runs over the updates that are there (id, order, ...): of each batch the last row of an id is put
-    into the index that load() gives, and save() gets the result."""
+    return updates.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def put(batch: DataFrame, _: int) -> None:
-        save(ix.append(load(), ix.last_by_id(batch, order).drop(order)))
 
-    return updates.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def reindexed(index: DataFrame, changes: DataFrame, order: str = "ts") -> DataFrame:
+    """index with the last change of each id put in; written out from time to time, it takes the place of
+    the index and the changes read so far."""
+    last = ix.last_by_id(changes.withColumn(order, F.struct("batch", order)), order)
+    return ix.append(index, last.drop(order, "batch"))
 
 
 def aligned_frames(frames: DataFrame, samples: DataFrame, tolerance_us: int, lateness: str = "10 seconds") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,59 @@ def test_malformed_durations_and_names(spark):
     assert [r.s for r in df.select(sc.duration_seconds(F.col("t")).alias("s")).collect()] == [3723.5, None, None]
     names = spark.createDataFrame([("kitchen_2",), ("bath-1 ",), ("room",), ("r2d2",)], "t string")
     assert [r.s for r in names.select(sc.scene_name(F.col("t")).alias("s")).collect()] == ["kitchen", "bath", "room", "r2d"]
+
+
+def test_old_state_leaves_the_streams(spark, tmp_path):
+    from scanloom.streaming import streams as st
+
+    files = ["a.depth", "a.imu", "b.txt"], ["c.txt", "a.depth"], ["d.jpg"], ["d.jpg"], ["a.jpg", "e.exe"]
+    for n, names in enumerate(files):
+        hours = F.expr(f"timestamp'2024-01-01 00:00:00' + INTERVAL {3 * n} HOURS")
+        spark.createDataFrame([(x, "Time=0:00:02.5 for fuse, cmd=x") for x in names], "file string, value string").withColumn("ts", hours).withColumn("scan_id", F.lit(None).cast("string")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    schema = "file string, value string, ts timestamp, scan_id string"
+
+    def progress(stream, keys):
+        out = []
+
+        def put(batch, n):
+            out.extend(tuple(r[k] for k in keys) for r in batch.collect())
+
+        q = stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{tmp_path}/{keys[-1]}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return out, [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out, kept = progress(st.completed_uploads(read().drop("value"), "1 hour", files=2), ["scan_id", "files", "done"])
+    assert [x for x in out if x[0] == "a"][0] == ("a", 2, True) and ("a", 1, False) in out  # what comes late begins anew
+    assert max(kept) < 4 and kept[-1] <= 2
+    lines = read().select(F.col("ts") + F.expr("make_interval(0, 0, 0, 2 * (hour(ts) div 3))"), "value", F.lit("s").alias("scan_id")).toDF("ts", "value", "scan_id")
+    days, kept = progress(st.live_timings(lines, "1 hour"), ["scan_id", "day", "seconds"])
+    assert kept[-1] < len({d for _, d, _ in days})
+    last = {(s, d): x for s, d, x in days}
+    assert sum(last.values()) == 2.5 * sum(map(len, files))
+
+
+def test_changes_of_a_stream_are_put_into_the_index(spark, tmp_path):
+    from scanloom.streaming import streams as st
+
+    for n, rows in enumerate(([(1, 1, "a"), (1, 2, "b"), (9, 1, "new")], [(1, 1, "c"), (3, 5, "d")])):
+        spark.createDataFrame(rows, "id int, ts int, name string").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema("id int, ts int, name string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    st.reindex(stream, f"{tmp_path}/changes", f"{tmp_path}/c").awaitTermination()
+    index = spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string")
+    got = st.reindexed(index, spark.read.parquet(f"{tmp_path}/changes"))
+    assert sorted(map(tuple, got.collect())) == [(1, "c"), (2, "y"), (3, "d"), (9, "new")]
+
+
+def test_shared_folder(spark, tmp_path):
+    from scanloom.operators import tables
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            tables.local_folder(master, "app")
+    assert tables.local_folder("local[4]", "app").startswith("file:///")
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=spark.sparkContext)
+    assert str(tmp_path) in tables.fresh_path(unset, "x")
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://named/"), sparkContext=None)
+    assert tables.fresh_path(named, "x").startswith("hdfs://named/x-")
