@@ -1,13 +1,18 @@
-"""Pixel tables (frame_key, y, x, ...): neighbourhoods as joins on shifted coordinates.
+"""Pixel tables (frame_key, y, x, ...), a pixel once.
 
-A stencil sends every pixel to the cells that it can reach and meets them by key, so work is pixels
-times window, partitioned by frame and row; nothing holds a whole image.
+A stencil deals the pixels to square tiles, each to its own and to those whose margin it lies in; a task
+rebuilds a tile as arrays and runs the window over them, one step of the window for all pixels at a
+time. What is shuffled is each pixel about (1 + 2 radius / side)^2 times, at most 2.25; a group is one
+tile, however large a frame is.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +28,67 @@ def instance_to_label(pixels: DataFrame, of: DataFrame) -> DataFrame:
     return pixels.join(of, "instance", "left").select("frame_key", "y", "x", F.coalesce("label_id", F.lit(0)).alias("label"), (F.col("instance") + 1).alias("object"))
 
 
-def neighbours(pixels: DataFrame, radius: int, columns: list[str]) -> DataFrame:
-    """(frame_key, y, x, own columns, dy, dx, n_<column>...): each pixel with each that lies within radius
-    rows and columns, itself included."""
-    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)))
-    sent = pixels.select("frame_key", F.col("y").alias("sy"), F.col("x").alias("sx"), *(F.col(c).alias(f"n_{c}") for c in columns), F.explode(steps).alias("s"))
-    sent = sent.select("frame_key", (F.col("sy") + F.col("s.dy")).alias("y"), (F.col("sx") + F.col("s.dx")).alias("x"), F.col("s.dy").alias("dy"), F.col("s.dx").alias("dx"), *(f"n_{c}" for c in columns))
-    return pixels.join(sent, ["frame_key", "y", "x"])
+class Tile:
+    """Arrays of one tile and its margin: `present` marks the pixels that there are, a null is NaN."""
+
+    def __init__(self, rows: pd.DataFrame, top: int, left: int, side: int, radius: int) -> None:
+        self.side, self.radius = side, radius
+        self.y, self.x = rows["y"].to_numpy() - top + radius, rows["x"].to_numpy() - left + radius
+        self.rows, self.present = rows, np.zeros((side + 2 * radius,) * 2, bool)
+        self.present[self.y, self.x] = True
+
+    def grid(self, column: str) -> np.ndarray:
+        values = self.rows[column].to_numpy()
+        values = values.astype(float) if values.dtype.kind not in "iu" else values
+        out = np.zeros(self.present.shape, values.dtype)
+        out[self.y, self.x] = values
+        return out
+
+    def steps(self, radius: int | None = None) -> Iterator[tuple[int, int, Callable[[np.ndarray], np.ndarray]]]:
+        """(dy, dx, what): for each place in the window what(grid) is the grid as seen from the core."""
+        r, n = self.radius if radius is None else radius, self.side
+        for dy in range(-r, r + 1):
+            for dx in range(-r, r + 1):
+                y, x = self.radius + dy, self.radius + dx
+                yield dy, dx, lambda grid, y=y, x=x: grid[y : y + n, x : x + n]
+
+    def core(self, grid: np.ndarray) -> np.ndarray:
+        r, n = self.radius, self.side
+        return grid[r : r + n, r : r + n]
+
+
+def stencil(pixels: DataFrame, radius: int, run: Callable[[Tile], dict[str, np.ndarray]], made: str) -> DataFrame:
+    """(frame_key, y, x, made...): run() gives arrays over a tile's core; pixels that there are come out."""
+    side = max(64, 4 * radius)
+    reach = lambda c: F.sequence(F.floor((F.col(c) - radius) / side), F.floor((F.col(c) + radius) / side))
+    dealt = pixels.withColumn("tile_y", F.explode(reach("y"))).withColumn("tile_x", F.explode(reach("x")))
+    kind = pixels.schema["frame_key"].dataType.simpleString()
+
+    def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(key[1]) * side, int(key[2]) * side
+        t = Tile(rows, top, left, side, radius)
+        y, x = np.nonzero(t.core(t.present))
+        out = {k: v[y, x] for k, v in run(t).items()} if len(y) else {f.split()[0]: [] for f in made.split(", ")}
+        return pd.DataFrame({"frame_key": [key[0]] * len(y), "y": y + top, "x": x + left} | out)
+
+    return dealt.groupBy("frame_key", "tile_y", "tile_x").applyInPandas(tile, f"frame_key {kind}, y bigint, x bigint, {made}")
 
 
 def without_isolated(pixels: DataFrame, radius: int = 2, least: float = 0.2) -> DataFrame:
-    """(frame_key, y, x, label): 0 where less than `least` of the pixels around (those inside the frame,
-    itself included) have the same label. The input image is judged, not the output."""
-    share = neighbours(pixels.select("frame_key", "y", "x", "label"), radius, ["label"]).groupBy("frame_key", "y", "x", "label").agg(F.avg((F.col("n_label") == F.col("label")).cast("double")).alias("share"))
-    return share.select("frame_key", "y", "x", F.when(F.col("share") >= least, F.col("label")).otherwise(0).alias("label"))
+    """(frame_key, y, x, label): 0 where less than `least` of the pixels around (those that there are,
+    itself included) have the same label; no label is label 0. The input image is judged, not the output."""
+
+    def run(t: Tile) -> dict[str, np.ndarray]:
+        label = t.grid("label")
+        own = t.core(label)
+        same, all_ = np.zeros(own.shape, int), np.zeros(own.shape, int)
+        for _, _, seen in t.steps():
+            there = seen(t.present)
+            all_ += there
+            same += there & (seen(label) == own)
+        return {"label": np.where(same >= least * all_, own, 0)}
+
+    return stencil(pixels.select("frame_key", "y", "x", F.coalesce("label", F.lit(0)).alias("label")), radius, run, "label bigint")
 
 
 def resample_nearest(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
@@ -62,34 +114,65 @@ def resample_bilinear(pixels: DataFrame, size: tuple[int, int], to: tuple[int, i
     return joined.groupBy("frame_key", F.col("ty").alias("y"), F.col("tx").alias("x")).agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value))
 
 
-def _gauss(sigma: float, squared):
-    return F.exp(-squared / (2.0 * sigma * sigma))
+def smoothed(t: Tile, column: str, sigma_d: float, sigma_r: float) -> np.ndarray:
+    """Weighted mean of the valid pixels within ceil(2 sigma_d), NaN where the pixel itself is not valid."""
+    values = t.grid(column)
+    valid = t.present & ~np.isnan(values)
+    values = np.where(valid, values, 0.0)
+    own = t.core(values)
+    top, bottom = np.zeros(own.shape), np.zeros(own.shape)
+    for dy, dx, seen in t.steps(math.ceil(2 * sigma_d)):
+        there = seen(values)
+        w = np.exp(-(dy * dy + dx * dx) / (2.0 * sigma_d * sigma_d) - (there - own) ** 2 / (2.0 * sigma_r * sigma_r)) * seen(valid)
+        top += w * there
+        bottom += w
+    return np.where(t.core(valid), top / np.maximum(bottom, 1e-300), np.nan)
 
 
 def bilateral(pixels: DataFrame, sigma_d: float, sigma_r: float, value: str = "value") -> DataFrame:
     """(frame_key, y, x, value): weighted mean of the valid (not null) pixels within ceil(2 sigma_d)."""
-    near = neighbours(pixels.where(F.col(value).isNotNull()).select("frame_key", "y", "x", value), math.ceil(2 * sigma_d), [value])
-    w = _gauss(sigma_d, (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double")) * _gauss(sigma_r, (F.col(f"n_{value}") - F.col(value)) * (F.col(f"n_{value}") - F.col(value)))
-    return near.groupBy("frame_key", "y", "x").agg((F.sum(w * F.col(f"n_{value}")) / F.sum(w)).alias(value))
+    valid = pixels.where(F.col(value).isNotNull()).select("frame_key", "y", "x", F.col(value).cast("double").alias(value))
+    return stencil(valid, math.ceil(2 * sigma_d), lambda t: {value: smoothed(t, value, sigma_d, sigma_r)}, f"{value} double")
 
 
 def vote(pixels: DataFrame, radius: int, scale: float, sigma_d: float = 5.0, sigma_r: float = 0.1) -> DataFrame:
     """(frame_key, y, x, instance) of pixels (frame_key, y, x, instance, depth, intensity): the instance
-    with the largest vote around, votes weighing nearness in the image, in depth (a missing one counts
-    as no difference) and in intensity; ties go to the lowest instance."""
-    near = neighbours(pixels.select("frame_key", "y", "x", "instance", "depth", "intensity"), radius, ["instance", "depth", "intensity"])
-    dd, di = F.coalesce(F.col("n_depth") - F.col("depth"), F.lit(0.0)), scale * (F.col("n_intensity") - F.col("intensity"))
-    w = _gauss(sigma_d, (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double")) * _gauss(sigma_r, dd * dd) * _gauss(sigma_r, di * di)
-    votes = near.groupBy("frame_key", "y", "x", "n_instance").agg(F.round(F.sum(w), 9).alias("w"))
-    return votes.groupBy("frame_key", "y", "x").agg(F.min(F.struct((-F.col("w")).alias("w"), "n_instance")).alias("b")).select("frame_key", "y", "x", F.col("b.n_instance").alias("instance"))
-
-
-def two_pass(pixels: DataFrame, size: tuple[int, int]) -> DataFrame:
-    """vote() at half size with a wide window, then at full size with a narrower one."""
-    half = (size[0] // 2, size[1] // 2)
-    coarse = vote(resample_nearest(pixels, size, half), 2, 10.0)
-    fine = resample_nearest(coarse, half, size)
-    return vote(pixels.drop("instance").join(fine, ["frame_key", "y", "x"]), 1, 4.0)
+    with the largest vote around, votes weighing nearness in the image, in depth and in intensity (a
+    missing one counts as no difference); ties go to the lowest instance; no instance is instance 0."""
+
+    def run(t: Tile) -> dict[str, np.ndarray]:
+        names, slot = np.unique(t.rows["instance"].to_numpy(), return_inverse=True)
+        slots = np.zeros(t.present.shape, int)
+        slots[t.y, t.x] = slot.ravel()
+        depth, light = t.grid("depth"), scale * t.grid("intensity")
+        votes = np.zeros((len(names), t.side * t.side))
+        at, k = np.arange(t.side * t.side), 1.0 / (2.0 * sigma_r * sigma_r)
+        for dy, dx, seen in t.steps():
+            gap = np.nan_to_num(seen(depth) - t.core(depth)) ** 2 + np.nan_to_num(seen(light) - t.core(light)) ** 2
+            w = np.exp(-(dy * dy + dx * dx) / (2.0 * sigma_d * sigma_d) - k * gap) * seen(t.present)
+            votes[seen(slots).ravel(), at] += w.ravel()
+        return {"instance": names[np.round(votes, 9).argmax(axis=0)].reshape(t.side, t.side)}
+
+    of = pixels.select("frame_key", "y", "x", F.coalesce("instance", F.lit(0)).cast("bigint").alias("instance"), F.col("depth").cast("double").alias("depth"), F.col("intensity").cast("double").alias("intensity"))
+    return stencil(of, radius, run, "instance bigint")
+
+
+def two_pass(pixels: DataFrame, size: tuple[int, int], coarse: tuple[int, int] = (240, 320), radii: tuple[int, int] = (12, 10), scales: tuple[float, float] = (10.0, 4.0)) -> DataFrame:
+    """(frame_key, y, x, instance): intensity and depth are smoothed (6 and 2 pixels, 0.1), vote() runs at
+    the coarse size with a wide window, then at full size with a narrower one on the first one's result."""
+
+    def run(t: Tile) -> dict[str, np.ndarray]:
+        return {"depth": smoothed(t, "depth", 2.0, 0.1), "intensity": smoothed(t, "intensity", 6.0, 0.1)}
+
+    of = pixels.select("frame_key", "y", "x", F.col("depth").cast("double").alias("depth"), F.col("intensity").cast("double").alias("intensity"))
+    smooth = stencil(of, 12, run, "depth double, intensity double")
+    smooth = smooth.select("frame_key", "y", "x", *(F.nanvl(c, F.lit(None)).alias(c) for c in ("depth", "intensity")))
+    at = ["frame_key", "y", "x"]
+    small = resample_nearest(pixels.select(*at, "instance"), size, coarse)
+    for c in ("depth", "intensity"):
+        small = small.join(resample_bilinear(smooth.select(*at, c), size, coarse, c), at, "left")
+    first = resample_nearest(vote(small, radii[0], scales[0]), coarse, size)
+    return vote(smooth.join(first, at), radii[1], scales[1])
 
 
 def consistent(pixels: DataFrame, parity: bool = False) -> DataFrame:

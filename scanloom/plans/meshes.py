@@ -127,10 +127,32 @@ def img2_vote_filter(spark: SparkSession, d: str) -> DataFrame:
     return px.vote(g, 2, 4.0)
 
 
-@query()
+_NEAR = "JOIN {t} b ON a.frame_key = b.frame_key AND abs(a.y - b.y) <= {r} AND abs(a.x - b.x) <= {r}"
+_FAR = "power(a.x - b.x, 2) + power(a.y - b.y, 2)"
+
+
+def _smooth_sql(value: str, sigma: float) -> str:
+    return f"SELECT frame_key, y, x, sum(w * v) / sum(w) AS v FROM (SELECT a.frame_key, a.y, a.x, b.{value} AS v, exp(-({_FAR}) / {2 * sigma * sigma}) * exp(-power(a.{value} - b.{value}, 2) / 0.02) AS w FROM p a {_NEAR.format(t='p', r=int(2 * sigma))}) GROUP BY 1, 2, 3"
+
+
+def _vote_sql(table: str, radius: int, scale: float) -> str:
+    return f"SELECT frame_key, y, x, arg_max(instance, (w, -instance)) AS instance FROM (SELECT a.frame_key, a.y, a.x, b.instance, round(sum(exp(-({_FAR}) / 50.0) * exp(-power(coalesce(a.depth - b.depth, 0), 2) / 0.02) * exp(-power({scale} * coalesce(a.light - b.light, 0), 2) / 0.02)), 9) AS w FROM {table} a {_NEAR.format(t=table, r=radius)} GROUP BY ALL) GROUP BY 1, 2, 3"
+
+
+def _half_sql(table: str) -> str:
+    return f"SELECT frame_key, ey.t AS y, ex.t AS x, sum(ey.w * ex.w * v) / sum(ey.w * ex.w) AS v FROM {table} JOIN e ey ON y = ey.s JOIN e ex ON x = ex.s WHERE ey.w > 1e-12 AND ex.w > 1e-12 GROUP BY ALL"
+
+
+@query(f"""WITH {_GRID}, p AS (SELECT frame_key, y, x, instance, value AS depth, label / 10.0 AS light FROM g), sd AS ({_smooth_sql("depth", 2.0)}), sl AS ({_smooth_sql("light", 6.0)}),
+r AS (SELECT t, floor(t * 31 / 15.0)::bigint AS s0, t * 31 / 15.0 - floor(t * 31 / 15.0) AS w FROM (SELECT unnest(range(16)) AS t)), e AS (SELECT t, s0 AS s, 1 - w AS w FROM r UNION ALL SELECT t, least(s0 + 1, 31), w FROM r WHERE w > 0),
+hd AS ({_half_sql("sd")}), hl AS ({_half_sql("sl")}), hp AS (SELECT p.frame_key, r.t AS y, c.t AS x, instance FROM p JOIN r ON p.y = floor((r.t + 0.5) * 2) JOIN r c ON p.x = floor((c.t + 0.5) * 2)),
+h AS (SELECT hp.*, hd.v AS depth, hl.v AS light FROM hp LEFT JOIN hd USING (frame_key, y, x) LEFT JOIN hl USING (frame_key, y, x)), one AS ({_vote_sql("h", 12, 10.0)}),
+f AS (SELECT sd.frame_key, sd.y, sd.x, one.instance, sd.v AS depth, sl.v AS light FROM sd JOIN sl USING (frame_key, y, x) JOIN one ON one.frame_key = sd.frame_key AND one.y = floor((sd.y + 0.5) / 2) AND one.x = floor((sd.x + 0.5) / 2)), two AS ({_vote_sql("f", 10, 4.0)})
+SELECT frame_key, y, x, CASE WHEN instance < 3 THEN instance * 10 + 1 ELSE 0 END AS label, instance + 1 AS object FROM two""")
 def img6_two_pass_filter(spark: SparkSession, d: str) -> DataFrame:
     g = _grid(spark, d).withColumnRenamed("value", "depth").withColumn("intensity", F.col("label") / 10.0)
-    return px.two_pass(g, (32, 32))
+    of = spark.range(3).select(F.col("id").alias("instance"), (F.col("id") * 10 + 1).alias("label_id"))
+    return px.instance_to_label(px.two_pass(g, (32, 32), (16, 16)), of)
 
 
 @query(f"WITH {_GRID} SELECT frame_key, y, x, CASE WHEN abs(value + CASE WHEN x % 2 = 0 THEN 0.5 ELSE 0.1 END - value) > 0.2 + 0.01 * value THEN 0 ELSE label END AS label FROM g")

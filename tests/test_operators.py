@@ -186,3 +186,35 @@ def test_shared_folder(spark, tmp_path):
     assert str(tmp_path) in tables.fresh_path(unset, "x")
     named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://named/"), sparkContext=None)
     assert tables.fresh_path(named, "x").startswith("hdfs://named/x-")
+
+
+def test_stencils_across_tiles_with_holes_and_nulls(spark):
+    import math
+    import random
+
+    from scanloom.operators import pixels as px
+
+    rng = random.Random(3)
+    at = [(f, y, x) for f in ("a", "b") for y in range(60, 70) for x in range(120, 134) if rng.random() < 0.8]
+    grid = {p: (rng.choice([None, 1, 2, 3]), rng.choice([None, 0.1, 0.2, 0.5]), rng.choice([0.3, 0.35, None])) for p in at}
+    df = spark.createDataFrame([(*p, *v) for p, v in grid.items()], "frame_key string, y int, x int, instance int, depth double, intensity double")
+    near = lambda p, r: [(q, grid[q]) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if (q := (p[0], p[1] + dy, p[2] + dx)) in grid]
+    got = {(r.frame_key, r.y, r.x): r.label for r in px.without_isolated(df.withColumnRenamed("instance", "label"), 2, 0.3).collect()}
+    same = lambda p: sum((v[0] or 0) == (grid[p][0] or 0) for _, v in near(p, 2)) >= 0.3 * len(near(p, 2))
+    assert got == {p: (v[0] or 0) if same(p) else 0 for p, v in grid.items()}
+    weight = lambda p, q: math.exp(-((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) / 2)
+    got = {(r.frame_key, r.y, r.x): r.depth for r in px.bilateral(df, 1.0, 0.1, "depth").collect()}
+    assert set(got) == {p for p, v in grid.items() if v[1] is not None}
+    for p, x in got.items():
+        w = [(weight(p, q) * math.exp(-((v[1] - grid[p][1]) ** 2) / 0.02), v[1]) for q, v in near(p, 2) if v[1] is not None]
+        assert abs(x - sum(a * b for a, b in w) / sum(a for a, _ in w)) < 1e-9
+    got = {(r.frame_key, r.y, r.x): r.instance for r in px.vote(df, 3, 2.0).collect()}
+    gap = lambda a, b: 0.0 if a is None or b is None else a - b
+    for p, v in grid.items():
+        votes = {}
+        for q, u in near(p, 3):
+            w = math.exp(-((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) / 50 - (gap(u[1], v[1]) ** 2 + 4 * gap(u[2], v[2]) ** 2) / 0.02)
+            votes[u[0] or 0] = votes.get(u[0] or 0, 0) + w
+        assert got[p] == min(votes, key=lambda i: (-round(votes[i], 9), i))
+    empty = df.where("y < 0")
+    assert px.vote(empty, 3, 2.0).count() == px.bilateral(empty, 1.0, 0.1, "depth").count() == px.two_pass(empty, (32, 32), (16, 16)).count() == 0
