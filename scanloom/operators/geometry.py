@@ -100,21 +100,29 @@ def lut_fit(pairs: DataFrame, x_cells: int, y_cells: int, z_cells: int, z_max: f
     return grid.join(fit.withColumnRenamed("ix", "from"), ["from", "iy", "iz"], "left").select("ix", "iy", "iz", F.coalesce("mult", F.lit(1.0)).alias("mult"))
 
 
-def lut_apply(pixels: DataFrame, lut: DataFrame, cells: tuple[int, int, int], z_max: float) -> DataFrame:
+def lut_apply(pixels: DataFrame, lut: DataFrame, cells: tuple[int, int, int], z_max: float, broadcast_bytes: int = 256 << 20) -> DataFrame:
     """pixels (..., x, y, d) with d divided by the table's trilinear value at (x / 2, y / 2, d); beyond the
-    last cell the last one counts. The table (cells) is a calibration's and small."""
-    where = {"ix": F.col("x") / 2.0, "iy": F.col("y") / 2.0, "iz": F.col("d") / z_max * cells[2]}
-    p = pixels.withColumn("_row", F.monotonically_increasing_id())
-    for (name, at), n in zip(where.items(), cells, strict=True):
-        low = F.least(F.floor(at).cast("int"), F.lit(n - 1))
-        share = F.when(F.floor(at) >= n - 1, 0.0).otherwise(at - F.floor(at))
-        ends = F.array(F.struct(low.alias("i"), (1 - share).alias("w")), F.struct(F.least(low + 1, F.lit(n - 1)).alias("i"), share.alias("w")))
-        p = p.withColumn(f"_{name}", ends)
-    corner = F.transform
-    pairs = F.flatten(corner("_ix", lambda a: F.flatten(corner("_iy", lambda b: corner("_iz", lambda c: F.struct(a.i.alias("ix"), b.i.alias("iy"), c.i.alias("iz"), (a.w * b.w * c.w).alias("w")))))))
-    parts = p.select(*pixels.columns, "_row", F.explode(pairs).alias("c")).select(*pixels.columns, "_row", "c.*").where("w > 0")
-    value = parts.join(lut, ["ix", "iy", "iz"]).groupBy("_row", *pixels.columns).agg(F.sum(F.col("w") * F.col("mult")).alias("mult"))
-    return value.withColumn("d", F.col("d") / F.col("mult")).select(*pixels.columns)
+    last cell the last one counts, a cell that the table lacks is 1. The table is packed by column, each
+    with its right and lower neighbours, so a pixel meets one row of it and is not moved; a table of more
+    than broadcast_bytes (32 bytes a cell) is joined as Spark sees fit."""
+    nx, ny, nz = cells
+    whole = F.map_from_entries(F.collect_list(F.struct("iz", "mult")))
+    column = lut.groupBy("ix", "iy").agg(whole.alias("m")).select("ix", "iy", F.transform(F.sequence(F.lit(0), F.lit(nz - 1)), lambda i: F.coalesce(F.get(F.map_values("m"), F.array_position(F.map_keys("m"), i).cast("int") - 1), F.lit(1.0))).alias("c"))
+    packed = column
+    for name, dx, dy in (("right", 1, 0), ("low", 0, 1), ("both", 1, 1)):
+        there = column.select(F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.col("c").alias(name))
+        packed = packed.join(there, (F.col("jx") == F.least(F.col("ix") + dx, F.lit(nx - 1))) & (F.col("jy") == F.least(F.col("iy") + dy, F.lit(ny - 1))), "left").drop("jx", "jy")
+    names = {c: f"_lut_{c}" for c in ("ix", "iy", "c", "right", "low", "both")}
+    packed = packed.withColumnsRenamed(names)
+    packed = F.broadcast(packed) if 32 * nx * ny * nz <= broadcast_bytes else packed
+    at = [F.col("x") / 2.0, F.col("y") / 2.0, F.col("d") / z_max * nz]
+    low = [F.least(F.floor(a).cast("int"), F.lit(n - 1)) for a, n in zip(at, cells, strict=True)]
+    fx, fy, fz = (F.when(F.floor(a) >= n - 1, 0.0).otherwise(a - F.floor(a)) for a, n in zip(at, cells, strict=True))
+    below = F.least(low[2] + 1, F.lit(nz - 1))
+    along = lambda c: F.coalesce((1 - fz) * F.get(names[c], low[2]) + fz * F.get(names[c], below), F.lit(1.0))
+    value = (1 - fx) * (1 - fy) * along("c") + fx * (1 - fy) * along("right") + (1 - fx) * fy * along("low") + fx * fy * along("both")
+    met = pixels.join(packed, (low[0] == F.col("_lut_ix")) & (low[1] == F.col("_lut_iy")), "left")
+    return met.withColumn("d", F.col("d") / value).select(*pixels.columns)
 
 
 def back_project(depth: DataFrame, frames: DataFrame, k: tuple[float, float, float, float], shift: float = 1000.0) -> DataFrame:

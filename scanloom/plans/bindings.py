@@ -96,12 +96,24 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 POINTS_SQL = "pts AS (SELECT label AS scan_id, vec_id AS vertex_id, embedding[1]::double * 10 AS x, embedding[2]::double * 10 AS y, embedding[3]::double * 10 AS z FROM embeddings)"
 
 
+def mesh_points(spark: SparkSession, d: str) -> DataFrame:
+    """points() in scans of a hundred each."""
+    return points(spark, d).withColumn("scan_id", F.expr("vertex_id div 100"))
+
+
+MESH_POINTS_SQL = POINTS_SQL.replace("label AS scan_id", "vec_id // 100 AS scan_id")
+
+
 def faces(spark: SparkSession, d: str) -> DataFrame:
-    """(scan_id, face_id, v0, v1, v2): line items as faces over the points of one scan."""
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.expr("min(l_partkey)").alias("a"), F.expr("min(l_suppkey)").alias("b")).selectExpr("0 AS scan_id", "l_orderkey AS face_id", "l_orderkey % 500 AS v0", "a % 500 AS v1", "(b * 7 + a) % 500 AS v2")
+    """(scan_id, face_id, v0, v1, v2): line items as faces over mesh_points(), dealt to as many scans as
+    these have."""
+    n = max(1, table(spark, d, "embeddings").count() // 100)
+    of = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.expr("min(l_partkey)").alias("a"), F.expr("min(l_suppkey)").alias("b")).withColumn("s", F.expr(f"l_orderkey % {n}"))
+    return of.selectExpr("s AS scan_id", "l_orderkey AS face_id", f"s * 100 + l_orderkey div {n} % 100 AS v0", "s * 100 + a % 100 AS v1", "s * 100 + (b * 7 + a) % 100 AS v2")
 
 
-FACES_SQL = "faces AS (SELECT 0 AS scan_id, l_orderkey AS face_id, l_orderkey % 500 AS v0, a % 500 AS v1, (b * 7 + a) % 500 AS v2 FROM (SELECT l_orderkey, min(l_partkey) AS a, min(l_suppkey) AS b FROM lineitem GROUP BY 1))"
+FACES_SQL = """faces AS (SELECT s AS scan_id, l_orderkey AS face_id, s * 100 + l_orderkey // n % 100 AS v0, s * 100 + a % 100 AS v1, s * 100 + (b * 7 + a) % 100 AS v2
+FROM (SELECT *, l_orderkey % n AS s FROM (SELECT l_orderkey, min(l_partkey) AS a, min(l_suppkey) AS b FROM lineitem GROUP BY 1), (SELECT greatest(1, count(*) // 100) AS n FROM embeddings)))"""
 
 
 def one_cloud(spark: SparkSession, d: str) -> DataFrame:

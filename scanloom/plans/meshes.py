@@ -10,14 +10,14 @@ from ..operators import pixels as px
 from . import bindings as b
 from .registry import query
 
-_ONE = b.POINTS_SQL.replace("label AS scan_id", "0 AS scan_id")
-_CORNERS = f"{_ONE}, {b.FACES_SQL}, c AS (SELECT face_id, v0, v1, v2, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS cx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS cz FROM faces JOIN pts a ON a.vertex_id = v0 JOIN pts b ON b.vertex_id = v1 JOIN pts c ON c.vertex_id = v2)"
+_ONE = b.MESH_POINTS_SQL
+_CORNERS = f"{_ONE}, {b.FACES_SQL}, c AS (SELECT faces.scan_id, face_id, v0, v1, v2, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS cx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS cz FROM faces JOIN pts a ON a.vertex_id = v0 JOIN pts b ON b.vertex_id = v1 JOIN pts c ON c.vertex_id = v2)"
 _NORMALS = f"{_CORNERS}, u AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS m FROM c), e AS (SELECT unnest([v0, v1, v2]) AS vertex_id, cx / m AS nx, cy / m AS ny, cz / m AS nz FROM u WHERE m > 0), nrm AS (SELECT vertex_id, avg(nx) AS nx, avg(ny) AS ny, avg(nz) AS nz FROM e GROUP BY 1)"
 
 
-@query(f"WITH {_NORMALS} SELECT 0 AS scan_id, vertex_id, round(nx, 6) + 0.0 AS nx, round(ny, 6) + 0.0 AS ny, round(nz, 6) + 0.0 AS nz FROM nrm")
+@query(f"WITH {_NORMALS} SELECT vertex_id // 100 AS scan_id, vertex_id, round(nx, 6) + 0.0 AS nx, round(ny, 6) + 0.0 AS ny, round(nz, 6) + 0.0 AS nz FROM nrm")
 def msh1_vertex_normals(spark: SparkSession, d: str) -> DataFrame:
-    n = ms.vertex_normals(b.faces(spark, d), b.one_cloud(spark, d))
+    n = ms.vertex_normals(b.faces(spark, d), b.mesh_points(spark, d))
     return n.select("scan_id", "vertex_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("nx", "ny", "nz")))
 
 
@@ -27,14 +27,14 @@ w AS (SELECT face_id, a, b, 1 - (n1.nx * n2.nx + n1.ny * n2.ny + n1.nz * n2.nz)
 
 @query(f"WITH {_WEIGHTS} SELECT face_id, a, b, round(CASE WHEN up > 0 THEN w * w ELSE w END, 6) + 0.0 AS w FROM w")
 def msh2_edge_weights(spark: SparkSession, d: str) -> DataFrame:
-    f, v = b.faces(spark, d), b.one_cloud(spark, d)
+    f, v = b.faces(spark, d), b.mesh_points(spark, d)
     return ms.edge_weights(f, v, ms.vertex_normals(f, v)).select("face_id", "a", "b", (F.round("w", 6) + 0.0).alias("w"))
 
 
-@query(f"WITH {_CORNERS} SELECT v0 % 3 AS seg_id, round(sum(0.5 * sqrt(cx * cx + cy * cy + cz * cz)), 6) AS area FROM c WHERE v0 % 3 = v1 % 3 AND v1 % 3 = v2 % 3 GROUP BY 1")
+@query(f"WITH {_CORNERS} SELECT scan_id, v0 % 3 AS seg_id, round(sum(0.5 * sqrt(cx * cx + cy * cy + cz * cz)), 6) AS area FROM c WHERE v0 % 3 = v1 % 3 AND v1 % 3 = v2 % 3 GROUP BY 1, 2")
 def agg32_segment_areas(spark: SparkSession, d: str) -> DataFrame:
-    v = b.one_cloud(spark, d)
-    return ms.segment_areas(b.faces(spark, d), v, v.selectExpr("scan_id", "vertex_id", "vertex_id % 3 AS seg_id")).select("seg_id", F.round("area", 6).alias("area"))
+    v = b.mesh_points(spark, d)
+    return ms.segment_areas(b.faces(spark, d), v, v.selectExpr("scan_id", "vertex_id", "vertex_id % 3 AS seg_id")).select("scan_id", "seg_id", F.round("area", 6).alias("area"))
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -50,12 +50,12 @@ def msh4_components(spark: SparkSession, d: str) -> DataFrame:
     return ms.components(_links(spark, d))
 
 
-@query(f"WITH {b.FACES_SQL} SELECT face_id FROM faces")
+@query("SELECT event_id AS face_id FROM (SELECT event_id, count(*) OVER (PARTITION BY floor(sqrt(event_id))) AS n FROM events) WHERE n >= 31")
 def msh4_drop_small_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """All faces of these tables hang together; the two far ones that are added do not, and go."""
-    f = b.faces(spark, d)
-    far = f.limit(1).selectExpr("scan_id", "-1L AS face_id", "90001L AS v0", "90002L AS v1", "90003L AS v2")
-    return ms.drop_small_pieces(f.unionByName(far), 5).select("face_id")
+    """Events as faces in strips: strip k begins at k * k and is 2 k + 1 long (the last one may end before)."""
+    e = b.table(spark, d, "events").selectExpr("0 AS scan_id", "event_id AS face_id", "event_id AS v1", "cast(floor(sqrt(event_id)) AS bigint) AS k")
+    f = e.selectExpr("scan_id", "face_id", "greatest(v1 - 1, k * k) AS v0", "v1", "greatest(v1 - 2, k * k) AS v2")
+    return ms.drop_small_pieces(f, 31).select("face_id")
 
 
 @query(f"WITH {b.FACES_SQL}, k AS (SELECT list_sort([v0, v1, v2]) AS k, min(face_id) AS face_id FROM faces GROUP BY 1) SELECT face_id FROM k")
@@ -65,27 +65,41 @@ def set7_distinct_faces(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_ONE}, {b.FACES_SQL} SELECT vertex_id * 2 AS vertex_id FROM pts WHERE vertex_id * 2 IN (SELECT v0 FROM faces UNION SELECT v1 FROM faces UNION SELECT v2 FROM faces)")
 def set7_referenced_vertices(spark: SparkSession, d: str) -> DataFrame:
-    return ms.referenced(b.one_cloud(spark, d).withColumn("vertex_id", F.col("vertex_id") * 2), b.faces(spark, d)).select("vertex_id")
+    return ms.referenced(b.mesh_points(spark, d).withColumn("vertex_id", F.col("vertex_id") * 2).withColumn("scan_id", F.expr("vertex_id div 100")), b.faces(spark, d)).select("vertex_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ONE}, {b.FACES_SQL}, near AS (SELECT p.vertex_id AS a, q.vertex_id AS b FROM pts p JOIN pts q ON p.scan_id = q.scan_id AND p.vertex_id <> q.vertex_id AND sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2)) <= 0.6),
+reach(node, r) AS (SELECT vertex_id, vertex_id FROM pts UNION SELECT near.b, reach.r FROM reach JOIN near ON near.a = reach.node), root AS (SELECT node, min(r) AS root FROM reach GROUP BY 1),
+f AS (SELECT a.root AS v0, b.root AS v1, c.root AS v2 FROM faces JOIN root a ON a.node = v0 JOIN root b ON b.node = v1 JOIN root c ON c.node = v2)
+SELECT node AS vertex_id, 0::bigint AS faces FROM root WHERE node = root UNION ALL SELECT -1, count(*) FROM f WHERE v0 <> v1 AND v1 <> v2 AND v0 <> v2""")
 def msh5_merge_close(spark: SparkSession, d: str) -> DataFrame:
-    v, f = ms.merge_close(b.one_cloud(spark, d), b.faces(spark, d), 0.25)
+    v, f = ms.merge_close(b.mesh_points(spark, d), b.faces(spark, d), 0.6)
     return v.select("vertex_id").withColumn("faces", F.lit(0).cast("bigint")).union(f.agg(F.lit(-1).cast("bigint"), F.count("*")))
 
 
 @query()
 def msh3_over_segmentation(spark: SparkSession, d: str) -> DataFrame:
-    f, v = b.faces(spark, d), b.one_cloud(spark, d)
+    f, v = b.faces(spark, d), b.mesh_points(spark, d)
     return ms.over_segment(ms.edge_weights(f, v, ms.vertex_normals(f, v)), 0.05, 5)
 
 
-@query()
+_POSES = "fr AS (SELECT scan_id, vertex_id AS frame_id, vertex_id % 4 AS turn, vertex_id % 7 / 4.0 AS tx, 6.0 + vertex_id % 3 AS tz FROM pts WHERE vertex_id % 50 < 2)"
+_IN_VIEW = "(SELECT scan_id, frame_id, vertex_id, 20 * px / pz + 16 AS u, 20 * py / pz + 12 AS w, pz AS d FROM (SELECT fr.scan_id, frame_id, vertex_id, CASE turn WHEN 0 THEN x WHEN 1 THEN -y WHEN 2 THEN -x ELSE y END + tx AS px, CASE turn WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN -y ELSE -x END AS py, z + tz AS pz FROM fr JOIN pts USING (scan_id)) WHERE pz BETWEEN 0.1 AND 15)"
+
+
+@query(f"""WITH {_ONE}, {b.FACES_SQL}, {_POSES}, seen AS {_IN_VIEW},
+t AS (SELECT f.scan_id, p.frame_id, face_id, v0 % 20 AS label, p.u AS u0, p.w AS w0, p.d AS d0, q.u AS u1, q.w AS w1, q.d AS d1, s.u AS u2, s.w AS w2, s.d AS d2 FROM faces f JOIN seen p ON p.vertex_id = v0 JOIN seen q ON q.vertex_id = v1 AND q.frame_id = p.frame_id JOIN seen s ON s.vertex_id = v2 AND s.frame_id = p.frame_id),
+b AS (SELECT *, (u1 - u0) * (w2 - w0) - (u2 - u0) * (w1 - w0) AS m FROM t JOIN (SELECT unnest(range(24)) AS y) ON y BETWEEN least(w0, w1, w2) AND greatest(w0, w1, w2) JOIN (SELECT unnest(range(32)) AS x) ON x BETWEEN least(u0, u1, u2) AND greatest(u0, u1, u2)),
+c AS (SELECT *, ((x - u0) * (w2 - w0) - (u2 - u0) * (y - w0)) / m AS b1, ((u1 - u0) * (y - w0) - (x - u0) * (w1 - w0)) / m AS b2 FROM b WHERE m <> 0),
+k AS (SELECT scan_id, frame_id, y, x, label, round(1 / ((1 - b1 - b2) / d0 + b1 / d1 + b2 / d2), 9) AS depth, face_id FROM c WHERE b1 >= 0 AND b2 >= 0 AND b1 + b2 <= 1)
+SELECT scan_id, frame_id, y, x, arg_min(label, (depth, face_id)) AS label, round(min(depth), 6) AS depth FROM k GROUP BY ALL""")
 def geo10_project_mesh(spark: SparkSession, d: str) -> DataFrame:
-    v = b.one_cloud(spark, d).selectExpr("scan_id", "vertex_id", "x", "y", "z + 6 AS z")
-    f = b.faces(spark, d)
-    w2c = F.array(*(F.lit(float(x)) for x in (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)))
-    frames = v.where("vertex_id < 3").select("scan_id", F.col("vertex_id").alias("frame_id"), w2c.alias("w2c"))
+    """Four frames a scan, each with a quarter turn and a shift of its own."""
+    v, f = b.mesh_points(spark, d), b.faces(spark, d)
+    turn = lambda *row: F.element_at(F.array(*map(F.lit, row)), (F.col("vertex_id") % 4 + 1).cast("int")).cast("double")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    rows = [turn(1, 0, -1, 0), turn(0, -1, 0, 1), zero, F.col("vertex_id") % 7 / 4.0, turn(0, 1, 0, -1), turn(1, 0, -1, 0), zero, zero, zero, zero, one, 6.0 + F.col("vertex_id") % 3, zero, zero, zero, one]
+    frames = v.where("vertex_id % 50 < 2").select("scan_id", F.col("vertex_id").alias("frame_id"), F.array(*rows).alias("w2c"))
     return ms.project(f, v, v.selectExpr("scan_id", "vertex_id", "vertex_id % 20 AS value"), frames, (20.0, 20.0, 16.0, 12.0), (24, 32)).withColumn("depth", F.round("depth", 6))
 
 
