@@ -6,10 +6,11 @@ whole text; each is read in both directions, attention pools the states, and the
 that of its worst window, calibrated with the number of windows.
 
 The network is fitted in numpy on a bounded sample: at most `sample_rows` labelled documents of each
-class, the smallest by a hash of the id, and at most `sample_windows` windows of each. It begins with
-all these windows under their document's label and goes on with the worst windows only, as a toxic
-document need not be toxic throughout. All documents are then scored where they lie, without a
-shuffle; only the model is broadcast (a few MB, whatever the corpus).
+class, the smallest by a hash of the id, with all their windows. It begins with all windows under their
+document's label and goes on with the worst windows only, as a toxic document need not be toxic
+throughout. A fifth of the sample is held back from this and calibrates the logits. All documents are
+then scored where they lie, without a shuffle; only the model is broadcast (a few MB, whatever the
+corpus).
 
 Null and empty texts have no words; they score as the median clean document of the sample does. Labels other than 0 and 1, and
 of null ids, are left out; without labels of both classes every score is the share of label 1 (0.5
@@ -239,20 +240,22 @@ def begin_with_odds(model: Model, pairs: np.ndarray, width: int, label: np.ndarr
         model.p[name][:, 0] = 0.3 * log_odds(toxic, clean, label.sum(), len(label) - label.sum())
 
 
-def fit(samples: list[tuple[int, list[bytes]]], epochs: int = 2, worst_epochs: int = 6, batch: int = 256, seed: int = 5) -> Model:
-    """samples: (label, windows as space-joined words), a document each."""
+def fit(samples: list[tuple[int, list[bytes]]], batch: int = 256, seed: int = 5) -> Model:
+    """samples: (label, words), a document each; all its windows are read, of small samples up to eight
+    times, and the worst windows three times as often, six times at least."""
     model, rng = Model.fresh(), np.random.default_rng(seed)
-    split = [[w.split()[:LENGTH] for w in ws] or [[]] for _, ws in samples]
-    doc = np.repeat(np.arange(len(samples)), [len(w) for w in split])
+    starts = [windows(len(w)) for _, w in samples]
+    epochs = min(8, -(-40_000 // sum(map(len, starts))))
+    worst_epochs = max(6, 3 * epochs)
+    doc = np.repeat(np.arange(len(samples)), [len(s) for s in starts])
     label = np.array([y for y, _ in samples], np.float32)
-    flat = [w for ws in split for w in ws]
-    coded = pa.array([w for ws in flat for w in ws], pa.binary()).dictionary_encode()
-    size = np.array([len(w) for w in flat])
-    pad = len(coded.dictionary)
+    coded = pa.array([w for _, ws in samples for w in ws], pa.binary()).dictionary_encode()
+    pad, sizes = len(coded.dictionary), np.array([len(w) for _, w in samples])
+    codes = np.append(np.asarray(coded.indices, np.int32), np.full(LENGTH, pad, np.int32))
+    first = np.concatenate(starts)
+    size, begin = np.minimum(sizes[doc] - first, LENGTH), first + (np.cumsum(sizes) - sizes)[doc]
     mask = (np.arange(LENGTH)[:, None] < size[None]).astype(np.float32)
-    ids = np.full((len(flat), LENGTH), pad)
-    ids[mask.T > 0] = np.asarray(coded.indices)
-    ids = np.ascontiguousarray(ids.T)
+    ids = np.where(mask > 0, codes[np.minimum(begin[None] + np.arange(LENGTH)[:, None], len(codes) - 1)], np.int32(pad))
     weight = np.where(label > 0, 0.5 / max(label.mean(), 1e-6), 0.5 / max(1 - label.mean(), 1e-6)).astype(np.float32)
     _, (word, grams, at) = model.inputs(coded.dictionary)
     real, at_doc = ids[mask > 0], np.broadcast_to(doc, ids.shape)[mask > 0]
@@ -284,14 +287,14 @@ def fit(samples: list[tuple[int, list[bytes]]], epochs: int = 2, worst_epochs: i
             adam.step(g)
 
     for _ in range(epochs):
-        learn(np.arange(len(flat)))
+        learn(np.arange(len(doc)))
     for _ in range(worst_epochs):
         x, _ = model.inputs(coded.dictionary)
         gates = x @ model.p["in"] + model.p["bias"]
-        logit = np.concatenate([model.run(gates, ids[:, k : k + 2048], mask[:, k : k + 2048])[0] for k in range(0, len(flat), 2048)])
+        logit = np.concatenate([model.run(gates, ids[:, k : k + 2048], mask[:, k : k + 2048])[0] for k in range(0, len(doc), 2048)])
         order = np.lexsort((-logit, doc))
-        begin = np.searchsorted(doc[order], np.arange(len(samples)))
-        rank = np.arange(len(flat)) - begin[doc[order]]
+        edge = np.searchsorted(doc[order], np.arange(len(samples)))
+        rank = np.arange(len(doc)) - edge[doc[order]]
         learn(order[rank < np.where(label[doc[order]] > 0, 2, 3)])
     return model
 
@@ -325,8 +328,10 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, sample_windows: int = 12) -> Model:
-    """The fitted model; labels of held-out ids are never read."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, least_back: int = 40) -> Model:
+    """The fitted model; labels of held-out ids are never read. A document that repeats a sampled id
+    counts once, by its smallest digest. A sample of which a fifth has fewer than `least_back` rows of a
+    class is too small to hold any back: it fits and calibrates."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     total = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
@@ -334,47 +339,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(constant=float(next(iter(total))) if total else 0.5)
     pick = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(sample_rows)
     chosen = pick(0).union(pick(1))  # 2 * sample_rows rows at most, so it may be broadcast
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-
-    def start():
-        def make(column: pa.Array) -> list[pa.Array]:
-            out = []
-            for t in column:
-                w = words_of(t.as_py())
-                at = windows(len(w))
-                if len(at) > sample_windows:
-                    at = np.sort(np.random.default_rng(len(w)).choice(at, sample_windows, replace=False))
-                out.append([b" ".join(w[a : a + LENGTH]) for a in at.tolist()])
-            return [pa.array(out, pa.list_(pa.binary()))]
-
-        return make
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", "label", "t.text")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["id"], r["windows"]))
-        if len({r["label"] for r in rows}) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(r["label"], r["windows"]) for r in rows]))])], ["model"])
-
-    rows = with_columns(texts, "text", [("windows", "array<binary>")], start).select("id", "label", "windows")
+        rows = sorted(((r["id"], r["label"], words_of(r["text"]), r["back"]) for b in batches for r in b.to_pylist()), key=lambda r: (r[0], r[2]))
+        label, back = np.array([y for _, y, _, _ in rows], int), np.array([b for *_, b in rows], bool)
+        if len(set(label.tolist())) < 2:
+            return
+        if np.bincount(label[back], minlength=2).min() < least_back:
+            back[:] = False
+        model = fit([(y, w) for (_, y, w, _), b in zip(rows, back, strict=True) if not b])
+        if not back.any():
+            back[:] = True
+        logit, count = (np.concatenate(x) for x in zip(*(model.worst([w]) for _, _, w, _ in rows), strict=True))
+        model.wordless = float(np.median(logit[label == 0]))
+        drawn = np.bincount(label[back], minlength=2)
+        weight = np.where(label == 1, total[1] / max(drawn[1], 1), total[0] / max(drawn[0], 1))
+        model.calibration = calibrate(logit[back], count[back], label[back], weight[back])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
+
+    back = F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(5)) == 0
+    rows = texts.select("id", "label", "text", back.alias("back"))
     fitted = rows.repartition(1).mapInArrow(learn, "model binary").collect()  # the sample is bounded; the driver gets the model
     if not fitted:
         return Model(constant=total.get(1, 0) / sum(total.values()))
-    model = pickle.loads(fitted[0].model)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judge():
-        def make(column: pa.Array) -> list[pa.Array]:
-            logit, count = zip(*(shared.value.worst([words_of(t.as_py())]) for t in column), strict=True) if len(column) else ((), ())
-            return [pa.array([float(x[0]) for x in logit], pa.float64()), pa.array([int(x[0]) for x in count], pa.int64())]
-
-        return make
-
-    seen = with_columns(texts, "text", [("logit", "double"), ("n", "bigint")], judge).select("label", "logit", "n").collect()
-    y = np.array([r.label for r in seen])
-    drawn = np.bincount(y, minlength=2)
-    model.wordless = float(np.median([r.logit for r in seen if not r.label]))
-    weight = np.where(y == 1, total[1] / max(drawn[1], 1), total[0] / max(drawn[0], 1))
-    model.calibration = calibrate(np.array([r.logit for r in seen]), np.array([r.n for r in seen]), y, weight)
-    return model
+    return pickle.loads(fitted[0].model)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score", chunk_words: int = 150_000) -> DataFrame:
