@@ -9,7 +9,9 @@ the original vectors in double precision.
 The budget is measured, not guessed: for at most `probe_queries` of the queries the true neighbours
 are found by brute force over all rows, and the budget is the number of rows after which the wanted
 share of them has been met. Rows are dealt out in blocks of whole cells, a cell above the block size
-over several, queries in blocks too, so one cell with a third of all rows is shared out exactly.
+over several, so one cell with a third of all rows is shared out exactly. Queries are dealt to parts by
+their own cells in the same way: those of a part visit much the same cells, and a row is sent only to
+the parts of which a query visits its block.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part. Ties go to the smaller id (null ids last). Fewer than k candidates: all of them. Repeated
@@ -37,7 +39,7 @@ NO_ID = (1 << 63) - 1
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(row, vec_id, v) of the vectors that take part, as a table."""
     fit = vectors.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    fit = fit.where(F.col("v").isNotNull() & (F.size("v") > 1) & finite_of("v") & F.exists("v", lambda x: x != 0))
+    fit = fit.where(F.col("v").isNotNull() & (F.size("v") > 0) & finite_of("v") & F.exists("v", lambda x: x != 0))
     rows = cut(fit.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(2).collect()
     return rows if len(lengths) < 2 else rows.where(F.size("v") == lengths[0].d)
@@ -53,6 +55,8 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Centroids of at most k clusters."""
+    if not x.shape[1]:
+        return np.zeros((1, 0))
     rng = np.random.default_rng(seed)
     distinct = np.unique(x, axis=0)
     c = distinct[rng.permutation(len(distinct))[:k]]
@@ -131,7 +135,7 @@ def build(rows: DataFrame, codes: int | None = None, sample_rows: int = 20_000)
     share = min(1.0, 1.1 * sample_rows / max(n, 1))
     sample = rows.where(F.pmod(F.xxhash64("row", "vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(sample_rows).collect()
     x = np.array([r.v for r in sample] or [[0.0, 0.0]])
-    half, k = x.shape[1] // 2, codes or int(np.clip(np.sqrt(n / 64), 4, 256))
+    half, k = (x.shape[1] + 1) // 2, codes or int(np.clip(np.sqrt(n / 64), 4, 256))
     index = MultiIndex(k_means(x[:, :half], k), k_means(x[:, half:], k), np.zeros(0, np.int64))
     shared, d = spark.sparkContext.broadcast(index), x.shape[1]
 
@@ -183,6 +187,25 @@ def calibrate(index: MultiIndex, placed: DataFrame, queries: DataFrame, k: int,
     index.recall = sum(x <= index.budget for x in need) / len(need)
 
 
+def in_blocks(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For cells of these sizes the first block of each and how many it is shared out over: whole cells,
+    in order, to blocks of about `most`; a larger cell to several of its own."""
+    first, spans, at, room = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, most
+    for cell, size in enumerate(sizes.tolist()):
+        if size > room and room < most:
+            at, room = at + 1, most
+        first[cell], spans[cell] = at, max(1, -(-size // most))
+        room -= size
+        if room <= 0:
+            at, room = at + int(spans[cell]), most
+    return first, spans
+
+
+def dealt(cell: np.ndarray, row: np.ndarray, first: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """The block of each row of a cell."""
+    return first[cell] + (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % spans[cell]
+
+
 def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, query_rows: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by `every`."""
     rows = usable(vectors, id_col, vector_col)
@@ -190,40 +213,35 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
     index, placed = build(rows)
     queries = placed.where((F.col("vec_id") % every == 0) & (F.col("vec_id") != NO_ID))
     calibrate(index, placed, queries, k, recall)
-    d, n_queries = index.left.shape[1] + index.right.shape[1], queries.count()
-
-    first, spans, at, room = np.zeros(len(index.sizes), np.int64), np.ones(len(index.sizes), np.int64), 0, block_rows
-    for cell, size in enumerate(index.sizes.tolist()):  # whole cells to blocks; a large cell to several of its own
-        if size > room and room < block_rows:
-            at, room = at + 1, block_rows
-        first[cell], spans[cell] = at, max(1, -(-size // block_rows))
-        room -= size
-        if room <= 0:
-            at, room = at + int(spans[cell]), block_rows
-    q_blocks = max(1, -(-n_queries // query_rows))
-    shared = spark.sparkContext.broadcast((index, first, spans))
+    d = index.left.shape[1] + index.right.shape[1]
+    first, spans = in_blocks(index.sizes, block_rows)
+    asking = np.zeros(len(index.sizes), np.int64)
+    for r in queries.groupBy("cell").count().collect():  # at most a row a cell
+        asking[r.cell] = r["count"]
+    shared = spark.sparkContext.broadcast((index, first, spans, *in_blocks(asking, query_rows)))
 
     def deal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, first, spans = shared.value
+        _, first, spans, *_ = shared.value
         for b in batches:
-            cell, row = b.column("cell").to_numpy(), b.column("row").to_numpy()
-            block = first[cell] + (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % spans[cell]
+            block = dealt(b.column("cell").to_numpy(), b.column("row").to_numpy(), first, spans)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block)], [*b.schema.names, "block"])
 
     def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, first, spans = shared.value
+        index, first, spans, part_first, part_spans = shared.value
+        kind = pa.schema([("q", pa.int64()), ("query_id", pa.int64()), ("v", pa.list_(pa.float64())), ("block", pa.int64()), ("cells", pa.list_(pa.int32())), ("part", pa.int64())])
         for b in batches:
-            for q, id_, vec in zip(b.column("row").to_pylist(), b.column("vec_id").to_pylist(), matrix(b.column("v"), d), strict=True):
+            parts = dealt(b.column("cell").to_numpy(), b.column("row").to_numpy(), part_first, part_spans).tolist()
+            for q, id_, vec, part in zip(b.column("row").to_pylist(), b.column("vec_id").to_pylist(), matrix(b.column("v"), d), parts, strict=True):
                 by: dict[int, list[int]] = {}
                 for cell in index.within(vec, index.budget):
                     for s in range(int(spans[cell])):
                         by.setdefault(int(first[cell]) + s, []).append(cell)
-                kind = pa.schema([("q", pa.int64()), ("query_id", pa.int64()), ("v", pa.list_(pa.float64())), ("block", pa.int64()), ("cells", pa.list_(pa.int32()))])
-                yield pa.RecordBatch.from_pylist([{"q": q, "query_id": id_, "v": vec, "block": x, "cells": c} for x, c in by.items()], kind)
+                yield pa.RecordBatch.from_pylist([{"q": q, "query_id": id_, "v": vec, "block": x, "cells": c, "part": part} for x, c in by.items()], kind)
 
-    part = F.pmod(F.xxhash64("q"), F.lit(q_blocks)).alias("part")
-    asked = queries.mapInArrow(deal_queries, "q bigint, query_id bigint, v array<double>, block bigint, cells array<int>").select("*", part)
-    held = placed.mapInArrow(deal_rows, "row bigint, vec_id bigint, v array<double>, cell int, block bigint").select("*", F.explode(F.expr(f"sequence(0L, {q_blocks - 1}L)")).alias("part"))
+    asked = cut(queries.mapInArrow(deal_queries, "q bigint, query_id bigint, v array<double>, block bigint, cells array<int>, part bigint"), "asked")
+    visits = asked.select(F.col("block").alias("at"), F.col("part").alias("visiting")).distinct()
+    held = placed.mapInArrow(deal_rows, "row bigint, vec_id bigint, v array<double>, cell int, block bigint")
+    held = held.join(visits, held.block == visits.at).select("row", "vec_id", "v", "cell", "block", F.col("visiting").alias("part"))
 
     def rank(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):

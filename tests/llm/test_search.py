@@ -61,19 +61,22 @@ def _vectors(n=700, copies=40):
 def test_nearest_neighbours(spark):
     rows = _vectors()
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    df = df.unionByName(df.where("vec_id = 50 OR vec_id = 7")).withColumn("block", F.lit(1)).withColumn("cell", F.lit("x"))
+    rows = [*rows, *(r for r in rows if r[0] in (50, 7))]
     exact = multi_index.search(df, every=50, k=10, recall=1.0, block_rows=64, query_rows=5).collect()
     good = [(i, np.asarray(v, float)) for i, v, _ in rows if v is not None and len(v) == 16 and all(c is not None and math.isfinite(c) for c in v) and any(v)]
-    hits = total = 0
-    for q, v in good:
-        if q is None or q % 50:
-            continue
-        d = sorted(((float(np.sqrt(((v - u) ** 2).sum())), math.inf if i is None else i) for i, u in good if i != q))[:10]
-        mine = sorted((r for r in exact if r.query_id == q), key=lambda r: r["rank"])
-        assert [r["rank"] for r in mine] == list(range(1, 11))
-        hits += len({(r.vec_id if r.vec_id is not None else math.inf) for r in mine} & {i for _, i in d})
-        total += 10
-        assert all(abs(r.score - s) < 1e-9 or r.score >= s for r, (s, _) in zip(mine, d, strict=True))
-    assert hits / total >= 0.9
+    want = []
+    for own, (q, v) in enumerate(good):
+        if q is not None and q % 50 == 0:
+            d = sorted((float(np.sqrt(((v - u) ** 2).sum())), math.inf if i is None else i) for k, (i, u) in enumerate(good) if k != own)[:10]
+            want += [(q, n + 1, i, round(s, 9)) for n, (s, i) in enumerate(d)]
+    mine = [(r.query_id, r["rank"], math.inf if r.vec_id is None else r.vec_id, round(r.score, 9)) for r in exact]
+    assert sorted(mine) == sorted(want)
+    single = spark.createDataFrame([(i, [float(i % 9) + 1]) for i in range(30)], "vec_id bigint, embedding array<double>")
+    assert multi_index.search(single, every=10, k=3, recall=1.0).count() == 9
+    wide = multi_index.search(df, every=50, k=10, block_rows=64, query_rows=5).collect()
+    found = {(r.query_id, r.vec_id) for r in wide}
+    assert len(wide) == len(want) and len(found & {(q, None if i == math.inf else i) for q, _, i, _ in want}) >= 0.9 * len({(q, i) for q, _, i, _ in want})
     assert not {9001, 9002, 9003, 9004, 9005, 9006} & {r.vec_id for r in exact}
 
 
