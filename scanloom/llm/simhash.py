@@ -1,10 +1,9 @@
 """Near-duplicate documents by SimHash and a trie self-join of the fingerprints.
 
-Fingerprints are made in Arrow batches from whole texts. Distinct fingerprints are dealt out by
-pairs of subtrees of their binary trie whose prefixes differ in no more bits than the budget, and
-every pair of subtrees is joined in its own task: pairs of nodes go down together, the bits in which
-they differ add up, and a pair above the budget goes no further. A task returns a spanning forest of
-its links, at most one row for each fingerprint that it holds, so a large group costs no more rows
+Fingerprints are made in Arrow batches from whole texts. Distinct fingerprints are dealt to subtrees of
+their binary trie, one trie for each block of bits that a pair may have in common, and every subtree is
+joined with itself: pairs of nodes go down together, the bits in which they differ add up, and a pair
+above the budget goes no further. A task returns a spanning forest of its links, at most one row for each fingerprint that it holds, so a large group costs no more rows
 than it has members; distinct fingerprints have at most 2,080 partners within two bits.
 
 Null texts count as empty; texts without words have fingerprint zero, linked like any other. Rows
@@ -17,10 +16,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_map import with_columns
@@ -79,23 +77,20 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "finger
     return docs.mapInArrow(run, f"{fields}, `{out}` bigint")
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, differing: int, budget: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions (i, j) with at most budget differing bits between a[i] and b[j], both sorted
-    and each below one trie node of this depth; the two nodes' prefixes differ in `differing` bits.
-    b None: pairs within a, i < j. At most about `most` node pairs are open at once at any depth."""
-    own = b is None
-    b = a if own else b
-    ones: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def trie_links(a: np.ndarray, budget: int, depth: int = 0, runs: np.ndarray | None = None, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions i < j with at most budget differing bits between a[i] and a[j]. a is sorted, or
+    the positions runs[k] to runs[k + 1] are, each run below one trie node of this depth; then pairs are
+    those within a run. At most about `most` node pairs are open at once at any depth."""
+    ones: dict[int, np.ndarray] = {}
 
-    def split(d: int) -> tuple[np.ndarray, np.ndarray]:
+    def split(d: int) -> np.ndarray:
         if d not in ones:
-            count = lambda x: np.concatenate(([0], np.cumsum((x >> np.uint64(63 - d)) & np.uint64(1)))).astype(np.int64)
-            ones[d] = (count(a), count(b) if not own else np.empty(0, np.int64))
-            if own:
-                ones[d] = (ones[d][0], ones[d][0])
+            ones[d] = np.concatenate(([0], np.cumsum((a >> np.uint64(63 - d)) & np.uint64(1)))).astype(np.int64)
         return ones[d]
 
-    stack = [(depth, np.array([[0, len(a), 0, len(b), differing]], np.int64))]
+    runs = np.array([0, len(a)]) if runs is None else runs
+    first = np.stack((runs[:-1], runs[1:], runs[:-1], runs[1:], np.zeros(len(runs) - 1, np.int64)), 1)
+    stack = [(depth, first[x : x + most]) for x in range(0, len(first), most)]
     while stack:
         d, open_ = stack.pop()
         alo, ahi, blo, bhi, diff = open_.T
@@ -109,18 +104,16 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, differing: int,
             pair = np.repeat(np.arange(len(s)), each)
             k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             i, j = s[pair, 0] + k // nb[pair], s[pair, 2] + k % nb[pair]
-            near = np.bitwise_count(a[i] ^ b[j]) <= budget
-            if own:
-                near &= i < j
+            near = (np.bitwise_count(a[i] ^ a[j]) <= budget) & (i < j)
             if near.any():
                 yield i[near], j[near]
         rest = open_[~small]
         if not len(rest):
             continue
-        ca, cb = split(d)
+        c = split(d)
         alo, ahi, blo, bhi, diff = rest.T
-        am, bm = ahi - (ca[ahi] - ca[alo]), bhi - (cb[bhi] - cb[blo])
-        same = own & (alo == blo) & (ahi == bhi)
+        am, bm = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo])
+        same = (alo == blo) & (ahi == bhi)
         children = [np.stack(x, 1) for x in ((alo, am, blo, bm, diff), (am, ahi, bm, bhi, diff), (alo, am, bm, bhi, diff + 1))]
         children.append(np.stack((am, ahi, blo, bm, diff + 1), 1)[~same])
         down = np.concatenate(children)
@@ -144,39 +137,75 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def near_links(prints: DataFrame, budget: int = 2, leaf: int = 32768) -> DataFrame:
-    """prints: distinct bigint column fp. Links (u, v) whose connected components are those of all
-    pairs within `budget` bits; every link is such a pair or joins two of one subtree pair's component.
-    The trie is cut so deep that no subtree has over `leaf` fingerprints (at depth 16 at most)."""
-    top = 16
-    found = prints.groupBy(F.shiftrightunsigned("fp", 64 - top).cast("int").alias("p")).count().collect()  # at most 2**16 rows
-    counts = np.zeros(1 << top, np.int64)
-    for p, n in found:
-        counts[p] = n
-    depth = next((k for k in range(4, top) if counts.reshape(1 << k, -1).sum(1).max() <= leaf), top)
-    masks = [m for m in range(1 << depth) if m.bit_count() <= budget]
-    prefix = F.shiftrightunsigned("fp", 64 - depth).cast("int")
-    dealt = prints.select("fp", prefix.alias("p")).select("fp", "p", F.explode(F.array(*map(F.lit, masks))).alias("m"))
-    dealt = dealt.select("fp", F.least("p", F.col("p").bitwiseXOR(F.col("m"))).alias("p"), "m", (F.col("p") > F.col("p").bitwiseXOR(F.col("m"))).alias("right"))
-
-    def join(at: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        mask = int(at[1])
-        fps = rows["fp"].to_numpy().view(np.uint64) if len(rows) else np.empty(0, np.uint64)
-        if not mask:
-            a = np.sort(fps)
-            root = forest(len(a), trie_links(a, None, depth, 0, budget))
-            all_ = a
-        else:
-            right = rows["right"].to_numpy()
-            a, b = np.sort(fps[~right]), np.sort(fps[right])
-            if not len(a) or not len(b):
-                return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
-            root = forest(len(a) + len(b), ((i, j + len(a)) for i, j in trie_links(a, b, depth, mask.bit_count(), budget)))
-            all_ = np.concatenate((a, b))
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"u": all_[moved].view(np.int64), "v": all_[root[moved]].view(np.int64)})
-
-    return dealt.groupBy("p", "m").applyInPandas(join, "u bigint, v bigint")
+def turned(v: Column, shared: int, by: int) -> Column:
+    """v with the bits below the first `shared` rotated left by so many."""
+    if not by:
+        return v
+    rest = 64 - shared
+    low = v.bitwiseAND(F.lit((1 << rest) - 1 if rest < 64 else -1))
+    moved = F.shiftleft(low, by).bitwiseOR(F.shiftrightunsigned(low, rest - by))
+    return moved if rest == 64 else v.bitwiseAND(F.lit(-(1 << rest))).bitwiseOR(moved.bitwiseAND(F.lit((1 << rest) - 1)))
+
+
+def near_links(prints: DataFrame, budget: int = 2, leaf: int = 1 << 15) -> DataFrame:
+    """prints: distinct bigint column fp. Links (u, v) whose connected components are those of all pairs
+    within `budget` bits; every link joins two of one component.
+
+    Of budget + 1 blocks of bits a pair within the budget has one without a difference. So the trie is
+    built once for each block, the block's bits turned to the top, and only subtrees of equal tops are
+    joined with themselves: a fingerprint is dealt budget + 1 times, whatever their number. Subtrees of
+    over `leaf` fingerprints are dealt again in the same way by the bits below, so a dense region goes
+    deeper and the others do not."""
+    now, shared, found = prints.select("fp", F.col("fp").alias("v"), F.lit(0).cast("bigint").alias("path")), 0, None
+    while True:
+        width = max(1, (64 - shared) // (budget + 1))
+        turns = F.array(*(F.struct((F.col("path") * (budget + 1) + k).alias("path"), turned(F.col("v"), shared, k * width).alias("v")) for k in range(budget + 1)))
+        shared = min(64, shared + width)
+        dealt = now.select("fp", F.explode(turns).alias("t")).select("fp", "t.v", "t.path", F.shiftrightunsigned("t.v", 64 - shared).alias("top"))
+        large = cut(dealt.groupBy("path", "top").count().where(f"count > {leaf}").select("path", "top"), "large")
+        again = shared < 48 and not large.isEmpty()  # below, a subtree has 2**16 fingerprints at most
+        these = dealt.join(large, ["path", "top"], "left_anti") if again else dealt
+        links = these.select("path", "top", "v", "fp").repartition("path", "top").sortWithinPartitions("path", "top").mapInArrow(_subtrees(budget, shared), "u bigint, v bigint")
+        found = links if found is None else found.union(links)
+        if not again:
+            return found
+        now = cut(dealt.join(large, ["path", "top"], "left_semi").select("fp", "v", "path"), "dense")
+
+
+def _subtrees(budget: int, depth: int, most: int = 1 << 18):
+    """mapInArrow: (path, top, v, fp) in order of path and top -> links (u, v), some whole subtrees at a
+    time."""
+
+    def joined(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        path, v, fp = t["path"].to_numpy(), t["v"].to_numpy().view(np.uint64), t["fp"].to_numpy()
+        order = np.lexsort((v, path))
+        path, v, fp = path[order], v[order], fp[order]
+        top = v >> np.uint64(64 - depth)
+        new = np.flatnonzero(np.concatenate(([True], (path[1:] != path[:-1]) | (top[1:] != top[:-1]), [True])))
+        root = forest(len(v), trie_links(v, budget, depth, new))
+        moved = np.flatnonzero(root != np.arange(len(v)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[root[moved]])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n >= most:
+                path, top = b.column("path").to_numpy(), b.column("top").to_numpy()
+                inside = np.flatnonzero((path != path[-1]) | (top != top[-1]))  # the last subtree may go on
+                if len(inside):
+                    held[-1] = b.slice(0, int(inside[-1]) + 1)
+                    yield joined(held)
+                    held = [b.slice(int(inside[-1]) + 1)]
+                    n = held[0].num_rows
+        if held:
+            yield joined(held)
+
+    return run
 
 
 def classes(prints: DataFrame, id_col: str, budget: int = 2) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from scanloom.llm import simhash
 from scanloom.llm.shared import components
@@ -48,7 +49,7 @@ def test_trie_links_are_all_pairs():
     flips = [np.uint64(1) << np.uint64(b) for b in rng.integers(0, 64, 200)]
     fps = np.unique(np.concatenate([base, [base[i % 40] ^ f for i, f in enumerate(flips)], [base[i % 40] ^ f ^ flips[i - 1] for i, f in enumerate(flips)]]).astype(np.uint64))
     for most in (8, 1 << 18):
-        got = {tuple(sorted(p)) for i, j in simhash.trie_links(fps, None, 0, 0, 2, most) for p in zip(i.tolist(), j.tolist())}
+        got = {tuple(sorted(p)) for i, j in simhash.trie_links(fps, 2, most=most) for p in zip(i.tolist(), j.tolist())}
         assert got == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 2}
 
 
@@ -57,7 +58,7 @@ def test_links_across_subtrees(spark):
     base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, base ^ np.uint64(1 << 63), base ^ np.uint64((1 << 62) | 1)]))
     prints = spark.createDataFrame([(i, int(x)) for i, x in enumerate(fps.view(np.int64))], "id bigint, fp bigint")
-    for leaf in (1, 1000):
+    for leaf in (1, 3, 1000):
         links = simhash.near_links(prints.select("fp"), 2, leaf)
         got = {r.node: r.root for r in components(links).collect()}
         signed = fps.view(np.int64).tolist()
@@ -66,6 +67,30 @@ def test_links_across_subtrees(spark):
             assert got[signed[a]] == got[signed[b]]
 
 
+def test_turned(spark):
+    v = 0x8123456789ABCDEF - (1 << 64)
+    made = spark.createDataFrame([(v,)], "v bigint").select(simhash.turned(F.col("v"), 0, 4).alias("a"), simhash.turned(F.col("v"), 16, 8).alias("b"), simhash.turned(F.col("v"), 60, 1).alias("c")).first()
+    assert [f"{x % (1 << 64):016x}" for x in made] == ["123456789abcdef8", "8123" + "6789abcdef45", "8123456789abcdef"]
+
+
+def test_dense_fingerprints_are_all_linked(spark):
+    """A third of all fingerprints share their upper half; in the middle a chain of single bits."""
+    rng = np.random.default_rng(8)
+    dense = (np.uint64(0xABCD123456789012) & ~np.uint64((1 << 32) - 1)) | rng.integers(0, 1 << 32, 400, dtype=np.uint64)
+    chain = np.cumsum(np.uint64(1) << rng.permutation(60).astype(np.uint64))
+    fps = np.unique(np.concatenate([dense, dense[:80] ^ np.uint64(5), dense[80:160] ^ np.uint64(1 << 63), chain, rng.integers(0, 1 << 63, 700, dtype=np.uint64)]))
+    prints = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
+    got = {r.node: r.root for r in components(simhash.near_links(prints, 2, leaf=20)).collect()}
+    root = simhash.forest(len(fps), simhash.trie_links(fps, 2))
+    want = {}
+    for x, r in zip(fps.view(np.int64).tolist(), root.tolist(), strict=True):
+        want.setdefault(r, set()).add(x)
+    mine = {}
+    for x in fps.view(np.int64).tolist():
+        mine.setdefault(got.get(x, x), set()).add(x)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values())) and max(map(len, mine.values())) >= 60
+
+
 def test_keep_one(spark):
     rows = awkward()
     kept = simhash.keep_one(documents(spark, rows, True)).collect()
