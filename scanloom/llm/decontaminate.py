@@ -18,12 +18,14 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_map import with_columns
 from .shared import cut, free_name
+from .suffix_dedup import merged
 
 #: A-Z become a-z; every other ASCII character that is no digit or lower-case letter parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -34,26 +36,30 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Patterns of one length: word windows items[i][s : s + length]."""
+    """Patterns of one length: word windows, each kept once with the items that have it."""
 
-    def __init__(self, length: int, items: list[list[bytes]]) -> None:
-        self.length, self.items = length, items
+    def __init__(self, length: int) -> None:
+        self.length = length
         self.block = min(2, length)
         self.far = length - self.block + 1
         self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-
-    def add(self, item: int, start: int) -> None:
-        w, n, b = self.items[item], self.length, self.block
+        self.windows: dict[tuple, set[int]] = {}
+        self.buckets: dict[tuple, dict[tuple, list[tuple]]] = defaultdict(lambda: defaultdict(list))
+
+    def add(self, item: int, window: tuple) -> None:
+        held = self.windows.setdefault(window, set())
+        held.add(item)
+        if len(held) > 1:
+            return
+        n, b = self.length, self.block
         for at in range(n - b + 1):
-            key, left = tuple(w[start + at : start + at + b]), n - b - at
+            key, left = window[at : at + b], n - b - at
             if left < self.shift.get(key, self.far):
                 self.shift[key] = left
-        bucket = self.buckets[tuple(w[start + n - b : start + n])][tuple(w[start : start + b])]
-        bucket.append((item, start))
+        self.buckets[window[n - b :]][window[:b]].append(window)
 
-    def find(self, words: list[bytes]) -> Iterable[tuple[int, int]]:
-        """(start, item) of every occurrence."""
+    def find(self, words: list[bytes]) -> Iterable[tuple[int, set[int]]]:
+        """(start, items) of every occurrence."""
         n, b, far, shift, buckets = self.length, self.block, self.far, self.shift, self.buckets
         end, total = n, len(words)
         while end <= total:
@@ -63,22 +69,21 @@ class WuManber:
                 end += move
                 continue
             start = end - n
-            for item, at in buckets[key].get(tuple(words[start : start + b]), ()):
-                if words[start:end] == self.items[item][at : at + n]:
-                    yield start, item
+            for window in buckets[key].get(tuple(words[start : start + b]), ()):
+                if tuple(words[start:end]) == window:
+                    yield start, self.windows[window]
             end += 1
 
 
 def matchers(texts: list[bytes | None], window: int) -> list[WuManber]:
-    """One matcher for each pattern length. A window that several items share is kept for each."""
-    items = [words_of(t) for t in texts]
+    """One matcher for each pattern length."""
     made: dict[int, WuManber] = {}
-    for i, w in enumerate(items):
+    for i, w in enumerate(map(words_of, texts)):
         if w:
             n = min(window, len(w))
-            m = made.setdefault(n, WuManber(n, items))
+            m = made.setdefault(n, WuManber(n))
             for s in range(len(w) - n + 1):
-                m.add(i, s)
+                m.add(i, tuple(w[s : s + n]))
     return list(made.values())
 
 
@@ -86,8 +91,8 @@ def search(words: list[bytes], found: list[WuManber]) -> tuple[list[tuple[int, i
     """Merged spans of hit words [start, end) and the items that occur."""
     spans, items = [], set()
     for m in found:
-        for start, item in m.find(words):
-            items.add(item)
+        for start, held in m.find(words):
+            items |= held
             spans.append((start, start + m.length))
     merged: list[tuple[int, int]] = []
     for s, e in sorted(spans):
@@ -135,16 +140,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
             continue
         more = [free_name(docs, x) for x in ("more_words", "more_spans", "more_items")]
         docs = with_columns(cut(docs, "decontaminate"), text_col, list(zip(more, ("bigint", SPANS, "array<string>"), strict=True)), start)
-        docs = docs.withColumns({names[1]: _merged(F.array_sort(F.concat(names[1], more[1]))), names[2]: F.array_sort(F.array_union(names[2], more[2]))}).drop(*more)
+        docs = docs.withColumn(more[1], F.concat(names[1], more[1])).withColumn(names[2], F.array_sort(F.array_union(names[2], more[2]))).drop(names[1], more[0], more[2])
+        docs = with_columns(docs, more[1], [(names[1], SPANS)], lambda: _merged).drop(more[1])
     return docs
 
 
-def _merged(spans):
-    """Sorted spans with those that touch made one."""
-    last = lambda acc: F.element_at(acc, -1)
-    one = lambda s, e: F.array(F.struct(s.alias("start"), e.alias("end")))
-    join = lambda acc, x: F.when((F.size(acc) > 0) & (x.start <= last(acc).end), F.concat(F.slice(acc, 1, F.size(acc) - 1), one(last(acc).start, F.greatest(last(acc).end, x.end)))).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(spans, F.array().cast(SPANS), join)
+def _merged(spans: pa.Array) -> list[pa.Array]:
+    """Lists of spans with those that touch made one."""
+    row, start, end = merged(spans)
+    edge = np.searchsorted(row, np.arange(len(spans) + 1)).astype(np.int32)
+    both = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"])
+    return [pa.ListArray.from_arrays(pa.array(edge), both)]
 
 
 def columns_of(docs: DataFrame) -> tuple[str, str, str]:

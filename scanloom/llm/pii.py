@@ -5,7 +5,8 @@ Base matches seed the bootstrap. Every occurrence of a seed or of another identi
 run of ASCII letters, digits and ._@%+- of at least six characters with a digit; a chain of digit groups
 with single blanks, dots, hyphens or brackets between; a string with '@') has lexical patterns: the word
 before, the two words before, and the words on both sides. Patterns and strings are a
-bipartite graph, scored in turns: a pattern scores, for a kind, the share of its distinct strings
+bipartite graph; words reach back 80 code points and ahead 40 at most, so a longer word counts by that
+part. It is scored in turns: a pattern scores, for a kind, the share of its distinct strings
 that are of this kind (seeds count 1, others their confidence) if they weigh at least `support`; a
 string's confidence is 1 minus the product over its patterns of 1 minus their scores; this goes on
 until nothing is new. Strings that begin at one place are one string of a pattern, the longest, but all
@@ -102,23 +103,24 @@ def _blanked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, made).otherwise(text)
 
 
-def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, base, seen): base spans and the occurrences of seeds (kind 0 to 3) and others (-1; -2 if
-    a longer one begins at the same place)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-    free = lambda s: ~F.exists("base", lambda b: (s.start < b.end) & (b.start < s.end))
-    rows = rows.withColumn("rest", _blanked(F.col("text"), F.col("base")))
-    runs = matches(F.col("text"), OTHER, -1, F.rlike("text", F.lit("[0-9]")))
-    chains = F.filter(matches(F.col("rest"), CHAIN, -1, F.rlike("rest", F.lit(CHAIN))), lambda s: F.char_length(s.value) >= 6)
-    names = matches(F.col("rest"), AT, -1, F.contains("rest", F.lit("@")))
-    rows = rows.withColumn("others", F.array_sort(F.filter(F.concat(runs, chains, names), free)))
-    after = lambda i: F.get("others", i + 1)
-    rows = rows.withColumn("others", F.filter("others", lambda s, i: ~F.coalesce((s.start == after(i).start) & (s.end == after(i).end), F.lit(False))))
+def with_base(docs: DataFrame, text_col: str, base: str = "base", key: str = "key", seen: str = "seen") -> DataFrame:
+    """docs with the base spans, a digest of the text, and the occurrences of seeds (kind 0 to 3) and others
+    (-1; -2 if a longer one begins at the same place), under names that docs does not have."""
+    text, rest, others = (free_name(docs, x) for x in ("pii_text", "pii_rest", "pii_others"))
+    rows = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = rows.withColumn(base, base_spans(F.col(text)))
+    free = lambda s: ~F.exists(base, lambda b: (s.start < b.end) & (b.start < s.end))
+    rows = rows.withColumn(rest, _blanked(F.col(text), F.col(base)))
+    runs = matches(F.col(text), OTHER, -1, F.rlike(text, F.lit("[0-9]")))
+    chains = F.filter(matches(F.col(rest), CHAIN, -1, F.rlike(rest, F.lit(CHAIN))), lambda s: F.char_length(s.value) >= 6)
+    names = matches(F.col(rest), AT, -1, F.contains(rest, F.lit("@")))
+    rows = rows.withColumn(others, F.array_sort(F.filter(F.concat(runs, chains, names), free)))
+    after = lambda i: F.get(others, i + 1)
+    rows = rows.withColumn(others, F.filter(others, lambda s, i: ~F.coalesce((s.start == after(i).start) & (s.end == after(i).end), F.lit(False))))
     kind = lambda s, i: F.when(F.coalesce(s.start == after(i).start, F.lit(False)), -2).otherwise(-1)
-    rows = rows.withColumn("others", F.transform("others", lambda s, i: F.struct(s.start.alias("start"), kind(s, i).alias("kind"), s.end.alias("end"), s.value.alias("value"))))
-    seen = F.transform(F.concat("base", "others"), lambda s: _occurrence(F.col("text"), s))
-    return rows.select("id", F.md5("text").alias("key"), "base", seen.alias("seen"))
+    rows = rows.withColumn(others, F.transform(others, lambda s, i: F.struct(s.start.alias("start"), kind(s, i).alias("kind"), s.end.alias("end"), s.value.alias("value"))))
+    found = F.transform(F.concat(base, others), lambda s: _occurrence(F.col(text), s))
+    return rows.withColumn(key, F.md5(text)).withColumn(seen, found).select(*docs.columns, base, key, seen)
 
 
 def discover(found: DataFrame, support: float = 8, precision: float = 0.8, confidence: float = 0.8) -> DataFrame | None:
@@ -170,7 +172,7 @@ def added_spans(found: DataFrame, strings: DataFrame) -> DataFrame:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bootstrap: float) -> DataFrame:
     """One row (id_col, base, spans) per row of docs: arrays of (start, kind, end, value) by start, then
     kind, an index of KINDS. spans is base and what the bootstrap adds."""
-    found = cut(with_base(docs, id_col, text_col), "pii")
+    found = cut(with_base(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").drop("text"), "pii")
     strings = discover(found, **bootstrap)
     rows = found.select(F.col("id").alias(id_col), "key", "base")
     if strings is None:
@@ -202,15 +204,16 @@ def masked(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(text, acc.at + 1, F.char_length(text))))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bootstrap: float) -> DataFrame:
-    """docs, all rows and columns, with personal data in text_col masked (null texts stay null)."""
-    found = cut(with_base(docs, id_col, text_col), "pii")
+def redact(docs: DataFrame, text_col: str = "text", **bootstrap: float) -> DataFrame:
+    """docs, all rows and columns, with personal data in text_col masked (null texts stay null). Texts are
+    searched once: rows and their spans are a table until the patterns are known."""
+    base, key, seen, added = (free_name(docs, x) for x in ("base_spans", "text_key", "seen_spans", "added_spans"))
+    rows = cut(with_base(docs, text_col, base, key, seen), "pii")
+    found = rows.select(F.col(key).alias("key"), F.col(seen).alias("seen"))
     strings = discover(found, **bootstrap)
-    base, key, added = (free_name(docs, x) for x in ("base_spans", "text_key", "added_spans"))
-    rows = docs.withColumn(base, base_spans(F.coalesce(F.col(text_col), F.lit(""))))
     spans = F.col(base)
     if strings is not None:
         more = added_spans(found, strings).select(F.col("key").alias(key), F.col("added").alias(added))
-        rows = rows.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit("")))).join(more, key, "left")
+        rows = rows.join(more, key, "left")
         spans = F.array_sort(F.concat(base, F.coalesce(added, F.array().cast(f"array<{SPAN}>"))))
     return rows.withColumn(text_col, F.when(F.size(spans) > 0, masked(F.col(text_col), spans)).otherwise(F.col(text_col))).select(*docs.columns)

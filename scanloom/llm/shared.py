@@ -3,29 +3,12 @@ columns that clash with nobody's, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a session without it
-    (tests on one machine) a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own[app]
-
+from ..operators.tables import fresh_path
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["components", "cut", "discard", "free_name", "fresh_path", "hex64", "remove"]
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -68,19 +51,21 @@ def hex64(c: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): one row (node, root) per node, root being the smallest
     node reachable. Large-star and small-star rounds in turn; every round is a map-side minimum, a
-    join on the node, and a table in the shared folder, so no node's neighbours meet in one place.
+    join on the node with the table of minima, and a table in the shared folder. The minima have a row a
+    node, so a node with many neighbours skews only the edges' side of the join, which Spark splits.
     Empty edges give an empty table; loops and repeated edges do no harm."""
     spark = edges.sparkSession
     now = cut(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), "stars")
     before = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u AS x", "least(u, m) AS m")
-        large = both.join(least, both.u == least.x).where("v > u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u AS x", "least(u, m) AS m"), "minima")
+        large = cut(both.join(low, both.u == low.x).where("v > u").selectExpr("v AS u", "m AS v").where("u <> v").distinct(), "stars")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x"), "minima")
         small = large.join(least, large.u == least.x).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = cut(small, "stars")
-        discard(now)
+        for old in (now, low, large, least):
+            discard(old)
         now = after
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before or state[0] == 0:

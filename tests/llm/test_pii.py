@@ -64,7 +64,7 @@ def test_redact_keeps_rows_and_columns(spark):
 
 
 def test_native_and_empty(spark):
-    plan = pii.with_base(documents(spark), "doc_id", "text")._jdf.queryExecution().toString()
+    plan = pii.with_base(documents(spark), "text")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert pii.find(documents(spark, [])).collect() == []
     assert len(pii.find(documents(spark)).collect()) == documents(spark).count()
@@ -89,6 +89,52 @@ def test_discovery_goes_on_until_nothing_is_new(spark):
         rows += [(1000 * (k + 1) + i, f"ctx{k} ID{k}-{i:04d} u{k}x{i}", "en", "s", 1) for i in range(10 if k == 0 else 0)]
         rows += [(1000 * (k + 1) + 100 + i, f"ctx{k} ID{k}-{i:04d} v{k}x{i}", "en", "s", 1) for i in range(10 if k else 0)]
         rows += [(1000 * (k + 1) + 200 + i, f"ctx{k + 1} ID{k}-{i:04d} w{k}x{i}", "en", "s", 1) for i in range(10)]
-    found = pii.with_base(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").cache()
+    found = pii.with_base(spark.createDataFrame(rows, SCHEMA), "text").cache()
     known = {r.value: r.kind for r in pii.discover(found, support=2, precision=0.1, confidence=0.1).collect()}
     assert all(known.get(f"ID{k}-{i:04d}") == 3 for k in range(5) for i in range(10))
+
+
+def slow_discover(seen, support, precision, confidence):
+    edges = {}
+    for s in seen:
+        for p in s.patterns:
+            edges[p, s.value] = max(edges.get((p, s.value), -9), s.kind)
+    known, states = {}, set()
+    while True:
+        n, w = {}, {}
+        for (p, v), kind in edges.items():
+            n[p] = n.get(p, 0) + (kind > -2)
+            for k in range(4):
+                more = known[v][1] if kind == -1 and v in known and known[v][0] == k else 0.0
+                w[p, k] = w.get((p, k), 0.0) + (kind == k) + more
+        good = {(p, k): x / n[p] for (p, k), x in w.items() if n[p] and x >= support and x / n[p] >= precision}
+        told = {}
+        for (p, v), kind in edges.items():
+            for k in range(4):
+                if kind < 0 and (p, k) in good:
+                    told[v, k] = told.get((v, k), 1.0) * (1 - min(good[p, k], 0.999))
+        known = {}
+        for (v, k), miss in sorted(told.items(), key=lambda x: x[0][1]):
+            if v not in known or 1 - miss > known[v][1] + 1e-12:
+                known[v] = (k, 1 - miss)
+        state = (len(known), sum(c >= confidence for _, c in known.values()), round(sum(c for _, c in known.values()) / len(known), 4)) if known else None
+        if state is None:
+            return {}
+        if state in states:
+            return {v: x for v, x in known.items() if x[1] >= confidence}
+        states.add(state)
+
+
+def test_scores_against_plain_loops(spark):
+    rng = random.Random(12)
+    ends, rows = ["ok then", "and so on", "thanks"], []
+    for i in range(300):
+        seed = rng.choice([f"+1 (988) 555-{i:04d}", f"user{i}@host.org", f"10.0.{i % 250}.{i % 7}", f"ID-{i % 60:04d}", f"{i % 40:07d}x"])
+        rows.append((i, f"{rng.choice(['call', 'mail', 'see'])} {rng.choice(['now', 'at', 'number:'])} {seed} {rng.choice(ends)}", "en", "s", 1))
+    found = pii.with_base(spark.createDataFrame(rows, SCHEMA), "text").cache()
+    seen = [s for r in found.collect() for s in r.seen]
+    for support, precision, confidence in ((3, 0.2, 0.5), (8, 0.3, 0.6), (2, 0.6, 0.8)):
+        made = pii.discover(found, support=support, precision=precision, confidence=confidence)
+        got = {} if made is None else {r.value: (r.kind, round(r.confidence, 6)) for r in made.collect()}
+        assert got == {v: (k, round(c, 6)) for v, (k, c) in slow_discover(seen, support, precision, confidence).items()}
+        assert got or support == 2
