@@ -62,8 +62,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of documents are source/lang/doc_id."""
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """Documents as files: every fourth in source/lang, others one or two directories below."""
+    below = F.expr("CASE WHEN doc_id % 4 = 1 THEN concat('/', doc_id div 256) WHEN doc_id % 4 = 0 THEN '' ELSE concat('/', doc_id div 256, '/', doc_id div 32) END")
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.coalesce(below, F.lit("")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     made = licenses.scan(_table(spark, sf_dir, "documents"), path)
     return made.select("doc_id", "license", F.round("cosine", 6).alias("cosine"), "origin", "inherited_from")
 

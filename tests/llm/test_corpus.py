@@ -148,6 +148,24 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, []), F.col("source")).collect() == []
 
 
+def test_license_files_and_ancestors(spark):
+    """Whole license texts with a holder filled in, wrapped anew, and cut short; a long text and repeated rows."""
+    full = licenses.license_texts()
+    mit = full["MIT"].replace("<year>", "2020").replace("<copyright holders>", "A. Person and others")
+    rows = [
+        (1, mit.replace("\n", " ").replace(" the ", "\nthe "), "top", "LICENSE", 1), (2, full["GPL-3.0"], "top/sub", "COPYING", 1), (3, full["BSD-3-Clause"][200:], "top/sub/deep", "LICENSE.txt", 1),
+        (4, "no word of it", "top", "a", 1), (5, "no word of it", "top/sub/other", "b", 1), (6, None, "top/sub/deep/er", "c", 1), (7, "no word of it", "else", "d", 1), (7, "no word of it", "else", "d", 1),
+        (8, "the stones and the rivers of it. " * 4000 + "\nLicensed under CC BY 4.0\n", "top", "e", 1), (9, full["Apache-2.0"], "x", "f", 1), (10, full["GPL-3.0"], "x", "g", 1), (11, full["GPL-3.0"], "x", "h", 1), (12, "", "x", "i", 1),
+        (13, full["MPL-2.0"], "tie", "j", 1), (14, full["CC0-1.0"], "tie", "k", 1), (15, "?", "tie", "l", 1),
+    ]
+    got = [(r.doc_id, r.license, r.origin, r.inherited_from) for r in licenses.scan(documents(spark, rows, True), F.concat_ws("/", "lang", "source")).collect()]
+    by = {g[0]: g[1:] for g in got}
+    assert len(got) == len(rows) and got.count((7, None, "none", None)) == 2
+    assert [by[i] for i in (1, 2, 3)] == [("MIT", "file", None), ("GPL-3.0", "file", None), ("BSD-3-Clause", "file", None)]
+    assert by[4] == ("MIT", "inherited", "top") and by[5] == ("GPL-3.0", "inherited", "top/sub") and by[6] == ("BSD-3-Clause", "inherited", "top/sub/deep")
+    assert by[8][:2] == ("CC-BY-4.0", "own") and by[12] == ("GPL-3.0", "inherited", "x") and by[15] == ("CC0-1.0", "inherited", "tie")
+
+
 def _toxic(n=240, seed=2):
     rng = random.Random(seed)
     plain = ["stone", "river", "walks", "evening", "green", "letters", "under", "paper", "quiet", "window"]
