@@ -202,17 +202,37 @@ def rigid_transforms(pairs: DataFrame) -> DataFrame:
     return r.select("key", "r", t.alias("t"))
 
 
-def ground_planes(points: DataFrame, least: int = 500, near: float = 0.05, cosine: float = 0.9) -> DataFrame:
+def plane_clusters(points: DataFrame, least: int = 500, near: float = 0.05, cosine: float = 0.9) -> DataFrame:
     """(scan_id, nx, ny, nz, offset, n): points (with normals nx, ny, nz) clustered by rounded normal and
-    offset instead of one after another; small clusters go; the best upward one of each scan."""
+    offset instead of one after another; clusters of fewer than `least` go."""
     step = math.sqrt(2 * (1 - cosine))
     off = F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z")
     p = points.withColumn("off", off)
     cell = [F.round(F.col(c) / step).alias(f"_{c}") for c in ("nx", "ny", "nz")] + [F.round(F.col("off") / near).alias("_o")]
-    g = p.select("*", *cell).groupBy("scan_id", "_nx", "_ny", "_nz", "_o").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in ("nx", "ny", "nz")), F.avg("off").alias("offset")).where(F.col("n") >= least)
-    up = g.where("nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.8")
-    best = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.asc("offset"), F.desc("n")))
-    return up.withColumn("_k", best).where("_k = 1").select("scan_id", "nx", "ny", "nz", "offset", "n")
+    g = p.select("*", *cell).groupBy("scan_id", "_nx", "_ny", "_nz", "_o").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in ("nx", "ny", "nz")), F.avg("off").alias("offset"))
+    return g.where(F.col("n") >= least).select("scan_id", "nx", "ny", "nz", "offset", "n")
+
+
+def largest(clusters: DataFrame, top: int) -> DataFrame:
+    """The `top` clusters of each scan by size; of equal ones those with the lower offset, then normal."""
+    place = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("n"), "offset", "nx", "ny", "nz"))
+    return clusters.withColumn("_k", place).where(F.col("_k") <= top).drop("_k")
+
+
+def bounding(clusters: DataFrame, points: DataFrame, margin: float = 0.1, behind: int = 100) -> DataFrame:
+    """clusters with at most `behind` points of their scan further than `margin` behind the plane. A scan
+    has few clusters (each of many points), so a point meets few and counts are summed before they move."""
+    planes = clusters.groupBy("scan_id").agg(F.collect_list(F.struct(*(c for c in clusters.columns if c != "scan_id"))).alias("c"))
+    met = points.select("scan_id", "x", "y", "z").join(planes, "scan_id").select("scan_id", "x", "y", "z", F.explode("c").alias("c"))
+    side = F.col("c.nx") * F.col("x") + F.col("c.ny") * F.col("y") + F.col("c.nz") * F.col("z") - F.col("c.offset")
+    return met.groupBy("scan_id", "c").agg(F.count_if(side < -margin).alias("b")).where(F.col("b") <= behind).select("scan_id", "c.*").select(*clusters.columns)
+
+
+def ground_planes(points: DataFrame, least: int = 500, near: float = 0.05, cosine: float = 0.9, margin: float = 0.1, behind: int = 100) -> DataFrame:
+    """(scan_id, nx, ny, nz, offset, n): of each scan the largest plane that looks up (0.8 of its normal)
+    and has hardly anything behind it."""
+    c = bounding(plane_clusters(points, least, near, cosine), points, margin, behind)
+    return largest(c.where("nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.8"), 1)
 
 
 def column_samples(voxels: DataFrame, reach: int = 15, levels: int = 62, extent: tuple[int, int] = (0, 0)) -> DataFrame:
@@ -248,20 +268,31 @@ def calibrated_depth(depth: DataFrame, colour: DataFrame, lut: DataFrame, cells:
     return seen.join(black, ["scan_id", "frame_id", "y", "x"], "left_anti")
 
 
-def aligned(points: DataFrame, up: DataFrame, scans: DataFrame) -> DataFrame:
-    """points of scans that are processed, valid and not aligned yet (scan_id and these flags), turned so
-    that the scan's up-vector (scan_id, ux, uy, uz) is z, then by the angle of the least ground area, then
-    moved into the positive quadrant."""
-    todo = scans.where("processed AND valid AND NOT aligned").select("scan_id")
-    j = points.join(todo, "scan_id", "left_semi").join(up, "scan_id")
-    # rotation that takes u to z: about u x z, as 1 + [v] + [v]^2 / (1 + cos)
+def _to_up(rows: DataFrame, groups: list[tuple[str, str, str]]) -> DataFrame:
+    """rows with each triple of columns turned by the rotation that takes (ux, uy, uz) to z: about u x z,
+    as 1 + [v] + [v]^2 / (1 + cos)."""
     vx, vy, c = F.col("uy"), -F.col("ux"), F.col("uz")
     f = F.when(c > -1 + 1e-9, 1 / (1 + c)).otherwise(0.0)
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    rx = (1 - f * vy * vy) * x + f * vx * vy * y + vy * z
-    ry = f * vx * vy * x + (1 - f * vx * vx) * y - vx * z
-    rz = -vy * x + vx * y + (1 - f * (vx * vx + vy * vy)) * z
-    turned = j.withColumns({"_x": rx, "_y": ry, "_z": rz}).withColumns({"x": F.col("_x"), "y": F.col("_y"), "z": F.col("_z")}).select(*points.columns)
+    made = {}
+    for names in groups:
+        x, y, z = map(F.col, names)
+        made |= {names[0]: (1 - f * vy * vy) * x + f * vx * vy * y + vy * z, names[1]: f * vx * vy * x + (1 - f * vx * vx) * y - vx * z, names[2]: -vy * x + vx * y + (1 - f * (vx * vx + vy * vy)) * z}
+    return rows.withColumns(made)
+
+
+def aligned(points: DataFrame, up: DataFrame, scans: DataFrame, least: int = 500) -> DataFrame:
+    """points of scans that are processed, valid and not aligned yet (scan_id and these flags), turned so
+    that the scan's up-vector (scan_id, ux, uy, uz) is z; if they have normals (nx, ny, nz), so that the
+    normal of the ground plane then found is z (scans without one stay); then by the angle of the least
+    ground area, then moved into the positive quadrant."""
+    todo = scans.where("processed AND valid AND NOT aligned").select("scan_id")
+    groups = [("x", "y", "z")] + ([("nx", "ny", "nz")] if {"nx", "ny", "nz"} <= set(points.columns) else [])
+    turned = _to_up(points.join(todo, "scan_id", "left_semi").join(up, "scan_id"), groups).select(*points.columns)
+    if len(groups) > 1:
+        size = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+        floor = ground_planes(turned, least).select("scan_id", *((F.col(f"n{c}") / size).alias(f"u{c}") for c in "xyz"))
+        found = turned.join(floor, "scan_id", "left").withColumns({"ux": F.coalesce("ux", F.lit(0.0)), "uy": F.coalesce("uy", F.lit(0.0)), "uz": F.coalesce("uz", F.lit(1.0))})
+        turned = _to_up(found, groups).select(*points.columns)
     a = turned.join(oriented_box(turned).select("scan_id", "angle"), "scan_id")
     ca, sa = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
     flat = a.withColumns({"_x": F.col("x") * ca - F.col("y") * sa, "_y": F.col("x") * sa + F.col("y") * ca}).withColumns({"x": F.col("_x"), "y": F.col("_y")})

@@ -61,6 +61,12 @@ def facet_values(index: DataFrame, column: str, include: list[str] = ()) -> Data
     return values.unionByName(more).where("value IS NOT NULL AND value <> ''").distinct().orderBy("value")
 
 
+def visible(index: DataFrame, hidden: list[str]) -> DataFrame:
+    """index as it is read from outside: without the hidden fields (case aside; unknown ones do no harm)."""
+    gone = {h.lower() for h in hidden}
+    return index.select(*(F.col(f"`{c}`") for c in index.columns if c.lower() not in gone))
+
+
 def derived(index: DataFrame) -> DataFrame:
     """modelId, numColorFrames with its fallback, scanSecs at 30 frames a second, floorAreaRatio."""
     frames = F.coalesce("numColorFrames", "numTransforms")

@@ -133,3 +133,31 @@ def src20_src13_score_files(spark: SparkSession, d: str) -> DataFrame:
     path = tb.fresh_path(spark, "scores")
     fl.write_scores(b.table(spark, d, "part").selectExpr("p_partkey AS label_id", "CASE WHEN p_partkey % 4 > 0 THEN p_partkey / 8.0D END AS ap"), path)
     return spark.read.csv(path, header=True, nullValue="nan", schema="label_id bigint, ap double")
+
+
+def _in_order(lines: DataFrame) -> DataFrame:
+    """Lines (scan_id, line_no, value) as text files want them: a scan's in one place, in order."""
+    return lines.repartition("scan_id").sortWithinPartitions("scan_id", "line_no").select("scan_id", "value")
+
+
+@query("SELECT p_type AS key, arg_max(p_partkey::varchar, ((p_partkey // 512)::varchar, p_partkey)) AS target FROM part GROUP BY 1")
+def src6_label_map(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as label maps of 512 rows each, with a header line and a column that is not asked for."""
+    p = b.table(spark, d, "part").selectExpr("p_partkey div 512 AS scan_id", "p_partkey AS line_no", "concat_ws('\t', p_size, p_type, p_partkey) AS value")
+    head = p.select("scan_id").distinct().selectExpr("scan_id", "-1 AS line_no", "concat_ws('\t', 'size', 'raw_category', 'id') AS value")
+    return fl.read_label_map(spark, _round_trip(spark, _in_order(p.union(head)), "labels"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer")
+def src7_scene_types(spark: SparkSession, d: str) -> DataFrame:
+    lines = b.table(spark, d, "customer").selectExpr("c_custkey div 512 AS scan_id", "concat(c_custkey, '\t ', c_name, '  ') AS value")
+    return fl.read_scene_types(spark, _round_trip(spark, lines, "types")).select("id", "name")
+
+
+@query("SELECT s_suppkey AS scan_id, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey + 0.25 END AS first, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey * 15.0 + 0.25 END AS last FROM supplier")
+def src23_matrices(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as alignments of three header lines and four rows of four; every seventh lacks a row."""
+    row = "concat_ws('  ', transform(sequence(4 * (n - 3), 4 * (n - 3) + 3), i -> s_suppkey * if(i = 0, 1, i) + 0.25D))"
+    lines = b.table(spark, d, "supplier").selectExpr("s_suppkey", "explode(sequence(0, if(s_suppkey % 7 > 0, 6, 5))) AS n").selectExpr("s_suppkey AS scan_id", "n AS line_no", f"if(n < 3, 'header', {row}) AS value")
+    m = fl.read_matrices(spark, _round_trip(spark, _in_order(lines), "poses"), skip_lines=3)
+    return m.select(F.regexp_extract("path", r"scan_id=(\d+)", 1).cast("bigint").alias("scan_id"), F.col("matrix")[0].alias("first"), F.col("matrix")[15].alias("last"))

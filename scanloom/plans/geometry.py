@@ -185,11 +185,24 @@ def agg34_rigid_transform(spark: SparkSession, d: str) -> DataFrame:
     return r.select("key", n("r", 0), n("r", 1), n("r", 3), n("r", 8), n("t", 0), n("t", 1), n("t", 2))
 
 
-@query("WITH p AS (SELECT l_orderkey % 4 AS scan_id, floor(l_extendedprice / 30000)::int AS o FROM lineitem WHERE l_partkey % 5 > 0), g AS (SELECT scan_id, o, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 500) SELECT scan_id, min(o) AS \"offset\", arg_min(n, o) AS n FROM g GROUP BY 1")
-def geo14_ground_planes(spark: SparkSession, d: str) -> DataFrame:
+_LEVELS = "a AS (SELECT l_orderkey % 4 AS scan_id, floor(l_extendedprice / 30000)::int AS o, l_partkey % 5 > 0 AS up FROM lineitem), g AS (SELECT scan_id, o, count(*) AS n FROM a WHERE up GROUP BY ALL)"
+
+
+def _level_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points on level planes, four in five with their normal up, the others with it along x."""
     up = "CASE WHEN l_partkey % 5 > 0 THEN 1D ELSE 0D END"
-    p = b.table(spark, d, "lineitem").selectExpr("l_orderkey % 4 AS scan_id", "CASE WHEN l_partkey % 5 > 0 THEN 0D ELSE 1D END AS nx", "0D AS ny", f"{up} AS nz", "-1D AS x", "0D AS y", "floor(l_extendedprice / 30000) AS z")
-    return ge.ground_planes(p).select("scan_id", F.round("offset").cast("int").alias("offset"), "n")
+    return b.table(spark, d, "lineitem").selectExpr("l_orderkey % 4 AS scan_id", "CASE WHEN l_partkey % 5 > 0 THEN 0D ELSE 1D END AS nx", "0D AS ny", f"{up} AS nz", "-1D AS x", "0D AS y", "floor(l_extendedprice / 30000) AS z")
+
+
+@query(f"WITH {_LEVELS}, k AS (SELECT g.scan_id, g.o, any_value(g.n) AS n FROM g LEFT JOIN a ON a.scan_id = g.scan_id AND a.o < g.o WHERE g.n >= 200 GROUP BY ALL HAVING count(a.o) <= 3000) SELECT scan_id, arg_max(o, (n, -o)) AS \"offset\", max(n) AS n FROM k GROUP BY 1")
+def geo14_ground_planes(spark: SparkSession, d: str) -> DataFrame:
+    return ge.ground_planes(_level_points(spark, d), 200, behind=3000).select("scan_id", F.round("offset").cast("int").alias("offset"), "n")
+
+
+@query(f"WITH {_LEVELS} SELECT scan_id, o AS \"offset\", n FROM g QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, o) <= 2")
+def srt6_largest_clusters(spark: SparkSession, d: str) -> DataFrame:
+    up = _level_points(spark, d).where("nz > 0")
+    return ge.largest(ge.plane_clusters(up, 1), 2).select("scan_id", F.round("offset").cast("int").alias("offset"), "n")
 
 
 @query("WITH v AS (SELECT DISTINCT l_partkey % 40 AS ix, l_suppkey % 40 AS iy, l_linenumber AS iz FROM lineitem), c AS (SELECT DISTINCT ix AS cx, iy AS cy FROM v WHERE ix BETWEEN 15 AND 24 AND iy BETWEEN 15 AND 24) SELECT cx, cy, count(*) AS n, sum(iz * (ix - cx)) AS checksum FROM c JOIN v ON abs(ix - cx) <= 15 AND abs(iy - cy) <= 15 GROUP BY ALL")

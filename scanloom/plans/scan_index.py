@@ -44,6 +44,12 @@ def flt8_column_filter(spark: SparkSession, d: str) -> DataFrame:
     return ix.column_filter(b.scan_index(spark, d), "userName", "AN").select("id", "userName")
 
 
+@query(f"WITH {b.INDEX_SQL} SELECT id, num, deviceId, sceneType FROM scans")
+def prj8_visible_fields(spark: SparkSession, d: str) -> DataFrame:
+    scans = b.scan_index(spark, d).select("id", "num", "deviceId", "sceneType", "path", "userName")
+    return ix.visible(scans, ["PATH", "userName", "password"])
+
+
 @query(f"WITH {b.INDEX_SQL} SELECT id, grp || '.' || id AS modelId, coalesce(numColorFrames, numTransforms) AS numColorFrames, round(coalesce(numColorFrames, numTransforms) / 30.0, 6) AS scanSecs, round(floorArea / nullif(floorAreaFilled, 0), 6) AS floorAreaRatio FROM scans")
 def prj7_derived_fields(spark: SparkSession, d: str) -> DataFrame:
     out = ix.derived(b.scan_index(spark, d))
