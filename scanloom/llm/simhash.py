@@ -266,15 +266,16 @@ def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, firsts: int = 16) -> DataFrame:
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, firsts: int = 16, leaders: int = 2) -> DataFrame:
     """The rows of docs, all columns, of which each class of texts linked by a Jaccard similarity of
     `similarity` or more keeps one: that with the smallest id (nulls last; among equal ids the first as
     read). Texts with equal sets of shingles are one; texts without words too.
 
     Pairs at 0.8 differ in up to 11 bits of a SimHash, where the trie prunes nothing; candidates are
-    therefore those that share a MinHash band, and each is confirmed by its exact similarity. A text is
-    compared with the `firsts` smallest of each of its bands' buckets, that is with all of a bucket of up
-    to firsts + 1 texts, so a large group costs rows in proportion to its size."""
+    therefore those that share a MinHash band, and each is confirmed by its exact similarity. In a bucket
+    of up to firsts + 1 texts all are compared. In a larger one all are compared with the `leaders`
+    smallest; those that none of these links to go on among themselves, until none is left or each has met
+    `firsts` leaders. So a large group costs rows in proportion to its size."""
     row, same, keys = (free_name(docs, x) for x in ("row", "same", "keys"))
 
     def start():
@@ -285,24 +286,47 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         return make
 
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     made = cut(with_columns(numbered, text_col, [(same, "string"), (keys, "array<bigint>")], start), "shingles")
     rows = made.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(same).alias("same"))
     of = cut(rows.groupBy("same").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")), "texts")
     one = of.select(F.col("first.row").alias(row))
     texts = made.join(one, row, "left_semi").select(F.col(row).alias("node"), F.col(text_col).cast("binary").alias("text"), F.col(keys).alias("keys"))
-    bands = cut(texts.select("node", F.explode("keys").alias("key")), "bands")
-    order = Window.partitionBy("key").orderBy("node")
-    least = bands.withColumn("k", F.row_number().over(order)).where(F.col("k") <= firsts).select("key", F.col("node").alias("u"))
-    pairs = cut(bands.join(least, "key").where("u < node").select("u", F.col("node").alias("v")).distinct(), "pairs")
-    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+        return cut(both.select("u", "v", "a", "b").mapInArrow(confirm, "u bigint, v bigint"), "links")
+
+    def led(some: DataFrame, most: int) -> DataFrame:
+        """(key, u, v): the texts of each bucket with its `most` smallest ones."""
+        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        least = some.withColumn("k", place).where(F.col("k") <= most).select("key", F.col("node").alias("u"))
+        return some.join(least, "key").where("u < node").select("key", "u", F.col("node").alias("v"))
 
-    roots = components(both.select("u", "v", "a", "b").mapInArrow(confirm, "u bigint, v bigint"))
+    bands = cut(texts.select("node", F.explode("keys").alias("key")), "bands")
+    large = cut(bands.groupBy("key").count().where(F.col("count") > firsts + 1).select("key"), "large")
+    left = cut(bands.join(large, "key", "left_semi").select("node", "key"), "left")
+    met = cut(led(left, leaders), "met")
+    pairs = led(bands.join(large, "key", "left_anti"), firsts).select("u", "v").union(met.select("u", "v"))
+    links = confirmed(cut(pairs.distinct(), "pairs"))
+    found = [links]
+    for _ in range(firsts // leaders - 1):
+        linked = met.join(links, ["u", "v"]).select("key", F.col("v").alias("node"))
+        left = cut(left.join(linked.union(met.select("key", F.col("u").alias("node"))).distinct(), ["key", "node"], "left_anti").select("node", "key"), "left")
+        met = cut(led(left, leaders), "met")
+        if met.isEmpty():
+            break
+        links = confirmed(cut(met.select("u", "v").distinct(), "pairs"))
+        found.append(links)
+    every = found[0]
+    for links in found[1:]:
+        every = every.union(links)
+    roots = components(every)
     named = of.join(roots, F.col("first.row") == roots.node, "left").select("first", F.coalesce("root", "first.row").alias("root"))
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return made.join(kept, row, "left_semi").select(*docs.columns)

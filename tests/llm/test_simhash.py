@@ -126,6 +126,15 @@ def test_stage_drops_near_copies(spark):
     assert corpus_pipeline.near_dedup(spark, documents(spark, []), None).collect() == []
 
 
+def test_large_buckets_of_several_classes(spark):
+    """Forty copies each of three texts that share half of their words with one another."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[:140] + [f"t{k}x{i}" for i in range(60)]) for k in range(3)]
+    rows = [(100 * k + i, f"{t} end{i}", "en", "s", 1) for k, t in enumerate(texts) for i in range(40)]
+    assert 0.4 < simhash.jaccard(texts[0].encode(), texts[1].encode(), 5) < 0.8
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(documents(spark, rows)).collect()) == [0, 100, 200]
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
     assert simhash.keep_one(documents(spark, [])).collect() == []
