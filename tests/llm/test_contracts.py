@@ -149,3 +149,52 @@ def test_op10(spark, tables):
 def test_op7(spark, tables):
     got = rows_of(spark, tables, "op7_license_scan", ["doc_id", "license", "cosine", "origin", "inherited_from"])
     assert sorted((g[0] for g in got), key=repr) == sorted((r[0] for r in ROWS), key=repr) and {g[3] for g in got} <= {"own", "file", "inherited", "none"}
+
+
+def test_pipeline_against_plain_stages(spark, tables, tmp_path):
+    """Without labels of both classes nothing is toxic; the other four stages in plain loops."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from scanloom.llm import simhash
+
+    d = tmp_path / "sf"
+    d.mkdir()
+    for name in ("documents", "benchmark"):
+        (d / f"{name}.parquet").symlink_to(f"{tables}/{name}.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    got = sorted(((r.doc_id, r.lang, r.source, bytes(r.token_ids), r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(d)).collect()), key=repr)
+
+    root = list(range(len(ROWS)))
+    for i in range(len(ROWS)):
+        for j in range(i):
+            if root[i] != root[j] and simhash.jaccard(utf8(ROWS[i][1]), utf8(ROWS[j][1]), 5) >= 0.8:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    kept = []
+    for c in set(root):
+        ids = [ROWS[k][0] for k in range(len(ROWS)) if root[k] == c]
+        kept.append(min((i for i in ids if i is not None), default=None))
+    bench = decontaminate.matchers([t.encode() if t else None for _, t in BENCH], 13)
+    t = Tokenizer.from_file(queries.vocabulary_path())
+    t.no_truncation()
+    t.no_padding()
+    want, by = [], {}
+    for row in ROWS:
+        by.setdefault(row[0], row)
+    for i in kept:
+        text = next(r[1] for r in ROWS if r[0] is None and r[1]) if i is None else by[i][1]
+        words = decontaminate.words_of(text.encode() if text else None)
+        hit = sum(e - s for s, e in decontaminate.search(words, bench)[0])
+        if hit and 20 * hit >= len(words):
+            continue
+        clean, at = [], 0
+        for s, kind, e in slow(text or ""):
+            if s >= at:
+                clean += [(text or "")[at:s], f"[{pii.KINDS[kind].upper()}]"]
+                at = e
+        clean.append((text or "")[at:])
+        ids = t.encode("".join(clean), add_special_tokens=False).ids
+        row = next(r for r in ROWS if r[0] is None and r[1]) if i is None else by[i]
+        want.append((i, row[2], row[3], np.array(ids, "<u4").tobytes(), len(ids), sha("".join(clean).encode())))
+    assert [(g[0], g[4]) for g in got] == [(w[0], w[4]) for w in sorted(want, key=repr)]
+    assert got == sorted(want, key=repr)
