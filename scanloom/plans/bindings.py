@@ -14,12 +14,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def label_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(pred, gt) labels of vertices: orders as vertices of eight scans."""
-    o = table(spark, d, "orders").selectExpr("o_custkey % 8 AS scan_id", "o_orderkey AS vertex_id", "o_orderkey % 41 AS gt", "CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey % 41 ELSE o_custkey % 41 END AS pred")
+    """(pred, gt) labels of vertices: orders as vertices, a scan for 64 customers."""
+    o = table(spark, d, "orders").selectExpr("o_custkey div 64 AS scan_id", "o_orderkey AS vertex_id", "o_orderkey % 41 AS gt", "CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey % 41 ELSE o_custkey % 41 END AS pred")
     return o.select("scan_id", "vertex_id", F.col("pred").alias("value")), o.select("scan_id", "vertex_id", F.col("gt").alias("value"))
 
 
-LABELS_SQL = "SELECT o_custkey % 8 AS scan_id, o_orderkey AS vertex_id, o_orderkey % 41 AS gt, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey % 41 ELSE o_custkey % 41 END AS pred FROM orders"
+LABELS_SQL = "SELECT o_custkey // 64 AS scan_id, o_orderkey AS vertex_id, o_orderkey % 41 AS gt, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey % 41 ELSE o_custkey % 41 END AS pred FROM orders"
 
 _CLASS = f"element_at(array({', '.join(map(str, INSTANCE_CLASSES))}), cast(%s %% 6 AS int) + 1)"
 
@@ -43,16 +43,16 @@ preds AS (SELECT DISTINCT scan_id, k AS pred_id, {_CLASS_SQL % 'k'} AS label_id,
 
 def segmentation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(segments, groups): orders as vertices in fifty segments a scan; parts as groups of segments."""
-    segments = table(spark, d, "orders").selectExpr("o_custkey % 8 AS scan_id", "o_orderkey AS vertex_id", "o_orderkey % 50 AS seg_id")
+    segments = table(spark, d, "orders").selectExpr("o_custkey div 64 AS scan_id", "o_orderkey AS vertex_id", "o_orderkey % 50 AS seg_id")
     groups = table(spark, d, "part").selectExpr(
-        "p_partkey % 8 AS scan_id", "p_partkey div 8 AS group_pos", "p_partkey div 8 AS id", "p_partkey div 8 AS object_id",
+        "p_partkey div 64 AS scan_id", "p_partkey % 64 AS group_pos", "p_partkey % 64 AS id", "p_partkey % 64 AS object_id",
         "CASE WHEN p_partkey % 11 = 0 THEN 'unknown' WHEN p_partkey % 13 = 0 THEN '' ELSE p_type END AS label", "array(p_partkey % 47, (p_partkey * 7) % 47, (p_partkey * 3) % 53) AS segments",
     )
     return segments, groups
 
 
-SEGMENTATION_SQL = """segments AS (SELECT o_custkey % 8 AS scan_id, o_orderkey AS vertex_id, o_orderkey % 50 AS seg_id FROM orders),
-grp AS (SELECT p_partkey % 8 AS scan_id, p_partkey // 8 AS group_pos, CASE WHEN p_partkey % 11 = 0 THEN 'unknown' WHEN p_partkey % 13 = 0 THEN '' ELSE p_type END AS label, [p_partkey % 47, (p_partkey * 7) % 47, (p_partkey * 3) % 53] AS segments FROM part)"""
+SEGMENTATION_SQL = """segments AS (SELECT o_custkey // 64 AS scan_id, o_orderkey AS vertex_id, o_orderkey % 50 AS seg_id FROM orders),
+grp AS (SELECT p_partkey // 64 AS scan_id, p_partkey % 64 AS group_pos, CASE WHEN p_partkey % 11 = 0 THEN 'unknown' WHEN p_partkey % 13 = 0 THEN '' ELSE p_type END AS label, [p_partkey % 47, (p_partkey * 7) % 47, (p_partkey * 3) % 53] AS segments FROM part)"""
 
 
 def label_map(spark: SparkSession, d: str) -> DataFrame:

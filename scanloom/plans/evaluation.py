@@ -63,7 +63,7 @@ def agg36_matrix_total(spark: SparkSession, d: str) -> DataFrame:
     return _matrix(spark, d).agg(F.sum("n").alias("pixels"))
 
 
-@query("SELECT o_custkey % 8 AS scan_id, count(*) FILTER (o_orderkey % 10 = 3) AS missing, count(*) FILTER (o_orderkey % 10 = 7) AS extra FROM orders GROUP BY 1")
+@query("SELECT o_custkey // 64 AS scan_id, count(*) FILTER (o_orderkey % 10 = 3) AS missing, count(*) FILTER (o_orderkey % 10 = 7) AS extra FROM orders GROUP BY 1")
 def jn6_mismatch_report(spark: SparkSession, d: str) -> DataFrame:
     pred, gt = b.label_pairs(spark, d)
     return ev.mismatch(pred.where("vertex_id % 10 <> 3"), gt.where("vertex_id % 10 <> 7"), ["scan_id", "vertex_id"])

@@ -39,10 +39,10 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
     o = b.table(spark, d, "orders")
     k = F.col("o_orderkey") % 9
     value = F.concat(F.when(k == 1, "/abs").when(k == 2, "../up").otherwise("mask"), F.lit("/"), "o_orderkey", F.lit(" "), F.when(k == 3, "chair").otherwise(F.format_string("%d.0", F.col("o_orderkey") % 40)), F.lit(" "), F.when(k == 4, "0.5 more").otherwise("0.25"))
-    return o.select(F.expr("o_custkey % 8").alias("scan_id"), F.col("o_orderkey").alias("line_no"), value.alias("value"))
+    return o.select(F.expr("o_custkey div 64").alias("scan_id"), F.col("o_orderkey").alias("line_no"), value.alias("value"))
 
 
-@query("SELECT o_custkey % 8 AS scan_id, o_orderkey AS pred_id, 'mask/' || o_orderkey AS mask, o_orderkey % 40 AS label_id, 0.25::double AS conf FROM orders WHERE o_orderkey % 9 NOT IN (1, 2, 3, 4)")
+@query("SELECT o_custkey // 64 AS scan_id, o_orderkey AS pred_id, 'mask/' || o_orderkey AS mask, o_orderkey % 40 AS label_id, 0.25::double AS conf FROM orders WHERE o_orderkey % 9 NOT IN (1, 2, 3, 4)")
 def src10_prediction_list(spark: SparkSession, d: str) -> DataFrame:
     return fl.prediction_list(_predictions(spark, d))[0]
 
@@ -65,7 +65,7 @@ def _round_trip(spark: SparkSession, text: DataFrame, name: str) -> str:
     return path
 
 
-@query("SELECT o_custkey % 8 AS scan_id, row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) - 1 AS vertex_id, o_orderkey % 41 AS id FROM orders")
+@query("SELECT o_custkey // 64 AS scan_id, row_number() OVER (PARTITION BY o_custkey // 64 ORDER BY o_orderkey) - 1 AS vertex_id, o_orderkey % 41 AS id FROM orders")
 def src1_src2_id_files(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every scan written as one text file each, read back by line number."""
     ids, path = b.label_pairs(spark, d)[1].withColumnRenamed("value", "id"), tb.fresh_path(spark, "ids")
@@ -100,15 +100,16 @@ def src14_tree_sizes(spark: SparkSession, d: str) -> DataFrame:
     return fl.tree_sizes(f).select("dir", "files", F.round("size", 2).alias("size"))
 
 
-@query(f"WITH {b.PIXELS_SQL} SELECT count(DISTINCT frame_key) AS images, count(DISTINCT (frame_key, instance)) AS segments FROM px")
+@query(f"""WITH {b.PIXELS_SQL}, s AS (SELECT frame_key, instance, count(*) AS area FROM px GROUP BY ALL), f AS (SELECT frame_key, count(*) AS n, sum(area * (instance + 1)) AS areas FROM s GROUP BY 1)
+SELECT 'images' AS part, frame_key AS id, NULL::bigint AS segments, NULL::bigint AS areas FROM f UNION ALL SELECT 'annotations', frame_key, n, areas::bigint FROM f UNION ALL SELECT 'categories', r_regionkey, NULL, NULL FROM region""")
 def src21_panoptic_document(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.pixels import panoptic_segments
 
     cats = b.table(spark, d, "region").selectExpr("r_regionkey AS id", "r_name AS name")
-    doc = fl.panoptic_document(panoptic_segments(b.pixels(spark, d)), cats)
-    kind = "images array<struct<id:bigint>>, annotations array<struct<image_id:bigint,segments_info:array<struct<area:bigint>>>>"
-    j = doc.select(F.from_json("value", kind).alias("j"))
-    return j.select(F.size("j.images").alias("images"), F.aggregate("j.annotations", F.lit(0), lambda a, x: a + F.size(x["segments_info"])).alias("segments"))
+    lines = fl.panoptic_records(panoptic_segments(b.pixels(spark, d)), cats)
+    j = lines.select("part", F.from_json("value", "id bigint, image_id bigint, segments_info array<struct<instance:bigint,area:bigint>>").alias("j"))
+    areas = F.aggregate("j.segments_info", F.lit(0).cast("bigint"), lambda a, x: a + x.area * (x.instance + 1))
+    return j.select("part", F.coalesce("j.id", "j.image_id").alias("id"), F.when(F.col("part") == "annotations", F.size("j.segments_info").cast("bigint")).alias("segments"), areas.alias("areas"))
 
 
 @query("SELECT p_size AS key, p_partkey % 20 AS target FROM part WHERE p_partkey > 0 AND p_partkey < (SELECT min(p_partkey) FROM part WHERE p_partkey > 0 AND p_partkey % 97 = 0)")

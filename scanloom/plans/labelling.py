@@ -113,9 +113,9 @@ def agg33_panoptic_segments(spark: SparkSession, d: str) -> DataFrame:
     return px.panoptic_segments(b.pixels(spark, d).where("label <> 3"))
 
 
-@query("SELECT o_custkey % 8 AS scan_id, row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_custkey % 29) - 1 AS pred_id, o_custkey % 29 AS instance, arg_min(o_orderkey % 17, o_orderkey) AS label_id, 1.0::double AS conf FROM orders WHERE o_custkey % 29 <> 0 GROUP BY 1, 3")
+@query("SELECT o_custkey // 64 AS scan_id, row_number() OVER (PARTITION BY o_custkey // 64 ORDER BY o_custkey % 29) - 1 AS pred_id, o_custkey % 29 AS instance, arg_min(o_orderkey % 17, o_orderkey) AS label_id, 1.0::double AS conf FROM orders WHERE o_custkey % 29 <> 0 GROUP BY 1, 3")
 def src22_export_instances(spark: SparkSession, d: str) -> DataFrame:
-    ids = b.table(spark, d, "orders").selectExpr("o_custkey % 8 AS scan_id", "o_orderkey AS vertex_id", "o_orderkey % 17 AS label", "o_custkey % 29 AS instance")
+    ids = b.table(spark, d, "orders").selectExpr("o_custkey div 64 AS scan_id", "o_orderkey AS vertex_id", "o_orderkey % 17 AS label", "o_custkey % 29 AS instance")
     return lb.exported_instances(ids)
 
 

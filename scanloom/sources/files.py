@@ -159,14 +159,15 @@ def save_index(index: DataFrame, path: str, columns: list[str], form: str = "csv
     index.select(*flat).write.csv(path, header=True)
 
 
-def panoptic_document(segments: DataFrame, categories: DataFrame) -> DataFrame:
-    """One JSON text: images, annotations by image, categories. A document is a document: for what fits
-    one; for more write the three tables."""
+def panoptic_records(segments: DataFrame, categories: DataFrame) -> DataFrame:
+    """(part, value): the panoptic document as JSON lines, each a member of the list that `part` names:
+    images and annotations have a line a frame, categories one each. No line grows with the number of
+    frames, so the lines may be written side by side."""
     by = segments.groupBy("frame_key").agg(F.array_sort(F.collect_list(F.struct("instance", "area", "x", "y", "w", "h"))).alias("segments_info"))
-    notes = by.agg(F.array_sort(F.collect_list(F.struct(F.col("frame_key").alias("image_id"), "segments_info"))).alias("annotations"))
-    cats = categories.agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("categories"))
-    images = F.transform("annotations", lambda a: F.struct(a["image_id"].alias("id")))
-    return notes.join(cats, F.lit(True)).select(F.to_json(F.struct(images.alias("images"), "annotations", "categories")).alias("value"))
+    line = lambda part, *columns: (F.lit(part).alias("part"), F.to_json(F.struct(*columns)).alias("value"))
+    frame = F.col("frame_key")
+    both = F.array(F.struct(*line("images", frame.alias("id"))), F.struct(*line("annotations", frame.alias("image_id"), "segments_info")))
+    return by.select(F.explode(both).alias("l")).select("l.*").union(categories.select(*line("categories", "id", "name")))
 
 
 def write_mesh(vertices: DataFrame, path: str) -> None:
