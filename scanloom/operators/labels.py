@@ -123,4 +123,4 @@ def coloured(rows: DataFrame, palette: DataFrame, value: str = "value", modulo:
     n = palette.count()
     p = palette.select(F.col("position").alias("_p"), "r", "g", "b")
     key = F.pmod(F.col(value), F.lit(n)) if modulo else F.col(value)
-    return rows.withColumn("_p", key).join(F.broadcast(p), "_p", "left").drop("_p")
+    return rows.withColumn("_p", key).join(p, "_p", "left").drop("_p")

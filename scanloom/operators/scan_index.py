@@ -276,7 +276,7 @@ def log_times(lines: DataFrame) -> DataFrame:
 def stage_timings(times: DataFrame, stages: DataFrame) -> DataFrame:
     """(scan_id, stage, seconds): a stage's own time, or the sum of its substeps name1 to nameN."""
     parts = stages.select(F.col("name").alias("stage"), F.explode(F.when(F.col("substeps") > 0, F.transform(F.sequence(F.lit(1), F.greatest("substeps", F.lit(1))), lambda i: F.concat("name", i.cast("string")))).otherwise(F.array("name"))).alias("name"))
-    return times.join(F.broadcast(parts), "name").groupBy("scan_id", "stage").agg(F.sum("seconds").alias("seconds"))
+    return times.join(parts, "name").groupBy("scan_id", "stage").agg(F.sum("seconds").alias("seconds"))
 
 
 def total_times(times: DataFrame) -> DataFrame:

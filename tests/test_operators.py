@@ -238,3 +238,11 @@ def test_aligned_finds_the_floor(spark):
         assert abs(r.z - r.kind) < 1e-9 and abs(r.nz - 1) < 1e-9
     assert [r.n for r in ge.largest(ge.plane_clusters(points, 50), 1).collect()] == [168]
     assert ge.aligned(points, up, scans, least=500).count() == len(rows)
+
+
+def test_frames_of_a_folder(spark, tmp_path):
+    for name, data in (("s1/frame-000001.color.jpg", b"c1"), ("s1/frame-000001.depth.pgm", b"d1"), ("s1/frame-000001.pose.txt", b"1 0"), ("s1/frame-000002.color.png", b"c2"), ("s2/frame-000007.pose.txt", b"p"), ("s2/_info.txt", b"x"), ("s2/frame-7.other.txt", b"x")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = sorted((r.scan_id, r.frame_id, *(None if x is None else bytes(x) for x in (r.color, r.depth, r.pose))) for r in sens.imported_frames(spark, str(tmp_path)).collect())
+    assert got == [("s1", 1, b"c1", b"d1", b"1 0"), ("s1", 2, b"c2", None, None), ("s2", 7, None, None, b"p")]
