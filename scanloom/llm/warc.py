@@ -43,12 +43,14 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def plan(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int) -> DataFrame:
-    """Rows (id, url, payload, first): first is the id of the response with the same payload, or the
-    row's own. Payloads are compared by SHA-256 and length, of which only the smallest id is gathered
-    (map-side), and joined back by key, so a payload that a third of all rows share can be split."""
+    """Rows (id, url, payload, first): first is the id of the response with the same payload, null where
+    no other row has it. Payloads are compared by SHA-256 and length, of which only the smallest id is
+    gathered (map-side). The table of those met twice is joined back by key: while Spark finds it small
+    enough to broadcast, payloads are not moved; beyond, a payload that a third of all rows share skews
+    one side of the join only, which Spark splits."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("key", F.concat(F.sha2("payload", 256), F.lit(":"), F.octet_length("payload").cast("string")))
-    firsts = rows.groupBy("key").agg(F.min("id").alias("first"))
+    firsts = cut(rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "firsts")
     small = F.octet_length("payload") < least_bytes
     return rows.join(firsts, "key", "left").select("id", "url", "payload", F.when(small, F.col("id")).otherwise(F.col("first")).alias("first"))
 
