@@ -272,17 +272,19 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     read). Texts with equal sets of shingles are one; texts without words too.
 
     Pairs at 0.8 differ in up to 11 bits of a SimHash, where the trie prunes nothing; candidates are
-    therefore those that share a MinHash band, and each is confirmed by its exact similarity. In a bucket
+    therefore those that share a MinHash band and of which the smaller set of shingles has `similarity` times
+    the larger one's size or more (no pair can do with less), and each is confirmed by its exact similarity.
+    In a bucket
     of up to firsts + 1 texts all are compared. In a larger one all are compared with the `leaders`
     smallest; those that none of these links to go on among themselves, until none is left or each has met
     `firsts` leaders. So a large group costs rows in proportion to its size."""
-    row, same, keys = (free_name(docs, x) for x in ("row", "same", "keys"))
+    row, same, keys, size = (free_name(docs, x) for x in ("row", "same", "keys", "size"))
 
     def start():
         def make(column: pa.Array) -> list[pa.Array]:
             sets = [np.unique(shingles(t.as_py(), width)) for t in column.cast(pa.binary())]
             kept = pa.array([np.array(band_keys(s), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            return [pa.array([xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], pa.string()), kept]
+            return [pa.array([xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], pa.string()), kept, pa.array([len(s) for s in sets], pa.int64())]
 
         return make
 
@@ -292,36 +294,38 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    made = cut(with_columns(numbered, text_col, [(same, "string"), (keys, "array<bigint>")], start), "shingles")
+    made = cut(with_columns(numbered, text_col, [(same, "string"), (keys, "array<bigint>"), (size, "bigint")], start), "shingles")
     rows = made.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(same).alias("same"))
     of = cut(rows.groupBy("same").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")), "texts")
     one = of.select(F.col("first.row").alias(row))
-    texts = made.join(one, row, "left_semi").select(F.col(row).alias("node"), F.col(text_col).cast("binary").alias("text"), F.col(keys).alias("keys"))
+    texts = made.join(one, row, "left_semi").select(F.col(row).alias("node"), F.col(text_col).cast("binary").alias("text"), F.col(keys).alias("keys"), F.col(size).alias("size"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         return cut(both.select("u", "v", "a", "b").mapInArrow(confirm, "u bigint, v bigint"), "links")
 
     def led(some: DataFrame, most: int) -> DataFrame:
-        """(key, u, v): the texts of each bucket with its `most` smallest ones."""
+        """(key, u, v, enough): the texts of each bucket with its `most` smallest ones, and whether their
+        sizes allow the similarity."""
         place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        least = some.withColumn("k", place).where(F.col("k") <= most).select("key", F.col("node").alias("u"))
-        return some.join(least, "key").where("u < node").select("key", "u", F.col("node").alias("v"))
+        least = some.withColumn("k", place).where(F.col("k") <= most).select("key", F.col("node").alias("u"), F.col("size").alias("other"))
+        enough = F.least("size", "other") >= (1 - 1e-9) * similarity * F.greatest("size", "other")
+        return some.join(least, "key").where(F.col("u") < F.col("node")).select("key", "u", F.col("node").alias("v"), enough.alias("enough"))
 
-    bands = cut(texts.select("node", F.explode("keys").alias("key")), "bands")
+    bands = cut(texts.select("node", "size", F.explode("keys").alias("key")), "bands")
     large = cut(bands.groupBy("key").count().where(F.col("count") > firsts + 1).select("key"), "large")
-    left = cut(bands.join(large, "key", "left_semi").select("node", "key"), "left")
+    left = cut(bands.join(large, "key", "left_semi").select("node", "size", "key"), "left")
     met = cut(led(left, leaders), "met")
-    pairs = led(bands.join(large, "key", "left_anti"), firsts).select("u", "v").union(met.select("u", "v"))
+    pairs = led(bands.join(large, "key", "left_anti"), firsts).union(met).where("enough").select("u", "v")
     links = confirmed(cut(pairs.distinct(), "pairs"))
     found = [links]
     for _ in range(firsts // leaders - 1):
         linked = met.join(links, ["u", "v"]).select("key", F.col("v").alias("node"))
-        left = cut(left.join(linked.union(met.select("key", F.col("u").alias("node"))).distinct(), ["key", "node"], "left_anti").select("node", "key"), "left")
+        left = cut(left.join(linked.union(met.select("key", F.col("u").alias("node"))).distinct(), ["key", "node"], "left_anti").select("node", "size", "key"), "left")
         met = cut(led(left, leaders), "met")
         if met.isEmpty():
             break
-        links = confirmed(cut(met.select("u", "v").distinct(), "pairs"))
+        links = confirmed(cut(met.where("enough").select("u", "v").distinct(), "pairs"))
         found.append(links)
     every = found[0]
     for links in found[1:]:
