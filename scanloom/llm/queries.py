@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_top_k, kd_shards, lexical, licenses, multi_index, pii, simhash, suffix_dedup, toxicity, warc
+from . import bpe, conversations, decontaminate, exact_top_k, kd_shards, lexical, licenses, multi_index, pii, simhash, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,6 +123,22 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """conversations with the faults that op13's contract plants, by a checksum of each row's key."""
+    said = rows.select("conv_id", "turn", *(conversations.with_blanks(c).alias(c) for c in ("role", "text")), F.concat(conversations.with_blanks("conv_id"), F.lit(":"), conversations.with_blanks("turn")).alias("key"))
+    kind = F.crc32("key") % 20
+    hurt = said.withColumn("kind", kind).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return hurt.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.report(damaged(rows), rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
