@@ -153,28 +153,3 @@ def over_segment(weights: DataFrame, k: float, least: int) -> DataFrame:
 
     kind = weights.schema["scan_id"].dataType.simpleString()
     return weights.select("scan_id", "a", "b", "w").groupBy("scan_id").applyInPandas(one, f"scan_id {kind}, vertex_id bigint, seg_id bigint")
-
-
-def project(faces: DataFrame, vertices: DataFrame, labels: DataFrame, frames: DataFrame, k: tuple, size: tuple[int, int], near: float = 0.1, far: float = 15.0) -> DataFrame:
-    """(scan_id, frame_id, y, x, label, depth): labelled faces drawn into frames (scan_id, frame_id, w2c).
-    Faces go to the frames whose view they touch; a face is sampled at the pixels of its box, and each
-    pixel keeps the nearest. Corners' label: that of the first."""
-    fx, fy, cx, cy = k
-    c = corners(faces, vertices).join(labels.select("scan_id", F.col("vertex_id").alias("v0"), F.col("value").alias("label")), ["scan_id", "v0"])
-    j = c.join(frames.select("scan_id", "frame_id", "w2c"), "scan_id")
-    m = lambda i: F.col("w2c")[i]
-    for i in range(3):
-        p = [m(4 * r) * F.col(f"x{i}") + m(4 * r + 1) * F.col(f"y{i}") + m(4 * r + 2) * F.col(f"z{i}") + m(4 * r + 3) for r in range(3)]
-        j = j.withColumns({f"u{i}": fx * p[0] / p[2] + cx, f"w{i}": fy * p[1] / p[2] + cy, f"d{i}": p[2]})
-    j = j.where(" AND ".join(f"d{i} BETWEEN {near} AND {far}" for i in range(3)))
-    low = lambda c, n: F.greatest(F.lit(0), F.ceil(F.least(*(F.col(f"{c}{i}") for i in range(3))))).cast("int")
-    high = lambda c, n: F.least(F.lit(n - 1), F.floor(F.greatest(*(F.col(f"{c}{i}") for i in range(3))))).cast("int")
-    j = j.withColumns({"ul": low("u", size[1]), "uh": high("u", size[1]), "wl": low("w", size[0]), "wh": high("w", size[0])}).where("ul <= uh AND wl <= wh")
-    j = j.withColumn("y", F.explode(F.sequence("wl", "wh"))).withColumn("x", F.explode(F.sequence("ul", "uh")))
-    area = (F.col("u1") - F.col("u0")) * (F.col("w2") - F.col("w0")) - (F.col("u2") - F.col("u0")) * (F.col("w1") - F.col("w0"))
-    b1 = ((F.col("x") - F.col("u0")) * (F.col("w2") - F.col("w0")) - (F.col("u2") - F.col("u0")) * (F.col("y") - F.col("w0"))) / area
-    b2 = ((F.col("u1") - F.col("u0")) * (F.col("y") - F.col("w0")) - (F.col("x") - F.col("u0")) * (F.col("w1") - F.col("w0"))) / area
-    j = j.where(area != 0).withColumns({"b1": b1, "b2": b2}).where("b1 >= 0 AND b2 >= 0 AND b1 + b2 <= 1")
-    depth = 1 / ((1 - F.col("b1") - F.col("b2")) / F.col("d0") + F.col("b1") / F.col("d1") + F.col("b2") / F.col("d2"))
-    best = j.groupBy("scan_id", "frame_id", "y", "x").agg(F.min(F.struct(F.round(depth, 9).alias("depth"), "face_id", "label")).alias("b"))
-    return best.select("scan_id", "frame_id", "y", "x", "b.label", "b.depth")

@@ -190,6 +190,27 @@ def scaled_lookup(pixels: DataFrame, other: DataFrame, size: tuple[int, int], ot
     return pixels.withColumns({"oy": at("y", 0), "ox": at("x", 1)}).join(o, ["frame_key", "oy", "ox"], "left").drop("oy", "ox")
 
 
+def seen_labels(
+    drawn: DataFrame, captured: DataFrame, size: tuple[int, int], depth_size: tuple[int, int], captured_only: bool = False,
+    least: float = 0.2, share: float = 0.01,
+) -> DataFrame:
+    """(frame_key, y, x, label) of drawn pixels (frame_key, y, x, label, depth; metres, of a frame of `size`)
+    held against captured depth (frame_key, y, x, depth; of depth_size): 0 where both depths are known (not
+    0) and differ by over least + share of the captured one. The drawn depth is brought to the captured
+    raster first, and both are looked up at the label's place in it. captured_only: also 0 where nothing was
+    captured."""
+    at = ["frame_key", "y", "x"]
+    there = resample_nearest(drawn.select(*at, F.col("depth").alias("rendered")), size, depth_size)
+    known = captured.where("depth <> 0").select(*at, F.col("depth").alias("captured"))
+    both = there.join(known, at, "full").select(*at, F.struct("rendered", "captured").alias("depths"))
+    met = scaled_lookup(drawn.select(*at, "label"), both, size, depth_size, "depths")
+    off = F.abs(F.col("depths.rendered") - F.col("depths.captured")) > least + share * F.col("depths.captured")
+    off = F.coalesce((F.col("depths.rendered") != 0) & off, F.lit(False))
+    if captured_only:
+        off = off | F.col("depths.captured").isNull()
+    return met.select(*at, F.when(off, 0).otherwise(F.col("label")).alias("label"))
+
+
 def jitter(chunks: DataFrame, most: int, size: int, seed: int = 0) -> DataFrame:
     """Voxels (sample_id, ix, iy, iz, ...) shifted by an offset of up to `most` a sample, drawn from a hash
     of sample and seed; those that leave the grid go."""

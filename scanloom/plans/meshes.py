@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mesh as ms
 from ..operators import pixels as px
+from ..operators import projection as pr
 from . import bindings as b
 from .registry import query
 
@@ -87,20 +88,55 @@ _POSES = "fr AS (SELECT scan_id, vertex_id AS frame_id, vertex_id % 4 AS turn, v
 _IN_VIEW = "(SELECT scan_id, frame_id, vertex_id, 20 * px / pz + 16 AS u, 20 * py / pz + 12 AS w, pz AS d FROM (SELECT fr.scan_id, frame_id, vertex_id, CASE turn WHEN 0 THEN x WHEN 1 THEN -y WHEN 2 THEN -x ELSE y END + tx AS px, CASE turn WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN -y ELSE -x END AS py, z + tz AS pz FROM fr JOIN pts USING (scan_id)) WHERE pz BETWEEN 0.1 AND 15)"
 
 
-@query(f"""WITH {_ONE}, {b.FACES_SQL}, {_POSES}, seen AS {_IN_VIEW},
-t AS (SELECT f.scan_id, p.frame_id, face_id, v0 % 20 AS label, p.u AS u0, p.w AS w0, p.d AS d0, q.u AS u1, q.w AS w1, q.d AS d1, s.u AS u2, s.w AS w2, s.d AS d2 FROM faces f JOIN seen p ON p.vertex_id = v0 JOIN seen q ON q.vertex_id = v1 AND q.frame_id = p.frame_id JOIN seen s ON s.vertex_id = v2 AND s.frame_id = p.frame_id),
-b AS (SELECT *, (u1 - u0) * (w2 - w0) - (u2 - u0) * (w1 - w0) AS m FROM t JOIN (SELECT unnest(range(24)) AS y) ON y BETWEEN least(w0, w1, w2) AND greatest(w0, w1, w2) JOIN (SELECT unnest(range(32)) AS x) ON x BETWEEN least(u0, u1, u2) AND greatest(u0, u1, u2)),
+_DRAWN = f"""{_ONE}, {b.FACES_SQL}, {_POSES}, seen AS {_IN_VIEW},
+t AS (
+  SELECT f.scan_id, p.frame_id, face_id, v0 % 20 AS label, p.u AS u0, p.w AS w0, p.d AS d0, q.u AS u1, q.w AS w1, q.d AS d1, s.u AS u2, s.w AS w2, s.d AS d2
+  FROM faces f JOIN seen p ON p.vertex_id = v0 JOIN seen q ON q.vertex_id = v1 AND q.frame_id = p.frame_id JOIN seen s ON s.vertex_id = v2 AND s.frame_id = p.frame_id
+),
+b AS (
+  SELECT *, (u1 - u0) * (w2 - w0) - (u2 - u0) * (w1 - w0) AS m FROM t
+  JOIN (SELECT unnest(range(24)) AS y) ON y BETWEEN least(w0, w1, w2) AND greatest(w0, w1, w2)
+  JOIN (SELECT unnest(range(32)) AS x) ON x BETWEEN least(u0, u1, u2) AND greatest(u0, u1, u2)
+),
 c AS (SELECT *, ((x - u0) * (w2 - w0) - (u2 - u0) * (y - w0)) / m AS b1, ((u1 - u0) * (y - w0) - (x - u0) * (w1 - w0)) / m AS b2 FROM b WHERE m <> 0),
-k AS (SELECT scan_id, frame_id, y, x, label, round(1 / ((1 - b1 - b2) / d0 + b1 / d1 + b2 / d2), 9) AS depth, face_id FROM c WHERE b1 >= 0 AND b2 >= 0 AND b1 + b2 <= 1)
-SELECT scan_id, frame_id, y, x, arg_min(label, (depth, face_id)) AS label, round(min(depth), 6) AS depth FROM k GROUP BY ALL""")
-def geo10_project_mesh(spark: SparkSession, d: str) -> DataFrame:
+k AS (SELECT scan_id, frame_id, y, x, label, round(1 / ((1 - b1 - b2) / d0 + b1 / d1 + b2 / d2), 9) AS depth, face_id FROM c WHERE b1 >= 0 AND b2 >= 0 AND b1 + b2 <= 1),
+drawn AS (SELECT scan_id, frame_id, y, x, arg_min(label, (depth, face_id)) AS label, min(depth) AS depth FROM k GROUP BY ALL)"""
+
+
+def _projected(spark: SparkSession, d: str) -> DataFrame:
     """Four frames a scan, each with a quarter turn and a shift of its own."""
     v, f = b.mesh_points(spark, d), b.faces(spark, d)
     turn = lambda *row: F.element_at(F.array(*map(F.lit, row)), (F.col("vertex_id") % 4 + 1).cast("int")).cast("double")
     zero, one = F.lit(0.0), F.lit(1.0)
-    rows = [turn(1, 0, -1, 0), turn(0, -1, 0, 1), zero, F.col("vertex_id") % 7 / 4.0, turn(0, 1, 0, -1), turn(1, 0, -1, 0), zero, zero, zero, zero, one, 6.0 + F.col("vertex_id") % 3, zero, zero, zero, one]
+    rows = [turn(1, 0, -1, 0), turn(0, -1, 0, 1), zero, F.col("vertex_id") % 7 / 4.0, turn(0, 1, 0, -1), turn(1, 0, -1, 0)]
+    rows += [zero, zero, zero, zero, one, 6.0 + F.col("vertex_id") % 3, zero, zero, zero, one]
     frames = v.where("vertex_id % 50 < 2").select("scan_id", F.col("vertex_id").alias("frame_id"), F.array(*rows).alias("w2c"))
-    return ms.project(f, v, v.selectExpr("scan_id", "vertex_id", "vertex_id % 20 AS value"), frames, (20.0, 20.0, 16.0, 12.0), (24, 32)).withColumn("depth", F.round("depth", 6))
+    return pr.project(f, v, v.selectExpr("scan_id", "vertex_id", "vertex_id % 20 AS value"), frames, (20.0, 20.0, 16.0, 12.0), (24, 32))
+
+
+@query(f"WITH {_DRAWN} SELECT scan_id, frame_id, y, x, label, round(depth, 6) AS depth FROM drawn")
+def geo10_project_mesh(spark: SparkSession, d: str) -> DataFrame:
+    return _projected(spark, d).withColumn("depth", F.round("depth", 6))
+
+
+_CAPTURED = "CASE WHEN (frame_id * 7 + y * 3 + x) % 9 = 0 THEN 0.0 ELSE 2.0 + (frame_id * 5 + y + x) % 23 / 4.0 END"
+
+
+@query(f"""WITH {_DRAWN}, dp AS (SELECT frame_id, y, x, {_CAPTURED} AS depth FROM fr, (SELECT unnest(range(12)) AS y), (SELECT unnest(range(16)) AS x)),
+low AS (SELECT frame_id, r.t AS y, c.t AS x, depth FROM drawn JOIN (SELECT unnest(range(12)) AS t) r ON y = floor((r.t + 0.5) * 2) JOIN (SELECT unnest(range(16)) AS t) c ON x = floor((c.t + 0.5) * 2)),
+j AS (
+  SELECT d.frame_id, d.y, d.x, d.label, low.depth AS r, nullif(dp.depth, 0) AS c FROM drawn d
+  JOIN dp ON dp.frame_id = d.frame_id AND dp.y = floor(d.y * (11 / 23.0) + 0.5) AND dp.x = floor(d.x * (15 / 31.0) + 0.5)
+  LEFT JOIN low ON low.frame_id = d.frame_id AND low.y = dp.y AND low.x = dp.x
+)
+SELECT frame_id, y, x, CASE WHEN c IS NULL OR coalesce(abs(r - c) > 0.2 + 0.01 * c, false) THEN 0 ELSE label END AS label FROM j""")
+def geo12_seen_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn frames held against a captured depth image of half their size for each."""
+    drawn = _projected(spark, d).withColumnRenamed("frame_id", "frame_key")
+    frames = b.mesh_points(spark, d).where("vertex_id % 50 < 2").select(F.col("vertex_id").alias("frame_id"))
+    grid = frames.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    captured = grid.selectExpr("frame_id AS frame_key", "y", "x", f"cast({_CAPTURED} AS double) AS depth")
+    return px.seen_labels(drawn, captured, (24, 32), (12, 16), captured_only=True).withColumnRenamed("frame_key", "frame_id")
 
 
 # --- pixel neighbourhoods
