@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 
-
 def identity() -> Column:
     return F.array(*(F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)))
 
@@ -61,17 +60,6 @@ def positive_quadrant(points: DataFrame) -> DataFrame:
     return j.withColumns({c: F.col(c) - F.col(f"min_{c}") for c in ("x", "y", "z")}).select(*points.columns)
 
 
-def oriented_box(points: DataFrame, steps: int = 90) -> DataFrame:
-    """(scan_id, angle, area): the rotation about z, in degrees of `steps` over a quarter turn, with the
-    least ground area. Extents are summed map-side, so points are not gathered by angle."""
-    a = F.explode(F.array(*(F.lit(90.0 * k / steps) for k in range(steps)))).alias("angle")
-    p = points.select("scan_id", "x", "y", a)
-    c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
-    u, v = F.col("x") * c - F.col("y") * s, F.col("x") * s + F.col("y") * c
-    ext = p.groupBy("scan_id", "angle").agg(((F.max(u) - F.min(u)) * (F.max(v) - F.min(v))).alias("area"))
-    return ext.groupBy("scan_id").agg(F.min(F.struct(F.round("area", 9).alias("area"), "angle")).alias("b")).select("scan_id", "b.angle", "b.area")
-
-
 def voxel_quantise(points: DataFrame, size: float) -> DataFrame:
     """(scan_id, ix, iy, iz, vertex_id, n): cells of edge `size`, the first point of each and their number."""
     cell = {f"i{c}": F.floor(F.col(c) / size).cast("bigint") for c in ("x", "y", "z")}
@@ -128,12 +116,37 @@ def lut_apply(pixels: DataFrame, lut: DataFrame, cells: tuple[int, int, int], z_
 def back_project(depth: DataFrame, frames: DataFrame, k: tuple[float, float, float, float], shift: float = 1000.0) -> DataFrame:
     """World points of depth pixels (scan_id, frame_id, y, x, d): d = 0 is skipped, invalid poses are the
     identity. k: fx, fy, cx, cy."""
+    return _world(depth, frames, k, shift).select("scan_id", "frame_id", "y", "x", "wx", "wy", "wz")
+
+
+def coloured_points(
+    depth: DataFrame, frames: DataFrame, colour: DataFrame, k: tuple[float, float, float, float], t: list[float], k2: tuple[float, float, float, float],
+    size: tuple[int, int], shift: float = 1000.0,
+) -> DataFrame:
+    """back_project() with the colour (r, g, b) of the pixel of colour (scan_id, frame_id, y, x, r, g, b; of
+    `size`) that the point falls on as the colour camera sees it (moved by t, then k2), rounded half up;
+    0 outside, behind that camera, and where that pixel is missing."""
+    gx, gy, ex, ey = k2
+    seen = apply(F.array(*map(F.lit, map(float, t))), F.col("_x"), F.col("_y"), F.col("_z"))
+    at = lambda a, f, e: F.floor(F.try_divide(f * a, seen[2]) + e + 0.5).cast("bigint")
+    world = _world(depth, frames, k, shift)
+    spot = world.withColumns({"_u": at(seen[0], gx, ex), "_v": at(seen[1], gy, ey), "_front": seen[2] > 0})
+    inside = F.col("_front") & F.col("_u").between(0, size[1] - 1) & F.col("_v").between(0, size[0] - 1)
+    spot = spot.withColumns({"_u": F.when(inside, F.col("_u")), "_v": F.when(inside, F.col("_v"))})
+    there = colour.select("scan_id", "frame_id", F.col("y").alias("_v"), F.col("x").alias("_u"), "r", "g", "b")
+    met = spot.join(there, ["scan_id", "frame_id", "_v", "_u"], "left")
+    return met.select("scan_id", "frame_id", "y", "x", "wx", "wy", "wz", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"))
+
+
+def _world(depth: DataFrame, frames: DataFrame, k: tuple[float, float, float, float], shift: float) -> DataFrame:
+    """depth pixels with their point in the camera (_x, _y, _z) and in the world (wx, wy, wz)."""
     fx, fy, cx, cy = k
     pose = F.when(F.col("pose")[0] == F.lit(float("-inf")), identity()).otherwise(F.col("pose"))
     j = depth.where("d <> 0").join(frames.select("scan_id", "frame_id", pose.alias("_m")), ["scan_id", "frame_id"])
     z = F.col("d") / F.lit(shift)
-    wx, wy, wz = apply(F.col("_m"), (F.col("x") - cx) * z / fx, (F.col("y") - cy) * z / fy, z)
-    return j.select("scan_id", "frame_id", "y", "x", wx.alias("wx"), wy.alias("wy"), wz.alias("wz"))
+    j = j.withColumns({"_x": (F.col("x") - cx) * z / fx, "_y": (F.col("y") - cy) * z / fy, "_z": z})
+    wx, wy, wz = apply(F.col("_m"), F.col("_x"), F.col("_y"), F.col("_z"))
+    return j.withColumns({"wx": wx, "wy": wy, "wz": wz}).drop("_m")
 
 
 def reproject(depth: DataFrame, k: tuple, t: list[float], k2: tuple, size: tuple[int, int]) -> DataFrame:
@@ -180,6 +193,15 @@ def depth_bins(frames: DataFrame, width: float, most_degrees: float = 25.0) -> D
     return flat.groupBy(F.floor(F.col("offset") / width).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def greatest_steps(frames: DataFrame, most_degrees: float = 25.0) -> DataFrame:
+    """(scan_id, step): by how much the plane's distance grows most from one frame (scan_id, frame_id, nz,
+    offset) to the next, near-frontal one; at least 0."""
+    step = F.col("offset") - F.lag("offset").over(Window.partitionBy("scan_id").orderBy("frame_id"))
+    near = F.abs(F.col("nz")) > math.cos(math.radians(most_degrees))
+    stepped = frames.select("scan_id", F.when(near, step).alias("step"))
+    return stepped.groupBy("scan_id").agg(F.greatest(F.lit(0.0), F.coalesce(F.max("step"), F.lit(0.0))).alias("step"))
+
+
 def rigid_transforms(pairs: DataFrame) -> DataFrame:
     """(key, r, t): rotation (9) and translation (3) that take x to y best, for pairs (key, x0..x2, y0..y2):
     two aggregations (centroids; nine product sums), then a 3 x 3 decomposition of one row a key."""
@@ -202,39 +224,6 @@ def rigid_transforms(pairs: DataFrame) -> DataFrame:
     return r.select("key", "r", t.alias("t"))
 
 
-def plane_clusters(points: DataFrame, least: int = 500, near: float = 0.05, cosine: float = 0.9) -> DataFrame:
-    """(scan_id, nx, ny, nz, offset, n): points (with normals nx, ny, nz) clustered by rounded normal and
-    offset instead of one after another; clusters of fewer than `least` go."""
-    step = math.sqrt(2 * (1 - cosine))
-    off = F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z")
-    p = points.withColumn("off", off)
-    cell = [F.round(F.col(c) / step).alias(f"_{c}") for c in ("nx", "ny", "nz")] + [F.round(F.col("off") / near).alias("_o")]
-    g = p.select("*", *cell).groupBy("scan_id", "_nx", "_ny", "_nz", "_o").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in ("nx", "ny", "nz")), F.avg("off").alias("offset"))
-    return g.where(F.col("n") >= least).select("scan_id", "nx", "ny", "nz", "offset", "n")
-
-
-def largest(clusters: DataFrame, top: int) -> DataFrame:
-    """The `top` clusters of each scan by size; of equal ones those with the lower offset, then normal."""
-    place = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("n"), "offset", "nx", "ny", "nz"))
-    return clusters.withColumn("_k", place).where(F.col("_k") <= top).drop("_k")
-
-
-def bounding(clusters: DataFrame, points: DataFrame, margin: float = 0.1, behind: int = 100) -> DataFrame:
-    """clusters with at most `behind` points of their scan further than `margin` behind the plane. A scan
-    has few clusters (each of many points), so a point meets few and counts are summed before they move."""
-    planes = clusters.groupBy("scan_id").agg(F.collect_list(F.struct(*(c for c in clusters.columns if c != "scan_id"))).alias("c"))
-    met = points.select("scan_id", "x", "y", "z").join(planes, "scan_id").select("scan_id", "x", "y", "z", F.explode("c").alias("c"))
-    side = F.col("c.nx") * F.col("x") + F.col("c.ny") * F.col("y") + F.col("c.nz") * F.col("z") - F.col("c.offset")
-    return met.groupBy("scan_id", "c").agg(F.count_if(side < -margin).alias("b")).where(F.col("b") <= behind).select("scan_id", "c.*").select(*clusters.columns)
-
-
-def ground_planes(points: DataFrame, least: int = 500, near: float = 0.05, cosine: float = 0.9, margin: float = 0.1, behind: int = 100) -> DataFrame:
-    """(scan_id, nx, ny, nz, offset, n): of each scan the largest plane that looks up (0.8 of its normal)
-    and has hardly anything behind it."""
-    c = bounding(plane_clusters(points, least, near, cosine), points, margin, behind)
-    return largest(c.where("nz / sqrt(nx * nx + ny * ny + nz * nz) > 0.8"), 1)
-
-
 def column_samples(voxels: DataFrame, reach: int = 15, levels: int = 62, extent: tuple[int, int] = (0, 0)) -> DataFrame:
     """(scan_id, cx, cy, dx, dy, iz, value): of each occupied column inside the margin the voxels within
     `reach` columns, below `levels`. Voxels are sent to the blocks of `reach` columns that they touch."""
@@ -266,34 +255,3 @@ def calibrated_depth(depth: DataFrame, colour: DataFrame, lut: DataFrame, cells:
     seen = reproject(right, k, t, k2, size)
     black = undistort(colour, k2, lens2, size).where("value = 0").select("scan_id", "frame_id", "y", "x")
     return seen.join(black, ["scan_id", "frame_id", "y", "x"], "left_anti")
-
-
-def _to_up(rows: DataFrame, groups: list[tuple[str, str, str]]) -> DataFrame:
-    """rows with each triple of columns turned by the rotation that takes (ux, uy, uz) to z: about u x z,
-    as 1 + [v] + [v]^2 / (1 + cos)."""
-    vx, vy, c = F.col("uy"), -F.col("ux"), F.col("uz")
-    f = F.when(c > -1 + 1e-9, 1 / (1 + c)).otherwise(0.0)
-    made = {}
-    for names in groups:
-        x, y, z = map(F.col, names)
-        made |= {names[0]: (1 - f * vy * vy) * x + f * vx * vy * y + vy * z, names[1]: f * vx * vy * x + (1 - f * vx * vx) * y - vx * z, names[2]: -vy * x + vx * y + (1 - f * (vx * vx + vy * vy)) * z}
-    return rows.withColumns(made)
-
-
-def aligned(points: DataFrame, up: DataFrame, scans: DataFrame, least: int = 500) -> DataFrame:
-    """points of scans that are processed, valid and not aligned yet (scan_id and these flags), turned so
-    that the scan's up-vector (scan_id, ux, uy, uz) is z; if they have normals (nx, ny, nz), so that the
-    normal of the ground plane then found is z (scans without one stay); then by the angle of the least
-    ground area, then moved into the positive quadrant."""
-    todo = scans.where("processed AND valid AND NOT aligned").select("scan_id")
-    groups = [("x", "y", "z")] + ([("nx", "ny", "nz")] if {"nx", "ny", "nz"} <= set(points.columns) else [])
-    turned = _to_up(points.join(todo, "scan_id", "left_semi").join(up, "scan_id"), groups).select(*points.columns)
-    if len(groups) > 1:
-        size = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
-        floor = ground_planes(turned, least).select("scan_id", *((F.col(f"n{c}") / size).alias(f"u{c}") for c in "xyz"))
-        found = turned.join(floor, "scan_id", "left").withColumns({"ux": F.coalesce("ux", F.lit(0.0)), "uy": F.coalesce("uy", F.lit(0.0)), "uz": F.coalesce("uz", F.lit(1.0))})
-        turned = _to_up(found, groups).select(*points.columns)
-    a = turned.join(oriented_box(turned).select("scan_id", "angle"), "scan_id")
-    ca, sa = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
-    flat = a.withColumns({"_x": F.col("x") * ca - F.col("y") * sa, "_y": F.col("x") * sa + F.col("y") * ca}).withColumns({"x": F.col("_x"), "y": F.col("_y")})
-    return positive_quadrant(flat.select(*points.columns))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..operators import alignment as al
 from ..operators import geometry as ge
 from ..operators import pixels as px
 from ..operators import spatial as sp
@@ -143,6 +144,19 @@ def geo4_back_project(spark: SparkSession, d: str) -> DataFrame:
     return ge.back_project(dp, frames, (20.0, 20.0, 16.0, 16.0)).select("frame_id", "y", "x", r("wx"), r("wy"), r("wz"))
 
 
+_COLOUR = "SELECT event_id // 1024 AS frame_id, event_id // 32 % 32 AS v, event_id % 32 AS u, event_id % 251 AS r, event_id % 13 AS g, event_id % 7 AS b FROM events WHERE event_id % 17 > 0"
+
+
+@query(f"""WITH {_DEPTH}, p AS (SELECT *, floor(15 * ((x - 16) * (d / 1000.0) / 20 + 0.3) / (d / 1000.0 + 0.1) + 15 + 0.5) AS u, floor(15 * ((y - 16) * (d / 1000.0) / 20) / (d / 1000.0 + 0.1) + 15 + 0.5) AS v FROM dp WHERE d <> 0)
+SELECT frame_id, y, x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM p LEFT JOIN ({_COLOUR}) c USING (frame_id, u, v)""")
+def geo4_coloured_points(spark: SparkSession, d: str) -> DataFrame:
+    dp = _depth(spark, d)
+    frames = dp.select("scan_id", "frame_id").distinct().withColumn("pose", F.array_repeat(F.lit(float("-inf")), 16))
+    colour = b.table(spark, d, "events").where("event_id % 17 > 0").selectExpr("0 AS scan_id", "event_id div 1024 AS frame_id", "event_id div 32 % 32 AS y", "event_id % 32 AS x", "event_id % 251 AS r", "event_id % 13 AS g", "event_id % 7 AS b")
+    t = [1, 0, 0, 0.3, 0, 1, 0, 0, 0, 0, 1, 0.1, 0, 0, 0, 1]
+    return ge.coloured_points(dp, frames, colour, (20.0, 20.0, 16.0, 16.0), t, (15.0, 15.0, 15.0, 15.0), (32, 32)).select("frame_id", "y", "x", "r", "g", "b")
+
+
 @query(f"WITH {_DEPTH}, p AS (SELECT frame_id, (x - 16) * (d / 1000.0) / 20 + 0.05 AS px, (y - 16) * (d / 1000.0) / 20 AS py, d / 1000.0 AS pz FROM dp WHERE d > 0), q AS (SELECT frame_id, floor(10 * px / pz + 8 + 0.5)::bigint AS x, floor(10 * py / pz + 8 + 0.5)::bigint AS y, pz FROM p) SELECT frame_id, y, x, round(min(pz), 6) AS z FROM q WHERE x BETWEEN 0 AND 15 AND y BETWEEN 0 AND 15 GROUP BY ALL")
 def geo5_reproject_depth(spark: SparkSession, d: str) -> DataFrame:
     t = [1, 0, 0, 0.05, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]
@@ -171,9 +185,32 @@ def agg29_depth_bins(spark: SparkSession, d: str) -> DataFrame:
     return ge.depth_bins(f, 7.0)
 
 
-@query(f"WITH {b.POINTS_SQL}, a AS (SELECT unnest(range(90))::double AS angle), e AS (SELECT scan_id, angle, (max(x * cos(radians(angle)) - y * sin(radians(angle))) - min(x * cos(radians(angle)) - y * sin(radians(angle)))) * (max(x * sin(radians(angle)) + y * cos(radians(angle))) - min(x * sin(radians(angle)) + y * cos(radians(angle)))) AS area FROM pts, a GROUP BY ALL) SELECT scan_id, arg_min(angle, (round(area, 9), angle)) AS angle, round(min(area), 6) AS area FROM e GROUP BY 1")
+_STEPS = "SELECT l_suppkey AS scan_id, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS frame_id, l_partkey % 10 > 0 AS near, l_quantity::double AS o FROM lineitem"
+
+
+@query(f"SELECT scan_id, greatest(0, coalesce(max(CASE WHEN near THEN o - p END), 0))::double AS step FROM (SELECT *, lag(o) OVER (PARTITION BY scan_id ORDER BY frame_id) AS p FROM ({_STEPS})) GROUP BY 1")
+def agg29_greatest_step(spark: SparkSession, d: str) -> DataFrame:
+    near = "CASE WHEN l_partkey % 10 > 0 THEN 0.95D ELSE 0.2D END AS nz"
+    f = b.table(spark, d, "lineitem").selectExpr("l_suppkey AS scan_id", "(l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS frame_id", near, "cast(l_quantity AS double) AS offset")
+    return ge.greatest_steps(f)
+
+
+def _box_sql(points: str) -> str:
+    """(scan_id, angle, area) of the least upright box over all directions between two points: one of the
+    hull's sides is among them, and no direction gives less."""
+    area = " * ".join(f"(max({c}) - min({c}))" for c in ("x * cos(radians(angle)) - y * sin(radians(angle))", "x * sin(radians(angle)) + y * cos(radians(angle))"))
+    return f"""SELECT scan_id, arg_min(angle, (round(area, 9), round(angle, 9))) AS angle, min(area) AS area FROM (
+  SELECT p.scan_id, angle, {area} AS area FROM {points} p JOIN (
+    SELECT DISTINCT scan_id, a - 90 * floor(a / 90) AS angle FROM (
+      SELECT i.scan_id, degrees(-atan2(j.y - i.y, j.x - i.x)) AS a FROM {points} i JOIN {points} j ON i.scan_id = j.scan_id AND i.vertex_id < j.vertex_id AND (i.x <> j.x OR i.y <> j.y)
+    )
+  ) d USING (scan_id) GROUP BY ALL
+) GROUP BY 1"""
+
+
+@query(f"WITH {b.POINTS_SQL}, e AS ({_box_sql('pts')}) SELECT scan_id, round(angle, 6) AS angle, round(area, 6) AS area FROM e")
 def geo13_oriented_box(spark: SparkSession, d: str) -> DataFrame:
-    return ge.oriented_box(b.points(spark, d)).select("scan_id", "angle", F.round("area", 6).alias("area"))
+    return al.oriented_box(b.points(spark, d)).select("scan_id", F.round("angle", 6).alias("angle"), F.round("area", 6).alias("area"))
 
 
 @query("SELECT label AS key, 0.0 AS r0, -1.0 AS r1, 1.0 AS r3, 1.0 AS r8, 2.0 AS t0, -3.0 AS t1, 0.5 AS t2 FROM embeddings GROUP BY 1")
@@ -196,13 +233,13 @@ def _level_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LEVELS}, k AS (SELECT g.scan_id, g.o, any_value(g.n) AS n FROM g LEFT JOIN a ON a.scan_id = g.scan_id AND a.o < g.o WHERE g.n >= 200 GROUP BY ALL HAVING count(a.o) <= 3000) SELECT scan_id, arg_max(o, (n, -o)) AS \"offset\", max(n) AS n FROM k GROUP BY 1")
 def geo14_ground_planes(spark: SparkSession, d: str) -> DataFrame:
-    return ge.ground_planes(_level_points(spark, d), 200, behind=3000).select("scan_id", F.round("offset").cast("int").alias("offset"), "n")
+    return al.ground_planes(_level_points(spark, d), 200, behind=3000).select("scan_id", F.round("offset").cast("int").alias("offset"), "n")
 
 
 @query(f"WITH {_LEVELS} SELECT scan_id, o AS \"offset\", n FROM g QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, o) <= 2")
 def srt6_largest_clusters(spark: SparkSession, d: str) -> DataFrame:
     up = _level_points(spark, d).where("nz > 0")
-    return ge.largest(ge.plane_clusters(up, 1), 2).select("scan_id", F.round("offset").cast("int").alias("offset"), "n")
+    return al.largest(al.plane_clusters(up, 1), 2).select("scan_id", F.round("offset").cast("int").alias("offset"), "n")
 
 
 @query("WITH v AS (SELECT DISTINCT l_partkey % 40 AS ix, l_suppkey % 40 AS iy, l_linenumber AS iz FROM lineitem), c AS (SELECT DISTINCT ix AS cx, iy AS cy FROM v WHERE ix BETWEEN 15 AND 24 AND iy BETWEEN 15 AND 24) SELECT cx, cy, count(*) AS n, sum(iz * (ix - cx)) AS checksum FROM c JOIN v ON abs(ix - cx) <= 15 AND abs(iy - cy) <= 15 GROUP BY ALL")
@@ -244,13 +281,39 @@ def flt6_finite_check(spark: SparkSession, d: str) -> DataFrame:
     return ge.not_finite(p, ["x", "y"])
 
 
-@query(f"WITH {b.POINTS_SQL}, q AS (SELECT scan_id, vertex_id, x, -z AS y, y AS z FROM pts WHERE scan_id <> 3), a AS (SELECT unnest(range(90))::double AS angle), e AS (SELECT scan_id, angle, (max(x * cos(radians(angle)) - y * sin(radians(angle))) - min(x * cos(radians(angle)) - y * sin(radians(angle)))) * (max(x * sin(radians(angle)) + y * cos(radians(angle))) - min(x * sin(radians(angle)) + y * cos(radians(angle)))) AS area FROM q, a GROUP BY ALL), b AS (SELECT scan_id, arg_min(angle, (round(area, 9), angle)) AS g FROM e GROUP BY 1), r AS (SELECT scan_id, vertex_id, x * cos(radians(g)) - y * sin(radians(g)) AS x, x * sin(radians(g)) + y * cos(radians(g)) AS y, z FROM q JOIN b USING (scan_id)) SELECT scan_id, vertex_id, round(x - min(x) OVER w, 5) AS x, round(y - min(y) OVER w, 5) AS y, round(z - min(z) OVER w, 5) AS z FROM r WINDOW w AS (PARTITION BY scan_id)")
-def geo15_aligned_scans(spark: SparkSession, d: str) -> DataFrame:
-    """All scans have y up; one of them is aligned already."""
+_MOVED = f"""{b.POINTS_SQL}, u AS (SELECT scan_id, vertex_id, x, -z AS y, y AS z FROM pts WHERE scan_id <> 3), g AS ({_box_sql('u')}),
+r AS (SELECT scan_id, vertex_id, x * cos(radians(angle)) - y * sin(radians(angle)) AS x, x * sin(radians(angle)) + y * cos(radians(angle)) AS y, z FROM u JOIN g USING (scan_id)),
+lo AS (SELECT scan_id, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM r GROUP BY 1)"""
+
+
+def _unaligned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, up, scans): all scans have y up; one of them is aligned already."""
     p = b.points(spark, d)
     scans = p.select("scan_id").distinct().selectExpr("scan_id", "true AS processed", "true AS valid", "scan_id = 3 AS aligned")
-    up = scans.selectExpr("scan_id", "0D AS ux", "1D AS uy", "0D AS uz")
-    return ge.aligned(p, up, scans).select("scan_id", "vertex_id", *(F.round(c, 5).alias(c) for c in "xyz"))
+    return p, scans.selectExpr("scan_id", "0D AS ux", "1D AS uy", "0D AS uz"), scans
+
+
+@query(f"WITH {_MOVED} SELECT scan_id, vertex_id, round(x - lx, 5) + 0.0 AS x, round(y - ly, 5) + 0.0 AS y, round(z - lz, 5) + 0.0 AS z FROM r JOIN lo USING (scan_id)")
+def geo15_aligned_scans(spark: SparkSession, d: str) -> DataFrame:
+    return al.aligned(*_unaligned(spark, d)).select("scan_id", "vertex_id", *((F.round(c, 5) + 0.0).alias(c) for c in "xyz"))
+
+
+@query(f"""WITH {_MOVED}, src AS (
+  SELECT 'mesh' AS kind, scan_id, vertex_id AS id, x + 1 AS x, y / 2 AS y, z - 2 AS z FROM pts UNION ALL SELECT 'pose', scan_id, vertex_id, x, y, z FROM pts WHERE vertex_id % 5 = 0
+), q AS (SELECT kind, s.scan_id, id, angle IS NOT NULL AS todo, coalesce(radians(angle), 0) AS a, x, CASE WHEN angle IS NULL THEN y ELSE -z END AS y, CASE WHEN angle IS NULL THEN z ELSE y END AS z FROM src s LEFT JOIN g USING (scan_id)),
+m AS (SELECT kind, q.scan_id, id, x * cos(a) - y * sin(a) - coalesce(lx, 0) AS x, x * sin(a) + y * cos(a) - coalesce(ly, 0) AS y, z - coalesce(lz, 0) AS z FROM q LEFT JOIN lo USING (scan_id))
+SELECT kind, scan_id, id, round(CASE WHEN kind = 'pose' AND id % 10 = 0 THEN -1 ELSE x END, 5) + 0.0 AS x, round(CASE WHEN kind = 'pose' AND id % 10 = 0 THEN -1 ELSE y END, 5) + 0.0 AS y, round(CASE WHEN kind = 'pose' AND id % 10 = 0 THEN -1 ELSE z END, 5) + 0.0 AS z FROM m""")
+def geo15_transform_table(spark: SparkSession, d: str) -> DataFrame:
+    """One table of matrices moves a second mesh of each scan, and its camera poses (half of them invalid)."""
+    p, up, scans = _unaligned(spark, d)
+    table = al.alignments(p, up, scans)
+    mesh = al.moved(p.selectExpr("scan_id", "vertex_id", "x + 1 AS x", "y / 2 AS y", "z - 2 AS z"), table)
+    at = [F.lit(1.0), F.lit(0.0), F.lit(0.0), F.col("x"), F.lit(0.0), F.lit(1.0), F.lit(0.0), F.col("y"), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("z"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    lost = F.array_repeat(F.lit(float("-inf")), 16)
+    poses = p.where("vertex_id % 5 = 0").select("scan_id", "vertex_id", F.when(F.expr("vertex_id % 10 = 0"), lost).otherwise(F.array(*at)).alias("pose"))
+    r = lambda c, n: (F.round(F.when(c == float("-inf"), -1.0).otherwise(c), 5) + 0.0).alias(n)
+    moved = al.moved_poses(poses, table).select(F.lit("pose").alias("kind"), "scan_id", F.col("vertex_id").alias("id"), *(r(F.col("pose")[4 * i + 3], c) for i, c in enumerate("xyz")))
+    return mesh.select(F.lit("mesh").alias("kind"), "scan_id", F.col("vertex_id").alias("id"), *(r(F.col(c), c) for c in "xyz")).union(moved)
 
 
 @query(f"WITH {_DEPTH}, p AS (SELECT frame_id, x, y, d / 1000.0 / 1.25 AS z FROM dp WHERE d > 0), q AS (SELECT frame_id, x, y, min(z) AS z FROM p GROUP BY ALL) SELECT frame_id, y, x, round(z, 6) AS z FROM q WHERE x % 5 <> 0")

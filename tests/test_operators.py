@@ -224,7 +224,7 @@ def test_aligned_finds_the_floor(spark):
     """A floor tilted against the up-vector becomes level; a table above it is larger but has points behind."""
     import math
 
-    from scanloom.operators import geometry as ge
+    from scanloom.operators import alignment as al
 
     c, s = math.cos(0.2), math.sin(0.2)
     flat = [(0, x / 4, y / 3, 0.0) for x in range(12) for y in range(10)] + [(1, x / 9, y / 9, 1.0) for x in range(14) for y in range(12)]
@@ -232,12 +232,12 @@ def test_aligned_finds_the_floor(spark):
     points = spark.createDataFrame(rows, "scan_id int, kind int, x double, y double, z double, nx double, ny double, nz double")
     up = spark.createDataFrame([(7, 0.0, 0.0, 1.0)], "scan_id int, ux double, uy double, uz double")
     scans = spark.createDataFrame([(7, True, True, False)], "scan_id int, processed boolean, valid boolean, aligned boolean")
-    got = ge.aligned(points, up, scans, least=50).collect()
+    got = al.aligned(points, up, scans, least=50).collect()
     assert len(got) == len(rows)
     for r in got:
         assert abs(r.z - r.kind) < 1e-9 and abs(r.nz - 1) < 1e-9
-    assert [r.n for r in ge.largest(ge.plane_clusters(points, 50), 1).collect()] == [168]
-    assert ge.aligned(points, up, scans, least=500).count() == len(rows)
+    assert [r.n for r in al.largest(al.plane_clusters(points, 50), 1).collect()] == [168]
+    assert al.aligned(points, up, scans, least=500).count() == len(rows)
 
 
 def test_frames_of_a_folder(spark, tmp_path):
