@@ -255,29 +255,80 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k) for k in range(BANDS)]
 
 
-def jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
-    """Similarity of the sets of width-word shingles themselves."""
-
-    def whole(text: bytes | None) -> set[bytes]:
-        w = (text or b"").lower().split()
-        return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-
-    x, y = whole(a), whole(b)
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, firsts: int = 16, leaders: int = 2) -> DataFrame:
+#: Tokens that more sets of a block pair than this hold are counted by a matrix product, others one by one.
+FEW = 24
+
+
+def similar_forest(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float) -> list[tuple[int, int]]:
+    """Of sets a and b (b after a in numbering; None: a with itself) the pairs with a Jaccard similarity of
+    `similarity` or more, as few as hold each linked group together: (member, its first). Every pair is
+    judged by its exact overlap: tokens that many sets hold by a product of 0/1 matrices, the others, each in
+    few sets, added pair by pair."""
+    both = a if b is None else a + b
+    size = np.array([len(x) for x in both])
+    if not size.sum():
+        return []
+    own = np.repeat(np.arange(len(both)), size)
+    token, held = np.unique(np.concatenate(both), return_inverse=True)
+    df = np.bincount(held)
+    n, first = len(a), 0 if b is None else len(a)
+    m = len(both) - first
+    wide = np.flatnonzero(df > FEW)
+    column = np.full(len(token), -1)
+    column[wide] = np.arange(len(wide))
+    rare = (df[held] > 1) & (df[held] <= FEW)
+    order = np.argsort(held[rare], kind="stable")
+    rows, starts = own[rare][order], np.flatnonzero(np.r_[True, np.diff(held[rare][order]) > 0]) if rare.any() else np.empty(0, int)
+    ends = np.r_[starts[1:], len(rows)]
+    left, right = [], []
+    for gap in range(FEW):  # in a token's list, each with the one `gap` places on
+        at = np.arange(len(rows) - gap)
+        at = at[at + gap < np.repeat(ends, ends - starts)[at]] if len(rows) else at
+        i, j = rows[at], rows[at + gap]
+        keep = (i < n) & (j >= first) if b is not None else i != j
+        left.append(i[keep])
+        right.append(j[keep] - first)
+    pairs, counts = np.unique(np.concatenate(left).astype(np.int64) * m + np.concatenate(right), return_counts=True)
+    label = np.arange(len(both))
+    step = max(1, (4 << 20) // max(m, 1))
+    common = column[held] >= 0
+    for top in range(0, n, step):
+        some = slice(top, min(top + step, n))
+        over = np.zeros((some.stop - top, m), np.float32)
+        for c in range(0, len(wide), 2048):
+            inside = common & (column[held] >= c) & (column[held] < c + 2048)
+            grid = np.zeros((len(both), min(2048, len(wide) - c)), np.float32)
+            grid[own[inside], column[held][inside] - c] = 1
+            over += grid[some] @ grid[first:].T
+        mine = (pairs >= top * m) & (pairs < some.stop * m)
+        over.ravel()[pairs[mine] - top * m] += counts[mine]
+        near = over >= (1 - 1e-9) * similarity * (size[some, None] + size[None, first:] - over)
+        near &= (over > 0) & (np.arange(first, len(both))[None] > np.arange(top, some.stop)[:, None])
+        for i in np.flatnonzero(near.any(1)):
+            met = np.unique(label[np.r_[top + i, first + np.flatnonzero(near[i])]])
+            if len(met) > 1:
+                label[np.isin(label, met[1:])] = met[0]
+    return [(i, int(x)) for i, x in enumerate(label) if i != x]
+
+
+def keep_one_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, firsts: int = 16, block_shingles: int = 1 << 20, block_texts: int = 4096,
+) -> DataFrame:
     """The rows of docs, all columns, of which each class of texts linked by a Jaccard similarity of
-    `similarity` or more keeps one: that with the smallest id (nulls last; among equal ids the first as
-    read). Texts with equal sets of shingles are one; texts without words too.
+    `similarity` or more (of their sets of `width`-word shingles, as 64-bit hashes) keeps one: that with the
+    smallest id (nulls last; among equal ids the first as read). Texts with equal sets of shingles are one;
+    texts without words too. Null and empty texts have no words; an empty table gives an empty result.
 
     Pairs at 0.8 differ in up to 11 bits of a SimHash, where the trie prunes nothing; candidates are
     therefore those that share a MinHash band and of which the smaller set of shingles has `similarity` times
-    the larger one's size or more (no pair can do with less), and each is confirmed by its exact similarity.
-    In a bucket
-    of up to firsts + 1 texts all are compared. In a larger one all are compared with the `leaders`
-    smallest; those that none of these links to go on among themselves, until none is left or each has met
-    `firsts` leaders. So a large group costs rows in proportion to its size."""
+    the larger one's size or more (no pair can do with less). In a bucket of up to firsts + 1 texts all pairs
+    are judged. In a larger one all texts are judged against one text (the smallest that two steps through
+    such buckets reach, so buckets of much the same texts have the same one), and by their Jaccard distance
+    to it they are dealt into bins of half of 1 - similarity, and these into blocks of bounded size. The
+    distance is a metric: texts whose distances to the one text differ by more than 1 - similarity are no
+    pair, and texts that are both linked to it are one class already. All other pairs of blocks are judged, each in a task that
+    returns a forest of links, so no pair that shares a band is left out, a group of near copies costs rows
+    in proportion to its size, and no pair of a large bucket is ever a row."""
     row, same, keys, size = (free_name(docs, x) for x in ("row", "same", "keys", "size"))
 
     def start():
@@ -288,10 +339,14 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         return make
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+            out = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, y = (np.unique(shingles(t.as_py(), width)) for t in (a, b))
+                over = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(1.0 - over / (len(x) + len(y) - over))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(out, pa.float64())], ["u", "v", "far"])
 
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     made = cut(with_columns(numbered, text_col, [(same, "string"), (keys, "array<bigint>"), (size, "bigint")], start), "shingles")
@@ -300,37 +355,50 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one = of.select(F.col("first.row").alias(row))
     texts = made.join(one, row, "left_semi").select(F.col(row).alias("node"), F.col(text_col).cast("binary").alias("text"), F.col(keys).alias("keys"), F.col(size).alias("size"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-        return cut(both.select("u", "v", "a", "b").mapInArrow(confirm, "u bigint, v bigint"), "links")
-
-    def led(some: DataFrame, most: int) -> DataFrame:
-        """(key, u, v, enough): the texts of each bucket with its `most` smallest ones, and whether their
-        sizes allow the similarity."""
-        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        least = some.withColumn("k", place).where(F.col("k") <= most).select("key", F.col("node").alias("u"), F.col("size").alias("other"))
+    def led_by_all(some: DataFrame) -> DataFrame:
+        """(u, v): all pairs of small buckets whose sizes allow a link."""
+        other = some.select("key", F.col("node").alias("u"), F.col("size").alias("other"))
         enough = F.least("size", "other") >= (1 - 1e-9) * similarity * F.greatest("size", "other")
-        return some.join(least, "key").where(F.col("u") < F.col("node")).select("key", "u", F.col("node").alias("v"), enough.alias("enough"))
+        return some.join(other, "key").where((F.col("u") < F.col("node")) & enough).select("u", F.col("node").alias("v"))
 
     bands = cut(texts.select("node", "size", F.explode("keys").alias("key")), "bands")
     large = cut(bands.groupBy("key").count().where(F.col("count") > firsts + 1).select("key"), "large")
     left = cut(bands.join(large, "key", "left_semi").select("node", "size", "key"), "left")
-    met = cut(led(left, leaders), "met")
-    pairs = led(bands.join(large, "key", "left_anti"), firsts).union(met).where("enough").select("u", "v")
-    links = confirmed(cut(pairs.distinct(), "pairs"))
-    found = [links]
-    for _ in range(firsts // leaders - 1):
-        linked = met.join(links, ["u", "v"]).select("key", F.col("v").alias("node"))
-        left = cut(left.join(linked.union(met.select("key", F.col("u").alias("node"))).distinct(), ["key", "node"], "left_anti").select("node", "size", "key"), "left")
-        met = cut(led(left, leaders), "met")
-        if met.isEmpty():
-            break
-        links = confirmed(cut(met.where("enough").select("u", "v").distinct(), "pairs"))
-        found.append(links)
-    every = found[0]
-    for links in found[1:]:
-        every = every.union(links)
-    roots = components(every)
+    lowest = lambda some, by, c, name: some.groupBy(by).agg(F.min(c).alias(name))
+    one_hop = lowest(left.join(lowest(left, "key", "node", "m"), "key"), "node", "m", "m")
+    pivots = lowest(left.join(one_hop, "node"), "key", "m", "u")
+    led = cut(left.join(pivots, "key").where("u <> node").select("key", "u", F.col("node").alias("v"), "size"), "led")
+    small = led_by_all(bands.join(large, "key", "left_anti")).select("u", "v")
+    pairs = cut(small.union(led.select("u", "v")).distinct(), "pairs")
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    judged = cut(both.select("u", "v", "a", "b").mapInArrow(distances, "u bigint, v bigint, far double"), "judged")
+    reach = 1 - similarity + 1e-9
+    links = judged.where(F.col("far") <= reach).select("u", "v")
+
+    # the rest of the large buckets: (key, bin, part) are blocks, pairs of blocks meet in a task
+    width_ = (1 - similarity) / 2
+    bin_ = F.floor(F.greatest(F.lit(0.0), F.col("far") - 1e-9) / width_).cast("int")
+    binned = cut(led.join(judged, ["u", "v"]).select("key", F.col("v").alias("node"), bin_.alias("bin"), "size"), "binned")
+    parts = binned.groupBy("key", "bin").agg(F.greatest(F.ceil(F.sum("size") / block_shingles), F.ceil(F.count("*") / block_texts)).cast("int").alias("parts"))
+    blocks = parts.select("key", "bin", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    other = blocks.select("key", *(F.col(c).alias(f"o_{c}") for c in ("bin", "part")))
+    later = (F.col("o_bin") > F.col("bin")) | (F.col("o_bin") == F.col("bin")) & (F.col("o_part") >= F.col("part"))
+    meet = blocks.join(other, "key").where(later & (F.col("o_bin") - F.col("bin") <= 2) & (F.col("o_bin") >= 2))
+    meet = cut(meet.select("key", "bin", "part", "o_bin", "o_part", F.monotonically_increasing_id().alias("meeting")), "meetings")
+    sides = meet.select("key", "bin", "part", "meeting", F.lit(0).alias("side")).union(meet.where("bin <> o_bin OR part <> o_part").select("key", "o_bin", "o_part", "meeting", F.lit(1)))
+    placed = binned.join(parts, ["key", "bin"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    present = placed.join(sides, ["key", "bin", "part"]).select("meeting", "side", "node")
+
+    def met(rows: pa.Table) -> pa.Table:
+        node, side = rows.column("node").to_numpy(), rows.column("side").to_numpy()
+        order = np.lexsort((node, side))
+        sets = [np.unique(shingles(rows.column("text")[int(i)].as_py(), width)) for i in order]
+        n = int((side == 0).sum())
+        found = similar_forest(sets[:n], sets[n:] if n < len(sets) else None, similarity)
+        return pa.table({"u": pa.array([node[order[r]] for _, r in found], pa.int64()), "v": pa.array([node[order[i]] for i, _ in found], pa.int64())})
+
+    more = present.join(texts.select("node", "text"), "node").groupBy("meeting").applyInArrow(met, "u bigint, v bigint")
+    roots = components(links.union(cut(more, "links")))
     named = of.join(roots, F.col("first.row") == roots.node, "left").select("first", F.coalesce("root", "first.row").alias("root"))
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return made.join(kept, row, "left_semi").select(*docs.columns)

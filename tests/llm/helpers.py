@@ -26,4 +26,15 @@ def documents(spark, rows=None, clash: bool = False):
     return df
 
 
-__all__ = ["Row", "awkward", "documents"]
+def jaccard(a, b, width=5):
+    """Similarity of two texts' sets of width-word shingles, from the shingles themselves."""
+
+    def whole(text):
+        w = (text or "").encode().lower().split()
+        return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    x, y = whole(a), whole(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+__all__ = ["Row", "awkward", "documents", "jaccard"]

@@ -8,7 +8,7 @@ import pytest
 
 from scanloom.llm import decontaminate, pii, queries, warc
 
-from .helpers import SCHEMA, awkward
+from .helpers import SCHEMA, awkward, jaccard
 from .test_corpus import slow_passages, slow_repeats
 from .test_pii import slow
 from .test_search import BENCH, PAGES
@@ -156,7 +156,6 @@ def test_pipeline_against_plain_stages(spark, tables, tmp_path):
     from tokenizers import Tokenizer
 
     import corpus_pipeline
-    from scanloom.llm import simhash
 
     d = tmp_path / "sf"
     d.mkdir()
@@ -168,7 +167,7 @@ def test_pipeline_against_plain_stages(spark, tables, tmp_path):
     root = list(range(len(ROWS)))
     for i in range(len(ROWS)):
         for j in range(i):
-            if root[i] != root[j] and simhash.jaccard(utf8(ROWS[i][1]), utf8(ROWS[j][1]), 5) >= 0.8:
+            if root[i] != root[j] and jaccard(ROWS[i][1], ROWS[j][1]) >= 0.8:
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     kept = []
     for c in set(root):

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from scanloom.llm import simhash
 from scanloom.llm.shared import components
 
-from .helpers import awkward, documents
+from .helpers import awkward, documents, jaccard
 
 
 def slow_fingerprint(text):
@@ -115,7 +117,7 @@ def test_stage_drops_near_copies(spark):
         a, b = changed(k, n, 0), changed(k, n, steps)
         rows += [(2 * k, a, "en", "s", 1), (2 * k + 1, b, "en", "s", 1)]
         near = (n - 4 - 5 * steps) / (n - 4 + 5 * steps)
-        assert simhash.jaccard(a.encode(), b.encode(), 5) == near
+        assert jaccard(a, b) == near
         kept += [2 * k] + [2 * k + 1] * (near < 0.8)
     assert {17, 15} <= set(kept) and not {1, 3, 5, 7, 9, 11} & set(kept)
     rows += [(500 + i, changed(99, 300, 0) + f" end{i}", "en", "s", 1) for i in range(60)]  # a large group
@@ -131,10 +133,69 @@ def test_large_buckets_of_several_classes(spark):
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words[:140] + [f"t{k}x{i}" for i in range(60)]) for k in range(3)]
     rows = [(100 * k + i, f"{t} end{i}", "en", "s", 1) for k, t in enumerate(texts) for i in range(40)]
-    assert 0.4 < simhash.jaccard(texts[0].encode(), texts[1].encode(), 5) < 0.8
+    assert 0.4 < jaccard(texts[0], texts[1]) < 0.8
     assert sorted(r.doc_id for r in simhash.keep_one_similar(documents(spark, rows)).collect()) == [0, 100, 200]
 
 
+def around_a_passage(rng, n_pairs, passage, own, change):
+    """Pairs of near copies that all hold one passage: own words each, `change` of them other in the copy."""
+    words, rows = [f"p{i}" for i in range(passage)], []
+    for k in range(n_pairs):
+        mine = [f"o{k}x{i}" for i in range(own)]
+        copy = [*mine[: own - change], *(f"c{k}x{i}" for i in range(change))]
+        rows += [" ".join(words + mine), " ".join(words + copy)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("how", [{}, {"block_texts": 37}])
+def test_no_link_is_lost_around_a_shared_passage(spark, how):
+    """Pairs from 0.80 to 0.84, all others just below: every class is found, as from all pairs."""
+    rng = random.Random(6)
+    texts = [t for change, own in ((11, 23), (12, 14), (9, 15), (8, 30)) for t in around_a_passage(rng, 50, 100, own, change)]
+    texts += [" ".join([f"p{i}" for i in range(100)] + [f"z{k // 30}y{i}" for i in range(20)] + [f"e{k}"]) for k in range(90)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            over = len(sets[i] & sets[j])
+            if over >= 0.8 * (len(sets[i]) + len(sets[j]) - over):
+                links += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = [i for i in range(len(texts)) if find(i) == i]
+    assert links > 200 and 20 < len(want) < len(texts) - 100
+    got = simhash.keep_one_similar(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]).repartition(3), **how)
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_forest_of_links():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, (6, 80))
+    sets = [np.unique(np.concatenate([base[k % 6][rng.random(80) < 0.93], rng.integers(0, 1 << 60, 4), base[5][:20]])) for k in range(90)]
+    near = {(i, j) for i in range(90) for j in range(i) if len(o := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(o))}
+
+    def classes(pairs, n=90):
+        root = list(range(n))
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    assert 50 < len(near) < 2000
+    assert classes(simhash.similar_forest(sets, None, 0.8)) == classes(near)
+    across = {(i, j) for i, j in near if (i < 40) != (j < 40)}
+    assert classes(simhash.similar_forest(sets[:40], sets[40:], 0.8)) == classes(across)
+    assert simhash.similar_forest([np.empty(0, np.uint64)], None, 0.8) == [] and simhash.similar_forest(sets[:1], sets[:1], 0.8) == [(1, 0)]
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
     assert simhash.keep_one(documents(spark, [])).collect() == []
