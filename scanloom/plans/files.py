@@ -3,12 +3,18 @@ lines would be."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import labels as lb
 from ..operators import tables as tb
 from ..sources import files as fl
+from ..sources import sens
 from . import bindings as b
 from .registry import query
 
@@ -162,3 +168,68 @@ def src23_matrices(spark: SparkSession, d: str) -> DataFrame:
     lines = b.table(spark, d, "supplier").selectExpr("s_suppkey", "explode(sequence(0, if(s_suppkey % 7 > 0, 6, 5))) AS n").selectExpr("s_suppkey AS scan_id", "n AS line_no", f"if(n < 3, 'header', {row}) AS value")
     m = fl.read_matrices(spark, _round_trip(spark, _in_order(lines), "poses"), skip_lines=3)
     return m.select(F.regexp_extract("path", r"scan_id=(\d+)", 1).cast("bigint").alias("scan_id"), F.col("matrix")[0].alias("first"), F.col("matrix")[15].alias("last"))
+
+
+def _streams(spark: SparkSession, d: str) -> str:
+    """Events, 400 a scan, written by tasks as sensor streams: every event an inertial sample, every fifth
+    one and its four followers a frame with a depth image of theirs. Returns the folder."""
+    folder = tb.fresh_path(spark, "streams")
+    eye = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
+    head = {"name": "events", **{k: eye for k in ("k_color", "e_color", "k_depth", "e_depth")}, "color_compression": 0, "depth_compression": sens.ZLIB, "color_width": 2, "color_height": 1, "depth_width": 5, "depth_height": 1, "depth_shift": 1000.0}
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("event_id")
+        frames = []
+        for k, some in rows.groupby(rows["event_id"] // 5):
+            image = np.zeros(5, "<u2")
+            image[(some["event_id"] % 5).to_numpy()] = (some["event_id"] % 4000).to_numpy()
+            pose = [*eye[:3], float(k % 100), *eye[4:]]
+            frames.append((pose, int(some["user_id"].iloc[0]), int(some["event_id"].iloc[-1]), bytes([int(k) % 256] * 2), zlib.compress(image.tobytes())))
+        imu = [([float(e % 7)] * 15, int(e)) for e in rows["event_id"]]
+        scan = int(rows["scan"].iloc[0])
+        sens.write_stream(f"{folder}/s{scan}.sens", head, frames, imu)
+        return pd.DataFrame({"scan": [scan], "frames": [len(frames)]})
+
+    events = b.table(spark, d, "events").selectExpr("event_id div 400 AS scan", "event_id", "user_id")
+    made = events.groupBy("scan").applyInPandas(write, "scan bigint, frames int")
+    made.agg(F.sum("frames")).first()
+    return folder
+
+
+_EV = "ev AS (SELECT event_id // 400 AS scan, event_id, user_id FROM events), fr AS (SELECT scan, event_id // 5 AS k, arg_min(user_id, event_id) AS tc, max(event_id) AS td FROM ev GROUP BY ALL), num AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY k) - 1 AS frame_id FROM fr)"
+
+
+@query(f"""WITH {_EV}, px AS (SELECT num.scan, frame_id, sum(event_id % 4000) AS depth, count(*) FILTER (event_id % 4000 > 0) AS seen FROM num JOIN ev ON ev.scan = num.scan AND ev.event_id // 5 = k GROUP BY ALL)
+SELECT 's' || num.scan AS scan_id, frame_id, tc AS ts_color, td AS ts_depth, (k % 100)::int AS shift, (k % 256)::int AS colour, depth, seen FROM num JOIN px USING (scan, frame_id)""")
+def src15_src16_sensor_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Streams read back in three ranges of frames each, through an index of offsets; depth as pixels."""
+    folder = _streams(spark, d)
+    sens.write_index(spark, folder, f"{folder}/index")
+    frames = sens.read(spark, folder, splits=3, index=f"{folder}/index")
+    pixels = sens.depth_pixels(frames, 5, 1).groupBy("scan_id", "frame_id").agg(F.sum("d").alias("depth"), F.count_if(F.col("d") > 0).alias("seen"))
+    own = frames.select("scan_id", "frame_id", "ts_color", "ts_depth", F.col("pose")[3].cast("int").alias("shift"), F.conv(F.hex(F.substring("color", 1, 1)), 16, 10).cast("int").alias("colour"))
+    return own.join(pixels, ["scan_id", "frame_id"])
+
+
+@query("SELECT 's' || event_id // 400 AS scan_id, event_id AS ts, (event_id % 7)::double AS ax FROM events")
+def src15_inertial_samples(spark: SparkSession, d: str) -> DataFrame:
+    return sens.read(spark, _streams(spark, d), "imu").select("scan_id", "ts", F.col("acceleration.x").alias("ax"))
+
+
+@query("""SELECT 's' || user_id % 97 AS scan_id, 1 + user_id // 97 AS frame_id, count(*)::varchar AS color, CASE WHEN user_id % 3 > 0 THEN max(event_id)::varchar END AS depth, sum(event_id)::varchar AS pose FROM events GROUP BY user_id""")
+def src24_frame_folders(spark: SparkSession, d: str) -> DataFrame:
+    """A frame a user, in folders of files written by tasks; every third one lacks its depth image."""
+    folder = tb.fresh_path(spark, "folders")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples():
+                for kind, value in (("color.jpg", r.color), ("depth.pgm", r.depth), ("pose.txt", r.pose)):
+                    if value is not None:
+                        sens.write_file(f"{folder}/s{r.user_id % 97}/frame-{1 + r.user_id // 97:06d}.{kind}", str(value).encode())
+            yield rows[["user_id"]]
+
+    users = b.table(spark, d, "events").groupBy("user_id").agg(F.count("*").cast("string").alias("color"), F.when(F.col("user_id") % 3 > 0, F.max("event_id").cast("string")).alias("depth"), F.sum("event_id").cast("string").alias("pose"))
+    users.mapInPandas(write, "user_id bigint").count()
+    text = lambda c: F.decode(c, "UTF-8").alias(c)
+    return sens.imported_frames(spark, folder).select("scan_id", F.col("frame_id").cast("bigint").alias("frame_id"), text("color"), text("depth"), text("pose"))

@@ -1,10 +1,16 @@
 """Sensor streams (.sens, version 4) as a Python data source, and their depth images as pixels.
 
-A file is a partition; rows are frames or inertial samples. After the header (fixed values of the
-format, little-endian) come frames of a pose, two time stamps, two sizes and two blobs.
+Rows are frames or inertial samples. After the header (fixed values of the format, little-endian) come
+frames of a pose, two time stamps, two sizes and two blobs.
 
     spark.dataSource.register(SensSource)
-    spark.read.format("sens").option("table", "frames").load(path)
+    spark.read.format("sens").option("table", "frames").option("splits", 16).load(path)
+
+A file is read in `splits` ranges of frames, an input partition each. Where frames begin is known from an
+index of offsets (write_index(), once; option "index" names its folder); without one a task finds the
+beginning of its range by the sizes alone, and no blob of another range is read. Conditions on scan_id and
+frame_id leave out files and parts of ranges before anything is opened, with option "prune" (read() sets
+it where spark.sql.python.filterPushdown.enabled lets Spark hand them over). Tables "imu" and "sensors" are a partition a file.
 
 Files are found by pyarrow.fs (local, hdfs, s3, gs), below a folder or as one path; a truncated file
 is an error. Written once to Parquet, everything else reads that.
@@ -20,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 VECTOR = "struct<x:double,y:double,z:double>"
 TABLES = {
@@ -52,45 +58,147 @@ def header(f) -> dict:
     return out
 
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+def _fixed(head: dict) -> int:
+    """Where the first frame begins."""
+    return 4 + 8 + len(head["name"].encode()) + 4 * 64 + 8 + 16 + 4 + 8
+
+
+#: Bytes of a frame before its blobs, and of an inertial sample.
+FRAME, SAMPLE = 64 + 32, 128
+
+
+def _next(f, at: int) -> int:
+    """Where the frame after the one at `at` begins, by its sizes."""
+    f.seek(at + FRAME - 16)
+    return at + FRAME + sum(_take(f, "QQ"))
+
+
+def offsets(f) -> np.ndarray:
+    """Where each frame begins, and the inertial samples after the last: sizes are read, blobs are not."""
+    head = header(f)
+    at = [_fixed(head)]
+    for _ in range(head["n_frames"]):
+        at.append(_next(f, at[-1]))
+    return np.array(at, "<i8")
+
+
+def _files(path: str) -> list[str]:
+    uri = path if "://" in path else "file://" + path
+    fs, root = pyarrow.fs.FileSystem.from_uri(uri)
+    info = fs.get_file_info(root)
+    if info.type == pyarrow.fs.FileType.File:
+        return [uri]
+    found = fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
+    return [uri.removesuffix(root) + x.path for x in sorted(found, key=lambda x: x.path) if x.path.endswith(".sens")]
+
+
+def _scan(path: str) -> str:
+    return path.rpartition("/")[2].removesuffix(".sens")
+
+
+def _index_name(folder: str, path: str) -> str:
+    """The index of a stream: named by its whole path, so streams of one name do not meet."""
+    return f"{folder.rstrip('/')}/{zlib.crc32(path.encode()):08x}-{_scan(path)}.idx"
+
+
+def write_index(spark, path: str, folder: str) -> int:
+    """Writes the offsets of every stream under path to the index folder, a task a file; their number."""
+    found, folder = _files(path), folder if "://" in folder else "file://" + folder
+    if not found:
+        return 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri in b.column("path").to_pylist():
+                fs, name = pyarrow.fs.FileSystem.from_uri(uri)
+                with fs.open_input_file(name) as f:
+                    at = offsets(f)
+                out, to = pyarrow.fs.FileSystem.from_uri(_index_name(folder, uri))
+                out.create_dir(to.rpartition("/")[0], recursive=True)
+                with out.open_output_stream(to) as f:
+                    f.write(at.tobytes())
+            yield b
+
+    return spark.createDataFrame([(x,) for x in found], "path string").repartition(len(found)).mapInArrow(run, "path string").count()
+
+
+class _Range(InputPartition):
+    """Range i of n of a file's frames, from frame `first` to before `last` at most."""
+
+    def __init__(self, path: str, i: int, n: int, first: int, last: int) -> None:
+        self.path, self.i, self.n, self.first, self.last = path, i, n, first, last
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, table: str) -> None:
-        self.path, self.table = path, table
+    def __init__(self, path: str, table: str, splits: int = 1, index: str | None = None) -> None:
+        self.path, self.table, self.splits = path, table, splits if table == "frames" else 1
+        self.index = index if index is None or "://" in index else "file://" + index
+        self.scans: set[str] | None = None
+        self.first, self.last = 0, 1 << 62
 
     def partitions(self) -> list[InputPartition]:
-        uri = self.path if "://" in self.path else "file://" + self.path
-        fs, root = pyarrow.fs.FileSystem.from_uri(uri)
-        info = fs.get_file_info(root)
-        if info.type == pyarrow.fs.FileType.File:
-            return [_File(uri)]
-        found = fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
-        return [_File(uri.removesuffix(root) + x.path) for x in sorted(found, key=lambda x: x.path) if x.path.endswith(".sens")]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
+        found = [x for x in _files(self.path) if self.scans is None or _scan(x) in self.scans]
+        made = [_Range(x, i, self.splits, self.first, self.last) for x in found for i in range(self.splits)] if self.first < self.last else []
+        return made or [_Range("", 0, 1, 0, 0)]
+
+    def _start(self, uri: str, f, first: int, head: dict) -> int:
+        """Where frame `first` begins (the one after the last: the inertial samples)."""
+        if self.index is not None:
+            fs, name = pyarrow.fs.FileSystem.from_uri(_index_name(self.index, uri))
+            if fs.get_file_info(name).type == pyarrow.fs.FileType.File:
+                with fs.open_input_file(name) as g:
+                    g.seek(8 * first)
+                    return _take(g, "q")[0]
+        at = _fixed(head)
+        for _ in range(first):
+            at = _next(f, at)
+        return at
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        if not partition.path:
+            return
         fs, name = pyarrow.fs.FileSystem.from_uri(partition.path)
-        scan = name.rpartition("/")[2].removesuffix(".sens")
-        with fs.open_input_stream(name, compression=None, buffer_size=1 << 20) as f:
+        scan = _scan(name)
+        with fs.open_input_file(name) as f:
             h = header(f)
+            n = h["n_frames"]
             if self.table == "sensors":
                 yield (scan, *h.values())
-                return
-            for i in range(h["n_frames"]):
-                pose, times, sizes = list(_take(f, "16f")), _take(f, "QQ"), _take(f, "QQ")
-                color, depth = f.read(sizes[0]), f.read(sizes[1])
-                if len(depth) < sizes[1]:
-                    raise ValueError(f"{partition.path} ends within frame {i}")
-                if self.table == "frames":
-                    yield scan, i, pose, *times, color, depth
-            if self.table == "imu":
-                (n,) = _take(f, "Q")
-                for _ in range(n):
+            elif self.table == "imu":
+                f.seek(self._start(partition.path, f, n, h))
+                (samples,) = _take(f, "Q")
+                for _ in range(samples):
                     v = _take(f, "15d")
                     (ts,) = _take(f, "Q")
                     yield (scan, ts, *(v[k : k + 3] for k in range(0, 15, 3)))
+            else:
+                first = max(partition.i * n // partition.n, partition.first)
+                last = min((partition.i + 1) * n // partition.n, partition.last)
+                if first < last:
+                    f.seek(self._start(partition.path, f, first, h))
+                for i in range(first, last):
+                    pose, times, sizes = list(_take(f, "16f")), _take(f, "QQ"), _take(f, "QQ")
+                    color, depth = f.read(sizes[0]), f.read(sizes[1])
+                    if len(depth) < sizes[1]:
+                        raise ValueError(f"{partition.path} ends within frame {i}")
+                    yield scan, i, pose, *times, color, depth
+
+
+class _Pruned(_Reader):
+    """A reader that takes conditions over; only allowed where Spark hands them over."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for x in filters:
+            of = getattr(x, "attribute", None)
+            if of == ("scan_id",) and isinstance(x, EqualTo | In):
+                these = {x.value} if isinstance(x, EqualTo) else set(x.value)
+                self.scans = these if self.scans is None else self.scans & these
+            elif of == ("frame_id",) and self.table == "frames" and isinstance(x, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
+                low = {EqualTo: x.value, GreaterThan: x.value + 1, GreaterThanOrEqual: x.value}.get(type(x), 0)
+                high = {EqualTo: x.value + 1, LessThan: x.value, LessThanOrEqual: x.value + 1}.get(type(x), 1 << 62)
+                self.first, self.last = max(self.first, low), min(self.last, high)
+            else:
+                yield x
 
 
 class SensSource(DataSource):
@@ -102,23 +210,41 @@ class SensSource(DataSource):
         return TABLES[self.options.get("table", "frames")]
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("table", "frames"))
+        kind = _Pruned if self.options.get("prune", "false") == "true" else _Reader
+        return kind(self.options["path"], self.options.get("table", "frames"), int(self.options.get("splits", 1)), self.options.get("index"))
 
 
-def write_stream(path: str, head: dict, frames: list[tuple], imu: list[tuple] = ()) -> None:
+def stream(head: dict, frames: list[tuple], imu: list[tuple] = ()) -> bytes:
     """One stream: head as header() gives it, frames (pose, ts_color, ts_depth, color, depth), imu
     (15 numbers, ts)."""
-    with open(path, "wb") as f:
-        name = head["name"].encode()
-        f.write(struct.pack("<IQ", VERSION, len(name)) + name)
-        for k in ("k_color", "e_color", "k_depth", "e_depth"):
-            f.write(struct.pack("<16f", *head[k]))
-        f.write(struct.pack("<iiIIIIfQ", head["color_compression"], head["depth_compression"], head["color_width"], head["color_height"], head["depth_width"], head["depth_height"], head["depth_shift"], len(frames)))
-        for pose, a, b, color, depth in frames:
-            f.write(struct.pack("<16f4Q", *pose, a, b, len(color), len(depth)) + color + depth)
-        f.write(struct.pack("<Q", len(imu)))
-        for v, ts in imu:
-            f.write(struct.pack("<15dQ", *v, ts))
+    name = head["name"].encode()
+    out = [struct.pack("<IQ", VERSION, len(name)) + name, *(struct.pack("<16f", *head[k]) for k in ("k_color", "e_color", "k_depth", "e_depth"))]
+    sizes = (head[k] for k in ("color_compression", "depth_compression", "color_width", "color_height", "depth_width", "depth_height", "depth_shift"))
+    out.append(struct.pack("<iiIIIIfQ", *sizes, len(frames)))
+    for pose, a, b, color, depth in frames:
+        out += [struct.pack("<16f4Q", *pose, a, b, len(color), len(depth)), color, depth]
+    out += [struct.pack("<Q", len(imu)), *(struct.pack("<15dQ", *v, ts) for v, ts in imu)]
+    return b"".join(out)
+
+
+def write_stream(path: str, head: dict, frames: list[tuple], imu: list[tuple] = ()) -> None:
+    """stream() as a file, wherever pyarrow.fs writes; written again, it is the same file."""
+    write_file(path, stream(head, frames, imu))
+
+
+def write_file(path: str, data: bytes) -> None:
+    fs, name = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    fs.create_dir(name.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(name) as f:
+        f.write(data)
+
+
+def read(spark, path: str, table: str = "frames", splits: int = 1, index: str | None = None) -> DataFrame:
+    """A table of the streams under path, files in `splits` ranges of frames, offsets from an index folder."""
+    spark.dataSource.register(SensSource)
+    prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format("sens").option("table", table).option("splits", splits).option("prune", prune)
+    return (reader.option("index", index) if index else reader).load(path)
 
 
 def depth_pixels(frames: DataFrame, width: int, height: int, compression: int = ZLIB, skip: int = 1) -> DataFrame:

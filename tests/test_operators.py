@@ -120,6 +120,35 @@ def test_sensor_streams(spark, tmp_path):
     assert [r.d for r in sens.depth_pixels(read("frames"), 3, 2).orderBy("y", "x").collect()] == [0, 1, 2, 3, 4, 65535]
 
 
+def test_ranges_of_a_stream(spark, tmp_path):
+    eye = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
+    head = {"name": "dév", "k_color": eye, "e_color": eye, "k_depth": eye, "e_depth": eye, "color_compression": 2, "depth_compression": 0, "color_width": 4, "color_height": 2, "depth_width": 3, "depth_height": 2, "depth_shift": 1000.0}
+    for scan, n in (("a", 57), ("b", 1), ("c", 0)):
+        sens.write_stream(f"{tmp_path}/in/{scan}.sens", head, [(eye, i, 2 * i, b"c" * (i % 5), b"d" * (i * 7 % 11)) for i in range(n)], [([0.5] * 15, i) for i in range(n)])
+    want = [(s, i, i, 2 * i, b"c" * (i % 5), b"d" * (i * 7 % 11)) for s, n in (("a", 57), ("b", 1)) for i in range(n)]
+    assert sens.write_index(spark, f"{tmp_path}/in", f"{tmp_path}/index") == 3
+    get = lambda df: sorted((r.scan_id, r.frame_id, r.ts_color, r.ts_depth, bytes(r.color), bytes(r.depth)) for r in df.collect())
+    for splits in (1, 3, 100):
+        for index in (None, f"{tmp_path}/index"):
+            df = sens.read(spark, f"{tmp_path}/in", splits=splits, index=index)
+            assert get(df) == want and df.rdd.getNumPartitions() == 3 * splits
+    assert sens.read(spark, f"{tmp_path}/in", "imu", index=f"{tmp_path}/index").count() == sens.read(spark, f"{tmp_path}/in", "imu").count() == 58
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    some = sens.read(spark, f"{tmp_path}/in", splits=4, index=f"{tmp_path}/index").where("scan_id = 'a' AND frame_id >= 20 AND frame_id < 23")
+    assert get(some) == want[20:23] and some.rdd.getNumPartitions() == 4
+    assert get(sens.read(spark, f"{tmp_path}/in").where("scan_id IN ('b', 'x') AND frame_id <= 9 AND ts_color < 5")) == want[57:]
+    assert sens.read(spark, f"{tmp_path}/in").where("scan_id = 'z'").count() == 0
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    r = sens._Pruned(f"{tmp_path}/in", "frames", 100, f"{tmp_path}/index")
+    assert list(r.pushFilters([sens.EqualTo(("scan_id",), "a"), sens.GreaterThan(("frame_id",), 50), sens.EqualTo(("ts_color",), 3)])) == [sens.EqualTo(("ts_color",), 3)]
+    assert {p.path.rpartition("/")[2] for p in r.partitions()} == {"a.sens"} and [x[1] for p in r.partitions() for x in r.read(p)] == list(range(51, 57))
+    data = (tmp_path / "in" / "a.sens").read_bytes()
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.sens").write_bytes(data[:2500])
+    with pytest.raises(Exception, match="ends within|unpack"):
+        sens.read(spark, f"{tmp_path}/cut").collect()
+
+
 @pytest.mark.parametrize(("n", "want"), [(0, "0.0B"), (1023, "1023.0B"), (1536, "1.5KiB"), (5 * 1024**3, "5.0GiB")])
 def test_natural_size(spark, n, want):
     assert spark.range(1).select(sc.natural_size(F.lit(float(n))).alias("s")).first().s == want
