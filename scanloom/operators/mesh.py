@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import grid_join
+from .spatial import close_links
 from .tables import settled
 
 
@@ -93,8 +93,7 @@ def drop_small_pieces(faces: DataFrame, least: int) -> DataFrame:
 def merge_close(vertices: DataFrame, faces: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
     """(vertices, faces) with vertices within eps of each other, in chains too, made their smallest one;
     faces that lose a corner go."""
-    pairs = grid_join(vertices, vertices, eps).where("vertex_id < r_vertex_id").select("scan_id", F.col("vertex_id").alias("a"), F.col("r_vertex_id").alias("b"))
-    to = components(pairs)
+    to = components(close_links(vertices, eps))
     out = faces
     for k in range(3):
         out = out.join(to.select("scan_id", F.col("node").alias(f"v{k}"), F.col("root").alias("r")), ["scan_id", f"v{k}"], "left").withColumn(f"v{k}", F.coalesce("r", f"v{k}")).drop("r")
