@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spatial import close_links
@@ -114,6 +114,31 @@ def referenced(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return vertices.join(used, ["scan_id", "vertex_id"], "left_semi")
 
 
+def dense_ids(rows: DataFrame, by: list[str], out: str) -> DataFrame:
+    """rows with a gapless number from 0 a scan, by the columns `by` (which tell a scan's rows apart). Rows
+    are sorted in ranges; a range counts its rows of each scan, the counts of the ranges before are added up
+    (a row a scan and range), and a row's number is that and its place in its range."""
+    ranged = rows.repartitionByRange("scan_id", *by).sortWithinPartitions("scan_id", *by).withColumn("_at", F.monotonically_increasing_id())
+    placed = settled(ranged)
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = placed.groupBy("scan_id", part).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("scan_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("scan_id").alias("_s"), "_part", "_first", F.coalesce(before, F.lit(0)).alias("_start"))
+    numbered = placed.withColumn("_of", F.shiftright("_at", 33)).join(starts, F.expr("scan_id <=> _s AND _of = _part"))
+    return numbered.withColumn(out, F.col("_start") + F.col("_at") - F.col("_first")).select(*rows.columns, out)
+
+
+def renumbered(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces): the vertices that some face has, and faces, with vertex_id gapless from 0 a scan in
+    the old order; faces with a corner that is no vertex go."""
+    kept = dense_ids(referenced(vertices, faces), ["vertex_id"], "_new")
+    out = faces
+    for k in range(3):
+        out = out.join(kept.select("scan_id", F.col("vertex_id").alias(f"v{k}"), F.col("_new").alias(f"_n{k}")), ["scan_id", f"v{k}"])
+    out = out.withColumns({f"v{k}": F.col(f"_n{k}") for k in range(3)}).select(*faces.columns)
+    return kept.withColumn("vertex_id", F.col("_new")).select(*vertices.columns), out
+
+
 def over_segment(weights: DataFrame, k: float, least: int) -> DataFrame:
     """(scan_id, vertex_id, seg_id): graph segmentation of a scan's edges (scan_id, a, b, w). The order
     of merges is sequential by nature, so a scan is a group; scans, of bounded size, run side by side."""

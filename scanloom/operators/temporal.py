@@ -6,23 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_nearest(frames: DataFrame, samples: DataFrame, key: str = "scan_id", ts: str = "ts", values: list[str] | None = None) -> DataFrame:
-    """frames with the sample nearest in time (columns near_ts and `values`): of two at the same distance
-    the later one; before the first and after the last sample these; nulls for scans without samples.
+def in_buckets(rows: DataFrame, key: str, ts: str, bucket_rows: int) -> DataFrame:
+    """rows with `_bucket`: the time of a key, from its first to its last row, in even parts of about
+    bucket_rows rows."""
+    at = F.col(ts).cast("double")
+    span = rows.groupBy(F.col(key).alias("_key")).agg(F.min(at).alias("_from"), F.max(at).alias("_to"), F.ceil(F.count("*") / bucket_rows).alias("_parts"))
+    j = rows.join(span, F.expr(f"`{key}` <=> _key"))
+    part = F.floor(F.try_divide(at - F.col("_from"), F.col("_to") - F.col("_from")) * F.col("_parts"))
+    return j.withColumn("_bucket", F.least(F.coalesce(part, F.lit(0)), F.col("_parts") - 1)).drop("_key", "_from", "_to", "_parts")
+
 
-    One sort of both sides together by (key, ts): the last sample before and the first one after are
-    running windows, so no pair of a frame and a sample is ever formed. Of samples with equal time the
-    one that is largest by its values counts."""
+def asof_nearest(frames: DataFrame, samples: DataFrame, key: str = "scan_id", ts: str = "ts", values: list[str] | None = None, bucket_rows: int = 100_000) -> DataFrame:
+    """frames with the sample nearest in time (columns near_ts and `values`): of two at the same distance
+    the later one; before the first and after the last sample these; nulls for scans without samples and
+    for frames without a time.
+
+    The time of a scan is dealt into buckets. Each takes over the last sample before it and the first one
+    after it, which a window over buckets, not rows, finds across empty ones. Then a bucket is one sort of
+    both sides by time: the last sample before and the first one after are running windows, so no pair of a
+    frame and a sample is formed, and a scan with a third of all rows is many tasks. Of samples with equal
+    time the one that is largest by its values counts."""
     values = values or [c for c in samples.columns if c not in (key, ts)]
-    kept = samples.groupBy(key, ts).agg(F.max(F.struct(*values)).alias("_v"))
+    kept = samples.where(F.col(ts).isNotNull()).groupBy(key, ts).agg(F.max(F.struct(*values)).alias("_v"))
     s = kept.select(key, F.col(ts), F.struct(F.col(ts).alias("t"), F.col("_v").alias("v")).alias("_s"), F.lit(None).cast(frames.select(F.struct("*")).schema[0].dataType).alias("_f"))
     f = frames.select(key, F.col(ts), F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), F.struct("*").alias("_f"))
-    w = Window.partitionBy(key).orderBy(ts)
+    both = in_buckets(s.unionByName(f), key, ts, bucket_rows)
+    ends = both.groupBy(key, "_bucket").agg(F.min("_s").alias("first"), F.max("_s").alias("last"))
+    by = Window.partitionBy(key).orderBy("_bucket")
+    before = F.last("last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    carried = ends.select(key, "_bucket", before.alias("_before"), after.alias("_after"))
+    taken = carried.select(key, "_bucket", F.explode(F.array("_before", "_after")).alias("_s")).where("_s IS NOT NULL")
+    taken = taken.select(key, F.col("_s.t").alias(ts), "_s", F.lit(None).cast(both.schema["_f"].dataType).alias("_f"), "_bucket")
+    w = Window.partitionBy(key, "_bucket").orderBy(ts)
     back = F.last("_s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
     ahead = F.first("_s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    both = s.unionByName(f).select("*", back.alias("_b"), ahead.alias("_a")).where("_f IS NOT NULL")
+    met = both.unionByName(taken).select("*", back.alias("_b"), ahead.alias("_a")).where("_f IS NOT NULL")
     pick = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).when(F.col(ts) - F.col("_b.t") < F.col("_a.t") - F.col(ts), F.col("_b")).otherwise(F.col("_a"))
-    out = both.select("_f", pick.alias("_p"))
+    out = met.select("_f", F.when(F.col(ts).isNotNull(), pick).alias("_p"))
     return out.select("_f.*", F.col("_p.t").alias("near_ts"), *(F.col(f"_p.v.{v}").alias(v) for v in values))
 
 

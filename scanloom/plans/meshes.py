@@ -69,6 +69,17 @@ def set7_referenced_vertices(spark: SparkSession, d: str) -> DataFrame:
     return ms.referenced(b.mesh_points(spark, d).withColumn("vertex_id", F.col("vertex_id") * 2).withColumn("scan_id", F.expr("vertex_id div 100")), b.faces(spark, d)).select("vertex_id")
 
 
+@query(f"""WITH {_ONE}, {b.FACES_SQL}, odd AS (SELECT * FROM faces WHERE v0 % 7 > 0 AND v1 % 3 > 0),
+used AS (SELECT DISTINCT scan_id, unnest([v0, v1, v2]) AS vertex_id FROM odd), num AS (SELECT scan_id, vertex_id, row_number() OVER (PARTITION BY scan_id ORDER BY vertex_id) - 1 AS n FROM used JOIN pts USING (scan_id, vertex_id))
+SELECT scan_id, -1::bigint AS face_id, n AS v0, vertex_id AS v1, vertex_id AS v2 FROM num
+UNION ALL SELECT o.scan_id, face_id, a.n, b.n, c.n FROM odd o JOIN num a ON a.scan_id = o.scan_id AND a.vertex_id = v0 JOIN num b ON b.scan_id = o.scan_id AND b.vertex_id = v1 JOIN num c ON c.scan_id = o.scan_id AND c.vertex_id = v2""")
+def set7_renumbered(spark: SparkSession, d: str) -> DataFrame:
+    """Faces without those that begin or go on with certain vertices: new numbers beside the old ones, and the faces."""
+    faces = b.faces(spark, d).where("v0 % 7 > 0 AND v1 % 3 > 0")
+    kept, out = ms.renumbered(b.mesh_points(spark, d).withColumn("old", F.col("vertex_id")), faces)
+    return kept.select("scan_id", F.lit(-1).cast("bigint").alias("face_id"), F.col("vertex_id").alias("v0"), F.col("old").alias("v1"), F.col("old").alias("v2")).union(out.select("scan_id", "face_id", "v0", "v1", "v2"))
+
+
 @query(f"""WITH RECURSIVE {_ONE}, {b.FACES_SQL}, near AS (SELECT p.vertex_id AS a, q.vertex_id AS b FROM pts p JOIN pts q ON p.scan_id = q.scan_id AND p.vertex_id <> q.vertex_id AND sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2)) <= 0.6),
 reach(node, r) AS (SELECT vertex_id, vertex_id FROM pts UNION SELECT near.b, reach.r FROM reach JOIN near ON near.a = reach.node), root AS (SELECT node, min(r) AS root FROM reach GROUP BY 1),
 f AS (SELECT a.root AS v0, b.root AS v1, c.root AS v2 FROM faces JOIN root a ON a.node = v0 JOIN root b ON b.node = v1 JOIN root c ON c.node = v2)

@@ -28,6 +28,36 @@ def test_asof_ties_ends_and_missing(spark):
     assert rows(tp.asof_nearest(f, s), "frame_id", "near_ts", "v") == [(1, 8, 1.0), (2, 8, 1.0), (3, 16, 3.0), (4, 16, 3.0), (5, None, None)]
 
 
+def test_asof_over_buckets(spark):
+    """A hot scan, long gaps, bursts at one time: the same as from all samples, however many buckets."""
+    import random
+
+    rng = random.Random(3)
+    samples = [("hot", t, t * 10) for t in [*(rng.randint(0, 500) for _ in range(200)), *([9000] * 30), *range(20_000, 20_050)]] + [("b", 5, 1), (None, 7, 2)]
+    frames = [("hot", i, rng.randint(-50, 21_000)) for i in range(300)] + [("b", 900, 1), ("c", 901, 1), (None, 902, 9), ("hot", 903, None)]
+    s = spark.createDataFrame(samples, "scan_id string, ts bigint, v bigint")
+    f = spark.createDataFrame(frames, "scan_id string, frame_id bigint, ts bigint")
+    want = []
+    for scan, i, ts in frames:
+        near = [(abs(t - ts), -t, v) for k, t, v in samples if k == scan] if ts is not None else []
+        best = min(near, key=lambda x: (x[0], x[1], -x[2]), default=(None, None, None))
+        want.append((i, None if best[1] is None else -best[1], best[2]))
+    for bucket_rows in (100_000, 40, 3):
+        assert sorted((r.frame_id, r.near_ts, r.v) for r in tp.asof_nearest(f, s, bucket_rows=bucket_rows).collect()) == sorted(want)
+    sizes = tp.in_buckets(s.where("ts < 600"), "scan_id", "ts", 20).groupBy("scan_id", "_bucket").count().where("scan_id = 'hot'").collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 60
+
+
+def test_dense_numbers(spark):
+    kind = "scan_id string, vertex_id bigint, x double, y double, z double"
+    v = spark.createDataFrame([(s, i * i, 0.0, 0.0, 0.0) for s in ("a", "b") for i in range(200)], kind).repartition(5)
+    f = spark.createDataFrame([("a", 0, 4, 100, 9), ("a", 1, 4, 10_000, 9), ("b", 2, 0, 1, 4), ("b", 3, 0, 1, 7)], "scan_id string, face_id bigint, v0 bigint, v1 bigint, v2 bigint")
+    kept, out = ms.renumbered(v, f)
+    assert rows(kept, "scan_id", "vertex_id") == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0), ("b", 1), ("b", 2)]
+    assert rows(out, "scan_id", "face_id", "v0", "v1", "v2") == [("a", 0, 0, 2, 1), ("a", 1, 0, 3, 1), ("b", 2, 0, 1, 2)]
+    assert sorted((r.scan_id, r.vertex_id, r.n) for r in ms.dense_ids(v, ["vertex_id"], "n").collect()) == [(s, i * i, i) for s in ("a", "b") for i in range(200)]
+
+
 def test_matches_below_one_half_are_settled_in_turn(spark):
     big = [("s", v, 3001) for v in range(300)] + [("s", v, 3002) for v in range(300, 600)]
     gt = spark.createDataFrame(big, "scan_id string, vertex_id bigint, id bigint")
