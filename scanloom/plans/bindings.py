@@ -25,20 +25,20 @@ _CLASS = f"element_at(array({', '.join(map(str, INSTANCE_CLASSES))}), cast(%s %%
 
 
 def instances(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(gt, preds, masks): ten instances a scan, the ninth of no class and the tenth none; a prediction
-    for each that covers four fifths of it and a fifth of the next."""
-    o = table(spark, d, "orders").selectExpr("o_custkey % 4 AS scan_id", "o_orderkey AS vertex_id", "o_orderkey % 10 AS k", "(o_orderkey div 10) % 5 AS m")
+    """(gt, preds, masks): a scan for 512 customers, ten instances each, the ninth of no class and the tenth
+    none; a prediction for each that covers four fifths of it and a fifth of the next."""
+    o = table(spark, d, "orders").selectExpr("o_custkey div 512 AS scan_id", "o_orderkey AS vertex_id", "o_orderkey % 10 AS k", "(o_orderkey div 10) % 5 AS m")
     gt = o.selectExpr("scan_id", "vertex_id", f"CASE WHEN k = 9 THEN 0 WHEN k = 8 THEN 2001 ELSE {_CLASS % 'k'} * 1000 + k + 1 END AS id")
     masks = o.selectExpr("scan_id", "CASE WHEN m < 4 THEN k ELSE (k + 9) % 10 END AS pred_id", "vertex_id")
-    preds = o.select("scan_id", F.col("k").alias("pred_id")).distinct().selectExpr("scan_id", "pred_id", f"cast({_CLASS % 'pred_id'} AS bigint) AS label_id", "(pred_id * 37 % 100) / 100.0D + scan_id / 1000.0D AS conf")
+    preds = o.select("scan_id", F.col("k").alias("pred_id")).distinct().selectExpr("scan_id", "pred_id", f"cast({_CLASS % 'pred_id'} AS bigint) AS label_id", "(pred_id * 37 % 100) / 100.0D + scan_id / 1000000.0D AS conf")
     return gt, preds, masks
 
 
 _CLASS_SQL = f"([{', '.join(map(str, INSTANCE_CLASSES))}])[%s %% 6 + 1]"
-INSTANCES_SQL = f"""o AS (SELECT o_custkey % 4 AS scan_id, o_orderkey AS vertex_id, o_orderkey % 10 AS k, (o_orderkey // 10) % 5 AS m FROM orders),
+INSTANCES_SQL = f"""o AS (SELECT o_custkey // 512 AS scan_id, o_orderkey AS vertex_id, o_orderkey % 10 AS k, (o_orderkey // 10) % 5 AS m FROM orders),
 gt AS (SELECT scan_id, vertex_id, CASE WHEN k = 9 THEN 0 WHEN k = 8 THEN 2001 ELSE {_CLASS_SQL % 'k'} * 1000 + k + 1 END AS id FROM o),
 masks AS (SELECT scan_id, CASE WHEN m < 4 THEN k ELSE (k + 9) % 10 END AS pred_id, vertex_id FROM o),
-preds AS (SELECT DISTINCT scan_id, k AS pred_id, {_CLASS_SQL % 'k'} AS label_id, (k * 37 % 100) / 100.0 + scan_id / 1000.0 AS conf FROM o)"""
+preds AS (SELECT DISTINCT scan_id, k AS pred_id, {_CLASS_SQL % 'k'} AS label_id, (k * 37 % 100) / 100.0 + scan_id / 1000000.0 AS conf FROM o)"""
 
 
 def segmentation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
