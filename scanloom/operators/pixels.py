@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -212,9 +212,13 @@ def seen_labels(
 
 
 def jitter(chunks: DataFrame, most: int, size: int, seed: int = 0) -> DataFrame:
-    """Voxels (sample_id, ix, iy, iz, ...) shifted by an offset of up to `most` a sample, drawn from a hash
-    of sample and seed; those that leave the grid go."""
-    step = lambda axis: F.pmod(F.xxhash64("sample_id", F.lit(f"{seed}{axis}")), F.lit(2 * most + 1)) - most
+    """Voxels (sample_id, ix, iy, iz, ...) shifted by an offset of up to `most` a sample and axis; those that
+    leave the grid go. The offset is the first 32 bits of the MD5 of "sample:seed:axis", modulo the number of
+    offsets, so any engine gives the same."""
+
+    def step(axis: str) -> Column:
+        digest = F.md5(F.concat_ws(":", F.col("sample_id").cast("string"), F.lit(str(seed)), F.lit(axis)))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % (2 * most + 1) - most
+
     moved = chunks.withColumns({c: F.col(c) + step(c) for c in ("ix", "iy", "iz")})
     return moved.where(" AND ".join(f"{c} BETWEEN 0 AND {size - 1}" for c in ("ix", "iy", "iz")))
-

@@ -248,7 +248,13 @@ def geo16_column_samples(spark: SparkSession, d: str) -> DataFrame:
     return ge.column_samples(v, extent=(40, 40)).groupBy("cx", "cy").agg(F.count("*").alias("n"), F.sum(F.col("iz") * F.col("dx")).alias("checksum"))
 
 
-@query()
+_SHIFT = "('0x' || substr(md5(user_id || ':0:{0}'), 1, 8))::bigint % 7 - 3 AS {0}"
+
+
+@query(f"""WITH v AS (
+  SELECT user_id, value, event_id % 30 + a.ix AS ix, event_id // 30 % 30 + a.iy AS iy, event_id // 900 % 30 + a.iz AS iz
+  FROM events JOIN (SELECT user_id, {_SHIFT.format('ix')}, {_SHIFT.format('iy')}, {_SHIFT.format('iz')} FROM (SELECT DISTINCT user_id FROM events)) a USING (user_id)
+) SELECT user_id AS sample_id, ix, iy, iz, value FROM v WHERE ix BETWEEN 0 AND 29 AND iy BETWEEN 0 AND 29 AND iz BETWEEN 0 AND 29""")
 def geo17_jittered_voxels(spark: SparkSession, d: str) -> DataFrame:
     v = b.table(spark, d, "events").selectExpr("user_id AS sample_id", "event_id % 30 AS ix", "event_id div 30 % 30 AS iy", "event_id div 900 % 30 AS iz", "value")
     return px.jitter(v, 3, 30)
