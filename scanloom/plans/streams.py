@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tables as tb
+from ..streaming import bucketed as bk
 from ..streaming import streams as st
 from . import bindings as b
 from .registry import query
@@ -47,6 +48,17 @@ def str2_incremental_reindex(spark: SparkSession, d: str) -> DataFrame:
     return st.reindexed(index, spark.read.parquet(f"{at}/changes"))
 
 
+@query("WITH u AS (SELECT user_id AS id, arg_max(event_type, event_id) AS name FROM events GROUP BY 1) SELECT * FROM u UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT id FROM u)")
+def str2_bucketed_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index in 16 buckets of its id; the stream's batches rewrite those that they touch."""
+    at = _folder(spark)
+    schema = "id bigint, name string"
+    bk.create(b.table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name"), f"{at}/index", 16)
+    updates = _events(spark, d).select(F.col("user_id").alias("id"), F.col("event_id").alias("ts"), F.col("event_type").alias("name"))
+    bk.reindex(updates, f"{at}/index", f"{at}/checkpoint", schema).awaitTermination()
+    return bk.read(spark, f"{at}/index", schema)
+
+
 @query("""WITH f AS (SELECT user_id AS scan_id, event_id AS frame_id, epoch_us(ts) AS ts FROM events WHERE event_type = 'view'), s AS (SELECT user_id AS scan_id, epoch_us(ts) AS ts FROM events WHERE event_type = 'click'),
 n AS (SELECT f.scan_id, frame_id, f.ts AS frame_us, s.ts AS near_us, row_number() OVER (PARTITION BY f.scan_id, frame_id ORDER BY abs(s.ts - f.ts), s.ts DESC) AS k FROM f JOIN s ON s.scan_id = f.scan_id AND abs(s.ts - f.ts) <= 20000000000) SELECT scan_id, frame_id, near_us FROM n WHERE k = 1""")
 def str3_aligned_frames(spark: SparkSession, d: str) -> DataFrame:

@@ -233,6 +233,33 @@ def test_changes_of_a_stream_are_put_into_the_index(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, "c"), (2, "y"), (3, "d"), (9, "new")]
 
 
+def test_batches_rewrite_the_buckets_they_touch(spark, tmp_path):
+    from scanloom.streaming import bucketed as bk
+
+    schema, at = "id bigint, name string", f"file://{tmp_path}/index"
+    index = spark.createDataFrame([(i, f"old{i}") for i in range(200)], schema)
+    bk.create(index, at, 32)
+    get = lambda: {r.id: r.name for r in bk.read(spark, at, schema).collect()}
+    want = {i: f"old{i}" for i in range(200)}
+    assert get() == want
+    change = lambda *rows: spark.createDataFrame(list(rows), "id bigint, ts bigint, name string")
+    before = {r.bucket: r.path for r in bk.manifest(spark, at).collect()}
+    assert bk.put(change((7, 1, "a"), (7, 3, "c"), (7, 2, "b"), (1000, 1, "new")), at, 0, "ts", schema) in (1, 2)
+    want |= {7: "c", 1000: "new"}
+    after = {r.bucket: r.path for r in bk.manifest(spark, at).collect()}
+    assert get() == want and 0 < sum(before.get(k) != v for k, v in after.items()) <= 2
+    assert bk.put(change((7, 9, "again")), at, 0, "ts", schema) == 0 and get() == want  # a repeated batch
+    assert bk.put(change(), at, 1, "ts", schema) == 0 and get() == want
+    assert bk.put(change((None, 1, "none"), (8, 1, None)), at, 2, "ts", schema) >= 1
+    assert get() == want | {None: "none", 8: None}
+    assert bk.vacuum(spark, at) >= 2 and get() == want | {None: "none", 8: None} and bk.vacuum(spark, at) == 0
+    with pytest.raises(FileNotFoundError):
+        bk.read(spark, f"file://{tmp_path}/nowhere", schema)
+    bk.create(spark.createDataFrame([], schema), f"file://{tmp_path}/empty", 4)
+    assert bk.read(spark, f"file://{tmp_path}/empty", schema).count() == 0
+    assert bk.put(change((1, 1, "x")), f"file://{tmp_path}/empty", 0, "ts", schema) == 1
+
+
 def test_shared_folder(spark, tmp_path):
     from scanloom.operators import tables
 
