@@ -171,7 +171,7 @@ def src23_matrices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streams(spark: SparkSession, d: str) -> str:
-    """Events, 400 a scan, written by tasks as sensor streams: every event an inertial sample, every fifth
+    """Events, 2000 a scan, written by tasks as sensor streams: every event an inertial sample, every fifth
     one and its four followers a frame with a depth image of theirs. Returns the folder."""
     folder = tb.fresh_path(spark, "streams")
     eye = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
@@ -190,13 +190,13 @@ def _streams(spark: SparkSession, d: str) -> str:
         sens.write_stream(f"{folder}/s{scan}.sens", head, frames, imu)
         return pd.DataFrame({"scan": [scan], "frames": [len(frames)]})
 
-    events = b.table(spark, d, "events").selectExpr("event_id div 400 AS scan", "event_id", "user_id")
+    events = b.table(spark, d, "events").selectExpr("event_id div 2000 AS scan", "event_id", "user_id")
     made = events.groupBy("scan").applyInPandas(write, "scan bigint, frames int")
     made.agg(F.sum("frames")).first()
     return folder
 
 
-_EV = "ev AS (SELECT event_id // 400 AS scan, event_id, user_id FROM events), fr AS (SELECT scan, event_id // 5 AS k, arg_min(user_id, event_id) AS tc, max(event_id) AS td FROM ev GROUP BY ALL), num AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY k) - 1 AS frame_id FROM fr)"
+_EV = "ev AS (SELECT event_id // 2000 AS scan, event_id, user_id FROM events), fr AS (SELECT scan, event_id // 5 AS k, arg_min(user_id, event_id) AS tc, max(event_id) AS td FROM ev GROUP BY ALL), num AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY k) - 1 AS frame_id FROM fr)"
 
 
 @query(f"""WITH {_EV}, px AS (SELECT num.scan, frame_id, sum(event_id % 4000) AS depth, count(*) FILTER (event_id % 4000 > 0) AS seen FROM num JOIN ev ON ev.scan = num.scan AND ev.event_id // 5 = k GROUP BY ALL)
@@ -205,13 +205,13 @@ def src15_src16_sensor_streams(spark: SparkSession, d: str) -> DataFrame:
     """Streams read back in three ranges of frames each, through an index of offsets; depth as pixels."""
     folder = _streams(spark, d)
     sens.write_index(spark, folder, f"{folder}/index")
-    frames = sens.read(spark, folder, splits=3, index=f"{folder}/index")
+    frames = tb.settled(sens.read(spark, folder, splits=3, index=f"{folder}/index"))
     pixels = sens.depth_pixels(frames, 5, 1).groupBy("scan_id", "frame_id").agg(F.sum("d").alias("depth"), F.count_if(F.col("d") > 0).alias("seen"))
     own = frames.select("scan_id", "frame_id", "ts_color", "ts_depth", F.col("pose")[3].cast("int").alias("shift"), F.conv(F.hex(F.substring("color", 1, 1)), 16, 10).cast("int").alias("colour"))
     return own.join(pixels, ["scan_id", "frame_id"])
 
 
-@query("SELECT 's' || event_id // 400 AS scan_id, event_id AS ts, (event_id % 7)::double AS ax FROM events")
+@query("SELECT 's' || event_id // 2000 AS scan_id, event_id AS ts, (event_id % 7)::double AS ax FROM events")
 def src15_inertial_samples(spark: SparkSession, d: str) -> DataFrame:
     return sens.read(spark, _streams(spark, d), "imu").select("scan_id", "ts", F.col("acceleration.x").alias("ax"))
 

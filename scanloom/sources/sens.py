@@ -102,7 +102,7 @@ def _index_name(folder: str, path: str) -> str:
 
 
 def write_index(spark, path: str, folder: str) -> int:
-    """Writes the offsets of every stream under path to the index folder, a task a file; their number."""
+    """Writes the offsets of every stream under path to the index folder, files dealt to tasks; their number."""
     found, folder = _files(path), folder if "://" in folder else "file://" + folder
     if not found:
         return 0
@@ -119,7 +119,8 @@ def write_index(spark, path: str, folder: str) -> int:
                     f.write(at.tobytes())
             yield b
 
-    return spark.createDataFrame([(x,) for x in found], "path string").repartition(len(found)).mapInArrow(run, "path string").count()
+    tasks = min(len(found), 4 * spark.sparkContext.defaultParallelism)
+    return spark.createDataFrame([(x,) for x in found], "path string").repartition(tasks).mapInArrow(run, "path string").count()
 
 
 class _Range(InputPartition):
