@@ -87,13 +87,15 @@ def rotate(pose: str, v: tuple[Column, Column, Column]) -> tuple[Column, ...]:
 
 def up_vector(frames: DataFrame, source: str = "views") -> DataFrame:
     """(scan_id, x, y, z): mean of the frames' world-up vectors, normalised. views: R (0, -1, 0);
-    gravity: R (g.y, g.x, g.z) / |g|; accel: R (-a / |a|); frames carry the sample already."""
+    gravity: R (g.y, g.x, g.z) / |g|; accel: R (-a / |a|); frames carry the sample already. A zero sample
+    has no direction and makes its scan's vector NaN, as 0 / 0 does; valid_samples() leaves such out."""
     if source == "views":
         v = (F.lit(0.0), F.lit(-1.0), F.lit(0.0))
     else:
         c = F.col("gravity" if source == "gravity" else "acceleration")
         n = F.sqrt(c.x * c.x + c.y * c.y + c.z * c.z)
-        v = (c.y / n, c.x / n, c.z / n) if source == "gravity" else (-c.x / n, -c.y / n, -c.z / n)
+        per = lambda x: F.when(n != 0, x / n).otherwise(x * float("inf"))  # noqa: E731  by zero too, where / is an error
+        v = (per(c.y), per(c.x), per(c.z)) if source == "gravity" else (per(-c.x), per(-c.y), per(-c.z))
     x, y, z = rotate("pose", v)
     total = valid_poses(frames).groupBy("scan_id").agg(F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(z).alias("z"))
     length = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
