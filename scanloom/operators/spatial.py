@@ -98,20 +98,21 @@ def close_links(points: DataFrame, eps: float, by_rows: int = 1024) -> DataFrame
     """(scan_id, a, b): links that connect what chains of points (scan_id, vertex_id, x, y, z) at most eps
     apart connect, as few as that takes. Points of a cell with a diagonal of eps are all close to its first;
     two cells near each other need one link, if they have a pair at all. Pairs of cells with up to by_rows
-    pairs of points are rows; denser ones are compared in a task, which returns a row."""
+    pairs of points are rows; denser ones are compared in a task, which returns a row. All of it grows with
+    the points, so all joins are by merge and nothing passes the driver."""
     p = _cells(points.select("scan_id", "vertex_id", "x", "y", "z"), eps / math.sqrt(3.0) * (1 - 1e-9))
     at = ["_x", "_y", "_z"]
     cells = p.groupBy("scan_id", *at).agg(F.min("vertex_id").alias("first"), F.count("*").alias("n"))
-    stars = p.join(cells, ["scan_id", *at]).where("vertex_id <> first").select("scan_id", F.col("first").alias("a"), F.col("vertex_id").alias("b"))
+    stars = p.join(cells.hint("merge"), ["scan_id", *at]).where("vertex_id <> first").select("scan_id", F.col("first").alias("a"), F.col("vertex_id").alias("b"))
     half = [s for s in itertools.product(range(-2, 3), repeat=3) if s > (0, 0, 0)]
     moved = cells.select("scan_id", *at, "n", F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"d{c}") for c, v in zip(at, s, strict=True))) for s in half))).alias("s"))
     moved = moved.select("scan_id", *at, F.col("n").alias("m"), *((F.col(c) + F.col(f"s.d{c}")).alias(f"o{c}") for c in at))
     there = cells.select("scan_id", *(F.col(c).alias(f"o{c}") for c in at), "n")
-    near = moved.join(there, ["scan_id", *(f"o{c}" for c in at)])
+    near = moved.join(there.hint("merge"), ["scan_id", *(f"o{c}" for c in at)])
     other = p.select("scan_id", *(F.col(c).alias(f"o{c}") for c in at), *(F.col(c).alias(f"r_{c}") for c in ("vertex_id", "x", "y", "z")))
     key = ["scan_id", *at, *(f"o{c}" for c in at)]
     d = lambda c: (F.col(c) - F.col(f"r_{c}")) * (F.col(c) - F.col(f"r_{c}"))
-    few = near.where(F.col("m") * F.col("n") <= by_rows).select(*key).join(p, ["scan_id", *at]).join(other, ["scan_id", *(f"o{c}" for c in at)])
+    few = near.where(F.col("m") * F.col("n") <= by_rows).select(*key).join(p.hint("merge"), ["scan_id", *at]).join(other.hint("merge"), ["scan_id", *(f"o{c}" for c in at)])
     few = few.where(F.sqrt(d("x") + d("y") + d("z")) <= eps).groupBy(*key).agg(F.min(F.struct(F.col("vertex_id").alias("a"), F.col("r_vertex_id").alias("b"))).alias("l")).select("scan_id", "l.a", "l.b")
     dense = settled(near.where(F.col("m") * F.col("n") > by_rows).select(*key, F.monotonically_increasing_id().alias("pair")))
 
@@ -128,8 +129,8 @@ def close_links(points: DataFrame, eps: float, by_rows: int = 1024) -> DataFrame
         return pa.table({"scan_id": one.column("scan_id"), "a": one.column("vertex_id"), "b": two.column("r_vertex_id")})
 
     kind = points.schema["scan_id"].dataType.simpleString()
-    lefts = dense.join(p, ["scan_id", *at]).select("pair", "scan_id", "vertex_id", "x", "y", "z")
-    rights = dense.join(other, ["scan_id", *(f"o{c}" for c in at)]).select(F.col("pair").alias("r_pair"), "r_vertex_id", "r_x", "r_y", "r_z")
+    lefts = dense.join(p.hint("merge"), ["scan_id", *at]).select("pair", "scan_id", "vertex_id", "x", "y", "z")
+    rights = dense.join(other.hint("merge"), ["scan_id", *(f"o{c}" for c in at)]).select(F.col("pair").alias("r_pair"), "r_vertex_id", "r_x", "r_y", "r_z")
     many = lefts.groupBy("pair").cogroup(rights.groupBy("r_pair")).applyInArrow(first_pair, f"scan_id {kind}, a bigint, b bigint")
     return stars.unionByName(few).unionByName(many)
 

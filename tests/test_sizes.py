@@ -4,6 +4,8 @@ import math
 
 import pytest
 
+from scanloom.operators import mesh as ms
+from scanloom.operators import spatial as sp
 from scanloom.operators import temporal as tp
 
 EYE = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
@@ -16,3 +18,16 @@ def test_zero_sample_is_no_error(spark, source, column):
     got = {r.scan_id: (r.x, r.y, r.z) for r in up.collect()}
     assert all(math.isnan(x) for x in got[0])
     assert got[1] == ((0, 0, 1) if source == "gravity" else (0, 0, -1))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merging_vertices_broadcasts_none(spark):
+    points = spark.createDataFrame([(0, i, 0.4 * (i // 2), 0.0, 0.0) for i in range(40)], "scan_id int, vertex_id bigint, x double, y double, z double")
+    faces = spark.createDataFrame([(0, i, i, i + 2, i + 1) for i in range(30)], "scan_id int, face_id bigint, v0 bigint, v1 bigint, v2 bigint")
+    assert "Broadcast" not in plan_of(sp.close_links(points, 0.1))
+    kept, left = ms.merge_close(points, faces, 0.1)
+    assert "Broadcast" not in plan_of(kept) and "Broadcast" not in plan_of(left)
+    assert sorted(r.vertex_id for r in kept.collect()) == list(range(0, 40, 2)) and left.count() == 0
