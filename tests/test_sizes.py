@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from scanloom.operators import mesh as ms
 from scanloom.operators import spatial as sp
@@ -31,3 +32,13 @@ def test_merging_vertices_broadcasts_none(spark):
     kept, left = ms.merge_close(points, faces, 0.1)
     assert "Broadcast" not in plan_of(kept) and "Broadcast" not in plan_of(left)
     assert sorted(r.vertex_id for r in kept.collect()) == list(range(0, 40, 2)) and left.count() == 0
+
+
+def test_tasks_connect_what_they_hold(spark):
+    """A chain of 3,000 in pieces of 500 pairs leaves a link a border; the same pairs shuffled lose none."""
+    chain = spark.range(0, 2999, 1, 1).selectExpr("'s' AS scan_id", "id AS a", "id + 1 AS b")
+    stars = ms._contracted(chain, 500).groupBy("node").count()
+    assert stars.where("count > 1").count() <= 5
+    for pairs in (chain, chain.orderBy("a", ascending=False), chain.repartition(7, "a").sortWithinPartitions(F.hash("b"))):
+        roots = ms.components(pairs, 500)
+        assert roots.count() == 3000 and roots.select("root").distinct().collect()[0].root == 0
