@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.operators import mesh as ms
+from scanloom.operators import projection as pr
 from scanloom.operators import spatial as sp
 from scanloom.operators import temporal as tp
 
@@ -42,3 +43,13 @@ def test_tasks_connect_what_they_hold(spark):
     for pairs in (chain, chain.orderBy("a", ascending=False), chain.repartition(7, "a").sortWithinPartitions(F.hash("b"))):
         roots = ms.components(pairs, 500)
         assert roots.count() == 3000 and roots.select("root").distinct().collect()[0].root == 0
+
+
+def test_pixels_are_shuffled_not_faces(spark):
+    """2,000 faces over the same 16 x 16 pixels of a frame: what a task passes on is a row a pixel."""
+    rows = [(0, 5, i, i % 9, 1.0 + i % 50 + i / 1e4, -1.0, -1.0, 40.0, -1.0, -1.0, 40.0) for i in range(2000)]
+    f = spark.createDataFrame(rows, "scan_id int, frame_id bigint, face_id bigint, label bigint, d double, u0 double, w0 double, u1 double, w1 double, u2 double, w2 double").coalesce(1)
+    drawn = f.selectExpr("*", "d AS d0", "d AS d1", "d AS d2", "0 AS ul", "15 AS uh", "0 AS wl", "15 AS wh", "1681D AS area").drop("d")
+    got = pr.nearest_pixels(drawn, ["label"], (16, 16), samples=1000)
+    assert "Window" not in plan_of(got) and "MapInArrow" in plan_of(got)
+    assert got.count() == 256 and {(r.label, r.depth) for r in got.collect()} == {(0, 1.0)}
