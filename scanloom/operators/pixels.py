@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import settled
+
 
 def panoptic_segments(pixels: DataFrame) -> DataFrame:
     """Area and bounding box (x, y, w, h) of each instance of a frame."""
@@ -200,6 +202,7 @@ def seen_labels(
     raster first, and both are looked up at the label's place in it. captured_only: also 0 where nothing was
     captured."""
     at = ["frame_key", "y", "x"]
+    drawn = settled(drawn.select(*at, "label", "depth"))  # read twice below, and often dear to draw
     there = resample_nearest(drawn.select(*at, F.col("depth").alias("rendered")), size, depth_size)
     known = captured.where("depth <> 0").select(*at, F.col("depth").alias("captured"))
     both = there.join(known, at, "full").select(*at, F.struct("rendered", "captured").alias("depths"))
