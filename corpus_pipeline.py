@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class (five-word Jaccard of 0.8 or more) stays: that with the
-    smallest doc_id."""
+    smallest doc_id. Links come from op1's trie of fingerprints and an exact check, and from MinHash bands
+    for the pairs that differ in more bits than a trie can look for."""
     return simhash.keep_one_similar(docs, width=5, similarity=0.8)
 
 

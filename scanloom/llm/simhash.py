@@ -319,8 +319,10 @@ def keep_one_similar(
     smallest id (nulls last; among equal ids the first as read). Texts with equal sets of shingles are one;
     texts without words too. Null and empty texts have no words; an empty table gives an empty result.
 
-    Pairs at 0.8 differ in up to 11 bits of a SimHash, where the trie prunes nothing; candidates are
-    therefore those that share a MinHash band and of which the smaller set of shingles has `similarity` times
+    The first candidates are the links of near_links(), as in op1: fingerprints of three-word shingles at 2 or
+    fewer differing bits, found in the trie's subtrees. The exact check follows, since such texts may be less
+    similar. Pairs at 0.8 differ in up to 11 bits, where the trie prunes nothing; further candidates, beside
+    it, are therefore those that share a MinHash band and of which the smaller set of shingles has `similarity` times
     the larger one's size or more (no pair can do with less). In a bucket of up to firsts + 1 texts all pairs
     are judged. In a larger one all texts are judged against one text (the smallest that two steps through
     such buckets reach, so buckets of much the same texts have the same one), and by their Jaccard distance
@@ -329,13 +331,13 @@ def keep_one_similar(
     pair, and texts that are both linked to it are one class already. All other pairs of blocks are judged, each in a task that
     returns a forest of links, so no pair that shares a band is left out, a group of near copies costs rows
     in proportion to its size, and no pair of a large bucket is ever a row."""
-    row, same, keys, size = (free_name(docs, x) for x in ("row", "same", "keys", "size"))
+    row, same, keys, size, fp = (free_name(docs, x) for x in ("row", "same", "keys", "size", "fp"))
 
     def start():
         def make(column: pa.Array) -> list[pa.Array]:
             sets = [np.unique(shingles(t.as_py(), width)) for t in column.cast(pa.binary())]
             kept = pa.array([np.array(band_keys(s), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            return [pa.array([xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], pa.string()), kept, pa.array([len(s) for s in sets], pa.int64())]
+            return [pa.array([xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], pa.string()), kept, pa.array([len(s) for s in sets], pa.int64()), pa.array(np.fromiter((fingerprint(t.as_py()) for t in column.cast(pa.binary())), np.uint64, len(column)).view(np.int64))]
 
         return make
 
@@ -349,11 +351,16 @@ def keep_one_similar(
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(out, pa.float64())], ["u", "v", "far"])
 
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    made = cut(with_columns(numbered, text_col, [(same, "string"), (keys, "array<bigint>"), (size, "bigint")], start), "shingles")
+    made = cut(with_columns(numbered, text_col, [(same, "string"), (keys, "array<bigint>"), (size, "bigint"), (fp, "bigint")], start), "shingles")
     rows = made.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(same).alias("same"))
     of = cut(rows.groupBy("same").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")), "texts")
     one = of.select(F.col("first.row").alias(row))
     texts = made.join(one, row, "left_semi").select(F.col(row).alias("node"), F.col(text_col).cast("binary").alias("text"), F.col(keys).alias("keys"), F.col(size).alias("size"))
+    prints = cut(made.join(one, row, "left_semi").select(F.col(row).alias("node"), F.col(fp).alias("fp")), "prints")
+    least = prints.groupBy("fp").agg(F.min("node").alias("u"))
+    at = lambda c: least.select(F.col("fp").alias(c), F.col("u").alias(f"{c}_node"))
+    across = near_links(least.select("fp")).join(at("u"), "u").join(at("v"), "v").select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))
+    by_trie = prints.join(least, "fp").where("u <> node").select("u", F.col("node").alias("v")).union(across)
 
     def led_by_all(some: DataFrame) -> DataFrame:
         """(u, v): all pairs of small buckets whose sizes allow a link."""
@@ -369,7 +376,7 @@ def keep_one_similar(
     pivots = lowest(left.join(one_hop, "node"), "key", "m", "u")
     led = cut(left.join(pivots, "key").where("u <> node").select("key", "u", F.col("node").alias("v"), "size"), "led")
     small = led_by_all(bands.join(large, "key", "left_anti")).select("u", "v")
-    pairs = cut(small.union(led.select("u", "v")).distinct(), "pairs")
+    pairs = cut(by_trie.union(small).union(led.select("u", "v")).distinct(), "pairs")
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     judged = cut(both.select("u", "v", "a", "b").mapInArrow(distances, "u bigint, v bigint, far double"), "judged")
     reach = 1 - similarity + 1e-9

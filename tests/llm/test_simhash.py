@@ -205,3 +205,19 @@ def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 3), (5, 4), (4, 5), *((i, i + 1) for i in range(100, 160))], "u bigint, v bigint")
     got = {r.node: r.root for r in components(edges).collect()}
     assert {k: v for k, v in got.items() if k < 10} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} and all(got[i] == 100 for i in range(100, 161))
+
+
+def test_stage_takes_links_from_the_trie(spark, monkeypatch):
+    """The fingerprints of the texts, each once, go through op1's subtrees; the exact check decides."""
+    import corpus_pipeline
+
+    found, search = [], simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda prints, *more: found.append(search(prints, *more)) or found[-1])
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words), " ".join(words[:1992] + ["end"]), " ".join(reversed(words)), " ".join(words)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    bits = [simhash.fingerprint(t.encode()) for t in texts]
+    assert 0 < (bits[0] ^ bits[1]).bit_count() <= 2 < (bits[0] ^ bits[2]).bit_count()
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(spark, rows), None).collect()) == [0, 2]
+    pair = {int(b) - (int(b) >> 63 << 64) for b in bits[:2]}
+    assert [{r.u, r.v} for r in found[0].collect()] == [pair]
