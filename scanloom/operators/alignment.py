@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,30 +40,90 @@ def plane_clusters(points: DataFrame, least: int = 500, near: float = 0.05, cosi
     `least` or more lead, unless a larger cell next to them agrees (normal within `cosine`, plane within
     `near` of the mean point), as where the border of cells cuts a plane. Then a point belongs to the
     largest leader that it agrees with itself, and each plane is the mean of its points; this is done twice,
-    as the first planes are means of parts. Cells are fewer than points, only large ones are sent to their
-    neighbours, and leaders are few: a point meets them as one list."""
+    as the first planes are means of parts. Cells are fewer than points, and only large ones are sent to their
+    neighbours. A scan may hold most of the points, so none is shuffled: they meet the leaders where they are read."""
     step = math.sqrt(2 * (1 - cosine))
     keys = ["cx", "cy", "cz", "co"]
     cell = [F.round(F.col(f"n{c}") / step).cast("int").alias(f"c{c}") for c in "xyz"] + [F.round(_offset() / near).cast("bigint").alias("co")]
     mine = points.select("scan_id", "nx", "ny", "nz", "x", "y", "z")
     means = lambda: (F.count("*").alias("n"), *(F.avg(c).alias(c) for c in ("nx", "ny", "nz", "x", "y", "z")))
     units = lambda: (u.alias(f"n{c}") for c, u in zip("xyz", _unit(("nx", "ny", "nz")), strict=True))
-    cells = mine.select("*", *cell).groupBy("scan_id", *keys).agg(*means()).where(F.col("n") >= max(1, least // 8))
+    cells = settled(mine.select("*", *cell).groupBy("scan_id", *keys).agg(*means()).where(F.col("n") >= max(1, least // 8)))
     large = cells.select("scan_id", *keys, "n", *units(), "x", "y", "z", F.xxhash64(*keys).alias("cell"))
     around = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(keys, at, strict=True))) for at in itertools.product((-1, 0, 1), repeat=4) if any(at)))
     sent = large.select("*", F.explode(around).alias("a")).select("scan_id", *((F.col(k) + F.col(f"a.{k}")).alias(k) for k in keys), *(F.col(c).alias(f"l_{c}") for c in ("cell", "n", "nx", "ny", "nz", "x", "y", "z")))
     met = large.join(sent, ["scan_id", *keys]).where(_agrees(F.col, lambda c: F.col(f"l_{c}"), near, cosine))
     led = met.where((F.col("l_n") > F.col("n")) | (F.col("l_n") == F.col("n")) & (F.col("l_cell") < F.col("cell"))).select("scan_id", "cell").distinct()
-    leaders = large.join(led, ["scan_id", "cell"], "left_anti").drop(*keys)
+    leaders = settled(large.join(led, ["scan_id", "cell"], "left_anti").drop(*keys))
     unit = mine.select("scan_id", "x", "y", "z", *units())
     for last in (False, True):
-        lists = leaders.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("n", "cell", "nx", "ny", "nz", "x", "y", "z")), asc=False).alias("l"))
-        to = F.get(F.filter("l", lambda a: _agrees(F.col, lambda c: a[c], near, cosine)), F.lit(0))["cell"]
-        sums = unit.join(lists, "scan_id").select("*", to.alias("cell")).where("cell IS NOT NULL").groupBy("scan_id", "cell").agg(*means())
-        leaders = sums.where(F.col("n") >= (least if last else max(1, least // 8))).select("scan_id", "cell", "n", *units(), "x", "y", "z")
+        found = members(unit, leaders, near, cosine).where(F.col("n") >= (least if last else max(1, least // 8)))
+        leaders = settled(found.select("scan_id", "cell", "n", *units(), "x", "y", "z"))
     return leaders.select("scan_id", "nx", "ny", "nz", _offset().alias("offset"), "x", "y", "z", "n")
 
 
+#: Planes of all scans up to which they are sent to every task (100,000 are 6 MB); more are joined.
+FEW = 100_000
+
+
+def members(unit: DataFrame, leaders: DataFrame, near: float, cosine: float, few: int = FEW) -> DataFrame:
+    """(scan_id, cell, n, and means of nx, ny, nz, x, y, z) of the points of each leader (a table: scan_id, cell,
+    n, unit normal, mean point), a point counting for the largest one of its scan that it agrees with."""
+    names = ["nx", "ny", "nz", "x", "y", "z"]
+    if leaders.count() > few:
+        lists = leaders.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("n", "cell", *names)), asc=False).alias("l"))
+        to = F.get(F.filter("l", lambda a: _agrees(F.col, lambda c: a[c], near, cosine)), F.lit(0))["cell"]
+        met = _dealt(unit, lists).select("*", to.alias("cell")).where("cell IS NOT NULL")
+        return met.groupBy("scan_id", "cell").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in names))
+    of: dict = {}
+    for r in sorted(leaders.collect(), key=lambda r: (r.n, r.cell), reverse=True):
+        of.setdefault(r.scan_id, []).append((r.cell, np.array([r[c] for c in names], float)))
+    sent = unit.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        kind = None
+        for b in batches:
+            scans = b.column("scan_id").dictionary_encode()
+            kind = scans.type.value_type
+            rows, codes = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names]), scans.indices.to_numpy(zero_copy_only=False)
+            for code, scan in enumerate(scans.dictionary.to_pylist()):
+                left = rows if len(scans.dictionary) == 1 and not scans.null_count else rows[:, codes == code]
+                for cell, p in sent.value.get(scan, ()):
+                    dot = left[0] * p[0] + (left[1] * p[1] + left[2] * p[2])
+                    off = p[0] * (left[3] - p[3]) + (p[1] * (left[4] - p[4]) + p[2] * (left[5] - p[5]))
+                    hit = (dot > cosine) & (np.abs(off) < near)
+                    if hit.any():
+                        n, s = sums.get((scan, cell), (0, 0.0))
+                        sums[scan, cell] = n + int(hit.sum()), s + left[:, hit].sum(1)
+                        left = left[:, ~hit]
+        if sums:
+            data = np.stack([s for _, s in sums.values()], 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], kind), pa.array([k[1] for k in sums], pa.int64()), pa.array([n for n, _ in sums.values()], pa.int64()), *map(pa.array, data)], ["scan_id", "cell", "m", *names])
+
+    parts = unit.select("scan_id", *names).mapInArrow(run, f"scan_id {unit.schema['scan_id'].dataType.simpleString()}, cell bigint, m bigint, " + ", ".join(f"{c} double" for c in names))
+    n = F.sum("m")
+    return parts.groupBy("scan_id", "cell").agg(n.alias("n"), *((F.sum(c) / n).alias(c) for c in names))
+
+
+def _dealt(points: DataFrame, lists: DataFrame, salts: int = 64) -> DataFrame:
+    """points with the list of their scan. The points of a scan are dealt to `salts` keys, each with a copy of
+    the list, as one scan may hold most of them."""
+    each = lists.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    return points.withColumn("_s", salt).join(each, ["scan_id", "_s"]).drop("_s")
+
+
+def _met(points: DataFrame, planes: DataFrame, few: int = FEW) -> DataFrame:
+    """points with each of the planes (a table) of their scan, a row a pair; the planes are sent to the points where they
+    are few."""
+    if planes.count() <= few:
+        return points.join(F.broadcast(planes), "scan_id")
+    rest = [c for c in planes.columns if c != "scan_id"]
+    lists = planes.groupBy("scan_id").agg(F.collect_list(F.struct(*rest)).alias("_l"))
+    return _dealt(points, lists).select(*points.columns, F.inline("_l"))
+
+
 def _agrees(of, plane, near: float, cosine: float) -> Column:
     """Whether a point with a unit normal belongs to a plane, both given by their columns' names."""
     dot = sum((of(f"n{c}") * plane(f"n{c}") for c in "yz"), of("nx") * plane("nx"))
@@ -77,12 +138,13 @@ def largest(clusters: DataFrame, top: int) -> DataFrame:
 
 
 def bounding(clusters: DataFrame, points: DataFrame, margin: float = 0.1, behind: int = 100) -> DataFrame:
-    """clusters with at most `behind` points of their scan further than `margin` behind the plane. A scan
-    has few clusters (each of many points), so a point meets few and counts are summed before they move."""
-    planes = clusters.groupBy("scan_id").agg(F.collect_list(F.struct(*(c for c in clusters.columns if c != "scan_id"))).alias("c"))
-    met = points.select("scan_id", "x", "y", "z").join(planes, "scan_id").select("scan_id", "x", "y", "z", F.explode("c").alias("c"))
-    side = F.col("c.nx") * F.col("x") + F.col("c.ny") * F.col("y") + F.col("c.nz") * F.col("z") - F.col("c.offset")
-    return met.groupBy("scan_id", "c").agg(F.count_if(side < -margin).alias("b")).where(F.col("b") <= behind).select("scan_id", "c.*").select(*clusters.columns)
+    """clusters (a table) with at most `behind` points of their scan further than `margin` behind the plane. A
+    scan has few clusters (each of many points), so a point meets few and counts are summed before they move."""
+    key = F.xxhash64("nx", "ny", "nz", "offset").alias("_p")
+    planes = clusters.select("scan_id", key, *(F.col(c).alias(f"p_{c}") for c in ("nx", "ny", "nz", "offset")))
+    side = F.col("p_nx") * F.col("x") + F.col("p_ny") * F.col("y") + F.col("p_nz") * F.col("z") - F.col("p_offset")
+    full = _met(points.select("scan_id", "x", "y", "z"), planes).where(side < -margin).groupBy("scan_id", "_p").agg(F.count("*").alias("b")).where(F.col("b") > behind)
+    return clusters.withColumn("_p", key).join(full, ["scan_id", "_p"], "left_anti").select(*clusters.columns)
 
 
 def eigen(matrix: Column, sweeps: int = 8) -> Column:
@@ -116,14 +178,13 @@ def eigen(matrix: Column, sweeps: int = 8) -> Column:
 
 
 def refined(planes: DataFrame, points: DataFrame, near: float = 0.05, cosine: float = 0.9) -> DataFrame:
-    """planes (plane_clusters() rows, few a scan) with the normal of least variance of the points that belong
+    """planes (a table of plane_clusters() rows, few a scan) with the normal of least variance of the points that belong
     to them: normal within `cosine`, plane within `near`. One pass of sums over the points; the normal keeps
     its side, and stays where the points span no plane (the second variance is not over four times the
     least)."""
     few = planes.withColumn("_p", F.xxhash64("nx", "ny", "nz", "offset"))
-    of = F.collect_list(F.struct("_p", *(F.col(c).alias(f"p_{c}") for c in ("nx", "ny", "nz", "x", "y", "z"))))
-    met = points.select("scan_id", "x", "y", "z", *(u.alias(f"n{c}") for c, u in zip("xyz", _unit(("nx", "ny", "nz")), strict=True))).join(few.groupBy("scan_id").agg(of.alias("p")), "scan_id")
-    met = met.select("scan_id", "x", "y", "z", "nx", "ny", "nz", F.inline("p"))
+    of = few.select("scan_id", "_p", *(F.col(c).alias(f"p_{c}") for c in ("nx", "ny", "nz", "x", "y", "z")))
+    met = _met(points.select("scan_id", "x", "y", "z", *(u.alias(f"n{c}") for c, u in zip("xyz", _unit(("nx", "ny", "nz")), strict=True))), of)
     dot = sum((F.col(f"n{c}") * F.col(f"p_n{c}") for c in "yz"), F.col("nx") * F.col("p_nx"))
     d = {c: F.col(c) - F.col(f"p_{c}") for c in "xyz"}
     side = sum((F.col(f"p_n{c}") * d[c] for c in "yz"), F.col("p_nx") * d["x"])
@@ -147,7 +208,7 @@ def ground_planes(points: DataFrame, least: int = 500, near: float = 0.05, cosin
     """plane_clusters() row of each scan's ground: the largest plane that looks up (0.8 of its normal) and has
     hardly anything behind it, its normal refined."""
     c = bounding(settled(plane_clusters(points, least, near, cosine)), points, margin, behind)
-    return refined(largest(c.where("nz > 0.8"), 1), points, near, cosine)
+    return refined(settled(largest(c.where("nz > 0.8"), 1)), points, near, cosine)
 
 
 # --- boxes

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from scanloom.operators import alignment as al
 from scanloom.operators import mesh as ms
 from scanloom.operators import projection as pr
 from scanloom.operators import spatial as sp
@@ -60,3 +61,22 @@ def test_texts_of_many_scans_are_many_tasks(spark):
     few = files._dealt(spark.range(40).selectExpr("id AS scan_id", "'x' AS value").groupBy("scan_id").agg(F.max("value").alias("value")))
     assert plan_of(few).count("REPARTITION_BY_NUM") == 1
     assert few.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_points_of_a_scan_meet_planes_where_they_are(spark):
+    """One scan holds all the points: neither way of meeting its planes may bring them into one task."""
+    points = spark.range(0, 9000, 1, 4).selectExpr("if(id < 0, 't', 's') AS scan_id", "cast(id % 90 AS double) AS x", "0D AS y", "id % 3 + id % 7 * 0.001D AS z", "0D AS nx", "0D AS ny", "if(id % 10 = 0, null, 1D) AS nz")
+    unit = points.union(points.limit(3).selectExpr("cast(null AS string) AS scan_id", "x", "y", "z", "nx", "ny", "nz"))
+    leaders = spark.createDataFrame([("s", k, n, 0.0, 0.0, 1.0, 0.0, 0.0, z) for k, n, z in ((1, 5, 0.0), (2, 9, 1.0), (3, 9, 2.0), (4, 8, 1.98))], "scan_id string, cell bigint, n bigint, nx double, ny double, nz double, x double, y double, z double")
+    both = [al.members(unit, leaders, 0.05, 0.9, few) for few in (10, 0)]
+    rows = [sorted((r.scan_id, r.cell, r.n, round(r.x, 6), round(r.z, 6)) for r in df.collect()) for df in both]
+    assert rows[0] == rows[1] and [r[1:3] for r in rows[0]] == [(1, 2700), (2, 2700), (3, 2700)]
+    assert "MapInArrow" in plan_of(both[0]) and "Join" not in plan_of(both[0]) and "_s" in plan_of(both[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        planes = leaders.selectExpr("scan_id", "nx", "ny", "nz", "z AS offset", "x", "y", "z", "n")
+        kept = al.bounding(planes, points, behind=3500)
+        assert "BroadcastHashJoin" in plan_of(kept)  # of points and planes; the few planes left are joined by merge
+        assert sorted((r.offset) for r in kept.collect()) == [0.0, 1.0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
