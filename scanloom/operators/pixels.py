@@ -31,12 +31,13 @@ def instance_to_label(pixels: DataFrame, of: DataFrame) -> DataFrame:
 
 
 class Tile:
-    """Arrays of one tile and its margin: `present` marks the pixels that there are, a null is NaN."""
+    """Arrays of one tile's core (shape, from top and left on) and its margin: `present` marks the pixels that
+    there are, a null is NaN."""
 
-    def __init__(self, rows: pd.DataFrame, top: int, left: int, side: int, radius: int) -> None:
-        self.side, self.radius = side, radius
+    def __init__(self, rows: pd.DataFrame, top: int, left: int, shape: tuple[int, int], radius: int) -> None:
+        self.shape, self.radius = shape, radius
         self.y, self.x = rows["y"].to_numpy() - top + radius, rows["x"].to_numpy() - left + radius
-        self.rows, self.present = rows, np.zeros((side + 2 * radius,) * 2, bool)
+        self.rows, self.present = rows, np.zeros((shape[0] + 2 * radius, shape[1] + 2 * radius), bool)
         self.present[self.y, self.x] = True
 
     def grid(self, column: str) -> np.ndarray:
@@ -48,29 +49,35 @@ class Tile:
 
     def steps(self, radius: int | None = None) -> Iterator[tuple[int, int, Callable[[np.ndarray], np.ndarray]]]:
         """(dy, dx, what): for each place in the window what(grid) is the grid as seen from the core."""
-        r, n = self.radius if radius is None else radius, self.side
+        r, (h, w) = self.radius if radius is None else radius, self.shape
         for dy in range(-r, r + 1):
             for dx in range(-r, r + 1):
                 y, x = self.radius + dy, self.radius + dx
-                yield dy, dx, lambda grid, y=y, x=x: grid[y : y + n, x : x + n]
+                yield dy, dx, lambda grid, y=y, x=x: grid[y : y + h, x : x + w]
 
     def core(self, grid: np.ndarray) -> np.ndarray:
-        r, n = self.radius, self.side
-        return grid[r : r + n, r : r + n]
+        r, (h, w) = self.radius, self.shape
+        return grid[r : r + h, r : r + w]
 
 
 def stencil(pixels: DataFrame, radius: int, run: Callable[[Tile], dict[str, np.ndarray]], made: str) -> DataFrame:
-    """(frame_key, y, x, made...): run() gives arrays over a tile's core; pixels that there are come out."""
+    """(frame_key, y, x, made...): run() gives arrays over a tile's core; pixels that there are come out. The
+    core is the box of the tile's own pixels, so small frames and borders take no work for what is not there."""
     side = max(64, 4 * radius)
     reach = lambda c: F.sequence(F.floor((F.col(c) - radius) / side), F.floor((F.col(c) + radius) / side))
     dealt = pixels.withColumn("tile_y", F.explode(reach("y"))).withColumn("tile_x", F.explode(reach("x")))
     kind = pixels.schema["frame_key"].dataType.simpleString()
 
     def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(key[1]) * side, int(key[2]) * side
-        t = Tile(rows, top, left, side, radius)
+        at = rows[["y", "x"]].to_numpy()
+        own = at[(at // side == [key[1], key[2]]).all(1)]
+        if not len(own):
+            return pd.DataFrame({c: [] for c in ("frame_key", "y", "x", *(f.split()[0] for f in made.split(", ")))})
+        (top, left), (bottom, right) = own.min(0), own.max(0)
+        near = ((at >= [top - radius, left - radius]) & (at <= [bottom + radius, right + radius])).all(1)
+        t = Tile(rows if near.all() else rows[near], top, left, (bottom - top + 1, right - left + 1), radius)
         y, x = np.nonzero(t.core(t.present))
-        out = {k: v[y, x] for k, v in run(t).items()} if len(y) else {f.split()[0]: [] for f in made.split(", ")}
+        out = {k: v[y, x] for k, v in run(t).items()}
         return pd.DataFrame({"frame_key": [key[0]] * len(y), "y": y + top, "x": x + left} | out)
 
     return dealt.groupBy("frame_key", "tile_y", "tile_x").applyInPandas(tile, f"frame_key {kind}, y bigint, x bigint, {made}")
@@ -147,13 +154,13 @@ def vote(pixels: DataFrame, radius: int, scale: float, sigma_d: float = 5.0, sig
         slots = np.zeros(t.present.shape, int)
         slots[t.y, t.x] = slot.ravel()
         depth, light = t.grid("depth"), scale * t.grid("intensity")
-        votes = np.zeros((len(names), t.side * t.side))
-        at, k = np.arange(t.side * t.side), 1.0 / (2.0 * sigma_r * sigma_r)
+        votes = np.zeros((len(names), t.shape[0] * t.shape[1]))
+        at, k = np.arange(votes.shape[1]), 1.0 / (2.0 * sigma_r * sigma_r)
         for dy, dx, seen in t.steps():
             gap = np.nan_to_num(seen(depth) - t.core(depth)) ** 2 + np.nan_to_num(seen(light) - t.core(light)) ** 2
             w = np.exp(-(dy * dy + dx * dx) / (2.0 * sigma_d * sigma_d) - k * gap) * seen(t.present)
             votes[seen(slots).ravel(), at] += w.ravel()
-        return {"instance": names[np.round(votes, 9).argmax(axis=0)].reshape(t.side, t.side)}
+        return {"instance": names[np.round(votes, 9).argmax(axis=0)].reshape(t.shape)}
 
     of = pixels.select("frame_key", "y", "x", F.coalesce("instance", F.lit(0)).cast("bigint").alias("instance"), F.col("depth").cast("double").alias("depth"), F.col("intensity").cast("double").alias("intensity"))
     return stencil(of, radius, run, "instance bigint")
@@ -168,7 +175,7 @@ def two_pass(pixels: DataFrame, size: tuple[int, int], coarse: tuple[int, int] =
 
     of = pixels.select("frame_key", "y", "x", F.col("depth").cast("double").alias("depth"), F.col("intensity").cast("double").alias("intensity"))
     smooth = stencil(of, 12, run, "depth double, intensity double")
-    smooth = smooth.select("frame_key", "y", "x", *(F.nanvl(c, F.lit(None)).alias(c) for c in ("depth", "intensity")))
+    smooth = settled(smooth.select("frame_key", "y", "x", *(F.nanvl(c, F.lit(None)).alias(c) for c in ("depth", "intensity"))))  # read three times
     at = ["frame_key", "y", "x"]
     small = resample_nearest(pixels.select(*at, "instance"), size, coarse)
     for c in ("depth", "intensity"):

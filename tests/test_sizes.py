@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scanloom.operators import alignment as al
 from scanloom.operators import mesh as ms
+from scanloom.operators import pixels as px
 from scanloom.operators import projection as pr
 from scanloom.operators import spatial as sp
 from scanloom.operators import temporal as tp
@@ -80,3 +82,18 @@ def test_points_of_a_scan_meet_planes_where_they_are(spark):
         assert sorted((r.offset) for r in kept.collect()) == [0.0, 1.0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_windows_run_over_the_pixels_of_a_tile(spark):
+    """Cores of the size of what lies in a tile, not of the tile; smoothing is done once for its three readers."""
+    pixels = spark.range(0, 300).selectExpr("0 AS frame_key", "id div 20 + 58 AS y", "id % 20 - 3 AS x", "cast(id % 3 AS bigint) AS instance", "id % 7 / 10D AS depth", "id % 5 / 10D AS intensity")
+
+    def run(t):
+        return {"a": np.full(t.shape, t.shape[0] * t.shape[1]), "b": t.core(t.grid("instance")), "c": sum(seen(t.present).astype(int) for _, _, seen in t.steps())}
+
+    got = {(r.y, r.x): (r.a, r.b, r.c) for r in px.stencil(pixels, 2, run, "a bigint, b bigint, c bigint").collect()}
+    at = {(58 + i // 20, i % 20 - 3) for i in range(300)}
+    assert set(got) == at and {v[0] for v in got.values()} == {6 * 3, 6 * 17, 9 * 3, 9 * 17}
+    for (y, x), (_, b, c) in got.items():
+        assert b == ((y - 58) * 20 + x + 3) % 3 and c == sum((y + i, x + j) in at for i in range(-2, 3) for j in range(-2, 3))
+    assert plan_of(px.two_pass(pixels.where("x >= 0").withColumn("y", F.col("y") - 58), (15, 17), (8, 9))).count("FlatMapGroupsInPandas") == 2
