@@ -13,6 +13,7 @@ from scanloom.operators import projection as pr
 from scanloom.operators import spatial as sp
 from scanloom.operators import temporal as tp
 from scanloom.plans import files
+from scanloom.sources import sens
 
 EYE = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
 
@@ -97,3 +98,24 @@ def test_windows_run_over_the_pixels_of_a_tile(spark):
     for (y, x), (_, b, c) in got.items():
         assert b == ((y - 58) * 20 + x + 3) % 3 and c == sum((y + i, x + j) in at for i in range(-2, 3) for j in range(-2, 3))
     assert plan_of(px.two_pass(pixels.where("x >= 0").withColumn("y", F.col("y") - 58), (15, 17), (8, 9))).count("FlatMapGroupsInPandas") == 2
+
+
+def test_small_streams_share_tasks(spark, tmp_path, monkeypatch):
+    """120 streams in three ranges each are a few tasks; batches of a range end where they are full; nothing is lost."""
+    head = {"name": "n", **{k: EYE for k in ("k_color", "e_color", "k_depth", "e_depth")}, "color_compression": 0, "depth_compression": sens.RAW, "color_width": 1, "color_height": 1, "depth_width": 2, "depth_height": 1, "depth_shift": 1.0}
+    for i in range(120):
+        imu = np.array([((float(j),) * 15, j) for j in range(i % 3)], sens.IMU)
+        sens.write_stream(f"{tmp_path}/s{i}.sens", head, [(EYE, i, j, b"c" * j, np.array([i, j], "<u2").tobytes()) for j in range(i % 5)], imu)
+    frames, imu = sens.read(spark, str(tmp_path), splits=3, packed=True), sens.read(spark, str(tmp_path), "imu", packed=True)
+    most = 3 * spark.sparkContext.defaultParallelism
+    assert frames.rdd.getNumPartitions() <= most and imu.rdd.getNumPartitions() <= most
+    got = sorted((r.scan_id, r.frame_id, r.ts_color, r.ts_depth, bytes(r.color), list(r.pose)) for r in frames.collect())
+    assert got == sorted((f"s{i}", j, i, j, b"c" * j, EYE) for i in range(120) for j in range(i % 5))
+    assert sorted((r.scan_id, r.ts, r.gravity.z) for r in imu.collect()) == sorted((f"s{i}", j, float(j)) for i in range(120) for j in range(i % 3))
+    d = sens.depth_pixels(frames, 2, 1, sens.RAW).collect()
+    assert sorted((r.scan_id, r.frame_id, r.y, r.x, r.d) for r in d) == sorted((f"s{i}", j, 0, x, (i, j)[x]) for i in range(120) for j in range(i % 5) for x in (0, 1))
+    monkeypatch.setattr(sens, "BATCH", 256)
+    for table, n in (("frames", 4), ("imu", 2)):
+        r = sens._Reader(f"{tmp_path}/s{119}.sens", table)
+        sizes = [b.num_rows for p in r.partitions() for b in r.batches(p)]
+        assert sum(sizes) == n and max(sizes) <= 3
