@@ -101,16 +101,29 @@ def pred_instances(preds: DataFrame, masks: DataFrame, gt: DataFrame, valid: lis
     """preds (scan_id, pred_id, label_id, conf) of valid labels with size and void, the mask's rows on
     ground truth of no scored class; smaller ones than `least` go. pixel_void: void means pixels that
     hold a bare valid label instead, without an instance."""
+    return _sized(preds, _counted(masks, gt), valid, least, pixel_void)
+
+
+def _counted(masks: DataFrame, gt: DataFrame) -> DataFrame:
+    """(scan_id, pred_id, id, n): a mask's rows by what the ground truth has there (null: no such row)."""
+    return masks.join(gt, ["scan_id", "vertex_id"], "left").groupBy("scan_id", "pred_id", "id").agg(F.count("*").alias("n"))
+
+
+def _sized(preds: DataFrame, counted: DataFrame, valid: list[int], least: int = MIN_REGION, pixel_void: bool = False) -> DataFrame:
     void = F.col("id").isin(valid) if pixel_void else ~label_of_instance(F.col("id")).isin(valid)
     kept = preds.where(F.col("label_id").isin(valid))
-    size = masks.join(gt, ["scan_id", "vertex_id"], "left").groupBy("scan_id", "pred_id").agg(F.count("*").alias("size"), F.count_if(void).alias("void"))
+    size = counted.groupBy("scan_id", "pred_id").agg(F.sum("n").alias("size"), F.sum(F.when(void, F.col("n")).otherwise(0)).alias("void"))
     return kept.join(size, ["scan_id", "pred_id"]).where(F.col("size") >= least)
 
 
 def intersections(preds: DataFrame, masks: DataFrame, gt: DataFrame, instances: DataFrame) -> DataFrame:
     """(scan_id, pred_id, gt_id, label_id, conf, pred_size, gt_size, void, n, iou) of predictions and
     ground truth of one label that share rows: one join by row, then counts."""
-    shared = masks.join(gt.where("id <> 0"), ["scan_id", "vertex_id"]).groupBy("scan_id", "pred_id", F.col("id").alias("gt_id")).agg(F.count("*").alias("n"))
+    return _crossed(preds, _counted(masks, gt.where("id <> 0")), instances)
+
+
+def _crossed(preds: DataFrame, counted: DataFrame, instances: DataFrame) -> DataFrame:
+    shared = counted.where("id <> 0").withColumnRenamed("id", "gt_id")
     p = preds.select("scan_id", "pred_id", "label_id", "conf", F.col("size").alias("pred_size"), "void")
     g = instances.select("scan_id", "gt_id", "label_id", F.col("size").alias("gt_size"))
     both = shared.join(p, ["scan_id", "pred_id"]).join(g, ["scan_id", "gt_id", "label_id"])
@@ -119,28 +132,31 @@ def intersections(preds: DataFrame, masks: DataFrame, gt: DataFrame, instances:
 
 def instance_tables(gt: DataFrame, preds: DataFrame, masks: DataFrame, valid: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(instances, preds, intersections) as tables: matching reads them several times, and they are as
-    small as the lists of instances, whatever the number of vertices."""
-    inst, pred = settled(gt_instances(gt, valid)), settled(pred_instances(preds, masks, gt, valid))
-    return inst, pred, settled(intersections(pred, masks, gt, inst))
+    small as the lists of instances, whatever the number of vertices. Masks meet the ground truth once."""
+    counted = settled(_counted(masks, gt))
+    inst, pred = settled(gt_instances(gt, valid)), settled(_sized(preds, counted, valid))
+    return inst, pred, settled(_crossed(pred, counted, inst))
 
 
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
     """Matches of one scan, class and overlap in which a prediction may meet two ground truths: in order
     of gt_id, then pred_id, a prediction that was some ground truth's first match is skipped."""
-    used, out = set(), []
-    for gt_id, group in rows.sort_values(["gt_id", "pred_id"]).groupby("gt_id", sort=True):
-        best = None
-        for r in group.itertuples():
-            if r.pred_id in used:
-                continue
-            if best is None:
-                best = r.conf
-                used.add(r.pred_id)
-            else:
-                out.append((min(best, r.conf), False))
-                best = max(best, r.conf)
-        if best is not None:
-            out.append((best, True))
+    used, out, best, at = set(), [], None, None
+    for gt_id, pred_id, conf in sorted(zip(rows["gt_id"].tolist(), rows["pred_id"].tolist(), rows["conf"].tolist(), strict=True)):
+        if gt_id != at:
+            if best is not None:
+                out.append((best, True))
+            best, at = None, gt_id
+        if pred_id in used:
+            continue
+        if best is None:
+            best = conf
+            used.add(pred_id)
+        else:
+            out.append((min(best, conf), False))
+            best = max(best, conf)
+    if best is not None:
+        out.append((best, True))
     first = rows.iloc[0]
     return pd.DataFrame({"label_id": first.label_id, "overlap": first.overlap, "score": [s for s, _ in out], "is_true": [t for _, t in out], "matched": [t for _, t in out]})
 
@@ -159,8 +175,9 @@ def matches(preds: DataFrame, instances: DataFrame, shared: DataFrame, overlaps:
     place = F.row_number().over(Window.partitionBy("scan_id", "gt_id", "overlap").orderBy(F.desc("conf"), "pred_id"))
     apart = F.col("overlap") >= 0.5 if visited else F.lit(True)
     simple = big.where(apart).withColumn("k", place).select("label_id", "overlap", F.col("conf").alias("score"), (F.col("k") == 1).alias("is_true"), (F.col("k") == 1).alias("matched"))
-    turn = big.where(~apart).select("scan_id", "label_id", "overlap", "gt_id", "pred_id", "conf").groupBy("scan_id", "label_id", "overlap").applyInPandas(_greedy, "label_id bigint, overlap double, score double, is_true boolean, matched boolean")
-    met = simple.select(F.col("label_id").cast("bigint").alias("label_id"), "overlap", "score", "is_true", "matched").union(turn)
+    turns = ["scan_id", "label_id", "overlap"]  # dealt by a number: a turn costs more than its few bytes tell
+    turn = big.where(~apart).select("scan_id", "label_id", "overlap", "gt_id", "pred_id", "conf").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *turns).groupBy(*turns).applyInPandas(_greedy, "label_id bigint, overlap double, score double, is_true boolean, matched boolean")
+    met = settled(simple.select(F.col("label_id").cast("bigint").alias("label_id"), "overlap", "score", "is_true", "matched").union(turn))  # read twice
     scored = instances.where(F.col("size") >= least).groupBy(F.col("label_id").cast("bigint").alias("label_id")).agg(F.count("*").alias("all"))
     hits = met.where("matched").groupBy("label_id", "overlap").agg(F.count("*").alias("hit"))
     lost = scored.join(F.broadcast(th), F.lit(True)).join(hits, ["label_id", "overlap"], "left").select("label_id", "overlap", (F.col("all") - F.coalesce("hit", F.lit(0))).alias("lost"))

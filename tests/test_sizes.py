@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.operators import alignment as al
+from scanloom.operators import evaluate as ev
 from scanloom.operators import mesh as ms
 from scanloom.operators import pixels as px
 from scanloom.operators import projection as pr
 from scanloom.operators import spatial as sp
 from scanloom.operators import temporal as tp
-from scanloom.plans import files
+from scanloom.plans import bindings, files
 from scanloom.sources import sens
 
 EYE = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
@@ -130,3 +131,16 @@ def test_texts_are_written_without_a_folder_of_attempts(spark):
     found = sorted(os.path.join(d, f).removeprefix(local) for d, _, names in os.walk(local) for f in names)
     assert [f.split("/")[1] for f in found] == ["scan_id=1", "scan_id=1", "scan_id=2", "scan_id=3"]
     assert sorted((r.scan_id, r.value) for r in spark.read.text(path).collect()) == [(1, "a"), (1, "c"), (2, "b"), (3, ""), (3, "dé")]
+
+
+def test_matches_are_settled_once(spark, monkeypatch):
+    """Matches have two readers, but turns are taken once, in a number of tasks that is named; masks meet the ground truth once."""
+    plans = []
+    monkeypatch.setattr(ev, "settled", lambda df, f=ev.settled: plans.append(plan_of(df)) or f(df))
+    gt, preds, masks = bindings.instances(spark, "/root/testdata/sf0.001")
+    inst, pred, shared = ev.instance_tables(gt, preds, masks, ev.INSTANCE_CLASSES)
+    assert sum("vertex_id" in p and "Join" in p for p in plans) == 1
+    found = ev.matches(pred, inst, shared, ev.OVERLAPS_3D, 1)
+    assert "FlatMapGroupsInPandas" not in plan_of(found)
+    assert plans[-1].count("FlatMapGroupsInPandas") == 1 and "REPARTITION_BY_NUM" in plans[-1]
+    assert found.where("is_true").count() > 0
