@@ -14,7 +14,7 @@ from scanloom.operators import pixels as px
 from scanloom.operators import projection as pr
 from scanloom.operators import spatial as sp
 from scanloom.operators import temporal as tp
-from scanloom.plans import bindings, files
+from scanloom.plans import bindings, files, geometry
 from scanloom.sources import sens
 
 EYE = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
@@ -144,3 +144,12 @@ def test_matches_are_settled_once(spark, monkeypatch):
     assert "FlatMapGroupsInPandas" not in plan_of(found)
     assert plans[-1].count("FlatMapGroupsInPandas") == 1 and "REPARTITION_BY_NUM" in plans[-1]
     assert found.where("is_true").count() > 0
+
+
+def test_largest_clusters_shuffle_no_points(spark, monkeypatch):
+    """srt6 has four scans: its three passes over the points are sums where they are read, without a join by scan."""
+    plans = []
+    monkeypatch.setattr(al, "settled", lambda df, f=al.settled: plans.append(plan_of(df)) or f(df))
+    assert geometry.srt6_largest_clusters(spark, "/root/testdata/sf0.001").count() > 0
+    read = [p for p in plans if "l_extendedprice" in p]
+    assert len(read) == 3 and not any("Join" in p for p in read)
